@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from covermetrics.sources.book import ROLES, Book, role_sql
 
 MODULES = ("portfolio", "claims", "servicing", "quality", "series", "geography",
-           "semantic", "texts", "changes", "constructs", "streams")
+           "external", "semantic", "texts", "changes", "constructs", "streams")
 
 
 @dataclass(frozen=True)
