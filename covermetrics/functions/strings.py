@@ -30,7 +30,7 @@ def strip_fence(text: Column | str) -> Column:
 
 def cleaned(c: Column | str, default: str | None = None) -> Column:
     """Trim blanks and surrounding quotes; blank or 'null' becomes the default."""
-    t = F.regexp_replace(F.trim(as_col(c)), r"""^["'\s]+|["'\s]+$""", "")
+    t = F.btrim(as_col(c), F.lit(" \t\r\n\"'"))
     ok = t.isNotNull() & (t != "") & (F.lower(t) != "null")
     return F.when(ok, t).otherwise(F.lit(default))
 
