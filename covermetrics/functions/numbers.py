@@ -28,6 +28,13 @@ def rounded(c: Column | str, digits: int) -> Column:
     return F.round(as_col(c).cast(FIXED), digits).cast("double")
 
 
+def rounded_score(c: Column | str, digits: int = 5) -> Column:
+    """``rounded`` for small non-negative scores, in long arithmetic; for many rows."""
+    step = 10 ** (6 - digits)
+    micro = F.floor(as_col(c) * 1e6 + 0.5)
+    return F.floor((micro + step // 2) / F.lit(float(step))) / F.lit(float(10 ** digits))
+
+
 def ratio(num: Column | str, den: Column | str, digits: int = 4, scale: float = 1.0) -> Column:
     """``num / den``, NULL (not an error) when the denominator is zero."""
     den = F.nullif(as_col(den).cast("double"), F.lit(0.0))

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from covermetrics.functions.numbers import hash_bucket, mean, rounded
+from covermetrics.functions.numbers import hash_bucket, mean, rounded, rounded_score
 from covermetrics.functions.strings import token_estimate, tokens
 from covermetrics.operators.relational import latest_per_key, top_k_per_group
 
@@ -85,7 +85,7 @@ def ranked_search(docs: DataFrame, questions: DataFrame, k: int = 5, key: str =
     salted = tf.withColumn("_salt", F.pmod(F.xxhash64(key), F.lit(salts)).cast("int"))
     gain = F.col("idf") * (F.col("tf") * (BM25_K1 + 1)) / (
         F.col("tf") + F.lit(BM25_K1) * (F.lit(1 - BM25_B) + F.lit(BM25_B) * F.col("dl") / F.col("avgdl")))
-    scored = salted.join(probe, ["term", "_salt"]).groupBy(qkey, key).agg(rounded(F.sum(gain), 5).alias("score"))
+    scored = salted.join(probe, ["term", "_salt"]).groupBy(qkey, key).agg(rounded_score(F.sum(gain), 5).alias("score"))
     return top_k_per_group(scored, [qkey], [F.desc("score"), F.col(key)], k)
 
 

@@ -148,7 +148,8 @@ def raw_policy_documents(b):
         F.array(F.struct(F.lit("source").alias("field"), F.lit("scan").alias("value")), F.struct(F.lit(" ").alias("field"), F.lit("x").alias("value"))).alias("extra_metadata")))
     fenced = F.when(i % 5 == 0, F.concat(F.lit("```json\n"), body, F.lit("\n```"))).otherwise(body)
     text = F.when(i % 97 == 0, F.lit("{not a document")).when(i % 83 == 0, F.lit("x")).otherwise(fenced)
-    return p.select(F.concat(F.lit("file-"), i.cast("string"), F.lit(".pdf")).alias("file_name"), text.alias("extracted"))
+    # As in the intake itself, a one-element explode keeps the text from being built per use.
+    return p.select(F.concat(F.lit("file-"), i.cast("string"), F.lit(".pdf")).alias("file_name"), F.explode(F.array(text)).alias("extracted"))
 
 
 def intake_of(b):
