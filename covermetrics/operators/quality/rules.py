@@ -108,8 +108,18 @@ def run_rules(rules: Sequence[Rule], tables: Mapping[str, DataFrame], keys: Mapp
         parts += [_run_references(df, r, tables) for r in mine if r.template == "references"]
     out = parts[0]
     for p in parts[1:]:
-        out = out.unionByName(p)
-    return _with_status(out, rules)
+        out = out.union(p)
+    return _with_status(out)
+
+
+def _about(r: Rule) -> list[Column]:
+    return [F.lit(r.rule_id).alias("rule_id"), F.lit(r.name).alias("rule_name"), F.lit(r.table).alias("target_table"),
+            F.lit(r.dimension).alias("rule_type"), F.lit(r.severity).alias("severity"), F.lit(float(r.threshold)).alias("threshold"),
+            F.lit(r.template == "fresh").alias("whole")]
+
+
+ABOUT = ("rule_id", "rule_name", "target_table", "rule_type", "severity", "threshold", "whole")
+COUNTS = ("run_date", "total_records", "failed_records", "error_sample")
 
 
 def _run_fused(df: DataFrame, rules: Sequence[Rule], key: str, as_of: str) -> DataFrame:
@@ -123,11 +133,11 @@ def _run_fused(df: DataFrame, rules: Sequence[Rule], key: str, as_of: str) -> Da
             failed = F.count_if(bad)
             ids = F.when(bad, F.col(key))
             sample = F.array_distinct(F.array_compact(F.array(F.min(ids).cast("string"), F.max(ids).cast("string"))))
-        cells.append(F.struct(F.lit(r.rule_id).alias("rule_id"), failed.alias("failed_records"), sample.alias("error_sample")))
+        cells.append(F.struct(*_about(r), failed.alias("failed_records"), sample.alias("error_sample")))
     return (
         df.groupBy("run_date").agg(F.count(F.lit(1)).alias("total_records"), F.array(*cells).alias("_cells"))
         .select("run_date", "total_records", F.explode("_cells").alias("_c"))
-        .select("_c.rule_id", "run_date", "total_records", "_c.failed_records", "_c.error_sample")
+        .select(*[f"_c.{c}" for c in ABOUT], "run_date", "total_records", "_c.failed_records", "_c.error_sample")
     )
 
 
@@ -138,7 +148,7 @@ def _run_unique(df: DataFrame, r: Rule) -> DataFrame:
     return per_value.groupBy("run_date").agg(
         F.sum("_n").alias("total_records"), (F.sum("_n") - F.count("_v")).alias("failed_records"),
         F.array_distinct(F.array_compact(F.array(F.min(repeated), F.max(repeated)))).alias("error_sample"),
-    ).select(F.lit(r.rule_id).alias("rule_id"), "run_date", "total_records", "failed_records", "error_sample")
+    ).select(*_about(r), *COUNTS)
 
 
 def _run_references(df: DataFrame, r: Rule, tables: Mapping[str, DataFrame]) -> DataFrame:
@@ -151,34 +161,20 @@ def _run_references(df: DataFrame, r: Rule, tables: Mapping[str, DataFrame]) ->
         F.sum("_n").alias("total_records"),
         F.coalesce(F.sum(F.when(F.col("_found").isNull(), F.col("_n"))), F.lit(0)).alias("failed_records"),
         F.array_distinct(F.array_compact(F.array(F.min(orphan), F.max(orphan)))).alias("error_sample"),
-    ).select(F.lit(r.rule_id).alias("rule_id"), "run_date", "total_records", "failed_records", "error_sample")
+    ).select(*_about(r), *COUNTS)
 
 
-def _by_rule(rules: Sequence[Rule], attribute: str) -> Column:
-    out = None
-    for r in rules:
-        cond, value = F.col("rule_id") == r.rule_id, F.lit(getattr(r, attribute))
-        out = F.when(cond, value) if out is None else out.when(cond, value)
-    return out
-
+def _with_status(results: DataFrame) -> DataFrame:
+    """Pass at or above the threshold; Warning within one point below it (ours); else Fail.
 
-def _with_status(results: DataFrame, rules: Sequence[Rule]) -> DataFrame:
-    """Pass at or above the threshold; Warning within one point below it (ours); else Fail."""
-    limit = _by_rule(rules, "threshold")
+    A freshness rule fails as a whole: its single failure means 0 %, not one row's share.
+    """
     passed = F.col("total_records") - F.col("failed_records")
-    out = results.withColumn("passed_records", passed).withColumn("pass_rate", percent(passed, "total_records", 2))
-    # A freshness rule fails as a whole: its single failure means 0 %, not one row's share.
-    fresh_ids = [r.rule_id for r in rules if r.template == "fresh"]
-    if fresh_ids:
-        out = out.withColumn("pass_rate", F.when(
-            F.col("rule_id").isin(*fresh_ids), F.when(F.col("failed_records") > 0, F.lit(0.0)).otherwise(F.lit(100.0))
-        ).otherwise(F.col("pass_rate")))
-    return out.select(
-        "rule_id", _by_rule(rules, "name").alias("rule_name"), "run_date", _by_rule(rules, "table").alias("target_table"),
-        _by_rule(rules, "dimension").alias("rule_type"), _by_rule(rules, "severity").alias("severity"),
-        "total_records", "passed_records", "failed_records", "pass_rate",
-        F.when(F.col("pass_rate") >= limit, "Pass").when(F.col("pass_rate") >= limit - 1, "Warning").otherwise("Fail").alias("status"),
-        "error_sample")
+    whole = F.when(F.col("failed_records") > 0, F.lit(0.0)).otherwise(F.lit(100.0))
+    out = results.withColumns({"passed_records": passed, "pass_rate": F.when(F.col("whole"), whole).otherwise(percent(passed, "total_records", 2))})
+    status = F.when(F.col("pass_rate") >= F.col("threshold"), "Pass").when(F.col("pass_rate") >= F.col("threshold") - 1, "Warning").otherwise("Fail")
+    return out.select("rule_id", "rule_name", "run_date", "target_table", "rule_type", "severity", "total_records", "passed_records",
+                      "failed_records", "pass_rate", status.alias("status"), "error_sample")
 
 
 def rules_frame(spark, rules: Sequence[Rule]) -> DataFrame:

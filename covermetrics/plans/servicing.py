@@ -42,13 +42,12 @@ FROM policies)"""
 
 
 def ledger(b):
-    """Quarterly postings: claims paid, reserves and recoveries of each product line."""
-    c = b.claims.join(b.products.select("part_id", "line"), "part_id")
-    kinds = F.array(F.struct(F.lit("Claims Paid").alias("k"), F.col("paid").alias("v")),
-                    F.struct(F.lit("Reserve").alias("k"), F.col("reserve").alias("v")),
-                    F.struct(F.lit("Incurred").alias("k"), F.col("amount").alias("v")))
-    return c.select(fiscal_quarter_text("claim_date").alias("fiscal_quarter"), "line", F.explode(kinds).alias("e")) \
-        .select("fiscal_quarter", "line", F.col("e.k").alias("account_type"), F.col("e.v").alias("amount"))
+    """Quarterly postings: claims paid, reserves and incurred amounts of each product line."""
+    per_part = b.claims.groupBy("part_id", F.trunc("claim_date", "quarter").alias("q")).agg(*[F.sum(c).alias(c) for c in ("paid", "reserve", "amount")])
+    per_line = per_part.join(b.products.select("part_id", "line"), "part_id").groupBy("q", "line").agg(
+        F.sum("paid").alias("Claims Paid"), F.sum("reserve").alias("Reserve"), F.sum("amount").alias("Incurred"))
+    return per_line.unpivot(["q", "line"], ["Claims Paid", "Reserve", "Incurred"], "account_type", "amount").select(
+        fiscal_quarter_text("q").alias("fiscal_quarter"), "line", "account_type", "amount")
 
 
 LEDGER = """ledger AS (SELECT YEAR(claim_date) || '-Q' || QUARTER(claim_date) AS fiscal_quarter, line, k AS account_type, v AS amount FROM (
