@@ -9,9 +9,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from covermetrics.functions.numbers import hash_bucket, mean, rounded, rounded_score
+from covermetrics.functions.numbers import hash_bucket, mean, rounded
 from covermetrics.functions.strings import token_estimate, tokens
 from covermetrics.operators.relational import latest_per_key, top_k_per_group
+from covermetrics.operators.topk import TopK, query_blocks
 
 # Window starts in percent of the text, and window length in characters.
 WINDOW_STARTS = (0, 15, 30, 50, 70, 85)
@@ -65,28 +66,77 @@ def clause_count(docs: DataFrame, terms: Sequence[str], by: str, text: str = "co
 
 
 def ranked_search(docs: DataFrame, questions: DataFrame, k: int = 5, key: str = "document_id", text: str = "content",
-                  qkey: str = "question_id", qtext: str = "question", salts: int = 16) -> DataFrame:
-    """BM25 top k documents per question.
+                  qkey: str = "question_id", qtext: str = "question", block: int = 1024) -> DataFrame:
+    """BM25 top k documents per question, over whole texts.
 
-    Only words that some question uses are kept from the documents. Words in half of the
-    documents or more weigh nothing (their inverse document frequency is not positive) and
-    fall out, so no word meets more than half of the documents; the postings of a word are
-    spread over ``salts`` shuffle keys.
+    Documents are never shuffled and no (question, document) pairs are built as rows: each
+    task counts the asked words of its documents, scores them against a block of questions
+    with one matrix product, and passes on k rows per question. Words in half of the
+    documents or more weigh nothing (their inverse document frequency is not positive).
     """
-    asked = questions.select(qkey, F.explode(F.array_distinct(tokens(qtext))).alias("term"))
-    words = docs.select(key, tokens(text).alias("_w")).select(key, F.size("_w").alias("dl"), "_w")
-    stats = words.agg(F.struct(F.count(F.lit(1)).cast("double").alias("n"), F.sum("dl").cast("double").alias("total"))).scalar()
-    used = words.select(key, "dl", F.explode("_w").alias("term")).join(asked.select("term").distinct(), "term", "left_semi")
-    tf = used.groupBy(key, "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
-    weights = tf.groupBy("term").agg(F.count(F.lit(1)).cast("double").alias("df")).withColumn("_s", stats) \
-        .withColumn("idf", F.log((F.col("_s.n") - F.col("df") + 0.5) / (F.col("df") + 0.5))) \
-        .filter(F.col("idf") > 0).select("term", "idf", (F.col("_s.total") / F.col("_s.n")).alias("avgdl"))
-    probe = asked.join(weights, "term").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    salted = tf.withColumn("_salt", F.pmod(F.xxhash64(key), F.lit(salts)).cast("int"))
-    gain = F.col("idf") * (F.col("tf") * (BM25_K1 + 1)) / (
-        F.col("tf") + F.lit(BM25_K1) * (F.lit(1 - BM25_B) + F.lit(BM25_B) * F.col("dl") / F.col("avgdl")))
-    scored = salted.join(probe, ["term", "_salt"]).groupBy(qkey, key).agg(rounded_score(F.sum(gain), 5).alias("score"))
-    return top_k_per_group(scored, [qkey], [F.desc("score"), F.col(key)], k)
+    asked = questions.select(qkey, F.array_distinct(tokens(qtext)).alias("words"))
+    words = docs.select(key, tokens(text).alias("words"))
+    out = None
+    for rows in query_blocks(asked, qkey, block):
+        one = _rank_block(words, rows, k, key, qkey, docs.schema[key].dataType.simpleString(), asked.schema[qkey].dataType.simpleString())
+        out = one if out is None else out.unionByName(one)
+    return top_k_per_group(out, [qkey], [F.desc("score"), F.col(key)], k)
+
+
+def _word_matrix(lists: Sequence[np.ndarray], index: pd.Index) -> np.ndarray:
+    """Documents by vocabulary word counts."""
+    lengths = [len(x) for x in lists]
+    flat = index.get_indexer(np.concatenate([np.asarray(x, dtype=object) for x in lists]) if sum(lengths) else [])
+    row = np.repeat(np.arange(len(lists)), lengths)
+    known = flat >= 0
+    size = len(lists) * len(index)
+    return np.bincount(row[known] * len(index) + flat[known], minlength=size).reshape(len(lists), len(index)).astype(np.float64)
+
+
+def _slices(pdf: pd.DataFrame, width: int) -> Iterator[pd.DataFrame]:
+    """Row slices whose word matrix stays at a few million cells."""
+    step = max(1, 4_000_000 // max(1, width))
+    for i in range(0, len(pdf), step):
+        yield pdf.iloc[i:i + step]
+
+
+def _rank_block(words: DataFrame, rows: list, k: int, key: str, qkey: str, key_type: str, qkey_type: str) -> DataFrame:
+    vocabulary = pd.Index(sorted({w for r in rows for w in r["words"]}), dtype=object)
+    ids = np.array([r[qkey] for r in rows])
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        df, n, total = np.zeros(len(vocabulary)), 0, 0
+        for pdf in batches:
+            n, total = n + len(pdf), total + int(pdf["words"].map(len).sum())
+            for part in _slices(pdf, len(vocabulary)):
+                df += (_word_matrix(part["words"].to_list(), vocabulary) > 0).sum(axis=0)
+        hit = np.flatnonzero(df)
+        yield pd.DataFrame({"w": [-1, -2, *hit.tolist()], "n": [n, total, *df[hit].astype(np.int64).tolist()]})
+    totals = {r["w"]: r["n"] for r in words.mapInPandas(count, "w long, n long").groupBy("w").agg(F.sum("n").alias("n")).collect()}
+    n_docs, average = totals.get(-1, 0), totals.get(-2, 0) / max(1, totals.get(-1, 0))
+    df = np.array([totals.get(i, 0) for i in range(len(vocabulary))], dtype=np.float64)
+    idf = np.maximum(np.log((n_docs - df + 0.5) / (df + 0.5)), 0.0) if n_docs else np.zeros(len(vocabulary))
+    idf[df == 0] = 0.0
+    kept = np.flatnonzero(idf)
+    place = {vocabulary[i]: j for j, i in enumerate(kept)}
+    weights = np.zeros((len(kept), len(rows)))
+    for q, r in enumerate(rows):
+        for w in r["words"]:
+            if w in place:
+                weights[place[w], q] = idf[kept[place[w]]]
+    useful = vocabulary[kept]
+
+    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        best = TopK(len(ids), k, above=1e-9)
+        for pdf in batches:
+            for part in _slices(pdf, max(len(useful), len(ids))):
+                tf = _word_matrix(part["words"].to_list(), useful)
+                norm = BM25_K1 * (1 - BM25_B + BM25_B * part["words"].map(len).to_numpy(dtype=np.float64) / average)
+                s = (tf * (BM25_K1 + 1) / (tf + norm[:, None])) @ weights
+                # Fixed at six and then five decimals, half up, so that ties are decided by key.
+                best.offer(np.floor((np.floor(s * 1e6 + 0.5) + 5) / 10) / 1e5, np.array(part[key].tolist()))
+        yield from best.frame(qkey, ids, key)
+    return words.mapInPandas(score, f"{qkey} {qkey_type}, {key} {key_type}, score double")
 
 
 def vector_search(corpus: DataFrame, queries: DataFrame, k: int = 5, key: str = "vector_id", vector: str = "vector",
@@ -94,43 +144,32 @@ def vector_search(corpus: DataFrame, queries: DataFrame, k: int = 5, key: str =
     """Exact cosine top k of each query vector.
 
     Each task scores its rows against a block of queries with one matrix product and keeps
-    k rows per query, so only k rows per query and task are shuffled. A batch of more than
-    ``block`` queries is answered block by block.
+    k rows per query, so only k rows per query and task are shuffled.
     """
-    n = queries.count()
     out = None
-    for i in range(max(1, -(-n // block))):
-        part = queries.filter(F.pmod(F.xxhash64(qkey), F.lit(max(1, -(-n // block)))) == i).select(qkey, qvector)
-        one = _search_block(corpus.select(key, vector), part, k, key, vector, qkey, qvector)
+    for rows in query_blocks(queries.select(qkey, qvector), qkey, block):
+        one = _search_block(corpus.select(key, vector), rows, k, key, vector, qkey, qvector, queries.schema[qkey].dataType.simpleString())
         out = one if out is None else out.unionByName(one)
     return top_k_per_group(out, [qkey], [F.desc("score"), F.col(key)], k)
 
 
-def _search_block(corpus: DataFrame, queries: DataFrame, k: int, key: str, vector: str, qkey: str, qvector: str) -> DataFrame:
-    rows = queries.collect()  # at most about one block of queries
+def _unit(m: np.ndarray) -> np.ndarray:
+    length = np.linalg.norm(m, axis=1, keepdims=True)
+    return np.divide(m, length, out=np.zeros_like(m), where=length > 0)
+
+
+def _search_block(corpus: DataFrame, rows: list, k: int, key: str, vector: str, qkey: str, qvector: str, qkey_type: str) -> DataFrame:
     ids = np.array([r[qkey] for r in rows])
-    q = np.array([r[qvector] for r in rows], dtype=np.float64).reshape(len(rows), -1)
-    norms = np.linalg.norm(q, axis=1, keepdims=True)
-    q = np.divide(q, norms, out=np.zeros_like(q), where=norms > 0)
-    key_type, qkey_type = corpus.schema[key].dataType.simpleString(), queries.schema[qkey].dataType.simpleString()
+    q = _unit(np.array([r[qvector] for r in rows], dtype=np.float64).reshape(len(rows), -1)).T
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        best: pd.DataFrame | None = None
+        best = TopK(len(ids), k)
         for pdf in batches:
-            if not len(pdf) or not len(ids):
-                continue
-            m = np.stack(pdf[vector].to_numpy()).astype(np.float64)
-            length = np.linalg.norm(m, axis=1, keepdims=True)
-            m = np.divide(m, length, out=np.zeros_like(m), where=length > 0)
-            # Fixed at six decimals so that ties are decided by key, not by summation order.
-            s = np.round(m @ q.T, 6)
-            frames = [pd.DataFrame({qkey: ids[j], key: pdf[key].to_numpy(), "score": s[:, j]}) for j in range(len(ids))]
-            pool = pd.concat(([best] if best is not None else []) + frames)
-            pool = pool.sort_values([qkey, "score", key], ascending=[True, False, True])
-            best = pool.groupby(qkey, sort=False).head(k)
-        if best is not None:
-            yield best
-    return corpus.mapInPandas(score, f"{qkey} {qkey_type}, {key} {key_type}, score double")
+            for part in _slices(pdf, max(q.shape)):
+                m = _unit(np.stack(part[vector].to_numpy()).astype(np.float64))
+                best.offer(np.round(m @ q, 6), np.array(part[key].tolist()))
+        yield from best.frame(qkey, ids, key)
+    return corpus.mapInPandas(score, f"{qkey} {qkey_type}, {key} {corpus.schema[key].dataType.simpleString()}, score double")
 
 
 def document_stats(docs: DataFrame, chunks: DataFrame, by: str, key: str = "document_id") -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from covermetrics.functions.numbers import percent, ratio, rounded
 from covermetrics.functions.strings import edit_similarity, token_jaccard, tokens
+from covermetrics.operators.relational import attach_group_facts
 
 # Ours: weights of the hybrid score.
 HYBRID = {"exact": 0.2, "fuzzy": 0.4, "words": 0.4}
@@ -19,20 +20,37 @@ def catalogue(products: DataFrame, name: str, price: str) -> DataFrame:
     return products.groupBy(F.col(name).alias("name")).agg(F.count(F.lit(1)).alias("products"), ratio(F.sum(price), F.count(price), 2).alias("price"))
 
 
-def match_products(ours: DataFrame, theirs: DataFrame) -> DataFrame:
+def _rare_words(names: DataFrame, frequencies: DataFrame, at_least: float) -> DataFrame:
+    """The words a name must share one of to reach the wanted word overlap: all but the
+    most frequent ``ceil(at_least * words) - 1`` of its words."""
+    words = names.select("name", F.explode(F.array_distinct(tokens("name"))).alias("w"))
+    ranked = attach_group_facts(words, frequencies, ["w"]).groupBy("name").agg(F.array_sort(F.collect_list(F.struct("group_rows", "w"))).alias("ws"))
+    keep = F.size("ws") - F.ceil(F.size("ws") * F.lit(at_least)) + 1
+    return ranked.select("name", F.explode(F.slice(F.col("ws.w"), F.lit(1), keep.cast("int"))).alias("w"))
+
+
+def match_products(ours: DataFrame, theirs: DataFrame, at_least: float = 0.3) -> DataFrame:
     """Best counterpart per name by hybrid score, with the price delta in percent.
 
-    Candidates share at least one word. The best candidate is an aggregate (max_by), so
-    pairs are reduced where they are made.
+    Candidates overlap in at least ``at_least`` of their words (Jaccard). Two such names
+    always share one of their rarer words, so only those are joined and a word that a third
+    of all names carry makes no pairs. The best candidate is an aggregate, so pairs are
+    reduced where they are made.
     """
-    a = ours.select("name", "price", F.explode(F.array_distinct(tokens("name"))).alias("w"))
-    b = theirs.select(F.col("name").alias("match"), F.col("price").alias("match_price"), F.explode(F.array_distinct(tokens("name"))).alias("w"))
-    pairs = a.join(b, "w").drop("w").distinct()
+    both = ours.select("name").unionByName(theirs.select("name"))
+    frequencies = both.select(F.explode(F.array_distinct(tokens("name"))).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("group_rows"))
+    a = _rare_words(ours, frequencies, at_least)
+    b = _rare_words(theirs, frequencies, at_least).withColumnRenamed("name", "match")
+    pairs = a.join(b, "w").select("name", "match").distinct()
     exact = F.when(F.lower("name") == F.lower("match"), 1.0).otherwise(0.0)
-    scored = pairs.withColumn("fuzzy", edit_similarity(F.lower("name"), F.lower("match"))).withColumn("words", token_jaccard("name", "match")) \
+    scored = pairs.withColumn("words", token_jaccard("name", "match")).filter(F.col("words") >= at_least) \
+        .withColumn("fuzzy", edit_similarity(F.lower("name"), F.lower("match"))) \
         .withColumn("score", rounded(exact * HYBRID["exact"] + F.col("fuzzy") * HYBRID["fuzzy"] + F.col("words") * HYBRID["words"], 4))
-    best = scored.groupBy("name").agg(F.min_by(F.struct("match", "score", "fuzzy", "words", "price", "match_price"), F.struct(-F.col("score"), F.col("match"))).alias("m"))
-    return best.select("name", "m.match", "m.score", "m.fuzzy", "m.words", percent(F.col("m.price") - F.col("m.match_price"), F.col("m.match_price"), 1).alias("price_delta_pct"))
+    best = scored.groupBy("name").agg(F.min_by(F.struct("match", "score", "fuzzy", "words"), F.struct(-F.col("score"), F.col("match"))).alias("m"))
+    priced = best.select("name", "m.*").join(ours.select("name", "price"), "name") \
+        .join(theirs.select(F.col("name").alias("match"), F.col("price").alias("match_price")), "match")
+    return priced.select("name", "match", "score", "fuzzy", "words",
+                         percent(F.col("price") - F.col("match_price"), F.col("match_price"), 1).alias("price_delta_pct"))
 
 
 def compare_lines(a: DataFrame, b: DataFrame, keys: Sequence[str], line: str, amount: str) -> DataFrame:

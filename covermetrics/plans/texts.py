@@ -242,7 +242,7 @@ WITH a AS (SELECT product_name || ' ' || LOWER(line) AS name, {sql_ratio('SUM(li
 b AS (SELECT product_name || ' ' || LOWER(line) AS match, {sql_ratio('SUM(list_price)', 'COUNT(*)', 2)} AS match_price FROM products WHERE line NOT IN ('STANDARD', 'PROMO') GROUP BY 1),
 p AS (SELECT *, LIST_DISTINCT(STRING_SPLIT(name, ' ')) AS ta, LIST_DISTINCT(STRING_SPLIT(match, ' ')) AS tb FROM a, b),
 s AS (SELECT *, {sql_round('1 - CAST(LEVENSHTEIN(name, match) AS DOUBLE) / GREATEST(LENGTH(name), LENGTH(match))', 4)} AS fuzzy,
- {sql_round('CAST(LEN(LIST_INTERSECT(ta, tb)) AS DOUBLE) / LEN(LIST_DISTINCT(LIST_CONCAT(ta, tb)))', 4)} AS words FROM p WHERE LEN(LIST_INTERSECT(ta, tb)) > 0),
+ {sql_round('CAST(LEN(LIST_INTERSECT(ta, tb)) AS DOUBLE) / LEN(LIST_DISTINCT(LIST_CONCAT(ta, tb)))', 4)} AS words FROM p WHERE CAST(LEN(LIST_INTERSECT(ta, tb)) AS DOUBLE) / LEN(LIST_DISTINCT(LIST_CONCAT(ta, tb))) >= 0.3),
 r AS (SELECT *, {sql_round("CASE WHEN name = match THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END * CAST(0.2 AS DOUBLE) + fuzzy * CAST(0.4 AS DOUBLE) + words * CAST(0.4 AS DOUBLE)", 4)} AS score FROM s)
 SELECT name, match, score, fuzzy, words, {sql_percent('price - match_price', 'match_price')} AS price_delta_pct FROM r QUALIFY ROW_NUMBER() OVER (PARTITION BY name ORDER BY score DESC, match) = 1""")
 def _(b):
