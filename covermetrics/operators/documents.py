@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator, Sequence
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -10,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from covermetrics.functions.numbers import hash_bucket, mean, rounded
-from covermetrics.functions.strings import token_estimate, tokens
+from covermetrics.functions.strings import token_estimate
 from covermetrics.operators.relational import latest_per_key, top_k_per_group
 from covermetrics.operators.topk import TopK, query_blocks
 
@@ -74,19 +76,28 @@ def ranked_search(docs: DataFrame, questions: DataFrame, k: int = 5, key: str =
     with one matrix product, and passes on k rows per question. Words in half of the
     documents or more weigh nothing (their inverse document frequency is not positive).
     """
-    asked = questions.select(qkey, F.array_distinct(tokens(qtext)).alias("words"))
-    words = docs.select(key, tokens(text).alias("words"))
+    texts = docs.select(key, F.col(text).alias("text"))
+    types = docs.schema[key].dataType.simpleString(), questions.schema[qkey].dataType.simpleString()
     out = None
-    for rows in query_blocks(asked, qkey, block):
-        one = _rank_block(words, rows, k, key, qkey, docs.schema[key].dataType.simpleString(), asked.schema[qkey].dataType.simpleString())
+    for rows in query_blocks(questions.select(qkey, F.col(qtext).alias("text")), qkey, block):
+        one = _rank_block(texts, rows, k, key, qkey, *types)
         out = one if out is None else out.unionByName(one)
     return top_k_per_group(out, [qkey], [F.desc("score"), F.col(key)], k)
 
 
-def _word_matrix(lists: Sequence[np.ndarray], index: pd.Index) -> np.ndarray:
+# Letters and digits, as in covermetrics.functions.strings.tokens. Whole texts cross to
+# Python, not arrays of words: one string per document is far cheaper to hand over.
+_WORD = re.compile(r"[^\W_]+")
+
+
+def _words(text: str | None) -> list[str]:
+    return _WORD.findall(text.lower()) if text else []
+
+
+def _word_matrix(lists: Sequence[list[str]], index: pd.Index) -> np.ndarray:
     """Documents by vocabulary word counts."""
     lengths = [len(x) for x in lists]
-    flat = index.get_indexer(np.concatenate([np.asarray(x, dtype=object) for x in lists]) if sum(lengths) else [])
+    flat = index.get_indexer(np.array(list(chain.from_iterable(lists)), dtype=object))
     row = np.repeat(np.arange(len(lists)), lengths)
     known = flat >= 0
     size = len(lists) * len(index)
@@ -100,19 +111,22 @@ def _slices(pdf: pd.DataFrame, width: int) -> Iterator[pd.DataFrame]:
         yield pdf.iloc[i:i + step]
 
 
-def _rank_block(words: DataFrame, rows: list, k: int, key: str, qkey: str, key_type: str, qkey_type: str) -> DataFrame:
-    vocabulary = pd.Index(sorted({w for r in rows for w in r["words"]}), dtype=object)
+def _rank_block(texts: DataFrame, rows: list, k: int, key: str, qkey: str, key_type: str, qkey_type: str) -> DataFrame:
+    asked = [set(_words(r["text"])) for r in rows]
+    vocabulary = pd.Index(sorted(set().union(*asked)), dtype=object)
     ids = np.array([r[qkey] for r in rows])
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         df, n, total = np.zeros(len(vocabulary)), 0, 0
         for pdf in batches:
-            n, total = n + len(pdf), total + int(pdf["words"].map(len).sum())
+            n += len(pdf)
             for part in _slices(pdf, len(vocabulary)):
-                df += (_word_matrix(part["words"].to_list(), vocabulary) > 0).sum(axis=0)
+                lists = [_words(t) for t in part["text"]]
+                total += sum(map(len, lists))
+                df += (_word_matrix(lists, vocabulary) > 0).sum(axis=0)
         hit = np.flatnonzero(df)
         yield pd.DataFrame({"w": [-1, -2, *hit.tolist()], "n": [n, total, *df[hit].astype(np.int64).tolist()]})
-    totals = {r["w"]: r["n"] for r in words.mapInPandas(count, "w long, n long").groupBy("w").agg(F.sum("n").alias("n")).collect()}
+    totals = {r["w"]: r["n"] for r in texts.select("text").mapInPandas(count, "w long, n long").groupBy("w").agg(F.sum("n").alias("n")).collect()}
     n_docs, average = totals.get(-1, 0), totals.get(-2, 0) / max(1, totals.get(-1, 0))
     df = np.array([totals.get(i, 0) for i in range(len(vocabulary))], dtype=np.float64)
     idf = np.maximum(np.log((n_docs - df + 0.5) / (df + 0.5)), 0.0) if n_docs else np.zeros(len(vocabulary))
@@ -120,8 +134,8 @@ def _rank_block(words: DataFrame, rows: list, k: int, key: str, qkey: str, key_t
     kept = np.flatnonzero(idf)
     place = {vocabulary[i]: j for j, i in enumerate(kept)}
     weights = np.zeros((len(kept), len(rows)))
-    for q, r in enumerate(rows):
-        for w in r["words"]:
+    for q, words in enumerate(asked):
+        for w in words:
             if w in place:
                 weights[place[w], q] = idf[kept[place[w]]]
     useful = vocabulary[kept]
@@ -130,13 +144,14 @@ def _rank_block(words: DataFrame, rows: list, k: int, key: str, qkey: str, key_t
         best = TopK(len(ids), k, above=1e-9)
         for pdf in batches:
             for part in _slices(pdf, max(len(useful), len(ids))):
-                tf = _word_matrix(part["words"].to_list(), useful)
-                norm = BM25_K1 * (1 - BM25_B + BM25_B * part["words"].map(len).to_numpy(dtype=np.float64) / average)
+                lists = [_words(t) for t in part["text"]]
+                tf = _word_matrix(lists, useful)
+                norm = BM25_K1 * (1 - BM25_B + BM25_B * np.array([len(x) for x in lists]) / average)
                 s = (tf * (BM25_K1 + 1) / (tf + norm[:, None])) @ weights
                 # Fixed at six and then five decimals, half up, so that ties are decided by key.
                 best.offer(np.floor((np.floor(s * 1e6 + 0.5) + 5) / 10) / 1e5, np.array(part[key].tolist()))
         yield from best.frame(qkey, ids, key)
-    return words.mapInPandas(score, f"{qkey} {qkey_type}, {key} {key_type}, score double")
+    return texts.mapInPandas(score, f"{qkey} {qkey_type}, {key} {key_type}, score double")
 
 
 def vector_search(corpus: DataFrame, queries: DataFrame, k: int = 5, key: str = "vector_id", vector: str = "vector",
