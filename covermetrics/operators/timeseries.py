@@ -23,14 +23,19 @@ ANOMALY_Z = 2.0
 
 def build_series(df: DataFrame, time: str, value: str | None, agg: str = "sum", by: str | None = None) -> DataFrame:
     """(series, month, value) with SUM, AVG or COUNT per month."""
-    series = F.col(by).cast("string") if by else F.lit("all")
     if agg == "count":
         measure = F.count(F.lit(1)).cast("double")
     elif agg == "avg":
         measure = ratio(F.sum(value), F.count(value), 4)
     else:
         measure = F.sum(value).cast("double")
-    return df.filter(F.col(time).isNotNull()).groupBy(series.alias("series"), month_of(time).alias("month")).agg(measure.alias("value"))
+    dated = df.filter(F.col(time).isNotNull())
+    if by:
+        return dated.groupBy(F.col(by).cast("string").alias("series"), month_of(time).alias("month")).agg(measure.alias("value"))
+    # The one series' name is an aggregate: a plain literal would be folded out of the later
+    # joins on it and turn them into nested loops.
+    monthly = dated.groupBy(month_of(time).alias("month")).agg(F.max(F.lit("all")).alias("series"), measure.alias("value"))
+    return monthly.select("series", "month", "value")
 
 
 def _t(month: Column | str) -> Column:

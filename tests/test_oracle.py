@@ -25,6 +25,8 @@ def test_query_matches_sql(spark, con, name):
     df = p.build(Book(spark, FOLDER))
     got, got_columns = rows_of(df.columns, [tuple(r) for r in df.collect()])
     assert len(set(df.columns)) == len(df.columns)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "NestedLoopJoin" not in plan
     if p.sql is None:
         assert got
         return
