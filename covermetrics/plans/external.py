@@ -86,7 +86,7 @@ def _case(mapping):
     return "CASE line " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in mapping.items()) + " END"
 
 
-@plan("ext_weather_alerts", "E1 E2 J18 P1 F4 T6", roles="alerts customers states", sql="""
+@plan("ext_weather_alerts", "S12 E1 E2 J18 P1 F4 T6", roles="alerts customers states", sql="""
 SELECT 'S' || LPAD(CAST(state_id AS VARCHAR), 2, '0') AS state, LPAD(CAST(state_id AS VARCHAR), 2, '0') || LPAD(CAST(customer_id % 100 AS VARCHAR), 3, '0') AS county_fips,
        severity AS event_severity, COUNT(*) AS alerts, MIN(reported_at) AS first_begin FROM alerts JOIN customers USING (customer_id) GROUP BY 1, 2, 3""")
 def _(b):

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from covermetrics.operators import geo
 from covermetrics.plans.registry import plan, sql_mean, sql_percent, sql_ratio, sql_round
+from covermetrics.sources import external as ext
 
 ALERTS_SINCE = "2023-01-31"
 DISASTERS_SINCE = "1996-01-01"
@@ -144,3 +145,13 @@ def _(b):
         F.when(F.col("policy_id") % 5 == 0, "A").when(F.col("policy_id") % 5 == 1, "V").otherwise("X")))
     return p.join(geo.claims_per_policy(b.claims), "policy_id", "left").groupBy("risk_band").agg(
         F.count(F.lit(1)).alias("policies"), geo.percent(F.sum("incurred"), F.sum("premium"), 1).alias("loss_ratio"))
+
+
+@plan("state_map_points", "F27", roles="policies customers", sql=f"""
+WITH p(i, state, latitude, longitude) AS (VALUES {', '.join(f"({i}, '{s}', CAST({lat} AS DOUBLE), CAST({lon} AS DOUBLE))" for i, (s, lat, lon) in enumerate(x.split() for x in ext.STATE_POINTS.replace(chr(10), ' ').split(',')))})
+SELECT p.state, COUNT(*) AS policies, latitude, longitude FROM policies JOIN customers USING (customer_id) JOIN p ON p.i = state_id GROUP BY 1, 3, 4""")
+def _(b):
+    """The data's numbered states stand for the real ones in alphabetical order."""
+    codes = F.array(*[F.lit(x.split()[0]) for x in ext.STATE_POINTS.replace("\n", " ").split(",")])
+    own = geo.by_state(b.policies, b.customers, {"policies": ("sum", F.count(F.lit(1)))})
+    return ext.with_points(own.select(F.get(codes, F.col("state_id")).alias("state"), "policies"), ext.state_points(b.spark))

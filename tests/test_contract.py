@@ -15,6 +15,6 @@ def test_inventory_is_covered():
     ranges = {"S": 14, "P": 18, "J": 20, "A": 20, "W": 7, "L": 8, "U": 4, "F": 36, "D": 12, "G": 7, "X": 7,
               "K": 52, "Q": 35, "R": 17, "M": 8, "E": 19, "C": 7, "V": 4}
     claimed = {c for p in all_plans().values() for c in p.covers}
-    elsewhere = {"S12", "F10", "F17", "F27", "G5", "L7", "W3"}
+    elsewhere = {"F10"}  # random by nature: tests/test_streams.py
     missing = [f"{k}{i}" for k, n in ranges.items() for i in range(1, n + 1) if f"{k}{i}" not in claimed | elsewhere]
     assert missing == []

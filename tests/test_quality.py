@@ -100,3 +100,40 @@ def test_schema_drift_events(spark):
     new = spark.createDataFrame([("t", "a", "bigint", True), ("t", "bb", "string", True), ("t", "d", "int", True), ("t", "e", "int", False)], old.schema)
     got = {r.column_name: r.event_type for r in profile.schema_drift(old, new, {"b": "bb"}).collect()}
     assert got == {"a": "TYPE_CHANGED", "bb": "COLUMN_RENAMED", "c": "COLUMN_DROPPED", "d": "COLUMN_ADDED", "e": "NULLABILITY_CHANGED"}
+
+
+STANDARD_SCHEMAS = {
+    "customers": "customer_id string, date_of_birth date, email string, phone string, state string, risk_tier string, credit_score int, segment string, customer_since date",
+    "agents": "agent_id string, license_number string, region string, performance_rating decimal(3,2), active_policies_count int, status string",
+    "policies": "policy_id string, customer_id string, agent_id string, policy_type string, coverage_tier string, effective_date date, expiration_date date, premium_amount decimal(12,2), "
+                "coverage_amount decimal(14,2), underwriting_score decimal(5,2), created_at timestamp_ntz",
+    "claims": "claim_id string, policy_id string, claim_amount decimal(12,2), approved_amount decimal(12,2), status string, fraud_score decimal(5,2), friction_score decimal(5,2), resolution_days int, closed_date date",
+    "billing": "invoice_id string, invoice_date date, due_date date, amount_due decimal(12,2), amount_paid decimal(12,2), outstanding_balance decimal(12,2), late_fee decimal(8,2), payment_status string, payment_date date",
+    "at_risk_policies": "risk_id string, policy_id string, risk_category string, churn_probability decimal(5,4), revenue_at_risk decimal(12,2), nps_score int, snapshot_date date",
+}
+
+
+def standard_tables(spark):
+    d = dt.date(2024, 6, 1)
+    rows = {
+        "customers": [("C1", dt.date(1980, 1, 1), "a@b.c", "1", "TX", "Low", 700, "Standard", d), ("C2", dt.date(2020, 1, 1), None, "2", "Tex", "Odd", 900, "Standard", d)],
+        "agents": [("A1", "L1", "West", D("4.5"), 3, "Active"), ("A2", "L1", "North", D("0.5"), -1, "Gone")],
+        "policies": [("P1", "C1", "A1", "Auto", "Basic", d, dt.date(2025, 6, 1), D(100), D(5000), D(50), dt.datetime(2024, 6, 28)),
+                     ("P2", "C9", "A9", "Boat", "Gold", d, d, D(0), D(0), D(101), dt.datetime(2024, 6, 1))],
+        "claims": [("K1", "P1", D(10), D(5), "Closed", D(10), D(1), 5, d), ("K2", "P9", None, D(50), "Open", D(101), D(11), -1, d)],
+        "billing": [("I1", d, d, D(10), D(10), D(0), D(0), "Paid", d), ("I2", d, dt.date(2024, 5, 1), D(10), D(20), D(5), D(1), "Paid", None)],
+        "at_risk_policies": [("R1", "P1", "Churn", D("0.5"), D(10), 5, d), ("R1", "P9", "Other", D("1.5"), D(0), 200, dt.date(2030, 1, 1))],
+    }
+    return {t: spark.createDataFrame(r, STANDARD_SCHEMAS[t]) for t, r in rows.items()}
+
+
+def test_the_fifty_standard_rules(spark):
+    from covermetrics.operators.quality.standard import STANDARD_KEYS, STANDARD_RULES
+    assert [r.rule_id for r in STANDARD_RULES] == [f"DQR-{i:03d}" for i in range(1, 51)]
+    out = run_rules(STANDARD_RULES, standard_tables(spark), STANDARD_KEYS, AS_OF).collect()
+    failed = {int(r.rule_id[4:]): r.failed_records for r in out}
+    assert len(failed) == 50
+    clean = {2, 3, 5, 9, 10, 16, 21, 25, 26, 28, 29, 33, 36, 38, 41}
+    # 3, 28, 29: NULLs pass; 21: 0 >= 0 holds; 25: the newest row is recent; the others hold good values
+    assert {i for i, n in failed.items() if n == 0} == clean
+    assert all(n == 1 for i, n in failed.items() if i not in clean)
