@@ -318,6 +318,13 @@ def _(b):
     return feedback.group_terms(b.filings, "document_type", "document_id", "content", k=5)
 
 
-@plan("summary_sentences", "X6", roles="filings", sql=None)
+@plan("summary_sentences", "X6", roles="filings", sql=f"""
+WITH {DOC_WORDS}, shares AS (SELECT document_type, term, COUNT(DISTINCT document_id) AS n FROM doc_words GROUP BY 1, 2),
+l AS (SELECT document_type, document_id, REGEXP_SPLIT_TO_ARRAY(content, '[.!?]\\s+|\\n+') AS parts FROM filings),
+s AS (SELECT * FROM (SELECT document_type, document_id, GENERATE_SUBSCRIPTS(parts, 1) - 1 AS pos, UNNEST(parts) AS sentence FROM l) WHERE LENGTH(sentence) >= 20),
+w AS (SELECT DISTINCT document_type, document_id, pos, UNNEST(REGEXP_EXTRACT_ALL(LOWER(sentence), '{WORD}')) AS term FROM s),
+c AS (SELECT document_type, document_id, pos, {sql_round('AVG(n)', 4)} AS score FROM w JOIN shares USING (document_type, term) GROUP BY 1, 2, 3)
+SELECT document_type, document_id, CAST(pos AS INT) AS pos, score, sentence FROM c JOIN s USING (document_type, document_id, pos)
+QUALIFY ROW_NUMBER() OVER (PARTITION BY document_type ORDER BY score DESC, document_id, pos) = 1""")
 def _(b):
     return feedback.central_sentences(b.filings, "document_type", "document_id", "content")
