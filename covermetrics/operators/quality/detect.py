@@ -17,7 +17,8 @@ def content_duplicates(df: DataFrame, content: Sequence[str], key: str) -> DataF
 
     Output is one row per copy, never per pair; rows travel under a content digest.
     """
-    digest = F.sha2(F.to_json(F.struct(*content)), 256)
+    # The coalesce tells the optimizer the digest is never NULL, or it would compute it twice.
+    digest = F.coalesce(F.sha2(F.to_json(F.struct(*content)), 256), F.lit(""))
     rows = df.select(F.col(key), digest.alias("digest"))
     groups = rows.groupBy("digest").agg(F.count(F.lit(1)).alias("copies"), F.min(key).alias("original"))
     tied = attach_group_facts(rows, groups.filter(F.col("copies") > 1), ["digest"], "copies")
