@@ -6,9 +6,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from covermetrics.llm import byte_bpe, compression, decontamination
+from covermetrics.session import scratch_path
+from covermetrics.llm import byte_bpe, compression, decontamination, token_files
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
+WORD_MODEL = "word_bpe_49k.json"
 C = F.col
 
 
@@ -30,6 +32,14 @@ def op6_tree_bpe(spark: SparkSession, folder: str) -> DataFrame:
                        F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op8_repair_token_files(spark: SparkSession, folder: str) -> DataFrame:
+    with open(public_tokenizers.path(WORD_MODEL), encoding="utf-8") as file:
+        model = file.read()
+    path = scratch_path(spark, "token-files")
+    token_files.write_token_files(_read(spark, folder, "documents", "doc_id", "text"), path, model)
+    return token_files.read_token_files(spark, path).select(C("id").alias("doc_id"), "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 def op10_automaton_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     docs = _read(spark, folder, "documents", "doc_id", "text")
     found = decontamination.find_items(docs, _read(spark, folder, "benchmark", "item_id", "text"))
@@ -40,5 +50,5 @@ def op10_automaton_decontamination(spark: SparkSession, folder: str) -> DataFram
                           decontamination.contaminated(C("n_hit"), C("n_words")).alias("contaminated"))
 
 
-QUERIES = {f.__name__: f for f in (op3_compression_bands, op6_tree_bpe, op10_automaton_decontamination)}
+QUERIES = {f.__name__: f for f in (op3_compression_bands, op6_tree_bpe, op8_repair_token_files, op10_automaton_decontamination)}
 SQL: dict[str, str] = {}
