@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from covermetrics.session import scratch_path
-from covermetrics.llm import byte_bpe, compression, decontamination, token_files
+from covermetrics.llm import byte_bpe, compression, decontamination, line_chunks, line_crf, token_files
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 WORD_MODEL = "word_bpe_49k.json"
@@ -18,11 +18,37 @@ def _read(spark: SparkSession, folder: str, table: str, *columns: str) -> DataFr
     return spark.read.parquet(f"{folder}/{table}.parquet").select(*columns)
 
 
+def op1_line_crf(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _read(spark, folder, "documents", "doc_id", "text")
+    model = line_crf.fit(docs, _read(spark, folder, "labels", "doc_id", "quality"))
+    scored = line_crf.score(docs, model)
+    return scored.select("doc_id", line_crf.held_out(C("doc_id")).alias("held_out"), "score", (C("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op3_compression_bands(spark: SparkSession, folder: str) -> DataFrame:
     done = compression.quality_rules(_read(spark, folder, "documents", "doc_id", "text"))
     return done.select("doc_id", "rules.*")
 
 
+def op4_line_chunks(spark: SparkSession, folder: str) -> DataFrame:
+    return line_chunks.dedup_lines(_read(spark, folder, "documents", "doc_id", "text"))
+
+
+LINE_CHUNKS_SQL = """
+WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i
+           FROM documents WHERE text IS NOT NULL),
+h AS (SELECT *, md5(line) AS own, coalesce(lag(md5(line)) OVER (PARTITION BY doc_id ORDER BY i), '') AS before FROM l),
+e AS (SELECT *, CASE WHEN substr(md5(before || own), 1, 1) IN ('0', '4', '8', 'c') THEN 1 ELSE 0 END AS ends FROM h),
+n AS (SELECT *, coalesce(sum(ends) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS no FROM e),
+g AS (SELECT doc_id, no, count(*) AS k, string_agg(line, chr(10) ORDER BY i) AS chunk FROM n GROUP BY doc_id, no),
+r AS (SELECT *, k > 1 AND row_number() OVER (PARTITION BY chunk ORDER BY doc_id, no) > 1 AS gone FROM g)
+SELECT doc_id, coalesce(string_agg(chunk, chr(10) ORDER BY no) FILTER (WHERE NOT gone), '') AS text,
+       CAST(sum(k) AS BIGINT) AS n_lines, CAST(coalesce(sum(k) FILTER (WHERE gone), 0) AS BIGINT) AS n_removed
+FROM r GROUP BY doc_id
+UNION ALL SELECT doc_id, NULL, 0, 0 FROM documents WHERE text IS NULL
+"""
+
+
 def op6_tree_bpe(spark: SparkSession, folder: str) -> DataFrame:
     path = public_tokenizers.path(RANKS)
     docs = _read(spark, folder, "documents", "doc_id", "text")
@@ -50,5 +76,5 @@ def op10_automaton_decontamination(spark: SparkSession, folder: str) -> DataFram
                           decontamination.contaminated(C("n_hit"), C("n_words")).alias("contaminated"))
 
 
-QUERIES = {f.__name__: f for f in (op3_compression_bands, op6_tree_bpe, op8_repair_token_files, op10_automaton_decontamination)}
-SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_line_crf, op3_compression_bands, op4_line_chunks, op6_tree_bpe, op8_repair_token_files, op10_automaton_decontamination)}
+SQL = {"op4_line_chunks": LINE_CHUNKS_SQL}
