@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from covermetrics.session import scratch_path
-from covermetrics.llm import byte_bpe, compression, decontamination, line_chunks, line_crf, token_files
+from covermetrics.llm import bag_minhash, byte_bpe, compression, decontamination, line_chunks, line_crf, token_files
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 WORD_MODEL = "word_bpe_49k.json"
@@ -49,6 +49,10 @@ UNION ALL SELECT doc_id, NULL, 0, 0 FROM documents WHERE text IS NULL
 """
 
 
+def op5_bag_minhash(spark: SparkSession, folder: str) -> DataFrame:
+    return bag_minhash.near_duplicates(_read(spark, folder, "documents", "doc_id", "text"))
+
+
 def op6_tree_bpe(spark: SparkSession, folder: str) -> DataFrame:
     path = public_tokenizers.path(RANKS)
     docs = _read(spark, folder, "documents", "doc_id", "text")
@@ -76,5 +80,5 @@ def op10_automaton_decontamination(spark: SparkSession, folder: str) -> DataFram
                           decontamination.contaminated(C("n_hit"), C("n_words")).alias("contaminated"))
 
 
-QUERIES = {f.__name__: f for f in (op1_line_crf, op3_compression_bands, op4_line_chunks, op6_tree_bpe, op8_repair_token_files, op10_automaton_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_line_crf, op3_compression_bands, op4_line_chunks, op5_bag_minhash, op6_tree_bpe, op8_repair_token_files, op10_automaton_decontamination)}
 SQL = {"op4_line_chunks": LINE_CHUNKS_SQL}
