@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from covermetrics.session import scratch_path
-from covermetrics.llm import bag_minhash, byte_bpe, compression, decontamination, line_chunks, line_crf, token_files
+from covermetrics.llm import bag_minhash, byte_bpe, compression, decontamination, line_chunks, line_crf, substring_dedup, token_files
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 WORD_MODEL = "word_bpe_49k.json"
@@ -25,6 +25,11 @@ def op1_line_crf(spark: SparkSession, folder: str) -> DataFrame:
     return scored.select("doc_id", line_crf.held_out(C("doc_id")).alias("held_out"), "score", (C("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op2_suffix_automata(spark: SparkSession, folder: str) -> DataFrame:
+    done = substring_dedup.remove_repeats(_read(spark, folder, "documents", "doc_id", "text"))
+    return done.select("doc_id", "n_words", "n_removed", F.sha2(C("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op3_compression_bands(spark: SparkSession, folder: str) -> DataFrame:
     done = compression.quality_rules(_read(spark, folder, "documents", "doc_id", "text"))
     return done.select("doc_id", "rules.*")
@@ -80,5 +85,5 @@ def op10_automaton_decontamination(spark: SparkSession, folder: str) -> DataFram
                           decontamination.contaminated(C("n_hit"), C("n_words")).alias("contaminated"))
 
 
-QUERIES = {f.__name__: f for f in (op1_line_crf, op3_compression_bands, op4_line_chunks, op5_bag_minhash, op6_tree_bpe, op8_repair_token_files, op10_automaton_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_line_crf, op2_suffix_automata, op3_compression_bands, op4_line_chunks, op5_bag_minhash, op6_tree_bpe, op8_repair_token_files, op10_automaton_decontamination)}
 SQL = {"op4_line_chunks": LINE_CHUNKS_SQL}
