@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from covermetrics.session import scratch_path
-from covermetrics.llm import bag_minhash, byte_bpe, compression, decontamination, line_chunks, line_crf, substring_dedup, token_files
+from covermetrics.llm import attention_lm, bag_minhash, byte_bpe, compression, decontamination, line_chunks, line_crf, substring_dedup, token_files
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 WORD_MODEL = "word_bpe_49k.json"
@@ -75,6 +75,10 @@ def op8_repair_token_files(spark: SparkSession, folder: str) -> DataFrame:
     return token_files.read_token_files(spark, path).select(C("id").alias("doc_id"), "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op9_attention_lm(spark: SparkSession, folder: str) -> DataFrame:
+    return attention_lm.score_texts(_read(spark, folder, "documents", "doc_id", "text"), public_tokenizers.path(RANKS))
+
+
 def op10_automaton_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     docs = _read(spark, folder, "documents", "doc_id", "text")
     found = decontamination.find_items(docs, _read(spark, folder, "benchmark", "item_id", "text"))
@@ -85,5 +89,5 @@ def op10_automaton_decontamination(spark: SparkSession, folder: str) -> DataFram
                           decontamination.contaminated(C("n_hit"), C("n_words")).alias("contaminated"))
 
 
-QUERIES = {f.__name__: f for f in (op1_line_crf, op2_suffix_automata, op3_compression_bands, op4_line_chunks, op5_bag_minhash, op6_tree_bpe, op8_repair_token_files, op10_automaton_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_line_crf, op2_suffix_automata, op3_compression_bands, op4_line_chunks, op5_bag_minhash, op6_tree_bpe, op8_repair_token_files, op9_attention_lm, op10_automaton_decontamination)}
 SQL = {"op4_line_chunks": LINE_CHUNKS_SQL}
