@@ -217,10 +217,9 @@ def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
         labels = new.select("t", "component")
 
 
-def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, class_id, n_copies (rows of the class), n_links (verified links of the row's text to other texts)."""
-    spark = docs.sparkSession
-    rows = docs.select(C(doc_id).alias("id"), C(text).alias("text")).withColumn("t", F.unhex(F.md5("text")))
+def text_classes(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(t, least, component) of each distinct text with words, and (t, n_links). `rows` has id, text and the digest t."""
+    spark = rows.sparkSession
     signed = rows.select("id", "t", signature(C("text")).alias("s")).where("s.n > 0")
     texts = written(signed.groupBy("t").agg(F.first("s").alias("s"), F.min("id").alias("least")), "signatures")
     banded = texts.select("t", F.posexplode("s.bands").alias("band", "hash")).select("t", F.xxhash64("band", "hash").alias("bucket"))
@@ -247,6 +246,17 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     degree = links.select("a").union(links.select("b")).groupBy("a").agg(F.count("*").alias("n_links")).withColumnRenamed("a", "t")
 
     classes = texts.select("t", "least").join(found, "t", "left").withColumn("component", F.coalesce("component", "t"))
+    return written(classes, "classes"), degree
+
+
+def _rows(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    return docs.select(C(doc_id).alias("id"), C(text).alias("text")).withColumn("t", F.unhex(F.md5("text")))
+
+
+def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, class_id, n_copies (rows of the class), n_links (verified links of the row's text to other texts)."""
+    rows = _rows(docs, doc_id, text)
+    classes, degree = text_classes(rows)
     named = rows.select("id", "t").join(classes.select("t", "component"), "t", "left").join(degree, "t", "left")
     sizes = classes.join(rows.select("t").groupBy("t").agg(F.count("*").alias("n")), "t") \
         .groupBy("component").agg(F.min("least").alias("class_id"), F.sum("n").alias("n_copies"))
@@ -254,3 +264,19 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     return named.join(sizes, "component", "left").select(
         C("id").alias(doc_id), F.when(alone, C("id")).otherwise(C("class_id")).alias("class_id"),
         F.coalesce("n_copies", F.lit(1)).cast("bigint").alias("n_copies"), F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"))
+
+
+def keep_one(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row of each class: the one of least id (nulls last). Rows without words stay; rows equal in id and text are one."""
+    rows = _rows(docs, doc_id, text)
+    classes, _ = text_classes(rows)
+    first = classes.groupBy("component").agg(F.min(F.struct(C("least").isNull().alias("none"), "least", "t")).alias("first")) \
+        .select("first.least", "first.t")
+    stays = rows.select("id", "t").join(classes.select("t", F.lit(True).alias("worded")), "t", "left") \
+        .join(first.withColumn("is_first", F.lit(True)), "t", "left") \
+        .where(C("worded").isNull() | (C("is_first") & C("id").eqNullSafe(C("least"))))
+    key = [F.coalesce(C("id").cast("string"), F.lit("")).alias("__id"), C("id").isNull().alias("__none"), F.coalesce("t", F.lit(b"")).alias("__t")]
+    keyed = docs.withColumns({"__id": F.coalesce(C(doc_id).cast("string"), F.lit("")), "__none": C(doc_id).isNull(),
+                              "__t": F.coalesce(F.unhex(F.md5(text)), F.lit(b""))})
+    names = ["__id", "__none", "__t"]
+    return keyed.join(stays.select(*key).distinct(), names, "left_semi").dropDuplicates(names).drop(*names)

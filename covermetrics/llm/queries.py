@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from covermetrics.session import scratch_path
-from covermetrics.llm import attention_lm, bag_minhash, byte_bpe, compression, decontamination, line_chunks, line_crf, substring_dedup, token_files
+from covermetrics.llm import attention_lm, bag_minhash, byte_bpe, compression, decontamination, line_chunks, line_crf, personal_data, substring_dedup, token_files
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 WORD_MODEL = "word_bpe_49k.json"
@@ -67,6 +67,14 @@ def op6_tree_bpe(spark: SparkSession, folder: str) -> DataFrame:
                        F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op7_contextual_extraction(spark: SparkSession, folder: str) -> DataFrame:
+    kinds = personal_data.KINDS
+    found = personal_data.personal_spans(_read(spark, folder, "documents", "doc_id", "text"))
+    return found.select("doc_id", *(F.size(k).cast("bigint").alias(f"n_{k}") for k in kinds),
+                        F.sha2(personal_data.listed(kinds).cast("binary"), 256).alias("base_sha256"),
+                        personal_data.listed((*kinds, "found")).alias("spans"), F.size("found").cast("bigint").alias("n_found"))
+
+
 def op8_repair_token_files(spark: SparkSession, folder: str) -> DataFrame:
     with open(public_tokenizers.path(WORD_MODEL), encoding="utf-8") as file:
         model = file.read()
@@ -89,5 +97,5 @@ def op10_automaton_decontamination(spark: SparkSession, folder: str) -> DataFram
                           decontamination.contaminated(C("n_hit"), C("n_words")).alias("contaminated"))
 
 
-QUERIES = {f.__name__: f for f in (op1_line_crf, op2_suffix_automata, op3_compression_bands, op4_line_chunks, op5_bag_minhash, op6_tree_bpe, op8_repair_token_files, op9_attention_lm, op10_automaton_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_line_crf, op2_suffix_automata, op3_compression_bands, op4_line_chunks, op5_bag_minhash, op6_tree_bpe, op7_contextual_extraction, op8_repair_token_files, op9_attention_lm, op10_automaton_decontamination)}
 SQL = {"op4_line_chunks": LINE_CHUNKS_SQL}
