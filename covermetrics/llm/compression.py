@@ -20,8 +20,8 @@ SHINGLE = 5
 LEVEL = 3
 CHUNK = 4096
 # (from this many bytes, least ratio, greatest ratio) of bytes to compressed bytes; the last that fits holds.
-WHOLE_BANDS = ((0, 0.0, 12.0), (256, 1.02, 12.0), (1024, 1.1, 9.0), (4096, 1.2, 9.0), (65536, 1.2, 14.0))
-CHUNK_BAND = (1.1, 16.0)
+WHOLE_BANDS = ((0, 0.5, 4.0), (256, 1.15, 5.0), (1024, 1.25, 5.5), (4096, 1.4, 6.0), (65536, 1.4, 8.0))
+CHUNK_BAND = (1.25, 8.0)
 BAD_CHUNKS = 0.5  # share of the chunks outside their band that rejects a text
 STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 KIND = "struct<" + ",".join(f"{s}:bigint" for s in STATS) + ",ratio:double,bad_chunks:double,banded:boolean>"
