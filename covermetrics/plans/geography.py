@@ -148,10 +148,10 @@ def _(b):
 
 
 @plan("state_map_points", "F27", roles="policies customers", sql=f"""
-WITH p(i, state, latitude, longitude) AS (VALUES {', '.join(f"({i}, '{s}', CAST({lat} AS DOUBLE), CAST({lon} AS DOUBLE))" for i, (s, lat, lon) in enumerate(x.split() for x in ext.STATE_POINTS.replace(chr(10), ' ').split(',')))})
+WITH p(i, state, latitude, longitude) AS (VALUES {', '.join(f"({i}, '{s}', CAST({lat} AS DOUBLE), CAST({lon} AS DOUBLE))" for i, (s, (lat, lon)) in enumerate(ext.STATE_POINTS.items()))})
 SELECT p.state, COUNT(*) AS policies, latitude, longitude FROM policies JOIN customers USING (customer_id) JOIN p ON p.i = state_id GROUP BY 1, 3, 4""")
 def _(b):
     """The data's numbered states stand for the real ones in alphabetical order."""
-    codes = F.array(*[F.lit(x.split()[0]) for x in ext.STATE_POINTS.replace("\n", " ").split(",")])
+    codes = F.array(*[F.lit(state) for state in ext.STATE_POINTS])
     own = geo.by_state(b.policies, b.customers, {"policies": ("sum", F.count(F.lit(1)))})
     return ext.with_points(own.select(F.get(codes, F.col("state_id")).alias("state"), "policies"), ext.state_points(b.spark))

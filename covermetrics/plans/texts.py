@@ -156,7 +156,7 @@ def intake_of(b):
     return intake.intake_policies(raw_policy_documents(b), AS_OF)
 
 
-GOOD = """good AS (SELECT *, 'POL-' || LPAD(CAST(policy_id AS VARCHAR), 8, '0') AS number, LPAD(CAST(policy_id % 100000 AS VARCHAR), 5, '0') AS tail
+GOOD = """good AS (SELECT *, 'POL-' || LPAD(CAST(policy_id AS VARCHAR), 8, '0') AS number, SUBSTR(MD5('POL-' || LPAD(CAST(policy_id AS VARCHAR), 8, '0')), 1, 12) AS tail
 FROM policies WHERE policy_id % 97 <> 0 AND policy_id % 83 <> 0 AND policy_id % 89 <> 0),
 lines AS (SELECT policy_id, line_number, CAST(SUM(amount) AS DOUBLE) AS amount FROM claims GROUP BY 1, 2)"""
 
@@ -175,7 +175,7 @@ def _(b):
 
 
 @plan("intake_customers", "R10", roles="policies customers", sql="""
-SELECT 'CUST-PDF-' || LPAD(CAST(policy_id % 100000 AS VARCHAR), 5, '0') AS customer_id, full_name AS first_name, '' AS last_name, 700 AS credit_score, DATE '2001-12-31' AS customer_since
+SELECT 'CUST-PDF-' || SUBSTR(MD5('POL-' || LPAD(CAST(policy_id AS VARCHAR), 8, '0')), 1, 12) AS customer_id, full_name AS first_name, '' AS last_name, 700 AS credit_score, DATE '2001-12-31' AS customer_since
 FROM policies JOIN customers USING (customer_id) WHERE policy_id % 97 <> 0 AND policy_id % 83 <> 0 AND policy_id % 89 <> 0""")
 def _(b):
     return intake_of(b).customers.select("customer_id", "first_name", "last_name", "credit_score", "customer_since")
