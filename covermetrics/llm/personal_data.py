@@ -118,7 +118,8 @@ def personal_spans(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
     def instance(known: bool):
         return lambda s: F.struct(s["start"].alias("start"), s["stop"].alias("stop"), s["value"].alias("value"), F.lit(known).alias("known"), patterns(s).alias("patterns"))
     instances = base.withColumn("seeds", seeds).withColumn("other", other) \
-        .select("id", "key", F.explode(F.concat(F.transform("seeds", instance(True)), F.transform("other", instance(False)))).alias("s")).select("id", "key", "s.*")
+        .select("id", "key", F.explode_outer(F.concat(F.transform("seeds", instance(True)), F.transform("other", instance(False)))).alias("s")) \
+        .where("s IS NOT NULL").select("id", "key", "s.*")  # an outer explode: the plain form computes the array twice
     found = found_spans(instances, rounds, support, share, lift).groupBy("id", "key") \
         .agg(F.sort_array(F.collect_set(F.struct("start", "stop"))).alias("found"))
     bare = [F.transform(k, lambda s: F.struct(s["start"].alias("start"), s["stop"].alias("stop"))).alias(k) for k in KINDS]
