@@ -33,10 +33,11 @@ def chunk_ranges(hashes: Column) -> Column:
 def dedup_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents with repeated chunks cut out of the text, and the long columns n_lines and n_removed."""
     keyed = docs.withColumn("__key", F.xxhash64(doc_id, text)).withColumn("__id", F.coalesce(C(doc_id).cast("string"), F.lit("")))
+    # Outer explodes: for the plain form the optimiser adds a filter that computes the array again.
     chunks = (
         with_lines(keyed.where(C(text).contains("\n")).select(C(doc_id).alias("__order"), "__id", "__key", text), text)
         .withColumn("__ends", chunk_ranges(C("__hashes")))
-        .select("__order", "__id", "__key", "__hashes", "__ends", F.posexplode("__ends").alias("__n", "__stop"))
+        .select("__order", "__id", "__key", "__hashes", "__ends", F.posexplode_outer("__ends").alias("__n", "__stop"))
         .withColumn("__start", F.when(C("__n") > 0, F.get("__ends", C("__n") - 1)).otherwise(0))
         .where(C("__stop") - C("__start") > 1)
         .select("__order", "__id", "__key", "__start", "__stop",
@@ -48,7 +49,7 @@ def dedup_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text")
     candidates = chunks.join(owners, "__chunk").select("__id", "__key", F.struct("__chunk", "__start", "__stop", is_owner.alias("__first")).alias("__c"))
     lists = candidates.groupBy("__id", "__key").agg(F.collect_set("__c").alias("__list"))
     rows = keyed.select("__id", "__key", text).join(lists, ["__id", "__key"]) \
-        .select("__id", "__key", F.split(C(text), "\n").alias("__lines"), F.explode("__list").alias("__c")) \
+        .select("__id", "__key", F.split(C(text), "\n").alias("__lines"), F.explode_outer("__list").alias("__c")) \
         .select("__id", "__key", "__c.*", F.array_join(F.slice("__lines", C("__c.__start") + 1, C("__c.__stop") - C("__c.__start")), "\n").alias("__bytes"))
     firsts = rows.where("__first").select("__chunk", C("__bytes").alias("__kept")).dropDuplicates(["__chunk"])
     copies = rows.where("NOT __first").join(firsts, "__chunk").where(C("__bytes") == C("__kept"))
