@@ -2,19 +2,18 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator, Sequence
-from itertools import chain
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from covermetrics.functions.numbers import hash_bucket, mean, rounded
-from covermetrics.functions.strings import token_estimate
-from covermetrics.operators.relational import latest_per_key, top_k_per_group
+from covermetrics.functions.strings import token_estimate, tokens
+from covermetrics.operators.relational import all_of, latest_per_key, top_k_per_group
 from covermetrics.operators.topk import TopK, query_blocks
+from covermetrics.session import scratch_path
 
 # Window starts in percent of the text, and window length in characters.
 WINDOW_STARTS = (0, 15, 30, 50, 70, 85)
@@ -49,14 +48,17 @@ def chunk_fixed(docs: DataFrame, size: int = 2000, overlap: int = 200, key: str
 
 
 def keyword_search(docs: DataFrame, chunks: DataFrame, terms: str, k: int = 10, excerpt: int = 1000,
-                   key: str = "document_id", text: str = "content") -> DataFrame:
-    """First k chunks that hold the first search term, with their document; if no chunk
+                   key: str = "document_id", text: str = "content", first_term_only: bool = False) -> DataFrame:
+    """First k chunks that hold every search term (as written: the first one), with their document; if no chunk
     does, whole documents are searched instead."""
-    pattern = f"%{terms.split()[0].lower()}%"
-    found = chunks.filter(F.col("chunk_text").ilike(pattern))
+    wanted = terms.split()[:1] if first_term_only else terms.split()
+
+    def holds(c: str) -> Column:
+        return all_of(*[F.col(c).ilike(f"%{t.lower()}%") for t in wanted])
+    found = chunks.filter(holds("chunk_text"))
     any_chunk = found.agg(F.count(F.lit(1))).scalar()
     by_chunk = found.select(key, "chunk_index", F.substring("chunk_text", 1, excerpt).alias("relevant_text"))
-    by_text = docs.filter((any_chunk == 0) & F.col(text).ilike(pattern)).select(
+    by_text = docs.filter((any_chunk == 0) & holds(text)).select(
         key, F.lit(0).alias("chunk_index"), F.substring(text, 1, 2 * excerpt).alias("relevant_text"))
     best = by_chunk.unionByName(by_text).orderBy(key, "chunk_index").limit(k)
     return best.join(docs.drop(text), key)
@@ -67,102 +69,53 @@ def clause_count(docs: DataFrame, terms: Sequence[str], by: str, text: str = "co
                                 *[F.count_if(F.col(text).ilike(f"%{t}%")).alias(f"mentions_{t}") for t in terms])
 
 
-def ranked_search(docs: DataFrame, questions: DataFrame, k: int = 5, key: str = "document_id", text: str = "content",
-                  qkey: str = "question_id", qtext: str = "question", block: int = 1024) -> DataFrame:
-    """BM25 top k documents per question, over whole texts.
-
-    Documents are never shuffled and no (question, document) pairs are built as rows: each
-    task counts the asked words of its documents, scores them against a block of questions
-    with one matrix product, and passes on k rows per question. Words in half of the
-    documents or more weigh nothing (their inverse document frequency is not positive).
-    """
-    texts = docs.select(key, F.col(text).alias("text"))
-    types = docs.schema[key].dataType.simpleString(), questions.schema[qkey].dataType.simpleString()
-    out = None
-    for rows in query_blocks(questions.select(qkey, F.col(qtext).alias("text")), qkey, block):
-        one = _rank_block(texts, rows, k, key, qkey, *types)
-        out = one if out is None else out.unionByName(one)
-    return top_k_per_group(out, [qkey], [F.desc("score"), F.col(key)], k)
-
-
-# Letters and digits, as in covermetrics.functions.strings.tokens. Whole texts cross to
-# Python, not arrays of words: one string per document is far cheaper to hand over.
-_WORD = re.compile(r"[^\W_]+")
+def postings(docs: DataFrame, key: str = "document_id", text: str = "content", terms: DataFrame | None = None) -> DataFrame:
+    """(term, key, tf, length) of each word of each text, or only of the given terms. One scan; counts combine before the shuffle."""
+    words = docs.select(key, tokens(text).alias("_w")).select(key, F.size("_w").alias("length"), F.explode("_w").alias("term"))
+    if terms is not None:
+        words = words.join(terms.select("term").distinct(), "term", "left_semi")
+    return words.groupBy("term", key, "length").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def _words(text: str | None) -> list[str]:
-    return _WORD.findall(text.lower()) if text else []
-
+def ranked_search(docs: DataFrame, questions: DataFrame, k: int = 5, key: str = "document_id", text: str = "content",
+                  qkey: str = "question_id", qtext: str = "question", attributes: Sequence[str] = ()) -> DataFrame:
+    """BM25 top k texts per question, over whole texts or chunks, with the wanted attributes of each.
 
-def _word_matrix(lists: Sequence[list[str]], index: pd.Index) -> np.ndarray:
-    """Documents by vocabulary word counts."""
-    lengths = [len(x) for x in lists]
-    flat = index.get_indexer(np.array(list(chain.from_iterable(lists)), dtype=object))
-    row = np.repeat(np.arange(len(lists)), lengths)
-    known = flat >= 0
-    size = len(lists) * len(index)
-    return np.bincount(row[known] * len(index) + flat[known], minlength=size).reshape(len(lists), len(index)).astype(np.float64)
+    The asked words meet the postings in one join and their weights in another, so more questions add rows, not scans.
+    A word's weight is ln(1 + (n - df + 0.5) / (df + 0.5)): common words weigh little, never nothing. k rows per question
+    and task survive the sum (window group limit).
+    """
+    asked = questions.select(qkey, F.explode(F.array_distinct(tokens(qtext))).alias("term"))
+    found = postings(docs, key, text, asked)
+    totals = docs.agg(F.count(F.lit(1)).alias("n"), F.sum(F.size(tokens(text))).alias("words"))
+    n, average = totals.select("n").scalar().cast("double"), totals.select(F.col("words") / F.col("n")).scalar()
+    df = F.col("df").cast("double")
+    weights = found.groupBy("term").agg(F.count(F.lit(1)).alias("df")).select("term", F.log(1 + (n - df + 0.5) / (df + 0.5)).alias("idf"))
+    tf = F.col("tf").cast("double")
+    part = F.col("idf") * (tf * (BM25_K1 + 1)) / (tf + BM25_K1 * ((1 - BM25_B) + BM25_B * F.col("length") / average))
+    scored = asked.join(weights, "term").join(found, "term").groupBy(qkey, key).agg(rounded(F.sum(part), 5).alias("score"))
+    best = top_k_per_group(scored, [qkey], [F.desc("score"), F.col(key)], k)
+    return best.join(docs.select(key, *attributes), key) if attributes else best
 
 
 def _slices(pdf: pd.DataFrame, width: int) -> Iterator[pd.DataFrame]:
-    """Row slices whose word matrix stays at a few million cells."""
+    """Row slices whose score matrix stays at a few million cells."""
     step = max(1, 4_000_000 // max(1, width))
     for i in range(0, len(pdf), step):
         yield pdf.iloc[i:i + step]
 
 
-def _rank_block(texts: DataFrame, rows: list, k: int, key: str, qkey: str, key_type: str, qkey_type: str) -> DataFrame:
-    asked = [set(_words(r["text"])) for r in rows]
-    vocabulary = pd.Index(sorted(set().union(*asked)), dtype=object)
-    ids = np.array([r[qkey] for r in rows])
-
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        df, n, total = np.zeros(len(vocabulary)), 0, 0
-        for pdf in batches:
-            n += len(pdf)
-            for part in _slices(pdf, len(vocabulary)):
-                lists = [_words(t) for t in part["text"]]
-                total += sum(map(len, lists))
-                df += (_word_matrix(lists, vocabulary) > 0).sum(axis=0)
-        hit = np.flatnonzero(df)
-        yield pd.DataFrame({"w": [-1, -2, *hit.tolist()], "n": [n, total, *df[hit].astype(np.int64).tolist()]})
-    totals = {r["w"]: r["n"] for r in texts.select("text").mapInPandas(count, "w long, n long").groupBy("w").agg(F.sum("n").alias("n")).collect()}
-    n_docs, average = totals.get(-1, 0), totals.get(-2, 0) / max(1, totals.get(-1, 0))
-    df = np.array([totals.get(i, 0) for i in range(len(vocabulary))], dtype=np.float64)
-    idf = np.maximum(np.log((n_docs - df + 0.5) / (df + 0.5)), 0.0) if n_docs else np.zeros(len(vocabulary))
-    idf[df == 0] = 0.0
-    kept = np.flatnonzero(idf)
-    place = {vocabulary[i]: j for j, i in enumerate(kept)}
-    weights = np.zeros((len(kept), len(rows)))
-    for q, words in enumerate(asked):
-        for w in words:
-            if w in place:
-                weights[place[w], q] = idf[kept[place[w]]]
-    useful = vocabulary[kept]
-
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        best = TopK(len(ids), k, above=1e-9)
-        for pdf in batches:
-            for part in _slices(pdf, max(len(useful), len(ids))):
-                lists = [_words(t) for t in part["text"]]
-                tf = _word_matrix(lists, useful)
-                norm = BM25_K1 * (1 - BM25_B + BM25_B * np.array([len(x) for x in lists]) / average)
-                s = (tf * (BM25_K1 + 1) / (tf + norm[:, None])) @ weights
-                # Fixed at six and then five decimals, half up, so that ties are decided by key.
-                best.offer(np.floor((np.floor(s * 1e6 + 0.5) + 5) / 10) / 1e5, np.array(part[key].tolist()))
-        yield from best.frame(qkey, ids, key)
-    return texts.mapInPandas(score, f"{qkey} {qkey_type}, {key} {key_type}, score double")
-
-
 def vector_search(corpus: DataFrame, queries: DataFrame, k: int = 5, key: str = "vector_id", vector: str = "vector",
                   qkey: str = "query_id", qvector: str = "query_vector", block: int = 2048) -> DataFrame:
     """Exact cosine top k of each query vector.
 
     Each task scores its rows against a block of queries with one matrix product and keeps
-    k rows per query, so only k rows per query and task are shuffled.
+    k rows per query, so only k rows per query and task are shuffled. The queries are computed once and written; a batch of
+    more than ``block`` queries costs one pass over the corpus for each block.
     """
-    out = None
-    for rows in query_blocks(queries.select(qkey, qvector), qkey, block):
+    out, path = None, scratch_path(queries.sparkSession, "query-vectors")
+    queries.select(qkey, qvector).write.parquet(path)
+    for rows in query_blocks(queries.sparkSession.read.parquet(path), qkey, block):
         one = _search_block(corpus.select(key, vector), rows, k, key, vector, qkey, qvector, queries.schema[qkey].dataType.simpleString())
         out = one if out is None else out.unionByName(one)
     return top_k_per_group(out, [qkey], [F.desc("score"), F.col(key)], k)

@@ -35,7 +35,7 @@ def match_products(ours: DataFrame, theirs: DataFrame, at_least: float = 0.3) ->
     Candidates overlap in at least ``at_least`` of their words (Jaccard). Two such names
     always share one of their rarer words, so only those are joined and a word that a third
     of all names carry makes no pairs. The best candidate is an aggregate, so pairs are
-    reduced where they are made.
+    reduced where they are made. A name without a candidate keeps its row, with NULL match and score.
     """
     both = ours.select("name").unionByName(theirs.select("name"))
     frequencies = both.select(F.explode(F.array_distinct(tokens("name"))).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("group_rows"))
@@ -47,8 +47,8 @@ def match_products(ours: DataFrame, theirs: DataFrame, at_least: float = 0.3) ->
         .withColumn("fuzzy", edit_similarity(F.lower("name"), F.lower("match"))) \
         .withColumn("score", rounded(exact * HYBRID["exact"] + F.col("fuzzy") * HYBRID["fuzzy"] + F.col("words") * HYBRID["words"], 4))
     best = scored.groupBy("name").agg(F.min_by(F.struct("match", "score", "fuzzy", "words"), F.struct(-F.col("score"), F.col("match"))).alias("m"))
-    priced = best.select("name", "m.*").join(ours.select("name", "price"), "name") \
-        .join(theirs.select(F.col("name").alias("match"), F.col("price").alias("match_price")), "match")
+    priced = ours.select("name", "price").join(best.select("name", "m.*"), "name", "left") \
+        .join(theirs.select(F.col("name").alias("match"), F.col("price").alias("match_price")), "match", "left")
     return priced.select("name", "match", "score", "fuzzy", "words",
                          percent(F.col("price") - F.col("match_price"), F.col("match_price"), 1).alias("price_delta_pct"))
 

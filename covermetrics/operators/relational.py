@@ -16,23 +16,21 @@ def attach_group_facts(df: DataFrame, facts: DataFrame, keys: Sequence[str], row
                        share: int = HOT_SHARE) -> DataFrame:
     """Inner-join each row to the facts of its group without collecting a group anywhere.
 
-    ``facts`` has one row per key and the group's row count in ``rows``. Rows of hot groups
-    get their facts by broadcast (fewer than ``share`` fact rows) and are then spread by
-    their own hash; the others meet theirs in a shuffle, in groups small by definition. The
-    rows are read once, and hot and cold facts share one aggregate.
+    ``facts`` has one row per key and the group's row count in ``rows``. Rows of hot groups get their facts by broadcast
+    (fewer than ``share`` fact rows) and are never shuffled; the others meet theirs in a shuffle, in groups small by
+    definition. NULL is a group like any other. The rows are read once for each of the two parts.
     """
     keys = list(keys)
     names = [c for c in facts.columns if c not in keys]
     total = df.agg(F.count(F.lit(1))).scalar()
     is_hot = F.col(rows) * F.lit(share) > total
-    hot = facts.filter(is_hot).select(*keys, *[F.col(c).alias(f"_hot_{c}") for c in names])
-    # Always 0, but not a literal: a literal would be folded away and the spread with it.
-    zero = F.pmod(F.col(rows).cast("long"), F.lit(1))
-    cold = facts.filter(~is_hot).select(*keys, zero.alias("_spread"), *[F.col(c).alias(f"_cold_{c}") for c in names])
-    spread = F.when(F.col(f"_hot_{rows}").isNotNull(), F.pmod(F.xxhash64(*df.columns), F.lit(4096)) + 1).otherwise(F.lit(0))
-    joined = df.join(F.broadcast(hot), keys, "left").withColumn("_spread", spread).join(cold, [*keys, "_spread"], "left")
-    merged = joined.select(*df.columns, *[F.coalesce(f"_hot_{c}", f"_cold_{c}").alias(c) for c in names])
-    return merged.filter(F.col(rows).isNotNull())
+    named = facts.withColumnsRenamed({k: f"_key_{k}" for k in keys})
+    hot, cold = named.filter(is_hot), named.filter(~is_hot)
+    same = all_of(*[F.col(k).eqNullSafe(F.col(f"_key_{k}")) for k in keys])
+    columns = [*df.columns, *names]
+    warm = df.join(F.broadcast(hot), same).select(*columns)
+    rest = df.join(F.broadcast(hot.select(*[f"_key_{k}" for k in keys])), same, "left_anti").join(cold, same).select(*columns)
+    return warm.unionByName(rest)
 
 
 def latest_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str],

@@ -60,8 +60,10 @@ def risk_category(missed: Column, filed: Column) -> Column:
     return F.when(missed >= 2, "Payment Default").when(filed + missed >= 3, "Churn").otherwise("Underinsured")
 
 
-def most_exposed(features: DataFrame, k: int = 1200) -> DataFrame:
-    """The k policies with most missed payments plus claims, ranked."""
+def most_exposed(features: DataFrame, k: int | None = None) -> DataFrame:
+    """All policies, or with k the k that have most missed payments plus claims."""
+    if k is None:
+        return features
     return features.orderBy(
         F.desc(F.col("missed_payments") + F.col("claims_filed")), F.desc("missed_payments"), "policy_id").limit(k)
 

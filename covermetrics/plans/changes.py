@@ -7,7 +7,7 @@ from covermetrics.operators.quality.profile import catalog_tables
 from covermetrics.operators.relational import round_robin_assign
 from covermetrics.plans.registry import plan, sql_round
 from covermetrics.sources.book import BASE_TABLES
-from covermetrics.sources.tables import read_current, write_version
+from covermetrics.sources.tables import merge_partitions
 from covermetrics.session import scratch_path
 
 STEPS = [(["Active"], "InForce"), (["Renewed", "InForce"], "Live"), (["Cancelled"], "Lapsed"), (["Lapsed"], "Closed")]
@@ -50,10 +50,11 @@ UNION ALL SELECT policy_id + 1000000000, policy_type, 'Active', premium FROM pol
 WITH {UPSERTED} SELECT policy_type, status, COUNT(*) AS policies, CAST(SUM(premium) AS DOUBLE) AS premium, MAX(policy_id) AS last_id FROM merged GROUP BY 1, 2""")
 def _(b):
     columns = ["policy_id", "policy_type", "status", "premium"]
-    merged = change.upsert(b.policies.select(*columns), renewals(b).select(*columns), ["policy_id"], ["premium", "status"], ["premium"])
+    slot = F.pmod("policy_id", F.lit(8)).cast("int").alias("slot")
     root = scratch_path(b.spark, "policies")
-    write_version(merged, root)
-    return read_current(b.spark, root).groupBy("policy_type", "status").agg(
+    b.policies.select(*columns, slot).write.partitionBy("slot").parquet(root)
+    merge_partitions(root, renewals(b).select(*columns, slot), ["policy_id"], ["premium", "status"], ["premium", "status", "policy_type"], "slot")
+    return b.spark.read.parquet(root).groupBy("policy_type", "status").agg(
         F.count(F.lit(1)).alias("policies"), F.sum("premium").cast("double").alias("premium"), F.max("policy_id").alias("last_id"))
 
 

@@ -94,13 +94,15 @@ def _(b):
 
 
 @plan("predicted_loss_ratio", "M5 T17", roles="claims policies", sql=f"""
-WITH cost AS (SELECT 'all' AS series, CAST(DATE_TRUNC('month', claim_date) AS DATE) AS month, CAST(SUM(amount) AS DOUBLE) AS value FROM claims WHERE claim_date < DATE '2001-08-01' GROUP BY 2),
-prem AS (SELECT 'all' AS series, CAST(DATE_TRUNC('month', effective_date) AS DATE) AS month, CAST(SUM(premium) AS DOUBLE) AS value FROM policies WHERE effective_date < DATE '2001-08-01' GROUP BY 2),
+WITH full_months AS (SELECT LEAST((SELECT DATE_TRUNC('month', MAX(claim_date)) FROM claims), (SELECT DATE_TRUNC('month', MAX(effective_date)) FROM policies)) AS until),
+cost AS (SELECT 'all' AS series, CAST(DATE_TRUNC('month', claim_date) AS DATE) AS month, CAST(SUM(amount) AS DOUBLE) AS value FROM claims, full_months WHERE claim_date < until GROUP BY 2),
+prem AS (SELECT 'all' AS series, CAST(DATE_TRUNC('month', effective_date) AS DATE) AS month, CAST(SUM(premium) AS DOUBLE) AS value FROM policies, full_months WHERE effective_date < until GROUP BY 2),
 {forecast_sql(3, 'c_', 'cost')}, {forecast_sql(3, 'p_', 'prem')},
 j AS (SELECT month, c.forecast AS predicted_cost, p.forecast AS predicted_premium, {sql_percent('c.forecast', 'p.forecast')} AS loss_ratio FROM c_forecast c LEFT JOIN p_forecast p USING (month))
 SELECT *, CASE WHEN loss_ratio > 70 THEN 'error' WHEN loss_ratio > 50 THEN 'warning' WHEN loss_ratio IS NOT NULL THEN 'ok' END AS level FROM j""")
 def _(b):
-    full = F.lit("2001-08-01").cast("date")
+    # The last month of either table may be incomplete.
+    full = F.least(*[df.agg(F.trunc(F.max(c), "month")).scalar() for df, c in ((b.claims, "claim_date"), (b.policies, "effective_date"))])
     return timeseries.predicted_loss_ratio(
         timeseries.build_series(b.claims.filter(F.col("claim_date") < full), "claim_date", "amount"),
         timeseries.build_series(b.policies.filter(F.col("effective_date") < full), "effective_date", "premium"))

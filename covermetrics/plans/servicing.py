@@ -109,7 +109,7 @@ def _(b):
 @plan("churn_features", "K30 F22 J5", roles="policies invoices claims", sql=f"""
 WITH {FEATURES}
 SELECT policy_id, missed_payments, claims_filed, churn_probability, CAST(revenue_at_risk AS DOUBLE) AS revenue_at_risk, days_until_renewal, risk_category
-FROM features ORDER BY missed_payments + claims_filed DESC, missed_payments DESC, policy_id LIMIT 1200""")
+FROM features""")
 def _(b):
     return retention.most_exposed(features(b)).select(
         "policy_id", "missed_payments", "claims_filed", "churn_probability",

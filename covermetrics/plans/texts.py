@@ -33,10 +33,10 @@ def _(b):
 
 
 @plan("keyword_search", "R4 P11 L7", roles="filings", sql=f"""
-WITH {FIXED}, best AS (SELECT document_id, chunk_index, SUBSTR(chunk_text, 1, 1000) AS relevant_text FROM fixed WHERE chunk_text ILIKE '%ention%' ORDER BY 1, 2 LIMIT 10)
+WITH {FIXED}, best AS (SELECT document_id, chunk_index, SUBSTR(chunk_text, 1, 1000) AS relevant_text FROM fixed WHERE chunk_text ILIKE '%ention%' AND chunk_text ILIKE '%re%' ORDER BY 1, 2 LIMIT 10)
 SELECT document_id, CAST(chunk_index AS INT) AS chunk_index, relevant_text, language, document_type, chars FROM best JOIN filings USING (document_id)""")
 def _(b):
-    return doc.keyword_search(b.filings, doc.chunk_fixed(b.filings), "ention of cover")
+    return doc.keyword_search(b.filings, doc.chunk_fixed(b.filings), "ention re")
 
 
 @plan("clause_count", "R8 A8", roles="filings", sql="""
@@ -56,14 +56,31 @@ def _(b):
 WITH {DOC_WORDS}, q AS (SELECT DISTINCT question_id, UNNEST(REGEXP_EXTRACT_ALL(LOWER(question), '{WORD}')) AS term FROM questions),
 dl AS (SELECT document_id, COUNT(*) AS dl FROM doc_words GROUP BY 1), st AS (SELECT CAST((SELECT COUNT(*) FROM filings) AS DOUBLE) AS n, CAST(SUM(dl) AS DOUBLE) AS total FROM dl),
 tf AS (SELECT document_id, term, COUNT(*) AS tf FROM doc_words WHERE term IN (SELECT term FROM q) GROUP BY 1, 2),
-w AS (SELECT term, LN((n - df + 0.5) / (df + 0.5)) AS idf, total / n AS avgdl FROM (SELECT term, CAST(COUNT(*) AS DOUBLE) AS df FROM tf GROUP BY 1), st),
+w AS (SELECT term, LN(1 + (n - df + 0.5) / (df + 0.5)) AS idf, total / n AS avgdl FROM (SELECT term, CAST(COUNT(*) AS DOUBLE) AS df FROM tf GROUP BY 1), st),
 s AS (SELECT question_id, document_id, {sql_round('SUM(idf * (tf * CAST(2.2 AS DOUBLE)) / (tf + CAST(1.2 AS DOUBLE) * (CAST(0.25 AS DOUBLE) + CAST(0.75 AS DOUBLE) * dl / avgdl)))', 5)} AS score
-FROM q JOIN w USING (term) JOIN tf USING (term) JOIN dl USING (document_id) WHERE idf > 0 GROUP BY 1, 2)
+FROM q JOIN w USING (term) JOIN tf USING (term) JOIN dl USING (document_id) GROUP BY 1, 2)
 SELECT question_id, document_id, score, ROW_NUMBER() OVER (PARTITION BY question_id ORDER BY score DESC, document_id) AS rank FROM s QUALIFY rank <= 5""")
 def _(b):
     return doc.ranked_search(b.filings, b.questions)
 
 
+@plan("chunk_search", "R5 R2", roles="filings questions", sql=f"""
+WITH {FIXED}, cw AS (SELECT document_id, chunk_index, UNNEST(REGEXP_EXTRACT_ALL(LOWER(chunk_text), '{WORD}')) AS term FROM fixed),
+q AS (SELECT DISTINCT question_id, UNNEST(REGEXP_EXTRACT_ALL(LOWER(question), '{WORD}')) AS term FROM questions),
+dl AS (SELECT document_id, chunk_index, COUNT(*) AS dl FROM cw GROUP BY 1, 2), st AS (SELECT CAST((SELECT COUNT(*) FROM fixed) AS DOUBLE) AS n, CAST(SUM(dl) AS DOUBLE) AS total FROM dl),
+tf AS (SELECT document_id, chunk_index, term, COUNT(*) AS tf FROM cw WHERE term IN (SELECT term FROM q) GROUP BY 1, 2, 3),
+w AS (SELECT term, LN(1 + (n - df + 0.5) / (df + 0.5)) AS idf, total / n AS avgdl FROM (SELECT term, CAST(COUNT(*) AS DOUBLE) AS df FROM tf GROUP BY 1), st),
+s AS (SELECT question_id, document_id, chunk_index, {sql_round('SUM(idf * (tf * CAST(2.2 AS DOUBLE)) / (tf + CAST(1.2 AS DOUBLE) * (CAST(0.25 AS DOUBLE) + CAST(0.75 AS DOUBLE) * dl / avgdl)))', 5)} AS score
+FROM q JOIN w USING (term) JOIN tf USING (term) JOIN dl USING (document_id, chunk_index) GROUP BY 1, 2, 3),
+r AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY question_id ORDER BY score DESC, document_id, chunk_index) AS rank FROM s QUALIFY rank <= 5)
+SELECT question_id, r.document_id, CAST(r.chunk_index AS INT) AS chunk_index, score, rank, language, document_type FROM r JOIN filings USING (document_id)""")
+def _(b):
+    """Chunks, not whole documents, ranked; each with its document's attributes."""
+    chunks = doc.chunk_fixed(b.filings).withColumn("chunk", F.struct("document_id", "chunk_index"))
+    best = doc.ranked_search(chunks, b.questions, key="chunk", text="chunk_text")
+    return best.select("question_id", "chunk.*", "score", "rank").join(b.filings.select("document_id", "language", "document_type"), "document_id")
+
+
 @plan("vector_topk", "R6", roles="vectors", sql=f"""
 WITH e AS (SELECT label, GENERATE_SUBSCRIPTS(vector, 1) AS i, CAST(UNNEST(vector) AS DOUBLE) AS x FROM vectors),
 c AS (SELECT label AS query_id, LIST(m ORDER BY i) AS qv FROM (SELECT label, i, AVG(x) AS m FROM e GROUP BY 1, 2) GROUP BY 1),
@@ -244,7 +261,8 @@ p AS (SELECT *, LIST_DISTINCT(STRING_SPLIT(name, ' ')) AS ta, LIST_DISTINCT(STRI
 s AS (SELECT *, {sql_round('1 - CAST(LEVENSHTEIN(name, match) AS DOUBLE) / GREATEST(LENGTH(name), LENGTH(match))', 4)} AS fuzzy,
  {sql_round('CAST(LEN(LIST_INTERSECT(ta, tb)) AS DOUBLE) / LEN(LIST_DISTINCT(LIST_CONCAT(ta, tb)))', 4)} AS words FROM p WHERE CAST(LEN(LIST_INTERSECT(ta, tb)) AS DOUBLE) / LEN(LIST_DISTINCT(LIST_CONCAT(ta, tb))) >= 0.3),
 r AS (SELECT *, {sql_round("CASE WHEN name = match THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END * CAST(0.2 AS DOUBLE) + fuzzy * CAST(0.4 AS DOUBLE) + words * CAST(0.4 AS DOUBLE)", 4)} AS score FROM s)
-SELECT name, match, score, fuzzy, words, {sql_percent('price - match_price', 'match_price')} AS price_delta_pct FROM r QUALIFY ROW_NUMBER() OVER (PARTITION BY name ORDER BY score DESC, match) = 1""")
+SELECT a.name, r.match, r.score, r.fuzzy, r.words, {sql_percent('a.price - r.match_price', 'r.match_price')} AS price_delta_pct FROM a LEFT JOIN r ON r.name = a.name
+QUALIFY ROW_NUMBER() OVER (PARTITION BY a.name ORDER BY r.score DESC, r.match) = 1""")
 def _(b):
     named = b.products.withColumn("name", F.concat_ws(" ", "product_name", F.lower("line")))
     mine = F.col("line").isin("STANDARD", "PROMO")

@@ -6,7 +6,7 @@ from covermetrics.functions.masking import mask_credit, mask_email, mask_phone
 from covermetrics.operators import geo, timeseries
 from covermetrics.operators.cube import Domain, Measure, Parent, Perspective, SemanticModel
 from covermetrics.sources import external as ext
-from covermetrics.sources.tables import read_current, write_version
+from covermetrics.sources.tables import merge_partitions
 from covermetrics.session import scratch_path
 
 
@@ -69,8 +69,16 @@ def test_open_ended_disaster_window(spark):
     assert (w.begin_date, w.end_date) == (dt.date(2024, 1, 1), dt.date(2024, 2, 2))
 
 
-def test_versions_switch_and_survive_rewrites_of_themselves(spark):
-    root = scratch_path(spark, "t-versions")
-    write_version(spark.range(3), root)
-    write_version(read_current(spark, root).union(spark.range(3, 5)), root)
-    assert read_current(spark, root).count() == 5
+def test_merge_rewrites_only_touched_partitions(spark):
+    root = scratch_path(spark, "t-merge")
+    rows = spark.range(20).select("id", (F.col("id") * 10).alias("v"), (F.col("id") % 4).cast("int").alias("slot"))
+    rows.write.partitionBy("slot").parquet(root)
+
+    def files():
+        return {r.slot: r.f for r in spark.read.parquet(root).select("slot", F.input_file_name().alias("f")).distinct().collect()}
+    before = files()
+    incoming = spark.createDataFrame([(1, 7, 1), (21, 8, 1)], "id long, v long, slot int")
+    merge_partitions(root, incoming, ["id"], ["v"], ["v"], "slot")
+    after, got = files(), {r.id: r.v for r in spark.read.parquet(root).collect()}
+    assert got == {**{i: i * 10 for i in range(20)}, 1: 7, 21: 8}
+    assert [s for s in before if before[s] != after[s]] == [1]

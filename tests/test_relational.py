@@ -41,6 +41,17 @@ def test_attach_group_facts_keeps_hot_and_cold_rows(spark):
     assert out.filter("k = 0").select("group_rows").distinct().collect()[0][0] == 1000
 
 
+def test_attach_group_facts_keeps_null_groups_and_leaves_hot_rows_in_place(spark):
+    df = hot_events(spark).withColumn("k", F.when(F.col("k") != 5, F.col("k")))
+    facts = df.groupBy("k").agg(F.count(F.lit(1)).alias("group_rows"))
+    out = rel.attach_group_facts(df, facts, ["k"], share=10)
+    assert out.count() == 3000 and out.filter("k IS NULL").count() == out.filter("k IS NULL").select("group_rows").first()[0]
+    known = spark.createDataFrame(facts.collect(), "k int, group_rows long")
+    plan = rel.attach_group_facts(df, known, ["k"], share=10)._jdf.queryExecution().executedPlan().toString()
+    warm = plan[plan.index("Union"):].split("\n   +- ")[0]  # the first of the union's two inputs
+    assert "BroadcastHashJoin" in warm and "hashpartitioning(k" not in warm
+
+
 def test_number_rows_is_dense_and_stable(spark):
     df = spark.range(5000).withColumnRenamed("id", "key")
     a = rel.number_rows(df, "key")

@@ -24,7 +24,9 @@ def test_fixed_chunks_cover_the_text(spark):
 def test_keyword_search_falls_back_to_whole_texts(spark):
     docs = docs_of(spark, ["alpha beta", "gamma delta"]).withColumn("title", F.lit("t"))
     chunks = spark.createDataFrame([(0, 1, "alpha")], "document_id long, chunk_index int, chunk_text string")
-    assert [r.document_id for r in doc.keyword_search(docs, chunks, "alpha clause").collect()] == [0]
+    assert [r.document_id for r in doc.keyword_search(docs, chunks, "alpha clause", first_term_only=True).collect()] == [0]
+    assert [r.document_id for r in doc.keyword_search(docs, chunks, "alpha beta").collect()] == [0]
+    assert doc.keyword_search(docs, chunks, "alpha clause").count() == 0
     assert [r.document_id for r in doc.keyword_search(docs, chunks, "DELTA").collect()] == [1]
 
 
@@ -40,8 +42,8 @@ def test_ranked_search_equals_brute_force(spark):
         scores = {}
         for t in set(q.split()):
             df = sum(t in w for w in words)
-            idf = math.log((n - df + 0.5) / (df + 0.5))
-            if idf <= 0:
+            idf = math.log(1 + (n - df + 0.5) / (df + 0.5))
+            if not df:
                 continue
             for di, w in enumerate(words):
                 tf = w.count(t)
@@ -87,7 +89,7 @@ def test_intake_statuses_and_fallbacks(spark):
             ' {"line": "Deductible", "deductible": "$500"}], "property": {"year_built": "1999"}}')
     raw = spark.createDataFrame([("a", "```json\n" + good + "\n```"), ("b", "{broken json here"), ("c", "x"), ("d", '{"policy_number": "null"}'), ("e", None)],
                                 "file_name string, extracted string")
-    out = intake.intake_policies(raw, "2024-06-30")
+    out = intake.intake_policies(raw, "2024-06-30", short_ids=True)
     assert {r.file_name: r.status for r in out.log.collect()} == {
         "a": "SUCCESS", "b": "JSON_PARSE_FAILED", "c": "PARSE_FAILED", "d": "NO_POLICY_NUMBER", "e": "PARSE_FAILED"}
     p = out.policies.collect()[0]
