@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import sys
+from types import ModuleType
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,3 +22,13 @@ def written(df: DataFrame, purpose: str) -> DataFrame:
     path = scratch_path(df.sparkSession, purpose)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def for_worker(kind: str, key: str, make):
+    """An object that a Python worker keeps for its later tasks, such as a vocabulary with its cache; one of each kind."""
+    holder = sys.modules.setdefault("_kept_for_tasks", ModuleType("_kept_for_tasks"))
+    found = getattr(holder, kind, None)
+    if found is None or found[0] != key:
+        found = (key, make())
+        setattr(holder, kind, found)
+    return found[1]
