@@ -146,8 +146,13 @@ def _whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Record
 
 
 def _likely_pairs(buckets: DataFrame, best_only: bool) -> DataFrame:
-    """Pairs (a, b, share) of one block whose signatures agree enough; with `best_only` the best partner of each text,
-    else all pairs of different components."""
+    """Pairs (a, b, share) of different components in one block whose signatures agree enough; with `best_only` the best
+    partner of each text.
+
+    A row is at home in one block of its bucket; rows outside the main component also visit the others. A pair is compared
+    where both are at home, or where the one at home is in the main component or has the lower digest. Without `best_only`
+    it is reported only in the first band whose registers agree.
+    """
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, group in _whole_groups(batches):
             n = rows.num_rows
@@ -155,18 +160,24 @@ def _likely_pairs(buckets: DataFrame, best_only: bool) -> DataFrame:
             text = rows.column("t")
             codes = rows.column("component").dictionary_encode().indices.to_numpy(zero_copy_only=False)
             names = text.dictionary_encode().indices.to_numpy(zero_copy_only=False)
+            order = np.argsort(np.array(text.to_pylist(), dtype="S16"), kind="stable").argsort()
+            home, main, band = (rows.column(c).to_numpy(zero_copy_only=False) for c in ("home", "main", "band"))
             share, partner = np.zeros(n), np.full(n, -1)
             found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
             for d in range(1, n):
                 i = np.flatnonzero(group[d:] == group[:-d])
                 if not len(i):
                     break
-                i = i[(codes[i] != codes[i + d]) & (names[i] != names[i + d])]
+                j = i + d
+                lone = np.where(home[i], main[i] | (order[i] < order[j]), main[j] | (order[j] < order[i]))
+                i = i[(codes[i] != codes[j]) & (names[i] != names[j]) & (home[i] & home[j] | (home[i] ^ home[j]) & lone)]
                 for part in np.array_split(i, max(1, len(i) >> 14)):
                     agree = ((marks[part] == marks[part + d]).mean(1) * 256 - 1) / 255
                     part, agree = part[agree >= LIKELY], agree[agree >= LIKELY]
                     if not best_only:
-                        found.append((part, part + d, agree))
+                        same = (marks[part, :BANDS * BAND_ROWS] == marks[part + d, :BANDS * BAND_ROWS]).reshape(-1, BANDS, BAND_ROWS).all(2)
+                        earliest = same.argmax(1) == band[part]
+                        found.append((part[earliest], part[earliest] + d, agree[earliest]))
                         continue
                     for x, y in ((part, part + d), (part + d, part)):
                         better = agree > share[x]
@@ -222,7 +233,7 @@ def text_classes(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     spark = rows.sparkSession
     signed = rows.select("id", "t", signature(C("text")).alias("s")).where("s.n > 0")
     texts = written(signed.groupBy("t").agg(F.first("s").alias("s"), F.min("id").alias("least")), "signatures")
-    banded = texts.select("t", F.posexplode("s.bands").alias("band", "hash")).select("t", F.xxhash64("band", "hash").alias("bucket"))
+    banded = texts.select("t", F.posexplode("s.bands").alias("band", "hash")).select("t", "band", F.xxhash64("band", "hash").alias("bucket"))
     shared = banded.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
     members = written(banded.join(shared, "bucket"), "buckets")
     near = members.select("t").distinct()
@@ -231,16 +242,19 @@ def text_classes(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     n_blocks = F.ceil(C("size") / BLOCK)
     block = F.pmod(F.xxhash64("t", "bucket"), n_blocks).cast("bigint")
 
-    first = members.join(marked, "t").select("bucket", block.alias("block"), "t", "marks", C("t").alias("component"))
+    first = members.join(marked, "t").select(
+        "bucket", block.alias("block"), "t", "band", "marks", C("t").alias("component"), F.lit(True).alias("home"), F.lit(False).alias("main"))
     best = _likely_pairs(first, best_only=True).groupBy("a").agg(F.slice(F.sort_array(F.collect_set(F.struct("share", "b")), False), 1, BEST).alias("p"))
     links = written(_verified(best.select("a", F.explode("p").alias("p")).select("a", C("p.b").alias("b")), lookup), "verified")
 
     named = members.join(components(spark, links), "t", "left").withColumn("component", F.coalesce("component", "t"))
     sizes = named.groupBy("bucket", "component").agg(F.count("*").alias("n"))
     main = sizes.groupBy("bucket").agg(F.max(F.struct("n", "component")).alias("main"), F.count("*").alias("parts")).where("parts > 1")
-    open_rows = named.join(main, "bucket").withColumn("outside", C("component") != C("main.component"))
-    spread = open_rows.withColumn("block", F.explode(F.when(C("outside"), F.sequence(F.lit(0).cast("bigint"), n_blocks - 1)).otherwise(F.array(block))))
-    more = _verified(_likely_pairs(spread.join(marked, "t").select("bucket", "block", "t", "marks", "component"), best_only=False), lookup)
+    open_rows = named.join(main, "bucket").withColumn("inside", C("component") == C("main.component"))
+    every_block = F.sequence(F.lit(0).cast("bigint"), n_blocks - 1)
+    spread = open_rows.withColumn("block", F.explode(F.when(C("inside"), F.array(block)).otherwise(every_block))).join(marked, "t") \
+        .select("bucket", "block", "t", "band", "marks", "component", (C("block") == block).alias("home"), C("inside").alias("main"))
+    more = _verified(_likely_pairs(spread, best_only=False), lookup)
     links = written(links.union(more), "verified")
     found = components(spark, links)
     degree = links.select("a").union(links.select("b")).groupBy("a").agg(F.count("*").alias("n_links")).withColumnRenamed("a", "t")
