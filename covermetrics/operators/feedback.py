@@ -57,8 +57,9 @@ def sentiment(texts: DataFrame, lexicon: DataFrame, key: Sequence[str], text: st
     return joined.drop("_s").withColumn("band", band)
 
 
-def induced_lexicon(texts: DataFrame, key: str, text: str, positive: str, at_least: int = 5) -> DataFrame:
-    """Word weights from rated texts: share of positive texts less share of negative texts with the word."""
+def induced_lexicon(texts: DataFrame, key: str, text: str, positive: str, at_least: int = 1) -> DataFrame:
+    """Word weights from rated texts: share of positive texts less share of negative texts with the word.
+    Words in fewer than `at_least` rated texts are left out."""
     sides = texts.agg(F.struct(F.count_if(positive).alias("p"), F.count_if(~F.col(positive)).alias("q"))).scalar()
     words = texts.select(key, positive, F.explode(F.array_distinct(tokens(text))).alias("term"))
     freq = words.groupBy("term").agg(F.count_if(positive).alias("a"), F.count_if(~F.col(positive)).alias("b"))
@@ -67,18 +68,20 @@ def induced_lexicon(texts: DataFrame, key: str, text: str, positive: str, at_lea
 
 
 def classify(texts: DataFrame, keywords: DataFrame, key: Sequence[str], text: str) -> DataFrame:
-    """The theme with the greatest summed keyword weight; ties go to the first name.
+    """The theme with the greatest summed keyword weight; ties go to the first name. A text with none of the keywords has
+    NULL theme and strength.
 
     A theme list is small; it is joined to the distinct words of each text.
     """
     scores = word_counts(texts, key, text).join(keywords, "term").groupBy(*key, "theme").agg(
         rounded(F.sum(F.col("n") * F.col("weight")), 6).alias("s"))
     best = scores.groupBy(*key).agg(F.min_by("theme", F.struct(-F.col("s"), F.col("theme"))).alias("theme"), F.max("s").alias("strength"))
-    return best
+    return texts.select(*key).distinct().join(best, list(key), "left")
 
 
-def group_terms(texts: DataFrame, group: str, key: str, text: str, k: int = 5, min_docs: int = 3) -> DataFrame:
-    """Words that set a group apart: k best by term count times log(documents / document count)."""
+def group_terms(texts: DataFrame, group: str, key: str, text: str, k: int = 5, min_docs: int = 1) -> DataFrame:
+    """Words that set a group apart: k best by term count times log(documents / document count), of the words that
+    `min_docs` documents or more use."""
     counts = word_counts(texts.select(key, group, text), [key, group], text)
     n = texts.agg(F.count(F.lit(1))).scalar()
     df = counts.groupBy("term").agg(F.count(F.lit(1)).alias("df")).filter(F.col("df") >= min_docs)
@@ -87,10 +90,10 @@ def group_terms(texts: DataFrame, group: str, key: str, text: str, k: int = 5, m
     return top_k_per_group(tf.join(df, "term").withColumn("weight", weight), [group], [F.desc("weight"), F.col("term")], k).drop("df")
 
 
-def central_sentences(texts: DataFrame, group: str, key: str, text: str) -> DataFrame:
+def central_sentences(texts: DataFrame, group: str, key: str, text: str, min_chars: int = 0) -> DataFrame:
     """One extractive summary sentence per group: the sentence whose distinct words are, on
-    average, used by most texts of the group."""
-    sentences = texts.select(group, key, F.posexplode(F.split(text, r"[.!?]\s+|\n+")).alias("pos", "sentence")).filter(F.length("sentence") >= 20)
+    average, used by most texts of the group. Sentences under `min_chars` characters do not stand."""
+    sentences = texts.select(group, key, F.posexplode(F.split(text, r"[.!?]\s+|\n+")).alias("pos", "sentence")).filter(F.length("sentence") >= min_chars)
     shares = texts.select(group, F.explode(F.array_distinct(tokens(text))).alias("term")).groupBy(group, "term").agg(F.count(F.lit(1)).alias("group_rows"))
     words = sentences.select(group, key, "pos", F.explode(F.array_distinct(tokens("sentence"))).alias("term"))
     scored = attach_group_facts(words, shares, [group, "term"]).groupBy(group, key, "pos").agg(rounded(F.avg("group_rows"), 4).alias("score"))

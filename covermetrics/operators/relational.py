@@ -45,6 +45,17 @@ def latest_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column |
     return picked.select(*keys, *[F.col("_row")[c].alias(c) for c in columns])
 
 
+def not_in(df: DataFrame, values: DataFrame, column: str) -> DataFrame:
+    """SQL's NOT IN: no row passes if the values hold a NULL, all pass if there are none, a NULL key passes only then.
+
+    An anti-join with the count of values and of NULLs beside it: unlike the null-aware anti-join it never has to
+    broadcast the values.
+    """
+    counts = values.agg(F.struct(F.count(F.lit(1)).alias("n"), F.count_if(F.col(column).isNull()).alias("nulls"))).scalar()
+    rest = df.join(values.select(column), column, "left_anti").select(*df.columns).withColumn("_c", counts)
+    return rest.filter((F.col("_c.n") == 0) | ((F.col("_c.nulls") == 0) & F.col(column).isNotNull())).drop("_c")
+
+
 def top_k_per_group(df: DataFrame, group: Sequence[str], order: Sequence[Column], k: int,
                     rank: str = "rank") -> DataFrame:
     """k best rows per group. Spark keeps k rows per group and task before the shuffle

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from covermetrics.functions import dates, numbers, strings
-from covermetrics.operators.relational import number_rows, top_k_per_group
+from covermetrics.operators.relational import not_in, number_rows, top_k_per_group
 from covermetrics.plans.registry import plan, sql_mean, sql_percent, sql_round
 from covermetrics.session import scratch_path
 from covermetrics.sources.tables import export_sample_csv, export_tables
@@ -131,13 +131,15 @@ def _(b):
 @plan("semi_anti_joins", "J13 J14 J15 J17", roles="policies claims customers", sql="""
 SELECT 'with_claims' AS kind, COUNT(*) AS policies FROM policies WHERE policy_id IN (SELECT policy_id FROM claims) UNION ALL SELECT 'without_claims', COUNT(*) FROM policies p WHERE NOT EXISTS (SELECT 1 FROM claims c WHERE c.policy_id = p.policy_id)
 UNION ALL SELECT 'not_in_null_aware', COUNT(*) FROM policies WHERE policy_id NOT IN (SELECT CASE WHEN status = 'Open' THEN policy_id ELSE -1 END FROM claims)
+UNION ALL SELECT 'not_in_with_null', COUNT(*) FROM policies WHERE policy_id NOT IN (SELECT CASE WHEN status = 'Open' THEN policy_id END FROM claims)
 UNION ALL SELECT 'above_mean', COUNT(*) FROM policies WHERE CAST(premium AS DOUBLE) > (SELECT CAST(SUM(premium) AS DOUBLE) / COUNT(*) FROM policies)""")
 def _(b):
     p, n = b.policies, F.count(F.lit(1)).alias("policies")
     claimed = b.claims.select("policy_id")
     average = p.agg(F.sum("premium").cast("double") / F.count(F.lit(1))).scalar()
     parts = {"with_claims": p.join(claimed, "policy_id", "left_semi"), "without_claims": p.join(claimed, "policy_id", "left_anti"),
-             "not_in_null_aware": p.join(b.claims.filter(F.col("status") == "Open").select("policy_id"), "policy_id", "left_anti"),
+             "not_in_null_aware": not_in(p, b.claims.filter(F.col("status") == "Open").select("policy_id"), "policy_id"),
+             "not_in_with_null": not_in(p, b.claims.select(F.when(F.col("status") == "Open", F.col("policy_id")).alias("policy_id")), "policy_id"),
              "above_mean": p.filter(F.col("premium").cast("double") > average)}
     out = None
     for kind, df in parts.items():
@@ -192,7 +194,7 @@ def _(b):
     return top_k_per_group(joined, ["policy_type"], [F.desc("amount"), F.col("claim_id"), F.col("adjuster_id")], 3)
 
 
-@plan("export_roundtrip", "S9 S10 S13 S14 D8", roles="policies claims", sql="""
+@plan("export_roundtrip", "S9 S10 S13 D8", roles="policies claims", sql="""
 SELECT 'claims' AS table_name, COUNT(*) AS rows, CAST(SUM(amount) AS DOUBLE) AS money FROM claims UNION ALL SELECT 'policies', COUNT(*), CAST(SUM(premium) AS DOUBLE) FROM policies
 UNION ALL SELECT 'sample', 50, (SELECT CAST(SUM(premium) AS DOUBLE) FROM (SELECT premium FROM policies ORDER BY policy_id LIMIT 50))""")
 def _(b):

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from covermetrics.operators.claims import COARSE_FRAUD_EDGES, COARSE_FRAUD_LAST, CREDIT_EDGES, CREDIT_LAST
 from covermetrics.operators.cube import Domain, Measure, Parent, Perspective, SemanticModel, describe
 from covermetrics.operators.quality import profile, scores
 from covermetrics.operators.retention import risk_summary
@@ -20,9 +21,12 @@ def _by(label, expr=None, *via):
     return Perspective(label, expr or label, tuple(via))
 
 
-CREDIT = ("CASE WHEN credit_score < 580 THEN '1. Poor' WHEN credit_score < 670 THEN '2. Fair' WHEN credit_score < 740 THEN '3. Good' "
-          "WHEN credit_score < 800 THEN '4. Very Good' ELSE '5. Excellent' END")
-FRAUD = "CASE WHEN fraud_score < 20 THEN '1. Low' WHEN fraud_score < 50 THEN '2. Medium' WHEN fraud_score < 80 THEN '3. High' ELSE '4. Critical' END"
+def _bands(column, edges, last):
+    return "CASE " + " ".join(f"WHEN {column} < {edge} THEN '{label}'" for edge, label in edges) + f" ELSE '{last}' END"
+
+
+CREDIT = _bands("credit_score", CREDIT_EDGES, CREDIT_LAST)
+FRAUD = _bands("fraud_score", COARSE_FRAUD_EDGES, COARSE_FRAUD_LAST)
 
 MODEL = SemanticModel({
     "Claims": Domain("claims", {

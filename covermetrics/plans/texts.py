@@ -96,14 +96,14 @@ def _(b):
 @plan("retrieval_log_stats", "R9", roles="alerts", sql=f"""
 WITH l AS (SELECT event_type AS source, CASE customer_id % 3 WHEN 0 THEN 'agent' WHEN 1 THEN 'executive' ELSE 'underwriter' END AS role,
 CAST(reported_at AS DATE) AS day, CAST(value * 100 AS BIGINT) AS response_ms, CAST((alert_id % 1000) / 1000 AS DECIMAL(9,3)) AS relevance FROM alerts),
-r AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY source, role ORDER BY response_ms) AS i, COUNT(*) OVER (PARTITION BY source, role) AS n FROM l)
-SELECT source, role, COUNT(*) AS queries, {sql_mean('response_ms', 1)} AS avg_ms, CAST(MAX(response_ms) FILTER (WHERE i = CEIL(n * 0.95)) AS DOUBLE) AS p95_ms, {sql_mean('relevance', 3)} AS avg_relevance
-FROM r GROUP BY 1, 2""")
+r AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY source, role, day ORDER BY response_ms) AS i, COUNT(*) OVER (PARTITION BY source, role, day) AS n FROM l)
+SELECT source, role, day, COUNT(*) AS queries, {sql_mean('response_ms', 1)} AS avg_ms, CAST(MAX(response_ms) FILTER (WHERE i = CEIL(n * 0.95)) AS DOUBLE) AS p95_ms, {sql_mean('relevance', 3)} AS avg_relevance
+FROM r GROUP BY 1, 2, 3""")
 def _(b):
     log = b.alerts.select(F.col("event_type").alias("source"),
                           F.when(F.col("customer_id") % 3 == 0, "agent").when(F.col("customer_id") % 3 == 1, "executive").otherwise("underwriter").alias("role"),
-                          (F.col("value") * 100).cast("long").alias("response_ms"), ((F.col("alert_id") % 1000) / 1000).cast("decimal(9,3)").alias("relevance"))
-    return doc.retrieval_log_stats(log, ["source", "role"])
+                          F.col("reported_at").cast("date").alias("day"), (F.col("value") * 100).cast("long").alias("response_ms"), ((F.col("alert_id") % 1000) / 1000).cast("decimal(9,3)").alias("relevance"))
+    return doc.retrieval_log_stats(log, ["source", "role", "day"])
 
 
 def policy_documents(b):
@@ -299,7 +299,7 @@ WITH {LEXICON}, {TURN_WORDS}, s AS (SELECT conversation_id, turn, {sql_round('SU
 x AS (SELECT t.conversation_id, t.turn, COALESCE(s, 0.0) AS sentiment FROM turns t LEFT JOIN s ON s.conversation_id = t.conversation_id AND s.turn = t.turn)
 SELECT *, CASE WHEN sentiment > 0.01 THEN 'Positive' WHEN sentiment < -0.01 THEN 'Negative' ELSE 'Neutral' END AS band FROM x""")
 def _(b):
-    lexicon = feedback.induced_lexicon(rated_texts(b), "document_id", "content", "liked")
+    lexicon = feedback.induced_lexicon(rated_texts(b), "document_id", "content", "liked", at_least=5)
     return feedback.sentiment(b.turns, lexicon, ["conversation_id", "turn"], "comment", cut=0.01)
 
 
@@ -311,9 +311,10 @@ best AS (SELECT GROUPCOL, term, tf, {sql_round('tf * LN(CAST((SELECT COUNT(*) FR
 @plan("theme_classify", "X5", roles="filings turns", sql=f"""
 WITH {TERMS.replace('GROUPCOL', 'language')}, kw AS (SELECT language AS theme, term, weight FROM best QUALIFY ROW_NUMBER() OVER (PARTITION BY language ORDER BY weight DESC, term) <= 40),
 {TURN_WORDS}, s AS (SELECT conversation_id, turn, theme, {sql_round('SUM(weight)', 2)} AS s FROM turn_words JOIN kw USING (term) GROUP BY 1, 2, 3)
-SELECT conversation_id, turn, theme FROM s QUALIFY ROW_NUMBER() OVER (PARTITION BY conversation_id, turn ORDER BY s DESC, theme) = 1""")
+SELECT t.conversation_id, t.turn, theme FROM (SELECT DISTINCT conversation_id, turn FROM turns) t LEFT JOIN s ON s.conversation_id = t.conversation_id AND s.turn = t.turn
+QUALIFY ROW_NUMBER() OVER (PARTITION BY t.conversation_id, t.turn ORDER BY s DESC, theme) = 1""")
 def _(b):
-    kw = feedback.group_terms(b.filings, "language", "document_id", "content", k=40).select(F.col("language").alias("theme"), "term", "weight")
+    kw = feedback.group_terms(b.filings, "language", "document_id", "content", k=40, min_docs=3).select(F.col("language").alias("theme"), "term", "weight")
     return feedback.classify(b.turns, kw, ["conversation_id", "turn"], "comment").drop("strength")
 
 
@@ -321,10 +322,10 @@ def _(b):
 WITH {TERMS.replace('GROUPCOL', 'language')}, kw AS (SELECT language AS theme, term, weight FROM best QUALIFY ROW_NUMBER() OVER (PARTITION BY language ORDER BY weight DESC, term) <= 40),
 s AS (SELECT document_id, theme, {sql_round('SUM(weight)', 2)} AS s FROM doc_words JOIN kw USING (term) GROUP BY 1, 2),
 c AS (SELECT document_id, theme FROM s QUALIFY ROW_NUMBER() OVER (PARTITION BY document_id ORDER BY s DESC, theme) = 1)
-SELECT theme, COUNT(*) AS surveys, {sql_mean('nps_rating', 1)} AS avg_rating FROM c JOIN ratings USING (document_id) GROUP BY 1""")
+SELECT theme, COUNT(*) AS surveys, {sql_mean('nps_rating', 1)} AS avg_rating FROM ratings JOIN filings USING (document_id) LEFT JOIN c USING (document_id) GROUP BY 1""")
 def _(b):
     from covermetrics.functions.numbers import mean
-    kw = feedback.group_terms(b.filings, "language", "document_id", "content", k=40).select(F.col("language").alias("theme"), "term", "weight")
+    kw = feedback.group_terms(b.filings, "language", "document_id", "content", k=40, min_docs=3).select(F.col("language").alias("theme"), "term", "weight")
     themes = feedback.classify(rated_texts(b), kw, ["document_id"], "content")
     return themes.join(b.ratings.select("document_id", "nps_rating"), "document_id").groupBy("theme").agg(
         F.count(F.lit(1)).alias("surveys"), mean("nps_rating", 1).alias("avg_rating"))
@@ -333,7 +334,7 @@ def _(b):
 @plan("summary_terms", "X6", roles="filings", sql=f"""
 WITH {TERMS.replace('GROUPCOL', 'document_type')} SELECT *, ROW_NUMBER() OVER (PARTITION BY document_type ORDER BY weight DESC, term) AS rank FROM best QUALIFY rank <= 5""")
 def _(b):
-    return feedback.group_terms(b.filings, "document_type", "document_id", "content", k=5)
+    return feedback.group_terms(b.filings, "document_type", "document_id", "content", k=5, min_docs=3)
 
 
 @plan("summary_sentences", "X6", roles="filings", sql=f"""
@@ -345,4 +346,4 @@ c AS (SELECT document_type, document_id, pos, {sql_round('AVG(n)', 4)} AS score
 SELECT document_type, document_id, CAST(pos AS INT) AS pos, score, sentence FROM c JOIN s USING (document_type, document_id, pos)
 QUALIFY ROW_NUMBER() OVER (PARTITION BY document_type ORDER BY score DESC, document_id, pos) = 1""")
 def _(b):
-    return feedback.central_sentences(b.filings, "document_type", "document_id", "content")
+    return feedback.central_sentences(b.filings, "document_type", "document_id", "content", min_chars=20)

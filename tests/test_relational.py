@@ -52,6 +52,16 @@ def test_attach_group_facts_keeps_null_groups_and_leaves_hot_rows_in_place(spark
     assert "BroadcastHashJoin" in warm and "hashpartitioning(k" not in warm
 
 
+def test_not_in_follows_sql(spark):
+    left = spark.createDataFrame([(1,), (2,), (None,)], "v int")
+    for values in ([(1,)], [(1,), (None,)], [], [(None,)]):
+        right = spark.createDataFrame(values, "v int")
+        left.createOrReplaceTempView("l_values")
+        right.createOrReplaceTempView("r_values")
+        want = spark.sql("SELECT v FROM l_values WHERE v NOT IN (SELECT v FROM r_values)").collect()
+        assert sorted(map(str, rel.not_in(left, right, "v").collect())) == sorted(map(str, want))
+
+
 def test_number_rows_is_dense_and_stable(spark):
     df = spark.range(5000).withColumnRenamed("id", "key")
     a = rel.number_rows(df, "key")
