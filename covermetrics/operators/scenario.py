@@ -50,7 +50,7 @@ def scenario_grid(policies: DataFrame, claims: DataFrame, levers: DataFrame) ->
         rounded(F.col("_p") - F.col("_i") + F.col("_n"), 0).alias("net_result"))
 
 
-def threshold_alerts(claims: DataFrame, invoices: DataFrame, at_risk: DataFrame, segments: DataFrame) -> DataFrame:
+def threshold_alerts(claims: DataFrame, invoices: DataFrame, at_risk: DataFrame, segments: DataFrame, anomalies: DataFrame) -> DataFrame:
     def one(name, df, cond, amount=None):
         total = rounded(F.sum(F.when(cond, F.col(amount))), 0) if amount else F.lit(None).cast("double")
         return df.agg(F.count_if(cond).alias("n"), total.alias("amount")).select(F.lit(name).alias("alert"), "n", "amount")
@@ -59,6 +59,7 @@ def threshold_alerts(claims: DataFrame, invoices: DataFrame, at_risk: DataFrame,
         one("overdue_invoices", invoices, status_is("payment_status", "Overdue"), "outstanding"),
         one("high_churn_policies", at_risk, F.col("churn_probability") > 0.7, "revenue_at_risk"),
         one("underpriced_segments", segments, F.col("pricing_status") == "UNDERPRICED"),
+        one("anomalous_months", anomalies, F.col("is_anomaly")),
     ]
     out = parts[0]
     for p in parts[1:]:

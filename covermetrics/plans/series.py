@@ -82,11 +82,14 @@ def _(b):
     return timeseries.backtest(count_series(b))
 
 
-@plan("anomaly_flags", "M6 X3", roles="claims", sql=f"""
-WITH {COST_SERIES}, cut AS (SELECT series, CAST(MAX(month) - INTERVAL 3 MONTH AS DATE) AS cut FROM series GROUP BY 1),
+ANOMALY_SQL = f"""{COST_SERIES}, cut AS (SELECT series, CAST(MAX(month) - INTERVAL 3 MONTH AS DATE) AS cut FROM series GROUP BY 1),
 train AS (SELECT s.* FROM series s JOIN cut USING (series) WHERE month < cut), {model_sql(source='train')},
 e AS (SELECT s.series, month, value, intercept + slope * CAST(YEAR(month) * 12 + MONTH(month) - 1 - 24000 AS DOUBLE) + COALESCE(effect, 0.0) AS y, sigma
-FROM series s JOIN line USING (series) JOIN sigma USING (series) LEFT JOIN season x ON x.series = s.series AND x.moy = MONTH(s.month))
+FROM series s JOIN line USING (series) JOIN sigma USING (series) LEFT JOIN season x ON x.series = s.series AND x.moy = MONTH(s.month))"""
+
+
+@plan("anomaly_flags", "M6 X3", roles="claims", sql=f"""
+WITH {ANOMALY_SQL}
 SELECT series, month, {sql_round('value', 2)} AS actual, {sql_round('y', 2)} AS expected, {sql_round('(value - y) / sigma', 3)} AS distance,
        {sql_round('1.0 / (1.0 + EXP(-1.702 * (value - y) / sigma))', 3)} AS percentile, ABS({sql_round('(value - y) / sigma', 3)}) > 2 AS is_anomaly FROM e""")
 def _(b):
@@ -131,13 +134,14 @@ def _(b):
 
 
 @plan("threshold_alerts", "M8 U1", roles="claims invoices policies customers", sql=f"""
-WITH {FEATURES}, seg AS (SELECT state_id, policy_type, {sql_percent('SUM(i)', 'SUM(premium)')} AS lr FROM policies LEFT JOIN (SELECT policy_id, SUM(amount) AS i FROM claims GROUP BY 1) USING (policy_id) JOIN customers USING (customer_id) GROUP BY 1, 2)
+WITH {ANOMALY_SQL}, {FEATURES}, seg AS (SELECT state_id, policy_type, {sql_percent('SUM(i)', 'SUM(premium)')} AS lr FROM policies LEFT JOIN (SELECT policy_id, SUM(amount) AS i FROM claims GROUP BY 1) USING (policy_id) JOIN customers USING (customer_id) GROUP BY 1, 2)
 SELECT 'high_fraud_claims' AS alert, COUNT(*) AS n, {sql_round('SUM(amount)', 0)} AS amount FROM claims WHERE fraud_score > 80
 UNION ALL SELECT 'overdue_invoices', COUNT(*), {sql_round('SUM(outstanding)', 0)} FROM invoices WHERE payment_status IN ('Overdue', 'PastDue')
 UNION ALL SELECT 'high_churn_policies', COUNT(*), {sql_round('SUM(revenue_at_risk)', 0)} FROM features WHERE churn_probability > 0.7
-UNION ALL SELECT 'underpriced_segments', COUNT(*), NULL FROM seg WHERE lr > 90""")
+UNION ALL SELECT 'underpriced_segments', COUNT(*), NULL FROM seg WHERE lr > 90
+UNION ALL SELECT 'anomalous_months', COUNT(*), NULL FROM e WHERE ABS({sql_round('(value - y) / sigma', 3)}) > 2""")
 def _(b):
-    return scenario.threshold_alerts(b.claims, b.invoices, features(b), segments(b))
+    return scenario.threshold_alerts(b.claims, b.invoices, features(b), segments(b), timeseries.detect_anomalies(cost_series(b)))
 
 
 @plan("brief_metrics", "K52 J11 P12 F17", roles="claims invoices policies", sql=f"""
