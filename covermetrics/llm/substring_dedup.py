@@ -14,7 +14,9 @@ Null and empty texts have no words. Rows equal in id and text are separate occur
 
 from __future__ import annotations
 
+import hashlib
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,6 +32,7 @@ WINDOW = 35
 GRAM = 8
 HOT = 2000
 SHARD_WORDS = 50_000
+HELD_SEGMENTS = 100_000
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 RUNS = "array<struct<least:bigint,start:int,n:int>>"
 ORDER_BITS = 22  # a block holds fewer words than 2**22
@@ -86,40 +89,56 @@ def _runs(window: int, gram: int):
     return F.arrow_udf(find, RUNS)
 
 
-def _segments(docs: DataFrame, window: int) -> DataFrame:
-    """(id, key, shard, start, segment): the text of each run of the column `list`; windows of hot runs one by one."""
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _cut(batch: pa.RecordBatch, rolling: Rolling, window: int) -> Iterator[tuple[int, int, int, bytes]]:
+    """(row, shard, start, segment) of each run of the column `list`; windows of hot runs one by one."""
+    data, offsets = text_bytes(batch.column("text"))
+    starts, ends = spans(~byte_table(SPACES)[data], offsets)
+    first = np.searchsorted(starts, offsets)
+    hashes = rolling.grams(rolling.words(data, starts, ends), window).astype(np.int64)
+    raw = data.tobytes()
+    words = [raw[a:b] for a, b in zip(starts.tolist(), ends.tolist())]
+    for i, runs in enumerate(batch.column("list").to_pylist()):
+        for run in runs:
+            a, n = int(first[i]) + run["start"], run["n"]
+            if not run["hot"]:
+                yield i, run["least"], run["start"], b" ".join(words[a:a + n + window - 1])
+                continue
+            for k in range(n):
+                yield i, int(hashes[a + k]), run["start"] + k, b" ".join(words[a + k:a + k + window])
+
+
+def _segment_counts(docs: DataFrame, window: int) -> DataFrame:
+    """(shard, segment, copies): each task adds up the copies it sees, a bounded number of segments at a time."""
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rolling, held = Rolling(), Counter()
+
+        def flush() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([k[0] for k in held], pa.int64()), pa.array([k[1] for k in held], pa.binary()).cast(pa.string()),
+                                               pa.array(held.values(), pa.int64())], ["shard", "segment", "copies"])
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                held.update((shard, segment) for _, shard, _, segment in _cut(batch.slice(at, 256), rolling, window))
+                if len(held) > HELD_SEGMENTS:
+                    yield flush()
+                    held.clear()
+        yield flush()
+    return docs.mapInArrow(count, "shard bigint, segment string, copies bigint")
+
+
+def _segment_places(docs: DataFrame, window: int) -> DataFrame:
+    """(id, key, shard, start, digest of the segment) of each segment."""
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rolling = Rolling()
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                data, offsets = text_bytes(part.column("text"))
-                starts, ends = spans(~byte_table(SPACES)[data], offsets)
-                first = np.searchsorted(starts, offsets)
-                hashes = rolling.grams(rolling.words(data, starts, ends), window).astype(np.int64)
-                raw = data.tobytes()
-                words = [raw[a:b] for a, b in zip(starts.tolist(), ends.tolist())]
-                index, shard, start, text = [], [], [], []
-                for i, runs in enumerate(part.column("list").to_pylist()):
-                    base = int(first[i])
-                    for run in runs:
-                        a, n = base + run["start"], run["n"]
-                        if run["hot"]:
-                            for k in range(n):
-                                index.append(i)
-                                shard.append(int(hashes[a + k]))
-                                start.append(run["start"] + k)
-                                text.append(b" ".join(words[a + k:a + k + window]))
-                        else:
-                            index.append(i)
-                            shard.append(run["least"])
-                            start.append(run["start"])
-                            text.append(b" ".join(words[a:a + n + window - 1]))
+                found = [(i, shard, start, hashlib.md5(segment).digest()) for i, shard, start, segment in _cut(part, rolling, window)]
+                index, shard, start, digest = zip(*found) if found else ((), (), (), ())
                 rows = pa.array(index, pa.int64())
                 yield pa.RecordBatch.from_arrays(
                     [part.column("id").take(rows), part.column("key").take(rows), pa.array(shard, pa.int64()), pa.array(start, pa.int32()),
-                     pa.array(text, pa.binary()).cast(pa.string())], ["id", "key", "shard", "start", "segment"])
-    return docs.mapInArrow(cut, "id string, key bigint, shard bigint, start int, segment string")
+                     pa.array(digest, pa.binary())], ["id", "key", "shard", "start", "digest"])
+    return docs.mapInArrow(place, "id string, key bigint, shard bigint, start int, digest binary")
 
 
 def repeated_windows(segments: list[tuple[list[str], int]], window: int) -> list[list[int]]:
@@ -131,30 +150,36 @@ def repeated_windows(segments: list[tuple[list[str], int]], window: int) -> list
     return [[end - window for end, state in automaton.windows(words, window) if count[state] > 1] for words, _ in segments]
 
 
-def _judged(distinct: DataFrame, window: int) -> DataFrame:
+def _judged(counts: DataFrame, window: int) -> DataFrame:
     """(shard, digest, windows) of the distinct segments that hold a repeated window."""
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[int, str, int]] = []
-        size = 0
+        group: Counter = Counter()
+        size, now = 0, None
 
         def flush() -> pa.RecordBatch:
             found = repeated_windows([(t.split(" "), n) for _, t, n in held], window)
-            keep = [(s, t, w) for (s, t, _), w in zip(held, found) if w]
+            keep = [(s, hashlib.md5(t.encode()).digest(), w) for (s, t, _), w in zip(held, found) if w]
             return pa.RecordBatch.from_arrays(
-                [pa.array([s for s, _, _ in keep], pa.int64()), pa.array([t for _, t, _ in keep], pa.string()),
-                 pa.array([w for _, _, w in keep], pa.list_(pa.int32()))], ["shard", "segment", "windows"])
+                [pa.array([s for s, _, _ in keep], pa.int64()), pa.array([t for _, t, _ in keep], pa.binary()),
+                 pa.array([w for _, _, w in keep], pa.list_(pa.int32()))], ["shard", "digest", "windows"])
 
         for batch in batches:
             for shard, text, copies in zip(*(batch.column(c).to_pylist() for c in ("shard", "segment", "copies"))):
-                if size >= SHARD_WORDS and shard != held[-1][0]:
-                    yield flush()
-                    held, size = [], 0
-                held.append((shard, text, copies))
-                size += text.count(" ") + 1
+                if shard != now:
+                    held += [(now, t, n) for t, n in group.items()]
+                    size += sum(t.count(" ") + 1 for t in group)
+                    group.clear()
+                    now = shard
+                    if size >= SHARD_WORDS:
+                        yield flush()
+                        held, size = [], 0
+                group[text] += copies
+        held += [(now, t, n) for t, n in group.items()]
         if held:
             yield flush()
-    dealt = distinct.repartition("shard").sortWithinPartitions("shard")
-    return dealt.mapInArrow(judge, "shard bigint, segment string, windows array<int>")
+    dealt = counts.repartition("shard").sortWithinPartitions("shard")
+    return dealt.mapInArrow(judge, "shard bigint, digest binary, windows array<int>")
 
 
 def _kept(window: int):
@@ -184,10 +209,10 @@ def remove_repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
     runs = rows.select("id", "key", F.explode(_runs(window, gram)(C("text"))).alias("run")).select("id", "key", "run.*")
     counts = runs.groupBy("least").agg(F.count("*").alias("n_runs")).where("n_runs > 1")
     lists = runs.join(counts, "least").groupBy("id", "key").agg(F.collect_set(F.struct("least", "start", "n", (C("n_runs") > hot).alias("hot"))).alias("list"))
-    pieces = _segments(rows.select("id", "key", "text").join(lists, ["id", "key"]).select("id", "key", "text", "list"), window)
-    distinct = pieces.groupBy("shard", "segment").agg(F.count("*").alias("copies"))
-    judged = _judged(distinct, window).select("shard", F.unhex(F.md5("segment")).alias("digest"), "windows")
-    found = pieces.select("id", "key", "shard", "start", F.unhex(F.md5("segment")).alias("digest")).join(judged, ["shard", "digest"])
+    # The same columns of the rows as in the last join, so that both read one shuffle of the texts.
+    listed = rows.join(lists, ["id", "key"])
+    judged = _judged(_segment_counts(listed, window), window)
+    found = _segment_places(listed, window).join(judged, ["shard", "digest"])
     cuts = found.select("id", "key", F.transform("windows", lambda w: w + C("start")).alias("at")) \
         .groupBy("id", "key").agg(F.flatten(F.collect_list("at")).alias("cuts"))
     done = rows.join(cuts, ["id", "key"], "left").withColumn("r", _kept(window)(C("text"), C("cuts")))
