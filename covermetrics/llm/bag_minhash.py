@@ -16,6 +16,7 @@ than a shingle is one shingle. A class is named by its least id (null if it has
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +33,7 @@ BANDS, BAND_ROWS = 20, 4
 SIMILARITY = 0.8
 LIKELY = 0.72  # signature estimate from which a pair is verified
 BLOCK = 512
+TEXTS = 256  # texts signed together
 BEST = 3
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
@@ -115,7 +117,8 @@ def signature(text: Column) -> Column:
         rolling = Rolling()
         for column in batches:
             n_all, bands_all, marks_all = [], [], []
-            for data, offsets in block_arrays(column, 1 << 20):
+            # Points grow with the number of texts as well as with their length.
+            for data, offsets in chain.from_iterable(block_arrays(column.slice(at, TEXTS), 1 << 19) for at in range(0, len(column), TEXTS)):
                 n = len(offsets) - 1
                 rows, hashes, counts = counted(*shingles(data, offsets, rolling))
                 registers = signatures(rows, hashes, counts, n)
