@@ -10,9 +10,11 @@ A null or empty text is its end id alone; an empty table gives a table without b
 
 from __future__ import annotations
 
+import hashlib
 import os
 import re
 from collections.abc import Iterator
+from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
@@ -20,18 +22,27 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from covermetrics.llm.rows import for_worker
+
 BLOCK_IDS = 1 << 18
 ROUNDS = 6
 PAIRS_A_ROUND = 1024
 LEAST_COUNT = 24
-CACHED = 300_000
-PIECE = re.compile(r"[^ \t\n\x0b\x0c\r]+")  # white space that the tokenizer drops
+CACHED = 400_000
+CONTROL = re.compile(r"[\x1c-\x1f]")  # white space to str.split, not to the tokenizer
+PIECE = re.compile(r"[^ \t\n\x0b\x0c\r]+")
+RUN = re.compile(r"[^\W\d_]+|[\W\d_]+")
+JOINED = re.compile("'|<[|]|İ")  # İ lower-cases to a letter and a mark
 BLOCK = ("shard int, block int, n_tokens bigint, base int, lefts array<int>, rights array<int>, rule_lengths array<int>, "
          "symbols binary, docs array<{id}>, doc_symbols array<int>, doc_tokens array<int>")
 
 
 class PieceEncoder:
-    """Ids of a text as packed 32-bit integers; white space ends a token, so pieces are encoded once and kept."""
+    """Ids of a text as packed 32-bit integers. White space ends a token, so words are encoded once and kept.
+
+    A word in normal form without an apostrophe, a special token's mark or İ is encoded run by run (letters, other characters),
+    as the tokenizer's own split does; runs of letters go to the tokenizer many at a time, joined by spaces.
+    """
 
     def __init__(self, model: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -40,30 +51,60 @@ class PieceEncoder:
         self.tokenizer = Tokenizer.from_str(model)
         self.vocabulary = self.tokenizer.get_vocab_size()
         self.kept: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.runs: dict[str, bytes] = {}
 
     def encode(self, texts: list[str], end: int) -> list[bytes]:
-        split = [PIECE.findall(t) for t in texts]
-        if len(self.kept) > CACHED:
-            self.kept.clear()
-        kept = self.kept
-        if new := list(set().union(*split).difference(kept)):
-            for piece, got in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-                kept[piece] = np.array(got.ids, "<u4").tobytes()
+        split = [PIECE.findall(t) if CONTROL.search(t) else t.split() for t in texts]
+        if len(self.kept) > CACHED:  # words seen since the last time come back from the older half
+            self.older, self.kept = self.kept, {}
+        if len(self.runs) > CACHED:
+            self.runs.clear()
+        kept, runs, older = self.kept, self.runs, self.older
+        unseen = set().union(*split).difference(kept)
+        kept.update({w: older[w] for w in unseen.intersection(older)})
+        new = {w: RUN.findall(w) if is_normalized("NFC", w) and not JOINED.search(w) else [w] for w in unseen.difference(kept)}
+        self._encode_runs(list(set().union(*new.values()).difference(runs)))
+        for word, parts in new.items():
+            kept[word] = b"".join([runs[p] for p in parts])
         tail = np.array([end], "<u4").tobytes()
-        return [b"".join(map(kept.__getitem__, pieces)) + tail for pieces in split]
-
-
-def frequent_pairs(left: np.ndarray, right: np.ndarray, usable: np.ndarray, most: int, least: int) -> np.ndarray:
-    """The pairs (as left << 32 | right) that occur `least` times or more, the `most` most frequent ones.
+        return [b"".join(map(kept.__getitem__, words)) + tail for words in split]
+
+    def _encode_runs(self, new: list[str]) -> None:
+        alone = [r for r in new if not r.isalpha()]
+        letters = [r for r in new if r.isalpha()]
+        for at in range(0, len(letters), 1000):
+            part = letters[at:at + 1000]
+            got = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
+            ids, number = np.array(got.ids, "<u4"), np.array(got.word_ids)
+            cut = np.flatnonzero(np.diff(number)) + 1
+            if len(ids) and len(cut) + 1 == len(part):  # each run is one word to the tokenizer too
+                raw, ends = ids.tobytes(), [*(4 * cut).tolist(), 4 * len(ids)]
+                self.runs.update(zip(part, [raw[a:b] for a, b in zip([0, *ends], ends)]))
+            else:
+                alone += part
+        for run, got in zip(alone, self.tokenizer.encode_batch_fast(alone, add_special_tokens=False) if alone else ()):
+            self.runs[run] = np.array(got.ids, "<u4").tobytes()
+
+
+def frequent_pairs(left: np.ndarray, right: np.ndarray, usable: np.ndarray, most: int, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The pairs (as left << 32 | right) that occur `least` times or more, the `most` most frequent ones; where they occur,
+    and which of them there.
 
     Counting goes by hash bucket first; only pairs in full buckets are counted exactly.
     """
     bucket = (left * np.uint32(0x9E3779B1) ^ right * np.uint32(0x85EBCA6B)) >> np.uint32(14)
     full = np.bincount(bucket[usable], minlength=1 << 18) >= least
     at = np.flatnonzero(usable & full[bucket])
-    pairs, counts = np.unique((left[at].astype(np.uint64) << np.uint64(32)) | right[at], return_counts=True)
+    keys = (left[at].astype(np.uint64) << np.uint64(32)) | right[at]
+    pairs, counts = np.unique(keys, return_counts=True)
     pairs, counts = pairs[counts >= least], counts[counts >= least]
-    return np.sort(pairs[np.argsort(-counts, kind="stable")[:most]])
+    pairs = np.sort(pairs[np.argsort(-counts, kind="stable")[:most]])
+    if not len(pairs):
+        return pairs, at[:0], at[:0]
+    slot = np.minimum(np.searchsorted(pairs, keys), len(pairs) - 1)
+    found = pairs[slot] == keys
+    return pairs, at[found], slot[found]
 
 
 def compress(ids: np.ndarray, row_ends: np.ndarray, base: int, rounds: int = ROUNDS, most: int = PAIRS_A_ROUND,
@@ -77,19 +118,14 @@ def compress(ids: np.ndarray, row_ends: np.ndarray, base: int, rounds: int = ROU
         left, right = x[:-1], x[1:]
         usable = np.ones(len(left), bool)
         usable[ends[:-1] - 1] = False
-        pairs = frequent_pairs(left, right, usable, most, least)
+        pairs, at, slot = frequent_pairs(left, right, usable, most, least)
         if not len(pairs):
             break
-        rule = np.full(len(left), -1, np.int64)
-        bucket_of = (left.astype(np.uint64) << np.uint64(32)) | right
-        slot = np.minimum(np.searchsorted(pairs, bucket_of), len(pairs) - 1)
-        rule[usable & (pairs[slot] == bucket_of)] = 0
-        at = np.flatnonzero(rule >= 0)
         run = np.flatnonzero(np.diff(at, prepend=-2) > 1)  # of neighbouring pairs every other one is taken
         offset = at - np.repeat(at[run], np.diff(np.append(run, len(at))))
-        at = at[offset % 2 == 0]
+        at, slot = at[offset % 2 == 0], slot[offset % 2 == 0]
         x = x.copy()
-        x[at] = base + len(lefts) + slot[at]
+        x[at] = base + len(lefts) + slot
         keep = np.ones(len(x), bool)
         keep[at + 1] = False
         ends = np.concatenate([[0], np.cumsum(keep)])[ends]
@@ -126,13 +162,14 @@ def id_range(symbols: np.ndarray, lefts, rights, rule_lengths, base: int, start:
 def write_token_files(docs: DataFrame, path: str, model: str, *, end: int = 1, doc_id: str = "doc_id", text: str = "text",
                       block_ids: int = BLOCK_IDS) -> None:
     """Encode the texts, append the end id to each, and write the blocks in ascending id order. `model`: a tokenizer's JSON."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # one fixed vocabulary
+    shared, digest = docs.sparkSession.sparkContext.broadcast(model), hashlib.md5(model.encode()).hexdigest()  # one fixed vocabulary
     rows = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"))
     order = ["id", F.xxhash64("text"), "text"]
     dealt = rows.repartitionByRange("id", F.xxhash64("text")).sortWithinPartitions(*order)
 
     def block_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, shard, n = PieceEncoder(shared.value), TaskContext.get().partitionId(), 0
+        encoder = for_worker("pieces", digest, lambda: PieceEncoder(shared.value))
+        shard, n = TaskContext.get().partitionId(), 0
         held: list[tuple[object, bytes]] = []
         size = 0
 
