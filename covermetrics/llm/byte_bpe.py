@@ -10,9 +10,9 @@ Null and empty texts have no tokens; a vocabulary must hold all 256 single bytes
 from __future__ import annotations
 
 import base64
+import hashlib
 import heapq
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -20,10 +20,13 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from covermetrics.llm.rows import for_worker
+
 LEAF_CHARS = 8192
 LEAF_BYTES = 64
 LOOKAHEAD = 3
 CACHED = 300_000
+NO_RANK = 1 << 40
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -66,25 +69,36 @@ def join_matches(left: list[str], right: list[str], findall) -> list[str]:
 
 
 class Encoder:
-    """Token ids of single matches by the ranks; results of short matches are kept, a bounded number of them."""
+    """Token ids by the ranks, packed as 32-bit integers; those of single matches are kept, a bounded number of them."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str, leaf_chars: int = LEAF_CHARS, leaf_bytes: int = LEAF_BYTES):
         self.ranks, self.leaf_chars, self.leaf_bytes = ranks, leaf_chars, leaf_bytes
         self.findall = regex.compile(pattern).findall
-        self.kept: dict[str, tuple[int, ...]] = {}
-
-    def encode(self, text: str) -> list[int]:
-        matches = split_text(text, self.findall, self.leaf_chars)
-        kept = self.kept
-        if len(kept) > CACHED:
-            kept.clear()
-        for m in set(matches).difference(kept):
-            kept[m] = self.match_ids(m.encode())
-        return list(chain.from_iterable(map(kept.__getitem__, matches)))
-
-    def match_ids(self, raw: bytes) -> tuple[int, ...]:
-        whole = self.ranks.get(raw)
-        return (whole,) if whole is not None else tuple(self.ranks[t] for t in self.tokens(raw))
+        self.kept: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.pairs = PairTable(ranks)
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        split = [split_text(t, self.findall, self.leaf_chars) for t in texts]
+        if len(self.kept) > CACHED:  # matches seen since the last time come back from the older half
+            self.older, self.kept = self.kept, {}
+        kept, older = self.kept, self.older
+        unseen = set().union(*split).difference(kept)
+        kept.update({m: older[m] for m in unseen.intersection(older)})
+        leaves = []
+        for match in unseen.difference(kept):
+            raw = match.encode()
+            if (whole := self.ranks.get(raw)) is not None:
+                kept[match] = np.uint32(whole).tobytes()
+            elif len(raw) <= self.leaf_bytes:
+                leaves.append((match, raw))
+            else:
+                kept[match] = np.array([self.ranks[t] for t in self.tokens(raw)], "<u4").tobytes()
+        leaves.sort(key=lambda x: len(x[1]))
+        for at in range(0, len(leaves), 4096):
+            part = leaves[at:at + 4096]
+            kept.update(zip([m for m, _ in part], self.pairs.merge([raw for _, raw in part])))
+        return [b"".join(map(kept.__getitem__, matches)) for matches in split]
 
     def tokens(self, raw: bytes) -> list[bytes]:
         if len(raw) <= self.leaf_bytes:
@@ -104,6 +118,57 @@ class Encoder:
             i, j = i if left_stable else 2 * i, j if right_stable else 2 * j
 
 
+class PairTable:
+    """Rank of each pair of token ids that can merge, to merge many short pieces in step."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        found = {}
+        for token, rank in ranks.items():
+            for k in range(1, len(token)):
+                left, right = ranks.get(token[:k]), ranks.get(token[k:])
+                if left is not None and right is not None:
+                    found[left << 32 | right] = rank
+        self.keys = np.array(sorted(found), np.int64)
+        self.values = np.array([found[k] for k in self.keys.tolist()], np.int64)
+        self.single = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
+
+    def rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        key = np.where((left >= 0) & (right >= 0), left << 32 | right, -1)
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where(self.keys[at] == key, self.values[at], NO_RANK)
+
+    def merge(self, pieces: list[bytes]) -> list[bytes]:
+        """Packed ids of each piece: in each step every piece merges its pair of lowest rank, the leftmost of equals."""
+        n, width = len(pieces), max(map(len, pieces)) + 1
+        sizes = np.array([len(p) for p in pieces])
+        ids = np.full((n, width), -1, np.int64)
+        ids[np.arange(width) < sizes[:, None]] = self.single[np.frombuffer(b"".join(pieces), np.uint8)]
+        if not len(self.keys):
+            return [ids[i, :k].astype("<u4").tobytes() for i, k in enumerate(sizes.tolist())]
+        rank = self.rank(ids[:, :-1], ids[:, 1:])
+        open_rows, column = np.arange(n), np.arange(width)
+        while len(open_rows):
+            now = rank[open_rows]
+            at = now.argmin(1)
+            least = now[np.arange(len(open_rows)), at]
+            more = least < NO_RANK
+            open_rows, at, least, now = open_rows[more], at[more], least[more], now[more]
+            if not len(open_rows):
+                break
+            source = np.minimum(column + (column > at[:, None]), width - 1)
+            moved = np.take_along_axis(ids[open_rows], source, 1)
+            i = np.arange(len(open_rows))
+            moved[i, at] = least
+            now = np.take_along_axis(now, np.minimum(source[:, :-1], width - 2), 1)
+            now[i, at] = self.rank(moved[i, at], moved[i, at + 1])
+            before = np.maximum(at - 1, 0)
+            now[i, before] = np.where(at > 0, self.rank(moved[i, before], moved[i, at]), now[i, before])
+            ids[open_rows], rank[open_rows] = moved, now
+            sizes[open_rows] -= 1
+        flat, ends = ids[column < sizes[:, None]].astype("<u4").tobytes(), 4 * np.cumsum(sizes)
+        return [flat[a:b] for a, b in zip((ends - 4 * sizes).tolist(), ends.tolist())]
+
+
 def merge_bytes(raw: bytes, ranks: dict[bytes, int]) -> list[bytes]:
     """Merge the adjacent pair of lowest rank, the leftmost of equals, until no pair has a rank."""
     n = len(raw)
@@ -140,18 +205,18 @@ def decode_ids(ids: list[int], table: list[bytes], leaf: int = 4096) -> bytes:
 
 def encode(docs: DataFrame, path: str, pattern: str, *, text: str = "text", out: str = "ids") -> DataFrame:
     """The documents with their token ids in the column `out`, an array of int."""
-    ranks = docs.sparkSession.sparkContext.broadcast(load_ranks(path))  # one fixed vocabulary
+    table = load_ranks(path)
+    ranks = docs.sparkSession.sparkContext.broadcast(table)  # one fixed vocabulary
+    key = hashlib.md5(repr((pattern, sorted(table.items()))).encode()).hexdigest()
 
     def ids_of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        encoder = Encoder(ranks.value, pattern)
+        encoder = for_worker("matches", key, lambda: Encoder(ranks.value, pattern))
         for column in batches:
-            parts, sizes = [], [0]
-            for value in column:
-                ids = encoder.encode(value.as_py() or "")
-                parts.append(np.array(ids, np.int32))
-                sizes.append(len(ids))
-            flat = np.concatenate(parts) if parts else np.zeros(0, np.int32)
-            yield pa.ListArray.from_arrays(pa.array(np.cumsum(sizes), pa.int32()), pa.array(flat, pa.int32()))
+            packed = []
+            for at in range(0, len(column), 256):
+                packed += encoder.encode([t or "" for t in column.slice(at, 256).to_pylist()])
+            ends = np.cumsum([0, *map(len, packed)]) // 4
+            yield pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(packed), np.int32), pa.int32()))
     return docs.withColumn(out, F.arrow_udf(ids_of, "array<int>")(F.col(text)))
 
 
