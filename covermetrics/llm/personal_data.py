@@ -3,8 +3,10 @@
 Seeds are base matches: emails, IPv4 addresses, card numbers that pass Luhn, phone numbers. Seeds and other tokens that
 hold a digit or an @ are instances; the words around an instance are its patterns (the two words before it; the word before
 and the word after). Each round scores every pattern on the graph of patterns and instances: how many distinct known
-instances support it, their share, and that share against the corpus. Patterns over all three limits turn their unknown
-instances into found ones, which support patterns of the next round.
+instances support it, their share, and that share against the seeds' share of the corpus: it must be `lift` times as high,
+or the unknown share `lift` times as low, which can be reached however many instances are seeds. Patterns over all three
+limits turn their unknown instances into found ones, which support patterns of the next round. The limits stay and support
+only grows, so a pattern of one round is one of all later rounds.
 
 Offsets count code points, ends are exclusive. A null or empty text has no spans. Rows equal in id and text share their spans.
 """
@@ -90,11 +92,12 @@ def found_spans(instances: DataFrame, rounds: int, support: int, share: float, l
     """(id, key, start, stop) of the unknown instances in patterns over the limits."""
     edges = written(instances.select("id", "key", "start", "stop", "value", "known", F.explode(C("patterns")).alias("pattern")), "pattern-graph")
     pairs = written(edges.groupBy("pattern", "value").agg(F.max("known").alias("known"), F.count("*").alias("n")), "pattern-pairs")
+    total = pairs.agg(F.avg(C("known").cast("double"))).first()[0] or 0.0  # of the seeds, before anything is found
+    least = max(share, min(lift * total, 1 - (1 - total) / lift))
     accepted = None
     for _ in range(rounds):
-        total = pairs.agg(F.avg(C("known").cast("double"))).first()[0] or 0.0
         scored = pairs.groupBy("pattern").agg(F.count_if("known").alias("support"), F.count("*").alias("size"))
-        accepted = scored.where((C("support") >= support) & (C("support") >= share * C("size")) & (C("support") >= lift * total * C("size"))).select("pattern")
+        accepted = scored.where((C("support") >= support) & (C("support") >= least * C("size"))).select("pattern")
         accepted = written(accepted, "patterns")
         fresh = pairs.where("NOT known").join(accepted, "pattern", "left_semi").select("value").distinct().withColumn("fresh", F.lit(True))
         pairs = written(pairs.join(fresh, "value", "left").select("pattern", "value", (C("known") | F.coalesce("fresh", F.lit(False))).alias("known"), "n"), "pattern-pairs")
