@@ -154,7 +154,7 @@ def _likely_pairs(buckets: DataFrame, best_only: bool) -> DataFrame:
 
     A row is at home in one block of its bucket; rows outside the main component also visit the others. A pair is compared
     where both are at home, or where the one at home is in the main component or has the lower digest. Without `best_only`
-    it is reported only in the first band whose registers agree.
+    it is reported only in the first band whose hashes agree (column `bands`), which is one of its buckets.
     """
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, group in _whole_groups(batches):
@@ -165,6 +165,8 @@ def _likely_pairs(buckets: DataFrame, best_only: bool) -> DataFrame:
             names = text.dictionary_encode().indices.to_numpy(zero_copy_only=False)
             order = np.argsort(np.array(text.to_pylist(), dtype="S16"), kind="stable").argsort()
             home, main, band = (rows.column(c).to_numpy(zero_copy_only=False) for c in ("home", "main", "band"))
+            if not best_only:
+                hashes = rows.column("bands").flatten().to_numpy(zero_copy_only=False).reshape(n, BANDS)
             share, partner = np.zeros(n), np.full(n, -1)
             found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
             for d in range(1, n):
@@ -178,8 +180,7 @@ def _likely_pairs(buckets: DataFrame, best_only: bool) -> DataFrame:
                     agree = ((marks[part] == marks[part + d]).mean(1) * 256 - 1) / 255
                     part, agree = part[agree >= LIKELY], agree[agree >= LIKELY]
                     if not best_only:
-                        same = (marks[part, :BANDS * BAND_ROWS] == marks[part + d, :BANDS * BAND_ROWS]).reshape(-1, BANDS, BAND_ROWS).all(2)
-                        earliest = same.argmax(1) == band[part]
+                        earliest = (hashes[part] == hashes[part + d]).argmax(1) == band[part]
                         found.append((part[earliest], part[earliest] + d, agree[earliest]))
                         continue
                     for x, y in ((part, part + d), (part + d, part)):
@@ -231,8 +232,8 @@ def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
         labels = new.select("t", "component")
 
 
-def text_classes(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(t, least, component) of each distinct text with words, and (t, n_links). `rows` has id, text and the digest t."""
+def text_classes(rows: DataFrame) -> DataFrame:
+    """(t, least, component) of each distinct text with words. `rows` has id, text and the digest t."""
     spark = rows.sparkSession
     signed = rows.select("id", "t", signature(C("text")).alias("s")).where("s.n > 0")
     texts = written(signed.groupBy("t").agg(F.first("s").alias("s"), F.min("id").alias("least")), "signatures")
@@ -240,12 +241,12 @@ def text_classes(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     shared = banded.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
     members = written(banded.join(shared, "bucket"), "buckets")
     near = members.select("t").distinct()
-    marked = written(near.join(texts.select("t", "s.marks"), "t"), "marks")
+    marked = written(near.join(texts.select("t", "s.marks", "s.bands"), "t"), "marks")
     lookup = written(rows.select("t", "text").join(near, "t", "left_semi").dropDuplicates(["t"]), "texts")
     n_blocks = F.ceil(C("size") / BLOCK)
     block = F.pmod(F.xxhash64("t", "bucket"), n_blocks).cast("bigint")
 
-    first = members.join(marked, "t").select(
+    first = members.join(marked.drop("bands"), "t").select(
         "bucket", block.alias("block"), "t", "band", "marks", C("t").alias("component"), F.lit(True).alias("home"), F.lit(False).alias("main"))
     best = _likely_pairs(first, best_only=True).groupBy("a").agg(F.slice(F.sort_array(F.collect_set(F.struct("share", "b")), False), 1, BEST).alias("p"))
     links = written(_verified(best.select("a", F.explode("p").alias("p")).select("a", C("p.b").alias("b")), lookup), "verified")
@@ -256,14 +257,13 @@ def text_classes(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     open_rows = named.join(main, "bucket").withColumn("inside", C("component") == C("main.component"))
     every_block = F.sequence(F.lit(0).cast("bigint"), n_blocks - 1)
     spread = open_rows.withColumn("block", F.explode(F.when(C("inside"), F.array(block)).otherwise(every_block))).join(marked, "t") \
-        .select("bucket", "block", "t", "band", "marks", "component", (C("block") == block).alias("home"), C("inside").alias("main"))
+        .select("bucket", "block", "t", "band", "marks", "bands", "component", (C("block") == block).alias("home"), C("inside").alias("main"))
     more = _verified(_likely_pairs(spread, best_only=False), lookup)
     links = written(links.union(more), "verified")
     found = components(spark, links)
-    degree = links.select("a").union(links.select("b")).groupBy("a").agg(F.count("*").alias("n_links")).withColumnRenamed("a", "t")
 
     classes = texts.select("t", "least").join(found, "t", "left").withColumn("component", F.coalesce("component", "t"))
-    return written(classes, "classes"), degree
+    return written(classes, "classes")
 
 
 def _rows(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -271,22 +271,22 @@ def _rows(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, class_id, n_copies (rows of the class), n_links (verified links of the row's text to other texts)."""
+    """doc_id, class_id, n_copies (rows of the class)."""
     rows = _rows(docs, doc_id, text)
-    classes, degree = text_classes(rows)
-    named = rows.select("id", "t").join(classes.select("t", "component"), "t", "left").join(degree, "t", "left")
+    classes = text_classes(rows)
+    named = rows.select("id", "t").join(classes.select("t", "component"), "t", "left")
     sizes = classes.join(rows.select("t").groupBy("t").agg(F.count("*").alias("n")), "t") \
         .groupBy("component").agg(F.min("least").alias("class_id"), F.sum("n").alias("n_copies"))
     alone = C("component").isNull()
     return named.join(sizes, "component", "left").select(
         C("id").alias(doc_id), F.when(alone, C("id")).otherwise(C("class_id")).alias("class_id"),
-        F.coalesce("n_copies", F.lit(1)).cast("bigint").alias("n_copies"), F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"))
+        F.coalesce("n_copies", F.lit(1)).cast("bigint").alias("n_copies"))
 
 
 def keep_one(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row of each class: the one of least id (nulls last). Rows without words stay; rows equal in id and text are one."""
     rows = _rows(docs, doc_id, text)
-    classes, _ = text_classes(rows)
+    classes = text_classes(rows)
     first = classes.groupBy("component").agg(F.min(F.struct(C("least").isNull().alias("none"), "least", "t")).alias("first")) \
         .select("first.least", "first.t")
     stays = rows.select("id", "t").join(classes.select("t", F.lit(True).alias("worded")), "t", "left") \

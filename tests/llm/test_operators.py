@@ -202,6 +202,18 @@ def test_near_duplicate_blocks_lose_no_link(spark, monkeypatch):
     assert got == brute.near_classes(rows)
 
 
+def test_second_round_reports_pairs_in_their_first_shared_band(spark):
+    """Band 0 agrees in every mark but not in its registers; only band 1 is a shared bucket."""
+    marks = bytes(bag_minhash.REGISTERS)
+    rows = [(bytes([x]) * 16, 1, [x, 7, *range(100 * x, 100 * x + 18)]) for x in (1, 2)]
+    buckets = spark.createDataFrame(
+        [(77, 0, t, band, marks, bands, t, True, False) for t, band, bands in rows],
+        "bucket bigint, block bigint, t binary, band int, marks binary, bands array<bigint>, component binary, home boolean, main boolean")
+    assert bag_minhash._likely_pairs(buckets, best_only=False).count() == 1
+    later = buckets.unionByName(buckets.withColumns({"bucket": F.lit(78).cast("bigint"), "band": F.lit(5)}))
+    assert bag_minhash._likely_pairs(later, best_only=False).count() == 1
+
+
 def encoding():
     with open(RANKS, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
