@@ -9,6 +9,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -341,6 +342,33 @@ def test_attention_windows_score_each_id_once_and_sum_to_one():
     assert np.isclose(np.exp(model.inside).sum(1), model.n_kinds, rtol=1e-3).all() and len(both) == size and short < 0
 
 
+def test_language_model_is_fitted_on_all_texts(spark):
+    """Neighbouring ids count across words, and every shard of the texts moves the weights."""
+    rng, size = random.Random(12), attention_lm.END + 1
+    texts = [" ".join(rng.choice("abc") + rng.choice("xyz") for _ in range(rng.randint(0, 40))) for _ in range(60)]
+    speller = attention_lm.Speller(attention_lm.load_ranks(RANKS), [])
+    spelled = attention_lm.spelled_texts(spark.createDataFrame(list(enumerate(texts)), "id int, text string").repartition(3), cloudpickle.dumps(speller)).cache()
+    rows = sorted((r.key, bytes(r.ids)) for r in spelled.collect())
+    want = np.zeros((size, size))
+    for _, t in rows:
+        ids = [attention_lm.END, *np.frombuffer(t, "<u2").tolist(), attention_lm.END]
+        for a, b in zip(ids, ids[1:]):
+            want[a, b] += 1
+    got = attention_lm.bigram_counts(spelled, size)
+    assert (got == want).all() and want[attention_lm.END].sum() == len(texts)
+
+    shards = -(-sum(len(t) // 2 for _, t in rows) // 500)
+    fits, windows = [], []
+    for k in range(shards):
+        stream = attention_lm.as_stream([t for key, t in rows if key % shards == k])
+        fits.append(attention_lm.AttentionModel(want).train(*stream, epochs=1).params)
+        windows.append((-(-stream[2] // attention_lm.STRIDE)).sum())
+    model = attention_lm.fitted(attention_lm.AttentionModel(want), spelled, passes=1, shard=500)
+    assert shards > 3
+    for name, value in model.params.items():
+        assert np.allclose(value, np.average([f[name] for f in fits], axis=0, weights=windows), atol=1e-4)
+
+
 def test_attention_gradient_lowers_the_loss():
     rng = np.random.default_rng(4)
     texts = [np.tile(rng.integers(0, 200, 6), 12).astype("<u2").tobytes() for _ in range(60)]
