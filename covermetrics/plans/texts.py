@@ -52,6 +52,13 @@ def _(b):
     return doc.document_stats(b.filings, doc.chunk_windows(b.filings), "document_type")
 
 
+@plan("document_stats_whole", "R7", roles="filings", sql=f"""
+WITH {FIXED} SELECT document_type, COUNT(DISTINCT document_id) AS documents, COUNT(chunk_index) AS chunks, {sql_ratio('SUM(CEIL(LENGTH(chunk_text) / 4.0))', 'COUNT(chunk_index)', 0)} AS avg_tokens
+FROM (SELECT document_id, document_type FROM filings) LEFT JOIN fixed USING (document_id) GROUP BY 1""")
+def _(b):
+    return doc.document_stats(b.filings, doc.chunk_fixed(b.filings), "document_type")
+
+
 @plan("bm25_topk", "R5", roles="filings questions", sql=f"""
 WITH {DOC_WORDS}, q AS (SELECT DISTINCT question_id, UNNEST(REGEXP_EXTRACT_ALL(LOWER(question), '{WORD}')) AS term FROM questions),
 dl AS (SELECT document_id, COUNT(*) AS dl FROM doc_words GROUP BY 1), st AS (SELECT CAST((SELECT COUNT(*) FROM filings) AS DOUBLE) AS n, CAST(SUM(dl) AS DOUBLE) AS total FROM dl),

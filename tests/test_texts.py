@@ -21,6 +21,16 @@ def test_fixed_chunks_cover_the_text(spark):
     assert not [r for r in rows if r.document_id == 2]
 
 
+def test_document_stats_of_the_whole_text(spark, tmp_path):
+    from covermetrics.plans.registry import Book, all_plans
+    rows = [(1, "x" * 20000, "en", "web", 20000, "", ""), (2, "short", "en", "web", 5, "", "")]
+    spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint, score string, hits string") \
+        .write.parquet(str(tmp_path / "documents.parquet"))
+    got = all_plans()["document_stats_whole"].build(Book(spark, str(tmp_path))).collect()
+    # eleven chunks of the long text, 500 tokens each, and one of two tokens
+    assert [(r.documents, r.chunks, r.avg_tokens) for r in got] == [(2, 12, 459.0)]
+
+
 def test_keyword_search_falls_back_to_whole_texts(spark):
     docs = docs_of(spark, ["alpha beta", "gamma delta"]).withColumn("title", F.lit("t"))
     chunks = spark.createDataFrame([(0, 1, "alpha")], "document_id long, chunk_index int, chunk_text string")
