@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from covermetrics.session import scratch_path
+
 # A group is hot when it holds more than 1/HOT_SHARE of all rows, so there are fewer
 # than HOT_SHARE hot groups: a proven bound for broadcasting them.
 HOT_SHARE = 1000
@@ -73,25 +75,33 @@ def distinct_count(df: DataFrame, column: str) -> DataFrame:
     )
 
 
-def number_rows(df: DataFrame, key: str, buckets: int = 4096, name: str = "row_no") -> DataFrame:
-    """Number rows 1..n in md5 order of a unique key.
+def number_in_order(df: DataFrame, order: Sequence[Column | str], name: str = "row_no",
+                    rows_per_range: int = 1 << 20) -> DataFrame:
+    """Number rows 1..n in the given order, which should leave no ties, without a window over all rows.
 
-    Rows are numbered inside hash buckets and shifted by the buckets' running counts
-    (at most ``buckets`` rows), so there is no single-task window over the data.
+    The rows are written once, dealt to ranges by sampled bounds and sorted inside them; a row's number is its place in
+    its range plus the counts of the ranges before. Ranges hold about ``rows_per_range`` rows or less however many rows
+    there are, and only one count per range meets in one task.
     """
-    digits = len(f"{buckets - 1:x}")
-    keyed = df.withColumn("_h", F.md5(F.col(key).cast("string")))
-    keyed = keyed.withColumn("_b", F.conv(F.substring("_h", 1, digits), 16, 10).cast("int"))
-    counts = keyed.groupBy("_b").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
-    inside = Window.partitionBy("_b").orderBy("_h", key)
-    return (
-        keyed.withColumn("_rn", F.row_number().over(inside))
-        .join(offsets, "_b")
-        .withColumn(name, F.col("_rn") + F.col("_offset"))
-        .drop("_h", "_b", "_rn", "_offset")
-    )
+    spark = df.sparkSession
+    rows, ranged = scratch_path(spark, "numbered-rows"), scratch_path(spark, "numbered-ranges")
+    df.write.parquet(rows)
+    staged = spark.read.schema(df.schema).parquet(rows)
+    ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-staged.count() // rows_per_range))
+    dealt = staged.repartitionByRange(ranges, *order).sortWithinPartitions(*order)
+    dealt.select(F.struct(*staged.columns).alias("_row"), F.monotonically_increasing_id().alias("_at")).write.parquet(ranged)
+    # The id holds the range above its 33 lowest bits and the place in the range below.
+    placed = spark.read.parquet(ranged).select("_row", F.shiftright("_at", 33).alias("_range"),
+                                               F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)).alias("_place"))
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = placed.groupBy("_range").agg(F.count(F.lit(1)).alias("_n")).select(
+        "_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
+    return placed.join(offsets, "_range").select("_row.*", (F.col("_offset") + F.col("_place") + 1).alias(name))
+
+
+def number_rows(df: DataFrame, key: str, name: str = "row_no") -> DataFrame:
+    """Number rows 1..n in md5 order of a unique key."""
+    return number_in_order(df, [F.md5(F.col(key).cast("string")), F.col(key)], name)
 
 
 def round_robin_assign(items: DataFrame, item_key: str, slots: DataFrame, slot_key: str) -> DataFrame:

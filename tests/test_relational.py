@@ -70,6 +70,24 @@ def test_number_rows_is_dense_and_stable(spark):
     assert a.exceptAll(b).count() == 0
 
 
+def test_number_in_order_counts_over_ranges(spark):
+    df = spark.range(3000).selectExpr("id % 7 AS g", "id", "CAST(NULL AS STRING) AS empty")
+    out = rel.number_in_order(df, [F.desc("g"), F.col("id")], rows_per_range=100)
+    assert "Window" in out._jdf.queryExecution().executedPlan().toString()
+    got = [(r.g, r.id) for r in out.orderBy("row_no").collect()]
+    assert got == sorted(((i % 7, i) for i in range(3000)), key=lambda x: (-x[0], x[1]))
+    assert [r.row_no for r in out.orderBy("row_no").collect()] == list(range(1, 3001))
+    assert rel.number_in_order(df.limit(0), ["id"]).count() == 0
+
+
+def test_ranges_grow_in_number_not_in_size(spark):
+    def largest(rows):
+        staged = rel.number_in_order(spark.range(rows), ["id"], rows_per_range=1000)
+        paths = staged.inputFiles()
+        return max(spark.read.parquet(p).count() for p in paths)
+    assert largest(200_000) <= 2 * largest(20_000) <= 10_000
+
+
 def test_round_robin_is_even(spark):
     items, slots = spark.range(10).withColumnRenamed("id", "i"), spark.range(3).withColumnRenamed("id", "s")
     counts = sorted(r["count"] for r in rel.round_robin_assign(items, "i", slots, "s").groupBy("s").count().collect())
