@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from covermetrics.session import scratch_path
-from covermetrics.llm import attention_lm, bag_minhash, byte_bpe, compression, decontamination, line_chunks, line_crf, personal_data, substring_dedup, token_files
+from covermetrics.llm import attention_lm, bag_minhash, byte_bpe, compression, decontamination, importance, line_chunks, line_crf, personal_data, substring_dedup, token_files
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 WORD_MODEL = "word_bpe_49k.json"
@@ -97,5 +97,32 @@ def op10_automaton_decontamination(spark: SparkSession, folder: str) -> DataFram
                           decontamination.contaminated(C("n_hit"), C("n_words")).alias("contaminated"))
 
 
-QUERIES = {f.__name__: f for f in (op1_line_crf, op2_suffix_automata, op3_compression_bands, op4_line_chunks, op5_bag_minhash, op6_tree_bpe, op7_contextual_extraction, op8_repair_token_files, op9_attention_lm, op10_automaton_decontamination)}
-SQL = {"op4_line_chunks": LINE_CHUNKS_SQL}
+def op13_overlapped_regex_resampling(spark: SparkSession, folder: str) -> DataFrame:
+    weighed = importance.weigh(_read(spark, folder, "documents", "doc_id", "text"), _read(spark, folder, "benchmark", "text"))
+    return importance.draw(weighed).select("row.doc_id", "n_features", "weight", "score", "rank")
+
+
+# CRC-32 as its bytewise definition: the table from the reflected polynomial, then one step for each byte.
+IMPORTANCE_SQL = """
+WITH steps AS (SELECT list_transform(range(256), lambda n: list_reduce(list_prepend(n, range(8)), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+w AS (SELECT 'd' AS side, row_number() OVER () AS no, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM documents
+      UNION ALL SELECT 'b', row_number() OVER (), NULL, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') FROM benchmark),
+g AS (SELECT side, no, unnest(words || list_transform(range(1, len(words)), lambda i: words[i] || ' ' || words[i + 1])) AS gram FROM w),
+k AS (SELECT gram, hex(encode(gram)) AS h FROM (SELECT DISTINCT gram FROM g)),
+c AS (SELECT gram, xor(list_reduce(list_prepend(4294967295, list_transform(range(0, len(h), 2), lambda i: CAST('0x' || h[i + 1:i + 2] AS BIGINT))), lambda x, y: xor(t[xor(x, y) % 256 + 1], x >> 8)), 4294967295) % 10000 AS bucket FROM k, steps),
+f AS (SELECT side, no, bucket FROM g JOIN c USING (gram)),
+n AS (SELECT bucket, count(*) FILTER (WHERE side = 'd') AS s, count(*) FILTER (WHERE side = 'b') AS t FROM f GROUP BY 1),
+a AS (SELECT count(*) FILTER (WHERE side = 'd') AS s, count(*) FILTER (WHERE side = 'b') AS t FROM f),
+v AS (SELECT bucket, CAST(floor(1000 * ln((n.t + 1)::DOUBLE * (a.s + 10000)::DOUBLE / ((n.s + 1)::DOUBLE * (a.t + 10000)::DOUBLE))) AS BIGINT) AS gain FROM n, a),
+m AS (SELECT no, CAST(count(*) AS BIGINT) AS n_features, CAST(sum(gain) AS BIGINT) AS gain FROM f JOIN v USING (bucket) WHERE side = 'd' GROUP BY 1),
+d AS (SELECT doc_id, len(words) AS n_words, coalesce(n_features, 0) AS n_features,
+             coalesce((gain - ((gain % n_features) + n_features) % n_features) // n_features, 0) AS weight,
+             CAST('0x' || substr(sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) AS h FROM w LEFT JOIN m USING (no) WHERE side = 'd'),
+e AS (SELECT *, weight + CAST(floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296::DOUBLE))) AS BIGINT) AS score FROM d),
+r AS (SELECT *, row_number() OVER (PARTITION BY n_words >= 20 ORDER BY score DESC, doc_id NULLS LAST) AS place, count(*) FILTER (WHERE n_words >= 20) OVER () * 25 // 100 AS most FROM e)
+SELECT doc_id, n_features, weight, score, CASE WHEN n_words >= 20 AND place <= most THEN place END AS rank FROM r
+"""
+
+
+QUERIES = {f.__name__: f for f in (op1_line_crf, op2_suffix_automata, op3_compression_bands, op4_line_chunks, op5_bag_minhash, op6_tree_bpe, op7_contextual_extraction, op8_repair_token_files, op9_attention_lm, op10_automaton_decontamination, op13_overlapped_regex_resampling)}
+SQL = {"op4_line_chunks": LINE_CHUNKS_SQL, "op13_overlapped_regex_resampling": IMPORTANCE_SQL}
