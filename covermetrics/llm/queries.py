@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from covermetrics.session import scratch_path
-from covermetrics.llm import attention_lm, bag_minhash, byte_bpe, compression, decontamination, importance, line_chunks, line_crf, personal_data, substring_dedup, token_files
+from covermetrics.llm import attention_lm, bag_minhash, byte_bpe, compression, decontamination, importance, line_chunks, line_crf, personal_data, substring_dedup, token_files, vector_codes
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 WORD_MODEL = "word_bpe_49k.json"
@@ -97,6 +97,34 @@ def op10_automaton_decontamination(spark: SparkSession, folder: str) -> DataFram
                           decontamination.contaminated(C("n_hit"), C("n_words")).alias("contaminated"))
 
 
+def op12_trie_codes(spark: SparkSession, folder: str) -> DataFrame:
+    coded, books = vector_codes.encode_vectors(_read(spark, folder, "embeddings", "vec_id", "embedding", "label"))
+    code = F.array_join(F.transform("code", lambda c: F.lower(F.lpad(F.hex(c), 2, "0"))), "")
+    return vector_codes.with_group_errors(coded, "label").select(
+        "row.vec_id", code.alias("code"), "error", C("group_error").alias("label_error"), F.lit(vector_codes.books_digest(books)).alias("codebooks_sha256"))
+
+
+# Four rounds of nearest entries and floored means, spelled out; dot products of integers this small are exact in doubles.
+_BOOK_ROUND = """
+n{r} AS (SELECT p.no, p.pos, arg_min(b.entry, {{'d': {distance}, 'e': b.entry}}) AS entry FROM p JOIN b{r} b USING (pos) GROUP BY 1, 2),
+s{r} AS (SELECT pos, entry, list(m ORDER BY d) AS v FROM (SELECT pos, entry, d, floor(sum(x) / count(*)) AS m
+         FROM (SELECT pos, entry, unnest(v) AS x, unnest(range(len(v))) AS d FROM p JOIN n{r} USING (no, pos)) GROUP BY 1, 2, 3) GROUP BY 1, 2),
+b{next} AS (SELECT b.pos, b.entry, coalesce(s.v, b.v) AS v FROM b{r} b LEFT JOIN s{r} s USING (pos, entry)),"""
+_DISTANCE = "list_dot_product(p.v, p.v) - 2 * list_dot_product(p.v, b.v) + list_dot_product(b.v, b.v)"
+TRIE_CODES_SQL = """
+WITH k AS (SELECT row_number() OVER (ORDER BY vec_id, embedding) AS no, vec_id, label, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS v FROM embeddings
+           WHERE len(embedding) > 0 AND list_bool_and(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(x)))),
+p AS (SELECT no, pos, v[pos * len(v) // 4 + 1:(pos + 1) * len(v) // 4] AS v FROM k, range(4) AS r(pos)),
+b0 AS (SELECT pos, no - 1 AS entry, v FROM p WHERE no <= 256),""" + "".join(
+    _BOOK_ROUND.format(r=r, next=r + 1, distance=_DISTANCE) for r in range(4)) + f"""
+f AS (SELECT p.no, p.pos, min({{'d': {_DISTANCE}, 'e': b.entry}}) AS best FROM p JOIN b4 b USING (pos) GROUP BY 1, 2),
+c AS (SELECT no, string_agg(format('{{:02x}}', best.e), '' ORDER BY pos) AS code, CAST(sum(best.d) AS BIGINT) AS error FROM f GROUP BY 1),
+h AS (SELECT sha256(string_agg(CAST(CAST(x AS BIGINT) AS VARCHAR), ',' ORDER BY pos, entry, d)) AS digest
+      FROM (SELECT pos, entry, unnest(v) AS x, unnest(range(len(v))) AS d FROM b4))
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, digest AS codebooks_sha256 FROM k JOIN c USING (no), h
+"""
+
+
 def op13_overlapped_regex_resampling(spark: SparkSession, folder: str) -> DataFrame:
     weighed = importance.weigh(_read(spark, folder, "documents", "doc_id", "text"), _read(spark, folder, "benchmark", "text"))
     return importance.draw(weighed).select("row.doc_id", "n_features", "weight", "score", "rank")
@@ -124,5 +152,5 @@ SELECT doc_id, n_features, weight, score, CASE WHEN n_words >= 20 AND place <= m
 """
 
 
-QUERIES = {f.__name__: f for f in (op1_line_crf, op2_suffix_automata, op3_compression_bands, op4_line_chunks, op5_bag_minhash, op6_tree_bpe, op7_contextual_extraction, op8_repair_token_files, op9_attention_lm, op10_automaton_decontamination, op13_overlapped_regex_resampling)}
-SQL = {"op4_line_chunks": LINE_CHUNKS_SQL, "op13_overlapped_regex_resampling": IMPORTANCE_SQL}
+QUERIES = {f.__name__: f for f in (op1_line_crf, op2_suffix_automata, op3_compression_bands, op4_line_chunks, op5_bag_minhash, op6_tree_bpe, op7_contextual_extraction, op8_repair_token_files, op9_attention_lm, op10_automaton_decontamination, op12_trie_codes, op13_overlapped_regex_resampling)}
+SQL = {"op4_line_chunks": LINE_CHUNKS_SQL, "op12_trie_codes": TRIE_CODES_SQL, "op13_overlapped_regex_resampling": IMPORTANCE_SQL}
