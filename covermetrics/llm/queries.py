@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from covermetrics.session import scratch_path
-from covermetrics.llm import attention_lm, bag_minhash, byte_bpe, compression, decontamination, importance, line_chunks, line_crf, personal_data, substring_dedup, token_files, vector_codes
+from covermetrics.llm import attention_lm, bag_minhash, byte_bpe, compression, decontamination, importance, line_chunks, line_crf, multiprobe, personal_data, substring_dedup, token_files, vector_codes
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 WORD_MODEL = "word_bpe_49k.json"
@@ -97,6 +97,11 @@ def op10_automaton_decontamination(spark: SparkSession, folder: str) -> DataFram
                           decontamination.contaminated(C("n_hit"), C("n_words")).alias("contaminated"))
 
 
+def op11_multiprobe_search(spark: SparkSession, folder: str) -> DataFrame:
+    found = multiprobe.nearest(_read(spark, folder, "embeddings", "vec_id", "embedding"), C("id") % 100 == 0)
+    return found.withColumnRenamed("id", "vec_id")
+
+
 def op12_trie_codes(spark: SparkSession, folder: str) -> DataFrame:
     coded, books = vector_codes.encode_vectors(_read(spark, folder, "embeddings", "vec_id", "embedding", "label"))
     code = F.array_join(F.transform("code", lambda c: F.lower(F.lpad(F.hex(c), 2, "0"))), "")
@@ -152,5 +157,5 @@ SELECT doc_id, n_features, weight, score, CASE WHEN n_words >= 20 AND place <= m
 """
 
 
-QUERIES = {f.__name__: f for f in (op1_line_crf, op2_suffix_automata, op3_compression_bands, op4_line_chunks, op5_bag_minhash, op6_tree_bpe, op7_contextual_extraction, op8_repair_token_files, op9_attention_lm, op10_automaton_decontamination, op12_trie_codes, op13_overlapped_regex_resampling)}
+QUERIES = {f.__name__: f for f in (op1_line_crf, op2_suffix_automata, op3_compression_bands, op4_line_chunks, op5_bag_minhash, op6_tree_bpe, op7_contextual_extraction, op8_repair_token_files, op9_attention_lm, op10_automaton_decontamination, op11_multiprobe_search, op12_trie_codes, op13_overlapped_regex_resampling)}
 SQL = {"op4_line_chunks": LINE_CHUNKS_SQL, "op12_trie_codes": TRIE_CODES_SQL, "op13_overlapped_regex_resampling": IMPORTANCE_SQL}
