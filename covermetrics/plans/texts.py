@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from covermetrics.operators import documents as doc
-from covermetrics.operators import feedback, intake, matching
+from covermetrics.operators import feedback, intake, matching, search
 from covermetrics.plans.registry import plan, sql_mean, sql_percent, sql_ratio, sql_round
 from covermetrics.sources.book import AS_OF
 
@@ -68,24 +68,26 @@ s AS (SELECT question_id, document_id, {sql_round('SUM(idf * (tf * CAST(2.2 AS D
 FROM q JOIN w USING (term) JOIN tf USING (term) JOIN dl USING (document_id) GROUP BY 1, 2)
 SELECT question_id, document_id, score, ROW_NUMBER() OVER (PARTITION BY question_id ORDER BY score DESC, document_id) AS rank FROM s QUALIFY rank <= 5""")
 def _(b):
-    return doc.ranked_search(b.filings, b.questions)
+    return search.ranked_search(b.filings, b.questions)
 
 
-@plan("chunk_search", "R5 R2", roles="filings questions", sql=f"""
-WITH {FIXED}, cw AS (SELECT document_id, chunk_index, UNNEST(REGEXP_EXTRACT_ALL(LOWER(chunk_text), '{WORD}')) AS term FROM fixed),
+CHUNK_RANKS = f"""{FIXED}, cw AS (SELECT document_id, chunk_index, UNNEST(REGEXP_EXTRACT_ALL(LOWER(chunk_text), '{WORD}')) AS term FROM fixed),
 q AS (SELECT DISTINCT question_id, UNNEST(REGEXP_EXTRACT_ALL(LOWER(question), '{WORD}')) AS term FROM questions),
 dl AS (SELECT document_id, chunk_index, COUNT(*) AS dl FROM cw GROUP BY 1, 2), st AS (SELECT CAST((SELECT COUNT(*) FROM fixed) AS DOUBLE) AS n, CAST(SUM(dl) AS DOUBLE) AS total FROM dl),
 tf AS (SELECT document_id, chunk_index, term, COUNT(*) AS tf FROM cw WHERE term IN (SELECT term FROM q) GROUP BY 1, 2, 3),
 w AS (SELECT term, LN(1 + (n - df + 0.5) / (df + 0.5)) AS idf, total / n AS avgdl FROM (SELECT term, CAST(COUNT(*) AS DOUBLE) AS df FROM tf GROUP BY 1), st),
 s AS (SELECT question_id, document_id, chunk_index, {sql_round('SUM(idf * (tf * CAST(2.2 AS DOUBLE)) / (tf + CAST(1.2 AS DOUBLE) * (CAST(0.25 AS DOUBLE) + CAST(0.75 AS DOUBLE) * dl / avgdl)))', 5)} AS score
 FROM q JOIN w USING (term) JOIN tf USING (term) JOIN dl USING (document_id, chunk_index) GROUP BY 1, 2, 3),
-r AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY question_id ORDER BY score DESC, document_id, chunk_index) AS rank FROM s QUALIFY rank <= 5)
+r AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY question_id ORDER BY score DESC, document_id, chunk_index) AS rank FROM s QUALIFY rank <= 5)"""
+
+
+@plan("chunk_search", "R5 R2", roles="filings questions", sql=f"""
+WITH {CHUNK_RANKS}
 SELECT question_id, r.document_id, CAST(r.chunk_index AS INT) AS chunk_index, score, rank, language, document_type FROM r JOIN filings USING (document_id)""")
 def _(b):
     """Chunks, not whole documents, ranked; each with its document's attributes."""
-    chunks = doc.chunk_fixed(b.filings).withColumn("chunk", F.struct("document_id", "chunk_index"))
-    best = doc.ranked_search(chunks, b.questions, key="chunk", text="chunk_text")
-    return best.select("question_id", "chunk.*", "score", "rank").join(b.filings.select("document_id", "language", "document_type"), "document_id")
+    best = search.ranked_search(doc.chunk_fixed(b.filings), b.questions, key=["document_id", "chunk_index"], text="chunk_text")
+    return best.join(b.filings.select("document_id", "language", "document_type"), "document_id")
 
 
 @plan("vector_topk", "R6", roles="vectors", sql=f"""

@@ -5,7 +5,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from covermetrics.operators import documents as doc
-from covermetrics.operators import feedback, intake, matching
+from covermetrics.operators import feedback, intake, matching, search
 
 
 def docs_of(spark, texts):
@@ -43,7 +43,7 @@ def test_keyword_search_falls_back_to_whole_texts(spark):
 def test_ranked_search_equals_brute_force(spark):
     texts = ["the red fox runs", "the blue fox sleeps sleeps", "the green bird", "red red red bird", "the the the", "a lonely owl"]
     questions = ["red fox", "sleeps bird", "the nothing"]
-    got = {(r.question_id, r.document_id): r.score for r in doc.ranked_search(
+    got = {(r.question_id, r.document_id): r.score for r in search.ranked_search(
         docs_of(spark, texts), spark.createDataFrame(list(enumerate(questions)), "question_id long, question string"), k=3).collect()}
     words = [re.findall(r"\w+", t) for t in texts]
     n, avg = len(texts), sum(map(len, words)) / len(texts)
