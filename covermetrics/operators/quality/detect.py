@@ -31,7 +31,8 @@ def duplicate_groups(df: DataFrame, content: Sequence[str]) -> DataFrame:
 
 
 def near_duplicate_entities(df: DataFrame, same: Sequence[str], key: str, compare: str, at_least: float = 0.8) -> DataFrame:
-    """Rows agreeing on ``same`` with another id, and similar in ``compare`` to the group's first row."""
+    """Rows agreeing on ``same`` with another id, and similar in ``compare`` to the group's first row, as written; for all
+    rows that resemble each other see ``similar.similarity_classes``."""
     groups = df.groupBy(*same).agg(F.count(F.lit(1)).alias("members"), F.min_by(F.struct(key, compare), key).alias("_first"))
     tied = attach_group_facts(df.select(key, compare, *same), groups.filter(F.col("members") > 1), same, "members")
     likeness = edit_similarity(F.lower(compare), F.lower(F.col("_first")[compare]))

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from covermetrics.functions.dates import month_of
 from covermetrics.operators.claims import claims_by_region_month
-from covermetrics.operators.quality import detect, profile, scores
+from covermetrics.operators.quality import detect, profile, scores, similar
 from covermetrics.operators.quality.rules import Rule, rules_frame, run_rules
 from covermetrics.plans.registry import plan, sql_mean, sql_percent, sql_round
 from covermetrics.sources.book import AS_OF, BASE_TABLES
@@ -320,6 +320,19 @@ def _(b):
     return detect.near_duplicate_entities(b.products, ["product_name", "line", "size"], "part_id", "carrier")
 
 
+@plan("near_duplicate_classes", "Q28 J13", roles="customers", sql="""
+WITH RECURSIVE v AS (SELECT state_id, email, MIN(customer_id) AS least, COUNT(*) AS copies FROM customers GROUP BY 1, 2),
+l AS (SELECT x.state_id, x.email AS a, y.email AS b FROM v x JOIN v y ON x.state_id = y.state_id AND x.email <> y.email
+      WHERE CAST(ROUND(CAST(1 - CAST(LEVENSHTEIN(x.email, y.email) AS DOUBLE) / GREATEST(LENGTH(x.email), LENGTH(y.email)) AS DECIMAL(38,6)), 4) AS DOUBLE) >= 0.95),
+r AS (SELECT state_id, email AS a, email AS b FROM v UNION SELECT r.state_id, r.a, l.b FROM r JOIN l ON l.state_id = r.state_id AND l.a = r.b),
+c AS (SELECT r.state_id, r.a AS email, MIN(least) AS class_id, SUM(copies) AS members FROM r JOIN v ON v.state_id = r.state_id AND v.email = r.b GROUP BY 1, 2),
+d AS (SELECT state_id, a AS email, COUNT(*) AS links FROM l GROUP BY 1, 2)
+SELECT customer_id, class_id, CAST(members AS BIGINT) AS members, COALESCE(links, 0) AS links FROM customers JOIN c USING (state_id, email) LEFT JOIN d USING (state_id, email) WHERE members > 1""")
+def _(b):
+    """E-mail addresses of a state that differ in a character or two, closed to classes."""
+    return similar.similarity_classes(b.customers, ["state_id"], "customer_id", "email", 0.95)
+
+
 @plan("outliers_z", "Q30 A19", roles="policies", sql=f"""
 WITH s AS (SELECT policy_type, AVG(CAST(premium AS DOUBLE)) AS m, STDDEV_SAMP(CAST(premium AS DOUBLE)) AS s FROM policies GROUP BY 1)
 SELECT policy_id, policy_type, CAST(premium AS DOUBLE) AS premium, {sql_round('(CAST(premium AS DOUBLE) - m) / s', 4)} AS z FROM policies JOIN s USING (policy_type)

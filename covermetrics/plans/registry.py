@@ -30,7 +30,9 @@ def plan(name: str, covers: str, sql: str | None = None, roles: str = ""):
         if text is not None and roles:
             head = role_sql(*roles.split())
             body = text.strip()
-            if body.upper().startswith("WITH "):
+            if body.upper().startswith("WITH RECURSIVE "):
+                text = f"WITH RECURSIVE {head}, {body[15:]}"
+            elif body.upper().startswith("WITH "):
                 text = f"WITH {head}, {body[5:]}"
             else:
                 text = f"WITH {head} {body}"
