@@ -7,7 +7,7 @@ from covermetrics.operators.quality.profile import catalog_tables
 from covermetrics.operators.relational import round_robin_assign
 from covermetrics.plans.registry import plan, sql_round
 from covermetrics.sources.book import BASE_TABLES
-from covermetrics.sources.tables import merge_partitions
+from covermetrics.sources.tables import VersionedTable
 from covermetrics.session import scratch_path
 
 STEPS = [(["Active"], "InForce"), (["Renewed", "InForce"], "Live"), (["Cancelled"], "Lapsed"), (["Lapsed"], "Closed")]
@@ -51,10 +51,10 @@ WITH {UPSERTED} SELECT policy_type, status, COUNT(*) AS policies, CAST(SUM(premi
 def _(b):
     columns = ["policy_id", "policy_type", "status", "premium"]
     slot = F.pmod("policy_id", F.lit(8)).cast("int").alias("slot")
-    root = scratch_path(b.spark, "policies")
-    b.policies.select(*columns, slot).write.partitionBy("slot").parquet(root)
-    merge_partitions(root, renewals(b).select(*columns, slot), ["policy_id"], ["premium", "status"], ["premium", "status", "policy_type"], "slot")
-    return b.spark.read.parquet(root).groupBy("policy_type", "status").agg(
+    table = VersionedTable(scratch_path(b.spark, "policies"), "slot", "policy_id bigint, policy_type string, status string, premium decimal(18,2), slot int")
+    table.write(b.policies.select(*columns, slot), 0, range(8))
+    table.merge(renewals(b).select(*columns, slot), ["policy_id"], ["premium", "status"], ["premium", "status", "policy_type"], 1)
+    return table.read(b.spark).groupBy("policy_type", "status").agg(
         F.count(F.lit(1)).alias("policies"), F.sum("premium").cast("double").alias("premium"), F.max("policy_id").alias("last_id"))
 
 

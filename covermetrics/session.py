@@ -46,3 +46,19 @@ def shared_folder(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, purpose: str) -> str:
     """A fresh path under the shared folder; never reused, so reruns do not collide."""
     return f"{shared_folder(spark).rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+
+
+def _store(spark: SparkSession, path: str):
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), target
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    store, target = _store(spark, path)
+    return store.exists(target)
+
+
+def drop_path(spark: SparkSession, path: str) -> bool:
+    """Delete a file or folder of any store that Spark reaches; whether there was one."""
+    store, target = _store(spark, path)
+    return store.delete(target, True)
