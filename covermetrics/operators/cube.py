@@ -7,6 +7,7 @@ allow, the base table is reduced per foreign key before a join to a parent.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 
@@ -14,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from covermetrics.functions.numbers import ratio, rounded
+from covermetrics.session import scratch_path
 
 
 @dataclass(frozen=True)
@@ -112,19 +114,71 @@ class SemanticModel:
         both = left.join(right, key)
         return both.withColumn("correlation", rounded(both.agg(F.corr("value_a", "value_b")).scalar(), 4))
 
+    def grouped_once(self, tables, domain: str) -> tuple[DataFrame, dict[str, int], dict[str, Column], list[str]]:
+        """The base table reduced in one scan to every grouping that a perspective of the domain needs.
+
+        A perspective needs the base columns that it shows and the foreign keys on its way to parents; perspectives that
+        need the same share a grouping set. Returns the reduced rows, the grouping id of each perspective, the final
+        aggregates over reduced rows, and the names of the measures that count distinct values.
+        """
+        d = self.domains[domain]
+        base = tables(d.table)
+        if d.where:
+            base = base.filter(d.where)
+        base, wanted = _attach_children(base, {f"m{i}": m for i, m in enumerate(d.measures.values())}, tables)
+        distinct = [n for n, m in wanted.items() if m.kind == "count_distinct"]
+        sets = {name: _needed(base, p) for name, p in d.perspectives.items()}
+        parts, final = _parts({n: m for n, m in wanted.items() if n not in distinct})
+        # A counted column is one more column of a set of its own, so that each of its values is there once.
+        counted = {n: f"_v_{n}" for n in distinct}
+        base = base.withColumns({v: F.col(wanted[n].column) for n, v in counted.items()}) if counted else base
+        columns = list(dict.fromkeys([c for s in sets.values() for c in s] + list(counted.values())))
+        wide = list(dict.fromkeys(tuple(s) for s in sets.values()))
+        all_sets = [list(s) for s in wide] + [[*s, v] for s in wide for v in counted.values()]
+        grouped = base.groupingSets([[F.col(c) for c in s] for s in all_sets], *[F.col(c) for c in columns]).agg(
+            F.grouping_id().alias("_set"), *[c.alias(n) for n, c in (parts or {"_rows": F.count(F.lit(1))}).items()])
+        final |= {n: F.countDistinct(v) for n, v in counted.items()}
+        return grouped, {name: _set_id(columns, s) for name, s in sets.items()}, final, [counted[n] for n in distinct]
+
     def matrix(self, tables, domain: str) -> DataFrame:
-        """Every perspective of a domain with every measure, in long form."""
+        """Every perspective of a domain with every measure, in long form, from one scan of the base table."""
         d = self.domains[domain]
-        out = None
+        grouped, ids, final, counted = self.grouped_once(tables, domain)
+        path = scratch_path(grouped.sparkSession, f"cube-{domain}".replace(" ", "-"))
+        grouped.write.partitionBy("_set").parquet(path)
+        stored = grouped.sparkSession.read.parquet(path)
+        cols, out = [_name(m) for m in d.measures], None
+        width = len([c for c in stored.columns if c in counted])
         for name, p in d.perspectives.items():
-            wide = self.query(tables, domain, [name], list(d.measures))
-            cols = [_name(m) for m in d.measures]
-            one = wide.select(F.lit(name).alias("perspective"), F.col(p.label).cast("string").alias("label"), *cols) \
+            # Sets with a counted column have one bit less; a perspective reads its own set and those.
+            bits = [ids[name]] + [ids[name] - (1 << i) for i in range(width)]
+            frame = stored.filter(F.col("_set").isin(bits))
+            if width:  # sets with a counted column repeat the rows, so only the counts may read them
+                frame = frame.withColumns({c: F.when(F.col("_set") == ids[name], F.col(c)) for c in stored.columns if _is_part(c)})
+            for j in p.via:
+                frame = _join(frame, tables(j.table), j)
+            wide = frame.withColumn("label", F.expr(p.expr).cast("string")).filter("label IS NOT NULL").groupBy("label").agg(*[c.alias(n) for n, c in final.items()])
+            one = wide.select(F.lit(name).alias("perspective"), "label", *[F.col(f"m{i}").cast("double").alias(c) for i, c in enumerate(cols)]) \
                 .unpivot(["perspective", "label"], cols, "measure", "value")
             out = one if out is None else out.unionByName(one)
         return out
 
 
+def _is_part(column: str) -> bool:
+    return re.fullmatch(r"m\d+_[csnx]", column) is not None
+
+
+def _needed(base: DataFrame, p: Perspective) -> list[str]:
+    """Base columns that a perspective reads: its own, or the keys to its parents."""
+    own = [j.child_key for j in p.via if j.child_key in base.columns]
+    return list(dict.fromkeys(own + ([] if p.via else [c for c in base.columns if c in p.expr])))
+
+
+def _set_id(columns: Sequence[str], members: Sequence[str]) -> int:
+    """Spark's grouping id: a bit for each column, the first highest, set where the column is not in the set."""
+    return sum(1 << (len(columns) - 1 - i) for i, c in enumerate(columns) if c not in members)
+
+
 def _name(measure: str) -> str:
     return measure.lower().replace(" ", "_")
 
@@ -162,6 +216,12 @@ def _reduced(base: DataFrame, dims: Sequence[Perspective], joins: Sequence[Paren
     """Partial aggregate per foreign key (and per base column the perspectives use)."""
     own = [j.child_key for j in joins if j.child_key in base.columns]
     used = [c for c in base.columns if any(c in p.expr for p in dims if not p.via)]
+    parts, final = _parts(wanted)
+    return base.groupBy(*dict.fromkeys(own + used)).agg(*[c.alias(n) for n, c in parts.items()]), final
+
+
+def _parts(wanted: Mapping[str, Measure]) -> tuple[dict[str, Column], dict[str, Column]]:
+    """Partial aggregates of the measures, and the final ones over them."""
     parts, final = {}, {}
     for n, m in wanted.items():
         if m.kind == "count":
@@ -177,7 +237,7 @@ def _reduced(base: DataFrame, dims: Sequence[Perspective], joins: Sequence[Paren
             fn = {"min": F.min, "max": F.max}[m.kind]
             parts[f"{n}_x"] = fn(m.column)
             final[n] = fn(f"{n}_x")
-    return base.groupBy(*dict.fromkeys(own + used)).agg(*[c.alias(n) for n, c in parts.items()]), final
+    return parts, final
 
 
 def describe(df: DataFrame, columns: Sequence[str]) -> DataFrame:

@@ -97,5 +97,31 @@ def issue_report(checks: Mapping[str, tuple[DataFrame, Mapping[str, Column]]]) -
     return out
 
 
+def ten_faults(customers: DataFrame, claims: DataFrame, agents: DataFrame, policies: DataFrame, snapshots: DataFrame, as_of: str,
+               same_customer: Sequence[str], storm_causes: Sequence[str], premium_over: float = 10000.0, busy_from: int = 75,
+               rating_under: float = 2.0) -> DataFrame:
+    """issue, rows: the ten faults that the data is known to suffer from.
+
+    Duplicate customers agree on ``same_customer`` with one of smaller id, duplicate claims repeat a claim id; both count the
+    surplus rows. Busy agents with low ratings are rated under ``rating_under`` and handle more than ``busy_from`` claims.
+    """
+    c, as_rows = F.col, F.count(F.lit(1))
+    load = claims.groupBy(c("adjuster_id").alias("agent_id")).agg(as_rows.alias("_handled"))
+    rated = agents.join(load, "agent_id", "left")
+
+    def surplus(df: DataFrame, keys: Sequence[str], name: str) -> DataFrame:
+        per_key = df.groupBy(*keys).agg(as_rows.alias("_n"))
+        return per_key.agg(F.coalesce(F.sum(c("_n") - 1), F.lit(0)).alias("rows")).select(F.lit(name).alias("issue"), "rows")
+    counted = issue_report({
+        "customers": (customers, {"null_emails": c("email").isNull(), "null_phones": c("phone").isNull()}),
+        "claims": (claims, {"extreme_resolution": c("resolution_days") > 200, "high_fraud_score": c("fraud_score") > 80,
+                            "storm_claims": c("cause").isin(*storm_causes)}),
+        "agents": (rated, {"busy_low_rated_agents": (c("performance_rating") < rating_under) & (c("_handled") > busy_from)}),
+        "snapshots": (snapshots, {"stale_snapshots": stale_snapshots(snapshots, "snapshot_date", as_of)}),
+        "policies": (policies, {"premium_outliers": c("premium") > premium_over})})
+    return counted.unionByName(surplus(customers, same_customer, "duplicate_customers")).unionByName(surplus(claims, ["claim_id"], "duplicate_claims"))
+
+
 __all__ = ["above_threshold", "content_duplicates", "duplicate_groups", "issue_report", "near_duplicate_entities",
-           "outliers_by_iqr", "outliers_by_z", "ratio", "spike_explained_by_duplicates", "spikes", "stale_snapshots"]
+           "outliers_by_iqr", "outliers_by_z", "ratio", "spike_explained_by_duplicates", "spikes", "stale_snapshots",
+           "ten_faults"]

@@ -118,6 +118,21 @@ def _(b):
     return clean.groupBy("state", "zip_code").agg(F.count("claim_id").alias("claims"), F.sum("building_damage_amount").cast("double").alias("damage"))
 
 
+@plan("ext_flood_policies", "E4 P2", roles="policies customers", sql=f"""
+SELECT 'S' || LPAD(CAST(state_id AS VARCHAR), 2, '0') AS state, LPAD(CAST(customer_id % 1000 AS VARCHAR), 5, '0') AS zip_code, COUNT(*) AS policies,
+       {sql_round('SUM(premium)', 2)} AS premium, {sql_round('SUM(coverage)', 2)} AS coverage, MAX(expiration_date) AS last_termination FROM policies JOIN customers USING (customer_id) GROUP BY 1, 2""")
+def _(b):
+    placed = b.policies.join(b.customers.select("customer_id", "state_id"), "customer_id")
+    raw = placed.select(F.col("policy_id").alias("national_flood_insurance_program_policy_id"), _state_geo().alias("state_geo_id"),
+                        F.concat(F.lit("zip/"), F.lpad((F.col("customer_id") % 1000).cast("string"), 5, "0")).alias("zip_geo_id"),
+                        F.col("premium").alias("total_insurance_premium_of_the_policy"), F.col("coverage").alias("total_building_insurance_coverage"),
+                        F.col("expiration_date").alias("policy_termination_date"))
+    clean = ext.flood_policies(raw, ext.state_lookup(geography(b)))
+    return clean.groupBy("state", "zip_code").agg(
+        F.count("nfip_policy_id").alias("policies"), F.sum("premium").cast("double").alias("premium"),
+        F.sum("total_building_insurance_coverage").cast("double").alias("coverage"), F.max("policy_termination_date").alias("last_termination"))
+
+
 @plan("ext_price_index", "E5 P11", roles="claims products", sql=f"""
 WITH {LINE_SERIES}, r AS (SELECT {_case({k: v[0] for k, v in VARIABLES.items()})} AS series_id, {_case({k: v[1] for k, v in VARIABLES.items()})} AS n, date, value FROM line_series)
 SELECT series_id, n AS series_name, date AS observation_date, value, CASE WHEN n ILIKE '%index%' THEN 'Index' WHEN n ILIKE '%percent%' THEN 'Percent' WHEN n ILIKE '%average price%' THEN 'USD' ELSE 'Index' END AS unit,

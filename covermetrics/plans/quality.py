@@ -250,6 +250,40 @@ def _(b):
     return profile.column_health(b.claims, "claims", *HEALTH)
 
 
+# Resolution days as text with a gap word, and days as text of which some are not dates.
+MESSY = """messy AS (SELECT *, CASE WHEN line_number = 7 THEN 'open' ELSE CAST(resolution_days AS VARCHAR) END AS days_text,
+CASE WHEN line_number = 1 AND claim_date < DATE '1999-01-01' THEN CAST(claim_date AS VARCHAR) WHEN line_number = 7 THEN 'unknown' END AS day_text FROM claims)"""
+FULL_HEALTH = (["claim_id", "amount", "resolution_days", "days_text", "day_text", "friction_reason"], ["amount", "resolution_days"], ["claim_id"])
+
+
+def _type_sql(columns):
+    """Type, its consistency and age of each column of the messy claims."""
+    shapes = profile.SHAPES | {"boolean": "(?i)^(true|false)$"}
+    out = []
+    for c in columns:
+        if c in ("amount", "resolution_days"):
+            kind, share = ("'decimal(18,2)'" if c == "amount" else "'int'"), "CAST(100 AS DOUBLE)"
+        else:
+            shares = {t: sql_percent(f"COUNT(*) FILTER (WHERE REGEXP_MATCHES(TRIM({c}), '{shape}'))", f"COUNT({c})", 2) for t, shape in shapes.items()}
+            kind = "CASE " + " ".join(f"WHEN {v} >= 75 THEN '{t}'" for t, v in shares.items()) + " ELSE 'text' END"
+            share = "CASE " + " ".join(f"WHEN {v} >= 75 THEN {v}" for v in shares.values()) + " ELSE CAST(100 AS DOUBLE) END"
+        out.append(f"SELECT '{c}' AS column_name, {kind} AS value_type, {share} AS type_consistency, CAST(DATE '{AS_OF}' - MAX(claim_date) FILTER (WHERE {c} IS NOT NULL) AS INT) AS age_days FROM messy")
+    return "types AS (" + " UNION ALL ".join(out) + ")"
+
+
+@plan("dq_column_health_full", "Q17", roles="claims", sql=f"""
+WITH {MESSY}, {_health_sql('messy', *FULL_HEALTH)}, {_type_sql(FULL_HEALTH[0])},
+j AS (SELECT * EXCLUDE (health_score, status), COALESCE(age_days > 1050, TRUE) AS is_stale,
+ {sql_round('health_score - (100 - type_consistency) - CASE WHEN COALESCE(age_days > 1050, TRUE) THEN 10 ELSE 0 END', 2)} AS health_score FROM health JOIN types USING (column_name))
+SELECT *, CASE WHEN health_score >= 90 THEN 'Healthy' WHEN health_score >= 75 THEN 'Warning' ELSE 'Critical' END AS status FROM j""")
+def _(b):
+    line, day = F.col("line_number"), F.col("claim_date")
+    messy = b.claims.withColumns({
+        "days_text": F.when(line == 7, "open").otherwise(F.col("resolution_days").cast("string")),
+        "day_text": F.when((line == 1) & (day < F.lit("1999-01-01").cast("date")), day.cast("string")).when(line == 7, "unknown")})
+    return profile.column_health_full(messy, "messy", *FULL_HEALTH, "claim_date", AS_OF, 1050)
+
+
 @plan("dq_unhealthiest_columns", "Q21 A10 T7", roles="claims", sql=f"""
 WITH {_health_sql('claims', *HEALTH)}
 SELECT table_name, MIN(health_score) AS lowest_health, ARG_MIN(column_name, {{'h': health_score, 'c': column_name}}) AS weakest_column,
@@ -283,6 +317,33 @@ def _(b):
     return columns.join(filled, "column_name").select("table_name", "column_name", "position", "non_null")
 
 
+@plan("catalog_all_columns", "S8", sql=f"""
+SELECT table_name, column_name, CAST(ordinal_position AS INT) AS position, is_nullable = 'YES' AS nullable,
+CASE data_type WHEN 'VARCHAR' THEN 'string' WHEN 'INTEGER' THEN 'int' WHEN 'TIMESTAMP' THEN 'timestamp_ntz' WHEN 'FLOAT[]' THEN 'array<float>' ELSE LOWER(data_type) END AS data_type
+FROM information_schema.columns WHERE table_name IN ({', '.join(f"'{t}'" for t in BASE_TABLES)})""")
+def _(b):
+    return profile.schema_rows(b.spark, {t: b.base(t) for t in BASE_TABLES}).select("table_name", "column_name", "position", "nullable", "data_type")
+
+
+@plan("catalog_table_sizes", "S7")
+def _(b):
+    """Files and bytes from the listing, rows from the tables; bytes have no SQL over the tables, a test holds them against the files."""
+    rows = profile.catalog_tables({t: b.base(t) for t in BASE_TABLES})
+    return rows.join(profile.catalog_files(b.spark, b.folder), "table_name").select("table_name", "rows", "columns", "files", "bytes")
+
+
+@plan("schema_drift_defaults", "Q33", sql="""
+SELECT 'policies' AS table_name, column_name, event_type, old_value, new_value, severity FROM (
+SELECT 'o_orderstatus' AS column_name, 'DEFAULT_CHANGED' AS event_type, '1' AS old_value, '2' AS new_value, 'Low' AS severity UNION ALL SELECT 'o_totalprice', 'DEFAULT_CHANGED', NULL, '0', 'Low'
+UNION ALL SELECT 'o_totalprice', 'TYPE_CHANGED', 'double', 'decimal(18,2)', 'Medium' UNION ALL SELECT 'o_orderpriority', 'DEFAULT_CHANGED', '3', NULL, 'Low') WHERE (SELECT COUNT(*) FROM orders) > 0""")
+def _(b):
+    orders = b.base("orders")
+    old = profile.with_default(profile.with_default(orders, "o_orderstatus", "1"), "o_orderpriority", "3")
+    new = profile.with_default(orders.withColumn("o_totalprice", F.col("o_totalprice").cast("decimal(18,2)")), "o_totalprice", "0")
+    new = profile.with_default(new, "o_orderstatus", "2")
+    return profile.schema_drift(profile.schema_rows(b.spark, {"policies": old}), profile.schema_rows(b.spark, {"policies": new}))
+
+
 @plan("schema_drift", "Q33 D9", sql="""
 SELECT 'policies' AS table_name, c AS column_name, e AS event_type, o AS old_value, n AS new_value, s AS severity, k AS filled FROM (
 SELECT 'premium_amount' AS c, 'COLUMN_RENAMED' AS e, 'o_totalprice' AS o, 'premium_amount' AS n, 'Medium' AS s, (SELECT COUNT(o_totalprice) FROM orders) AS k
@@ -382,6 +443,24 @@ def _(b):
     return detect.spike_explained_by_duplicates(b.claims, month_of("claim_date"), ["claim_id"], "amount")
 
 
+# As an injector would leave them: no e-mail for critical customers, no phone for those of balance under -500.
+FAULTY = """faulty AS (SELECT * REPLACE (CASE WHEN risk_tier <> 'Critical' THEN email END AS email, CASE WHEN balance >= -500 THEN phone END AS phone) FROM customers)"""
+
+
+@plan("ten_faults", "Q27 U1 Q32", roles="customers claims agents policies alerts", sql=f"""
+WITH {FAULTY}, h AS (SELECT adjuster_id, COUNT(*) AS handled FROM claims GROUP BY 1)
+SELECT 'null_emails' AS issue, COUNT(*) AS rows FROM faulty WHERE email IS NULL UNION ALL SELECT 'null_phones', COUNT(*) FROM faulty WHERE phone IS NULL
+UNION ALL SELECT 'duplicate_customers', COUNT(*) - COUNT(DISTINCT household_id) FROM faulty
+UNION ALL SELECT 'extreme_resolution', COUNT(*) FROM claims WHERE resolution_days > 200 UNION ALL SELECT 'high_fraud_score', COUNT(*) FROM claims WHERE fraud_score > 80
+UNION ALL SELECT 'storm_claims', COUNT(*) FROM claims WHERE cause IN ('Hail', 'Hurricane') UNION ALL SELECT 'duplicate_claims', COUNT(*) - COUNT(DISTINCT claim_id) FROM claims
+UNION ALL SELECT 'busy_low_rated_agents', COUNT(*) FROM agents JOIN h ON agent_id = adjuster_id WHERE performance_rating < 2 AND handled > 75
+UNION ALL SELECT 'stale_snapshots', COUNT(*) FROM alerts WHERE CAST(reported_at AS DATE) < DATE '2024-02-28' - 44 UNION ALL SELECT 'premium_outliers', COUNT(*) FROM policies WHERE premium > 450000""")
+def _(b):
+    faulty = b.customers.withColumns({"email": F.when(F.col("risk_tier") != "Critical", F.col("email")), "phone": F.when(F.col("balance") >= -500, F.col("phone"))})
+    snapshots = b.alerts.select(F.to_date("reported_at").alias("snapshot_date"))
+    return detect.ten_faults(faulty, b.claims, b.agents, b.policies, snapshots, "2024-02-28", ["household_id"], ["Hail", "Hurricane"], 450000)
+
+
 @plan("issue_report", "Q27 U1 Q32", roles="customers claims invoices agents", sql="""
 SELECT 'critical_customers' AS issue, COUNT(*) AS rows FROM customers WHERE risk_tier = 'Critical'
 UNION ALL SELECT 'slow_claims', COUNT(*) FROM claims WHERE resolution_days > 200 UNION ALL SELECT 'high_fraud', COUNT(*) FROM claims WHERE fraud_score > 80

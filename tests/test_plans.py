@@ -37,3 +37,12 @@ def test_date_filter_and_columns_reach_the_scan(spark):
 def test_scorecard_counts_before_it_joins(spark):
     plan = physical(all_plans()["geo_risk_scorecard"].build(Book(spark, FOLDER)))
     assert "partial_count" in plan and "CartesianProduct" not in plan
+
+
+def test_cube_matrix_scans_the_facts_once(spark):
+    from covermetrics.plans import semantic
+    b = Book(spark, FOLDER)
+    for domain, facts in (("Claims", "lineitem"), ("Policies", "orders"), ("Customers", "customer")):
+        plan = physical(semantic.MODEL.grouped_once(semantic.tables(b), domain)[0])
+        scans = [line for line in plan.splitlines() if "FileScan" in line and f"{facts}.parquet" in line]
+        assert len(scans) == 1 and "Expand" in plan, domain

@@ -137,3 +137,57 @@ def test_the_fifty_standard_rules(spark):
     # 3, 28, 29: NULLs pass; 21: 0 >= 0 holds; 25: the newest row is recent; the others hold good values
     assert {i for i, n in failed.items() if n == 0} == clean
     assert all(n == 1 for i, n in failed.items() if i not in clean)
+
+
+def test_type_profile_finds_the_narrowest_type(spark):
+    rows = [("1", "2024-01-05", "true", "1.5", "x", 3, dt.date(2024, 1, 5)), ("2", "2024-01-06 10:00", "no", "2", None, 4, dt.date(2024, 1, 6)),
+            ("3", "2024-13-06", "FALSE", "-.5", None, None, dt.date(2024, 1, 20)), ("n/a", "2024-01-07", "True", " 7. ", None, 5, dt.date(2024, 1, 1))]
+    df = spark.createDataFrame(rows, "a string, b string, c string, d string, e string, f int, day date")
+    got = {r.column_name: (r.value_type, r.type_consistency, r.age_days) for r in profile.type_profile(df, list("abcdef"), "day", "2024-01-31").collect()}
+    assert got == {"a": ("integer", 75.0, 11), "b": ("timestamp", 75.0, 11), "c": ("boolean", 75.0, 11), "d": ("number", 100.0, 11), "e": ("text", 100.0, 26), "f": ("int", 100.0, 25)}
+
+
+def test_health_loses_for_mixed_types_and_age(spark):
+    df = spark.createDataFrame([(str(i) if i % 5 else "?", i, dt.date(2024, 1, 1)) for i in range(100)], "a string, b int, day date")
+    fresh, stale = (profile.column_health_full(df, "t", ["a", "b"], ["b"], [], "day", day, 45).orderBy("column_name").collect() for day in ("2024-01-31", "2024-05-31"))
+    assert [(r.health_score, r.is_stale, r.status) for r in fresh] == [(80.0, False, "Warning"), (100.0, False, "Healthy")]
+    assert [(r.health_score, r.is_stale, r.status) for r in stale] == [(70.0, True, "Critical"), (90.0, True, "Healthy")]
+    plan = profile.type_profile(df, ["a", "b"], "day", "2024-01-31")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("LogicalRDD") + plan.count("LocalRelation") == 1  # one pass
+
+
+def test_default_changes(spark):
+    df = spark.createDataFrame([], "a int, b string, c int")
+    old = profile.with_default(profile.with_default(df, "a", "1"), "b", "'x'")
+    new = profile.with_default(profile.with_default(old, "a", "2"), "b", None)
+    drift = profile.schema_drift(profile.schema_rows(spark, {"t": old}), profile.schema_rows(spark, {"t": new}))
+    assert sorted((r.column_name, r.event_type, r.old_value, r.new_value) for r in drift.collect()) == [("a", "DEFAULT_CHANGED", "1", "2"), ("b", "DEFAULT_CHANGED", "'x'", None)]
+
+
+def test_declared_defaults_are_seen(spark):
+    spark.sql("CREATE TABLE t_defaults (a INT DEFAULT 7, b STRING) USING parquet")
+    try:
+        rows = {r.column_name: r.default_value for r in profile.schema_rows(spark, {"t": spark.table("t_defaults")}).collect()}
+        assert rows == {"a": "7", "b": None}
+    finally:
+        spark.sql("DROP TABLE t_defaults")
+
+
+def test_table_sizes_come_from_the_listing(spark, tmp_path):
+    spark.range(10).write.parquet(str(tmp_path / "x.parquet"))
+    spark.range(90).repartition(3).write.parquet(str(tmp_path / "y.parquet"))
+    want = {t: [p.stat().st_size for p in (tmp_path / f"{t}.parquet").glob("part-*.parquet")] for t in "xy"}
+    got = {r.table_name: (r.files, r.bytes) for r in profile.catalog_files(spark, str(tmp_path)).collect()}
+    assert got == {t: (len(s), sum(s)) for t, s in want.items()}
+
+
+def test_ten_faults_count_each_fault(spark):
+    d = dt.date(2024, 1, 1)
+    customers = spark.createDataFrame([(1, "a@x", "1", 9), (2, None, "2", 9), (3, None, None, 8)], "customer_id int, email string, phone string, household_id int")
+    claims = spark.createDataFrame([("c1", 1, 300, 90, "Hail"), ("c1", 1, 10, 10, "Fire"), ("c2", 2, 10, 81, "Hurricane")], "claim_id string, adjuster_id int, resolution_days int, fraud_score int, cause string")
+    agents = spark.createDataFrame([(1, 1.5), (2, 1.5), (3, 4.0)], "agent_id int, performance_rating double")
+    policies = spark.createDataFrame([(1, 20000.0), (2, 10.0)], "policy_id int, premium double")
+    snapshots = spark.createDataFrame([(d,), (dt.date(2024, 2, 20),)], "snapshot_date date")
+    got = {r.issue: r.rows for r in detect.ten_faults(customers, claims, agents, policies, snapshots, "2024-02-28", ["household_id"], ["Hail", "Hurricane"], busy_from=1).collect()}
+    assert got == {"null_emails": 2, "null_phones": 1, "extreme_resolution": 1, "high_fraud_score": 2, "storm_claims": 2, "busy_low_rated_agents": 1,
+                   "stale_snapshots": 1, "premium_outliers": 1, "duplicate_customers": 1, "duplicate_claims": 1}
