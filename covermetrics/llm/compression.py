@@ -5,6 +5,7 @@ A null or empty text has no words and fails the base rules. Equal texts get equa
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,6 +20,7 @@ SYMBOLS = b"#*$%&|<>"
 SHINGLE = 5
 LEVEL = 3
 CHUNK = 4096
+LONG = 512  # bytes from which a range is hashed by a digest
 # (from this many bytes, least ratio, greatest ratio) of bytes to compressed bytes; the last that fits holds.
 WHOLE_BANDS = ((0, 0.5, 4.0), (256, 1.15, 5.0), (1024, 1.25, 5.5), (4096, 1.4, 6.0), (65536, 1.4, 8.0))
 CHUNK_BAND = (1.25, 8.0)
@@ -42,6 +44,15 @@ def keyed(hashes: np.ndarray, rows: np.ndarray) -> np.ndarray:
     return scramble(hashes ^ ((rows.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)))
 
 
+def text_keys(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, rolling: Rolling) -> np.ndarray:
+    """Hashes of byte ranges. Long ranges get a cryptographic digest: from about a thousand bytes on, there are different
+    texts (Thue-Morse words) whose polynomials modulo 2**64 agree for every base."""
+    keys = rolling.words(data, starts, ends)
+    for i in np.flatnonzero(ends - starts >= LONG):
+        keys[i] = int.from_bytes(hashlib.blake2b(data[starts[i]:ends[i]], digest_size=8).digest(), "little")
+    return keys
+
+
 def base_counts(data: np.ndarray, offsets: np.ndarray, rolling: Rolling) -> dict[str, np.ndarray]:
     """The base statistics of each text."""
     n = len(offsets) - 1
@@ -55,10 +66,10 @@ def base_counts(data: np.ndarray, offsets: np.ndarray, rolling: Rolling) -> dict
     worded = np.searchsorted(starts, line_ends) > np.searchsorted(starts, line_starts)
     line_starts, line_ends = line_starts[worded], line_ends[worded]
     rows = row_of(line_starts, offsets)
-    keys = keyed(rolling.words(data, line_starts, line_ends), rows)
+    keys = keyed(text_keys(data, line_starts, line_ends, rolling), rows)
     _, kept = np.unique(keys, return_index=True)
     out["n_dup_lines"] = np.bincount(rows, minlength=n) - np.bincount(rows[kept], minlength=n)
-    grams = rolling.grams(rolling.words(data, starts, ends), SHINGLE)
+    grams = rolling.grams(text_keys(data, starts, ends, rolling), SHINGLE)
     rows = row_of(starts, offsets)
     at = np.flatnonzero(rows[:len(grams)] == rows[SHINGLE - 1:]) if len(grams) else np.zeros(0, np.int64)
     twice = at[repeated(keyed(grams[at], rows[at]))]
@@ -72,12 +83,14 @@ def in_band(size: int, ratio: float) -> bool:
 
 
 def ratios(raw: memoryview, press: zstandard.ZstdCompressor, chunk: int = CHUNK) -> tuple[float, float, bool]:
-    """Ratio of the whole, share of its full chunks outside their band, and whether the text passes."""
+    """Ratio of the whole, share of its chunks outside their band, and whether the text passes. Chunks are full; the last one
+    ends with the text and may overlap the one before, so that every byte of a longer text is judged."""
     size = len(raw)
     if not size:
         return 0.0, 0.0, False
     whole = size / len(press.compress(raw))
-    bad = [not CHUNK_BAND[0] <= chunk / len(press.compress(raw[i:i + chunk])) <= CHUNK_BAND[1] for i in range(0, size - chunk + 1, chunk)]
+    starts = [*range(0, size - chunk + 1, chunk), *([size - chunk] if size > chunk and size % chunk else [])]
+    bad = [not CHUNK_BAND[0] <= chunk / len(press.compress(raw[i:i + chunk])) <= CHUNK_BAND[1] for i in starts]
     share = sum(bad) / len(bad) if bad else 0.0
     return whole, share, in_band(size, whole) and share < BAD_CHUNKS
 

@@ -141,6 +141,27 @@ def test_compression(docs, rows, nothing, odd):
     assert compression.quality_rules(nothing).count() == 0 and compression.quality_rules(odd).count() == 6
 
 
+def thue_morse(n, flip=False):
+    return "".join("ab"[bin(i).count("1") % 2 ^ flip] for i in range(n))
+
+
+def test_compression_counts_texts_whose_polynomials_collide(spark):
+    one, other = thue_morse(2048), thue_morse(2048, True)
+    words = " ".join([one, "c", "d", "e", "f", "g", other, "c", "d", "e", "f", "g"])
+    for text in (f"{one}\n{other}", f"{one}\n{other}\n{one}", words, words + " " + words):
+        r = compression.quality_rules(spark.createDataFrame([(text,)], "text string")).first().rules
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) == brute.base_rules(text)
+
+
+def test_compression_judges_the_last_bytes():
+    import zstandard
+    rng, press = random.Random(6), zstandard.ZstdCompressor(level=3)
+    prose = " ".join(rng.choice(["alpha", "beta", "gamma", "delta", "omega", "sigma"]) + rng.choice("abcdefghij") for _ in range(3000)).encode()[:4096]
+    noise = bytes(rng.randrange(256) for _ in range(4000))
+    assert compression.ratios(memoryview(prose), press)[1] == 0.0
+    assert compression.ratios(memoryview(prose + noise), press)[1] == 0.5
+
+
 def test_compression_bands(spark):
     rng = random.Random(4)
     noise = " ".join("".join(chr(rng.randint(33, 126)) for _ in range(60)) for _ in range(200))
