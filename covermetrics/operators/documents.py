@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from covermetrics.functions.numbers import hash_bucket, mean, rounded
 from covermetrics.functions.strings import token_estimate
 from covermetrics.operators.relational import all_of, latest_per_key, top_k_per_group
-from covermetrics.operators.topk import TopK, query_blocks
+from covermetrics.operators.topk import TopK
+from covermetrics.operators.vector_index import VectorIndex, unit
 from covermetrics.session import scratch_path
 
 # Window starts in percent of the text, and window length in characters.
@@ -78,32 +79,26 @@ def vector_search(corpus: DataFrame, queries: DataFrame, k: int = 5, key: str =
                   qkey: str = "query_id", qvector: str = "query_vector", block: int = 2048) -> DataFrame:
     """Exact cosine top k of each query vector.
 
-    Each task scores its rows against a block of queries with one matrix product and keeps
-    k rows per query, so only k rows per query and task are shuffled. The queries are computed once and written; a batch of
-    more than ``block`` queries costs one pass over the corpus for each block.
+    Up to ``block`` queries travel to the rows: each task scores its rows against all of them with one matrix product and
+    keeps k rows per query, so only k rows per query and task are shuffled. More queries meet the rows in the cells of a
+    `VectorIndex`, so that the corpus is not read again for every block. For repeated searches keep such an index.
     """
-    out, path = None, scratch_path(queries.sparkSession, "query-vectors")
-    queries.select(qkey, qvector).write.parquet(path)
-    for rows in query_blocks(queries.sparkSession.read.parquet(path), qkey, block):
-        one = _search_block(corpus.select(key, vector), rows, k, key, vector, qkey, qvector, queries.schema[qkey].dataType.simpleString())
-        out = one if out is None else out.unionByName(one)
+    few = queries.select(qkey, qvector).limit(block + 1).collect()  # block + 1 rows at most
+    if len(few) > block:
+        return VectorIndex(scratch_path(corpus.sparkSession, "vector-index"), key, vector).build(corpus).search(queries, k, qkey, qvector)
+    out = _search_block(corpus.select(key, vector), few, k, key, vector, qkey, qvector, queries.schema[qkey].dataType.simpleString())
     return top_k_per_group(out, [qkey], [F.desc("score"), F.col(key)], k)
 
 
-def _unit(m: np.ndarray) -> np.ndarray:
-    length = np.linalg.norm(m, axis=1, keepdims=True)
-    return np.divide(m, length, out=np.zeros_like(m), where=length > 0)
-
-
 def _search_block(corpus: DataFrame, rows: list, k: int, key: str, vector: str, qkey: str, qvector: str, qkey_type: str) -> DataFrame:
     ids = np.array([r[qkey] for r in rows])
-    q = _unit(np.array([r[qvector] for r in rows], dtype=np.float64).reshape(len(rows), -1)).T
+    q = unit(np.array([r[qvector] for r in rows], dtype=np.float64).reshape(len(rows), -1)).T
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         best = TopK(len(ids), k)
         for pdf in batches:
             for part in _slices(pdf, max(q.shape)):
-                m = _unit(np.stack(part[vector].to_numpy()).astype(np.float64))
+                m = unit(np.stack(part[vector].to_numpy()).astype(np.float64))
                 best.offer(np.round(m @ q, 6), np.array(part[key].tolist()))
         yield from best.frame(qkey, ids, key)
     return corpus.mapInPandas(score, f"{qkey} {qkey_type}, {key} {corpus.schema[key].dataType.simpleString()}, score double")

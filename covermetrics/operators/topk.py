@@ -6,8 +6,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 
 class TopK:
@@ -39,12 +37,3 @@ class TopK:
                 query_name: np.concatenate([np.repeat(ids[j:j + 1], len(self.keys[j])) for j in found]),
                 key_name: np.concatenate([self.keys[j] for j in found]),
                 "score": np.concatenate([self.scores[j] for j in found])})
-
-
-def query_blocks(queries: DataFrame, key: str, size: int) -> Iterator[list]:
-    """Rows of the query batch, about ``size`` at a time: a block's size is what a task must
-    hold, and the number of blocks grows with the batch, so no query is left out."""
-    n = max(1, -(-queries.count() // size))
-    for i in range(n):
-        block = queries if n == 1 else queries.filter(F.pmod(F.xxhash64(key), F.lit(n)) == i)
-        yield block.collect()

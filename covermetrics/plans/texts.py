@@ -4,7 +4,9 @@ from pyspark.sql import functions as F
 
 from covermetrics.operators import documents as doc
 from covermetrics.operators import feedback, intake, matching, search
+from covermetrics.operators.vector_index import VectorIndex
 from covermetrics.plans.registry import plan, sql_mean, sql_percent, sql_ratio, sql_round
+from covermetrics.session import scratch_path
 from covermetrics.sources.book import AS_OF
 
 WORD = r"[\p{L}\p{N}]+"
@@ -102,6 +104,16 @@ def _(b):
     return doc.vector_search(b.vectors, centre.select("query_id", F.col("p.m").alias("query_vector")))
 
 
+@plan("vector_neighbours", "R6", roles="vectors", sql=f"""
+WITH u AS (SELECT vector_id, CAST(vector AS DOUBLE[]) AS v FROM vectors),
+s AS (SELECT a.vector_id AS query_id, b.vector_id, {sql_round('LIST_COSINE_SIMILARITY(b.v, a.v)', 6)} AS score FROM u a, u b)
+SELECT query_id, vector_id, score, ROW_NUMBER() OVER (PARTITION BY query_id ORDER BY score DESC, vector_id) AS rank FROM s QUALIFY rank <= 3""")
+def _(b):
+    """Every vector against all vectors, from a stored index of cells."""
+    index = VectorIndex(scratch_path(b.spark, "vector-index")).build(b.vectors)
+    return index.search(b.vectors.select(F.col("vector_id").alias("query_id"), F.col("vector").alias("query_vector")), 3)
+
+
 @plan("retrieval_log_stats", "R9", roles="alerts", sql=f"""
 WITH l AS (SELECT event_type AS source, CASE customer_id % 3 WHEN 0 THEN 'agent' WHEN 1 THEN 'executive' ELSE 'underwriter' END AS role,
 CAST(reported_at AS DATE) AS day, CAST(value * 100 AS BIGINT) AS response_ms, CAST((alert_id % 1000) / 1000 AS DECIMAL(9,3)) AS relevance FROM alerts),
