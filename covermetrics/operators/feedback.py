@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from covermetrics.functions.numbers import rounded
 from covermetrics.functions.strings import tokens
 from covermetrics.operators.relational import attach_group_facts, top_k_per_group
+from covermetrics.session import staged
 
 # A small general lexicon and the eight customer themes with their cue words.
 POSITIVE = ("good", "great", "excellent", "easy", "fast", "quick", "helpful", "friendly", "happy", "satisfied", "smooth", "clear", "fair", "recommend", "thanks")
@@ -46,11 +47,12 @@ def word_counts(texts: DataFrame, key: Sequence[str], text: str) -> DataFrame:
 def sentiment(texts: DataFrame, lexicon: DataFrame, key: Sequence[str], text: str, cut: float = 0.05) -> DataFrame:
     """Mean word weight of each text and its band; texts without known words are neutral.
 
-    A frequent word's postings never gather in one task: they meet its weight by broadcast.
+    The texts are split into words once. A frequent word's postings never gather in one task: they meet its weight by
+    broadcast.
     """
-    counts = word_counts(texts, key, text)
+    counts = staged(word_counts(texts, key, text), "word-counts")
     uses = counts.groupBy("term").agg(F.count(F.lit(1)).alias("group_rows"))
-    known = attach_group_facts(counts, uses.join(lexicon, "term"), ["term"])
+    known = attach_group_facts(counts, staged(uses.join(lexicon, "term"), "word-weights"), ["term"])
     score = known.groupBy(*key).agg((F.sum(F.col("n") * F.col("weight")) / F.sum("n")).alias("_s"))
     joined = texts.select(*key).join(score, list(key), "left").withColumn("sentiment", rounded(F.coalesce("_s", F.lit(0.0)), 4))
     band = F.when(F.col("sentiment") > cut, "Positive").when(F.col("sentiment") < -cut, "Negative").otherwise("Neutral")

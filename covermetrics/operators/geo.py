@@ -193,3 +193,24 @@ def property_band(year_built: Column, roof_age: Column, flood_zone: Column) -> C
     points = F.when(year_built < 1960, 2).when(year_built < 1990, 1).otherwise(0) + F.when(roof_age > 15, 1).otherwise(0) \
         + F.when(flood_zone.isin("A", "V"), 2).otherwise(0)
     return F.when(points >= 4, "High").when(points >= 2, "Moderate").otherwise("Low")
+
+
+def hazard_by_zip(alerts: DataFrame, losses: DataFrame, customers: DataFrame, policies: DataFrame, perils: dict[str, Column],
+                  weights: dict[str, float], levels: Sequence[tuple[float, str]], last: str, years: float) -> DataFrame:
+    """state_id, zip_code, policies, avg_premium, one column per peril, hazard, hazard_level, expected_annual_loss.
+
+    ``perils`` are conditions on alerts. Everything is counted per customer before it meets the customer's ZIP, so an alert or
+    loss feed is shuffled once, and only in sums. Hazard is the weighted number of alerts per customer of the ZIP; a ZIP
+    without alerts has 0. The yearly loss is what the ZIP lost over the years of the feed.
+    """
+    seen = alerts.groupBy("customer_id").agg(*[F.count_if(F.coalesce(c, F.lit(False))).alias(p) for p, c in perils.items()])
+    lost = losses.groupBy("customer_id").agg(F.sum("building_damage").alias("_lost"))
+    own = policies.groupBy("customer_id").agg(F.count(F.lit(1)).alias("_policies"), F.sum("premium").alias("_premium"))
+    per_customer = customers.select("customer_id", "state_id", "zip_code").join(seen, "customer_id", "left").join(lost, "customer_id", "left").join(own, "customer_id", "left")
+    per_zip = per_customer.groupBy("state_id", "zip_code").agg(
+        F.count(F.lit(1)).alias("customers"), *[F.coalesce(F.sum(p), F.lit(0)).alias(p) for p in perils],
+        F.coalesce(F.sum("_policies"), F.lit(0)).alias("policies"), F.sum("_premium").alias("_premium"), F.sum("_lost").alias("_lost"))
+    rated = hazard_index(per_zip.withColumns({f"_{p}": F.col(p) / F.col("customers") for p in perils}), {f"_{p}": w for p, w in weights.items()}, levels, last)
+    return rated.select(
+        "state_id", "zip_code", "customers", "policies", ratio("_premium", "policies", 2).alias("avg_premium"), *perils, "hazard", "hazard_level",
+        rounded(F.coalesce(F.col("_lost").cast("double"), F.lit(0.0)) / F.lit(years), 2).alias("expected_annual_loss"))

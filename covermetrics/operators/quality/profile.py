@@ -16,27 +16,16 @@ STATUS_RANK = {"Healthy": 0, "Warning": 1, "Critical": 2}
 
 
 def profile_columns(df: DataFrame, table: str, columns: Sequence[str] | None = None, exact: bool = True) -> DataFrame:
-    """Rows, nulls and distinct values per column.
+    """Rows, nulls and distinct values per column, from one aggregate over one scan.
 
-    ``exact=False`` takes everything in one aggregate with HyperLogLog counts. Exact counts read the table once too: its
-    cells become (column, value) rows that are counted per pair before the shuffle, then per column.
+    Exact counts reduce every column to its distinct values in each task before the shuffle; ``exact=False`` takes
+    HyperLogLog counts, which shuffle a sketch per column and task however many values there are.
     """
-    columns = list(columns or df.columns)
-    if not exact:
-        cells = [F.struct(F.lit(c).alias("column_name"), F.count(F.lit(1)).alias("total"),
-                          (F.count(F.lit(1)) - F.count(c)).alias("nulls"), F.approx_count_distinct(c).alias("distinct_count"))
-                 for c in columns]
-        return df.agg(F.array(*cells).alias("_c")).select(F.explode("_c").alias("_c")).select(F.lit(table).alias("table_name"), "_c.*")
-
-    def text(c: str) -> Column:
-        value = F.col(c) + F.lit(0.0) if df.schema[c].dataType.typeName() in ("double", "float") else F.col(c)  # -0.0 equals 0.0
-        return value.cast("string").alias("_v")
-    cells = df.select(F.explode(F.array(*[F.struct(F.lit(i).alias("_i"), text(c)) for i, c in enumerate(columns)])).alias("_c")).select("_c.*")
-    pairs = cells.groupBy("_i", "_v").agg(F.count(F.lit(1)).alias("_n"))
-    counts = pairs.groupBy("_i").agg(F.sum("_n").alias("total"), F.sum(F.when(F.col("_v").isNull(), F.col("_n"))).alias("nulls"), F.count("_v").alias("distinct_count"))
-    names = df.sparkSession.createDataFrame(list(enumerate(columns)), "_i int, column_name string")
-    zero = [F.coalesce(c, F.lit(0)).alias(c) for c in ("total", "nulls", "distinct_count")]
-    return names.join(counts, "_i", "left").select(F.lit(table).alias("table_name"), "column_name", *zero)
+    distinct = F.count_distinct if exact else F.approx_count_distinct
+    cells = [F.struct(F.lit(c).alias("column_name"), F.count(F.lit(1)).alias("total"),
+                      (F.count(F.lit(1)) - F.count(c)).alias("nulls"), distinct(F.col(c)).alias("distinct_count"))
+             for c in columns or df.columns]
+    return df.agg(F.array(*cells).alias("_c")).select(F.explode("_c").alias("_c")).select(F.lit(table).alias("table_name"), "_c.*")
 
 
 def outlier_counts(df: DataFrame, columns: Sequence[str], z: float = 3.0) -> DataFrame:

@@ -9,19 +9,13 @@ from pyspark.sql import functions as F
 
 from covermetrics.functions.strings import edit_similarity
 from covermetrics.operators.relational import attach_group_facts
-from covermetrics.session import scratch_path
+from covermetrics.session import staged
 
 # Distinct texts that a slice of a block's gram holds; a pair of slices is what one join key compares.
 SLICE = 512
 C = F.col
 
 
-def _stored(df: DataFrame, purpose: str) -> DataFrame:
-    path = scratch_path(df.sparkSession, purpose)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def grams(text: Column, q: int) -> Column:
     """The distinct q-grams of a text, padded so that its ends count too."""
     padded = F.concat(F.lit("\x01" * (q - 1)), text, F.lit("\x02" * (q - 1)))
@@ -59,7 +53,7 @@ def similar_pairs(values: DataFrame, block: Sequence[str], at_least: float, q: i
     Groups that share a gram are cut into slices and every pair of slices is a join key of its own, so no task has to hold
     or compare a whole group; only verified pairs leave the join.
     """
-    keyed = _stored(prefixes(values, block, at_least, q), "gram-prefixes")
+    keyed = staged(prefixes(values, block, at_least, q), "gram-prefixes")
     sizes = keyed.groupBy(*block, "gram").agg(F.count(F.lit(1)).alias("texts")).filter("texts > 1")
     rows = attach_group_facts(keyed, sizes, [*block, "gram"], "texts").withColumn("_n", F.ceil(C("texts") / slice_size).cast("int"))
     own = F.pmod(F.xxhash64("v"), C("_n")).cast("int")
@@ -83,13 +77,13 @@ def components(links: DataFrame) -> DataFrame:
     Each round a node takes the least component among its neighbours and itself, then the component of that component, so
     long chains shorten by halves. Every round's labels are written; nothing is collected.
     """
-    both = _stored(links.select("a", "b").unionByName(links.select(C("b").alias("a"), C("a").alias("b"))).distinct(), "links")
-    labels = _stored(both.groupBy("a").agg(F.least(F.min("b"), C("a")).alias("component")).withColumnRenamed("a", "node"), "components")
+    both = staged(links.select("a", "b").unionByName(links.select(C("b").alias("a"), C("a").alias("b"))).distinct(), "links")
+    labels = staged(both.groupBy("a").agg(F.least(F.min("b"), C("a")).alias("component")).withColumnRenamed("a", "node"), "components")
     while True:
         reach = both.join(labels, C("b") == C("node")).groupBy("a").agg(F.min("component").alias("near"))
         lower = labels.join(reach, C("node") == C("a")).select("node", F.least("component", "near").alias("lower"), C("component").alias("old"))
         onward = labels.select(C("node").alias("lower"), C("component").alias("further"))
-        new = _stored(lower.join(onward, "lower", "left").select("node", "old", F.least("lower", "further").alias("component")), "components")
+        new = staged(lower.join(onward, "lower", "left").select("node", "old", F.least("lower", "further").alias("component")), "components")
         if new.filter("old != component").isEmpty():
             return new.select("node", "component")
         labels = new.select("node", "component")
@@ -108,8 +102,8 @@ def similarity_classes(df: DataFrame, same: Sequence[str], key: str, compare: st
     q = 2 if at_least >= 0.75 else 1
     block = [f"_s{i}" for i in range(len(same))]
     rows = df.select(C(key).alias("_key"), *[C(c).alias(b) for b, c in zip(block, same)], F.lower(C(compare)).alias("v")).filter("v IS NOT NULL")
-    values = _stored(rows.groupBy(*block, "v").agg(F.min("_key").alias("_least"), F.count(F.lit(1)).alias("_copies")), "entity-values")
-    pairs = _stored(similar_pairs(values.select(*block, "v"), block, at_least, q, slice_size), "similar-pairs")
+    values = staged(rows.groupBy(*block, "v").agg(F.min("_key").alias("_least"), F.count(F.lit(1)).alias("_copies")), "entity-values")
+    pairs = staged(similar_pairs(values.select(*block, "v"), block, at_least, q, slice_size), "similar-pairs")
     # A node is a text of a block; its place in the order of a digest stands for it.
     node = lambda v: F.sha2(F.to_json(F.struct(*block, C(v).alias("v"))), 256)
     links = pairs.select(node("a").alias("a"), node("b").alias("b"))

@@ -134,6 +134,24 @@ def _(b):
         F.coalesce("hazard_level", F.lit("Unknown")).alias("hazard_level"), (F.col("state_id") % 3 == 0).alias("coastal"))
 
 
+@plan("hazard_by_zip", "E18", roles="alerts flood_losses customers policies", sql=f"""
+WITH z AS (SELECT customer_id, state_id, LPAD(CAST(customer_id % 1000 AS VARCHAR), 5, '0') AS zip_code FROM customers),
+a AS (SELECT state_id, zip_code, COUNT(*) FILTER (WHERE event_type = 'error') AS storms, COUNT(*) FILTER (WHERE event_type = 'purchase') AS floods, COUNT(*) FILTER (WHERE severity = 'Extreme') AS extreme FROM alerts JOIN z USING (customer_id) GROUP BY 1, 2),
+l AS (SELECT state_id, zip_code, SUM(building_damage) AS lost FROM flood_losses JOIN z USING (customer_id) GROUP BY 1, 2),
+p AS (SELECT state_id, zip_code, COUNT(*) AS policies, SUM(premium) AS premium FROM policies JOIN z USING (customer_id) GROUP BY 1, 2),
+c AS (SELECT state_id, zip_code, COUNT(*) AS customers FROM z GROUP BY 1, 2),
+j AS (SELECT c.*, COALESCE(policies, 0) AS policies, premium, COALESCE(storms, 0) AS storms, COALESCE(floods, 0) AS floods, COALESCE(extreme, 0) AS extreme, lost
+      FROM c LEFT JOIN a USING (state_id, zip_code) LEFT JOIN l USING (state_id, zip_code) LEFT JOIN p USING (state_id, zip_code)),
+h AS (SELECT *, {sql_round('CAST(0 AS DOUBLE) + CAST(storms AS DOUBLE) / customers * 0.5 + CAST(floods AS DOUBLE) / customers * 0.3 + CAST(extreme AS DOUBLE) / customers * 2', 2)} AS hazard FROM j)
+SELECT state_id, zip_code, customers, policies, {sql_ratio('premium', 'policies', 2)} AS avg_premium, storms, floods, extreme, hazard,
+CASE WHEN hazard < 1 THEN 'Low' WHEN hazard < 4 THEN 'Moderate' ELSE 'High' END AS hazard_level, {sql_round('COALESCE(CAST(lost AS DOUBLE), CAST(0 AS DOUBLE)) / CAST(7 AS DOUBLE)', 2)} AS expected_annual_loss FROM h""")
+def _(b):
+    customers = b.customers.withColumn("zip_code", F.lpad((F.col("customer_id") % 1000).cast("string"), 5, "0"))
+    perils = {"storms": F.col("event_type") == "error", "floods": F.col("event_type") == "purchase", "extreme": F.col("severity") == "Extreme"}
+    return geo.hazard_by_zip(b.alerts, b.flood_losses, customers, b.policies, perils, {"storms": 0.5, "floods": 0.3, "extreme": 2.0},
+                             [(1, "Low"), (4, "Moderate")], "High", 7.0)
+
+
 @plan("property_risk", "E19", roles="policies claims", sql=f"""
 WITH x AS (SELECT policy_id, premium, 1930 + policy_id % 90 AS year_built, policy_id % 30 AS roof_age, CASE policy_id % 5 WHEN 0 THEN 'A' WHEN 1 THEN 'V' ELSE 'X' END AS zone FROM policies),
 b AS (SELECT policy_id, premium, CASE WHEN year_built < 1960 THEN 2 WHEN year_built < 1990 THEN 1 ELSE 0 END + CASE WHEN roof_age > 15 THEN 1 ELSE 0 END + CASE WHEN zone IN ('A', 'V') THEN 2 ELSE 0 END AS pts FROM x)

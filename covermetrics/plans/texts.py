@@ -290,6 +290,62 @@ def _(b):
     return matching.match_products(matching.catalogue(named.filter(mine), "name", "list_price"), matching.catalogue(named.filter(~mine), "name", "list_price"))
 
 
+def _hash_sql(c, salt):
+    return f"CAST('0x' || SUBSTR(MD5({c} || '{salt}'), 1, 8) AS BIGINT)"
+
+
+@plan("product_match_semantic", "R15", roles="products", sql=f"""
+WITH a AS (SELECT product_name || ' ' || LOWER(line) AS name, {sql_ratio('SUM(list_price)', 'COUNT(*)', 2)} AS price FROM products WHERE line IN ('STANDARD', 'PROMO') GROUP BY 1),
+b AS (SELECT product_name || ' ' || LOWER(line) AS match, {sql_ratio('SUM(list_price)', 'COUNT(*)', 2)} AS match_price FROM products WHERE line NOT IN ('STANDARD', 'PROMO') GROUP BY 1),
+n AS (SELECT name FROM a UNION SELECT match FROM b), w AS (SELECT name, UNNEST(LIST_DISTINCT(STRING_SPLIT(name, ' '))) AS w FROM n),
+f AS (SELECT w, COUNT(*) AS df FROM w GROUP BY 1), t AS (SELECT x.w, y.w AS c, COUNT(*) AS k FROM w x JOIN w y ON x.name = y.name AND x.w <> y.w GROUP BY 1, 2),
+v AS (SELECT w, {_hash_sql('c', 'dim')} % 64 AS dim, {sql_round(f"SUM({sql_round('LN(k + 1)', 6)} * CASE WHEN {_hash_sql('c', 'sign')} % 2 = 0 THEN 1 ELSE -1 END)", 6)} AS x FROM t GROUP BY 1, 2),
+m AS (SELECT name, dim, SUM({sql_round('LN(1 + CAST((SELECT COUNT(*) FROM n) AS DOUBLE) / df)', 6)} * x) AS x FROM w JOIN f USING (w) JOIN v USING (w) GROUP BY 1, 2),
+u AS (SELECT name, dim, x / SQRT(SUM(x * x) OVER (PARTITION BY name)) AS x FROM m),
+c AS (SELECT p.name, q.name AS match, SUM(p.x * q.x) AS cosine FROM u p JOIN u q USING (dim) GROUP BY 1, 2),
+p AS (SELECT *, LIST_DISTINCT(STRING_SPLIT(name, ' ')) AS ta, LIST_DISTINCT(STRING_SPLIT(match, ' ')) AS tb FROM a, b),
+s AS (SELECT p.*, {sql_round('COALESCE(cosine, 0)', 4)} AS semantic, {sql_round('1 - CAST(LEVENSHTEIN(p.name, p.match) AS DOUBLE) / GREATEST(LENGTH(p.name), LENGTH(p.match))', 4)} AS fuzzy,
+ {sql_round('CAST(LEN(LIST_INTERSECT(ta, tb)) AS DOUBLE) / LEN(LIST_DISTINCT(LIST_CONCAT(ta, tb)))', 4)} AS words FROM p LEFT JOIN c ON c.name = p.name AND c.match = p.match
+ WHERE CAST(LEN(LIST_INTERSECT(ta, tb)) AS DOUBLE) / LEN(LIST_DISTINCT(LIST_CONCAT(ta, tb))) >= 0.3),
+r AS (SELECT *, {sql_round("CASE WHEN name = match THEN 1 ELSE 0 END * CAST(0.1 AS DOUBLE) + fuzzy * CAST(0.3 AS DOUBLE) + words * CAST(0.3 AS DOUBLE) + semantic * CAST(0.3 AS DOUBLE)", 4)} AS score FROM s)
+SELECT a.name, r.match, r.score, r.fuzzy, r.words, r.semantic, {sql_percent('a.price - r.match_price', 'r.match_price')} AS price_delta_pct FROM a LEFT JOIN r ON r.name = a.name
+QUALIFY ROW_NUMBER() OVER (PARTITION BY a.name ORDER BY r.score DESC, r.match) = 1""")
+def _(b):
+    named = b.products.withColumn("name", F.concat_ws(" ", "product_name", F.lower("line")))
+    mine = F.col("line").isin("STANDARD", "PROMO")
+    return matching.match_products_semantic(matching.catalogue(named.filter(mine), "name", "list_price"), matching.catalogue(named.filter(~mine), "name", "list_price"))
+
+
+ENDS_SQL = """f AS (SELECT customer_id, ARG_MIN(policy_id, {'d': effective_date, 'p': policy_id}) AS first_id, ARG_MAX(policy_id, {'d': effective_date, 'p': policy_id}) AS last_id FROM policies GROUP BY 1),
+g AS (SELECT policy_id FROM policies WHERE policy_id % 97 <> 0 AND policy_id % 83 <> 0 AND policy_id % 89 <> 0)"""
+
+
+def first_and_last(b, table):
+    """Rows of an intake table for each customer's first and last policy."""
+    ends = b.policies.groupBy("customer_id").agg(F.min_by("policy_id", F.struct("effective_date", "policy_id")).alias("first_id"),
+                                                 F.max_by("policy_id", F.struct("effective_date", "policy_id")).alias("last_id"))
+    number = lambda c: F.concat(F.lit("POL-"), F.lpad(F.col(c).cast("string"), 8, "0")).alias("policy_id")
+    return [ends.select("customer_id", number(c)).join(table, "policy_id").drop("policy_id") for c in ("first_id", "last_id")]
+
+
+@plan("compare_endorsements", "R14", roles="policies", sql=f"""
+WITH {ENDS_SQL}, e AS (SELECT policy_id, name, amount FROM g, (VALUES ('Water Backup', 5000.0), ('Identity Theft', 0.0)) AS t(name, amount) WHERE policy_id % 4 = 0),
+a AS (SELECT customer_id, name, amount FROM f JOIN e ON policy_id = first_id), z AS (SELECT customer_id, name, amount FROM f JOIN e ON policy_id = last_id)
+SELECT COALESCE(a.customer_id, z.customer_id) AS customer_id, COALESCE(a.name, z.name) AS endorsement_name, CASE WHEN a.name IS NULL THEN 'only b' WHEN z.name IS NULL THEN 'only a' ELSE 'both' END AS held_by,
+CAST(a.amount AS DOUBLE) AS limit_a, CAST(z.amount AS DOUBLE) AS limit_b FROM a FULL JOIN z ON a.customer_id = z.customer_id AND a.name = z.name""")
+def _(b):
+    return matching.compare_items(*first_and_last(b, intake_of(b).endorsements), ["customer_id"], "endorsement_name", "endorsement_limit")
+
+
+@plan("compare_properties", "R14", roles="policies", sql=f"""
+WITH {ENDS_SQL}, y AS (SELECT policy_id, CAST(1930 + policy_id % 90 AS VARCHAR) AS year_built, CAST(900 + policy_id % 2000 AS VARCHAR) AS square_footage, 'Masonry' AS construction_type FROM g),
+l AS (SELECT 'a' AS side, customer_id, y.* FROM f JOIN y ON policy_id = first_id UNION ALL SELECT 'b', customer_id, y.* FROM f JOIN y ON policy_id = last_id),
+u AS (UNPIVOT l ON year_built, square_footage, construction_type INTO NAME attribute VALUE v)
+SELECT customer_id, attribute, MAX(v) FILTER (WHERE side = 'a') AS value_a, MAX(v) FILTER (WHERE side = 'b') AS value_b FROM u GROUP BY 1, 2 HAVING value_a IS DISTINCT FROM value_b""")
+def _(b):
+    return matching.compare_attributes(*first_and_last(b, intake_of(b).property), ["customer_id"], ["year_built", "square_footage", "construction_type"])
+
+
 @plan("compare_orders", "R14", roles="policies claims", sql="""
 WITH f AS (SELECT customer_id, ARG_MIN(policy_id, {'d': effective_date, 'p': policy_id}) AS first_id, ARG_MAX(policy_id, {'d': effective_date, 'p': policy_id}) AS last_id FROM policies GROUP BY 1),
 l AS (SELECT policy_id, line_number, SUM(amount) AS amount FROM claims GROUP BY 1, 2),

@@ -107,3 +107,46 @@ def test_intake_statuses_and_fallbacks(spark):
     assert out.customers.collect()[0].first_name == "ACME"
     assert [r.child_id for r in out.coverages.orderBy("child_id").collect()] == ["COV-12345-01", "COV-12345-02", "COV-12345-03"]
     assert out.vehicles.count() == 0 and out.property.collect()[0].year_built == 1999
+
+
+def catalogue_of(spark, names):
+    return spark.createDataFrame([(n, 100.0 + i) for i, n in enumerate(names)], "name string, price double")
+
+
+def test_words_used_alike_get_alike_vectors(spark):
+    names = [f"{kind} {word} plan" for kind in ("gold", "silver", "basic") for word in ("auto", "car")] + ["deep sea cargo", "river cargo hull"]
+    both = catalogue_of(spark, names)
+    frequencies = matching.word_frequencies(both)
+    vectors = {}
+    for r in matching.word_vectors(both, 32).collect():
+        vectors.setdefault(r.w, np.zeros(32))[r.dim] = r.x
+    cosine = lambda a, b: vectors[a] @ vectors[b] / np.linalg.norm(vectors[a]) / np.linalg.norm(vectors[b])
+    assert cosine("auto", "car") > 0.999 > 0.5 > cosine("auto", "hull")  # they never stand together, but with the same words
+    lengths = matching.name_vectors(both, matching.word_vectors(both, 32), frequencies).groupBy("name").agg(F.sum(F.col("x") * F.col("x")).alias("l")).collect()
+    assert len(lengths) == len(names) and all(abs(r.l - 1) < 1e-9 for r in lengths)
+
+
+def test_semantic_score_prefers_the_word_used_alike(spark):
+    ours = catalogue_of(spark, ["gold auto plan", "silver auto plan", "basic auto plan", "unheard"])
+    theirs = catalogue_of(spark, ["gold car plan", "gold sea plan", "silver car plan", "basic car plan", "deep sea hull", "cold sea hull"])
+    got = {r.name: r for r in matching.match_products_semantic(ours, theirs).collect()}
+    assert got["gold auto plan"].match == "gold car plan" and got["gold auto plan"].semantic > 0.9
+    assert got["unheard"].match is None and got["unheard"].score is None
+
+
+def test_sliced_words_make_the_same_pairs(spark):
+    names = [f"common w{i % 7} v{i}" for i in range(60)]
+    a = spark.createDataFrame([(n, w) for n in names for w in n.split()], "name string, w string")
+    b = a.withColumnRenamed("name", "match")
+    pairs = [sorted(map(tuple, matching.word_pairs(a, b, size).collect())) for size in (7, 10 ** 6)]
+    assert pairs[0] == pairs[1] == sorted((x, y) for x in names for y in names)
+
+
+def test_compare_items_and_attributes(spark):
+    a = spark.createDataFrame([(1, "Flood", 5.0), (1, "Theft", 1.0)], "k int, name string, amount double")
+    b = spark.createDataFrame([(1, "Flood", 9.0), (2, "Quake", None)], a.schema)
+    assert sorted(map(tuple, matching.compare_items(a, b, ["k"], "name", "amount").collect())) == [
+        (1, "Flood", "both", 5.0, 9.0), (1, "Theft", "only a", 1.0, None), (2, "Quake", "only b", None, None)]
+    x = spark.createDataFrame([(1, 1950, None, "x")], "k int, year int, roof string, zone string")
+    y = spark.createDataFrame([(1, 1960, None, "x")], x.schema)
+    assert [tuple(r) for r in matching.compare_attributes(x, y, ["k"], ["year", "roof", "zone"]).collect()] == [(1, "year", "1950", "1960")]
