@@ -111,6 +111,28 @@ def document_stats(docs: DataFrame, chunks: DataFrame, by: str, key: str = "docu
         rounded(F.sum("t").cast("double") / F.nullif(F.sum("c"), F.lit(0)), 0).alias("avg_tokens"))
 
 
+def chunk_catalogue(chunks: DataFrame, docs: DataFrame, model: Column, key: str = "document_id", preview: int = 150) -> DataFrame:
+    """chunk_id, key, chunk_index, chunk_preview, token_count, embedding_model: what the retrieval layer holds of each chunk.
+
+    ``model`` names the model that embeds a document's chunks, from the columns of ``docs``.
+    """
+    models = docs.select(key, model.alias("embedding_model"))
+    return chunks.join(models, key).select(
+        F.concat_ws("-", F.lit("CHK"), F.col(key).cast("string"), F.lpad(F.col("chunk_index").cast("string"), 4, "0")).alias("chunk_id"),
+        key, "chunk_index", F.left("chunk_text", F.lit(preview)).alias("chunk_preview"), "token_count", "embedding_model")
+
+
+def embedding_stats(catalogue: DataFrame) -> DataFrame:
+    """Chunks, documents and mean tokens per embedding model."""
+    return catalogue.groupBy("embedding_model").agg(
+        F.count(F.lit(1)).alias("chunks"), F.count_distinct("document_id").alias("documents"), mean("token_count", 0).alias("avg_tokens"))
+
+
+def document_previews(docs: DataFrame, k: int = 10, key: str = "document_id", text: str = "content", preview: int = 200) -> DataFrame:
+    """The first k documents with the beginnings of their texts."""
+    return docs.withColumn(text, F.left(text, F.lit(preview))).withColumnRenamed(text, "content_preview").orderBy(key).limit(k)
+
+
 def retrieval_log_stats(log: DataFrame, by: Sequence[str]) -> DataFrame:
     """Queries, mean and percentile response times, mean relevance."""
     return log.groupBy(*by).agg(

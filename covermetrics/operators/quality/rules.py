@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from covermetrics.functions.numbers import percent
+from covermetrics.operators.relational import top_k_per_group
 
 
 @dataclass(frozen=True)
@@ -164,6 +165,33 @@ def _run_references(df: DataFrame, r: Rule, tables: Mapping[str, DataFrame]) ->
     ).select(*_about(r), *COUNTS)
 
 
+def error_ids(rules: Sequence[Rule], tables: Mapping[str, DataFrame], keys: Mapping[str, str], as_of: str, size: int = 20) -> DataFrame:
+    """rule_id, failing_id, rank: up to ``size`` failing ids of each rule, in digest order, so a fair and stable sample.
+
+    Row rules of a table share one scan, in which a row comes out once for each rule that it fails; ``size`` ids per rule and
+    task survive it. A uniqueness rule names the repeated values, a reference rule the values without a parent; a freshness
+    rule fails as a whole and names none.
+    """
+    parts = []
+    for table in dict.fromkeys(r.table for r in rules):
+        mine, df = [r for r in rules if r.table == table], tables[table]
+        fused = [r for r in mine if r.template in ROW_TEMPLATES]
+        if fused:
+            failed = F.array_compact(F.array(*[F.when(F.coalesce(ROW_TEMPLATES[r.template](r, as_of), F.lit(False)), F.lit(r.rule_id)) for r in fused]))
+            parts.append(df.select(F.explode(failed).alias("rule_id"), F.col(keys[table]).cast("string").alias("failing_id")))
+        for r in mine:
+            values = df.groupBy(F.col(r.column).alias("_v")).agg(F.count(F.lit(1)).alias("_n")).filter("_v IS NOT NULL") if r.template in ("unique", "references") else None
+            if r.template == "unique":
+                parts.append(values.filter("_n > 1").select(F.lit(r.rule_id).alias("rule_id"), F.col("_v").cast("string").alias("failing_id")))
+            elif r.template == "references":
+                parent = tables[r.args["parent"]].select(F.col(r.args["parent_key"]).alias("_v"))
+                parts.append(values.join(parent, "_v", "left_anti").select(F.lit(r.rule_id).alias("rule_id"), F.col("_v").cast("string").alias("failing_id")))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return top_k_per_group(out, ["rule_id"], [F.md5("failing_id"), F.col("failing_id")], size)
+
+
 def _with_status(results: DataFrame) -> DataFrame:
     """Pass at or above the threshold; Warning within one point below it (ours); else Fail.
 

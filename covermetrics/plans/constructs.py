@@ -1,12 +1,14 @@
 """Relational constructs and scalar functions, each over whole tables."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from covermetrics.functions import dates, numbers, strings
 from covermetrics.operators.relational import not_in, number_rows, top_k_per_group
 from covermetrics.plans.registry import plan, sql_mean, sql_percent, sql_round
-from covermetrics.session import scratch_path
-from covermetrics.sources.tables import export_sample_csv, export_tables
+from covermetrics.session import scratch_path, staged
+from covermetrics.sources.tables import export_sample_csv, export_tables, work_table
 
 
 @plan("string_functions", "F1 F2 F3 F4 F5 F6 F7 F9", roles="customers", sql="""
@@ -210,6 +212,25 @@ def _(b):
     return out
 
 
+@plan("work_table", "S13 D8", roles="claims", sql="""
+SELECT CAST(DATE_TRUNC('month', claim_date) AS DATE) AS month, COUNT(*) AS claims, CAST(SUM(amount) AS DOUBLE) AS amount FROM claims GROUP BY 1 HAVING COUNT(*) >= (SELECT COUNT(*) / 200 FROM claims)""")
+def _(b):
+    """A monthly series is kept as a table while it is used twice, and dropped before the result is read."""
+    monthly = b.claims.groupBy(F.trunc("claim_date", "month").alias("month")).agg(F.count(F.lit(1)).alias("claims"), F.sum("amount").cast("double").alias("amount"))
+    with work_table(monthly, f"work_{uuid.uuid4().hex}") as work:
+        total = work.agg(F.sum("claims")).first()[0] or 0
+        return staged(work.filter(F.col("claims") >= total / 200), "work-result")
+
+
+@plan("generated_ids", "F10", roles="policies", sql="SELECT COUNT(*) AS rows, COUNT(*) AS ids, COUNT(*) AS well_formed, COUNT(DISTINCT policy_id) AS policies FROM policies")
+def _(b):
+    """Every row gets an id of its own; the rows are written once, as another run would draw other ids."""
+    keyed = staged(b.policies.select("policy_id", F.expr("uuid()").alias("id")), "ids")
+    shape = r"^[0-9a-f]{8}-[0-9a-f]{4}-4[0-9a-f]{3}-[89ab][0-9a-f]{3}-[0-9a-f]{12}$"
+    return keyed.agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("id").alias("ids"), F.count_if(F.col("id").rlike(shape)).alias("well_formed"),
+                     F.count_distinct("policy_id").alias("policies"))
+
+
 @plan("unseen_files", "U4 S11", roles="filings", sql="""
 SELECT document_type, COUNT(*) AS new_files FROM filings WHERE document_id NOT IN (SELECT doc_id FROM labels) GROUP BY 1""")
 def _(b):

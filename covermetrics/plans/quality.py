@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from covermetrics.functions.dates import month_of
 from covermetrics.operators.claims import claims_by_region_month
 from covermetrics.operators.quality import detect, profile, scores, similar
-from covermetrics.operators.quality.rules import Rule, rules_frame, run_rules
+from covermetrics.operators.quality.rules import Rule, error_ids, rules_frame, run_rules
 from covermetrics.plans.registry import plan, sql_mean, sql_percent, sql_round
 from covermetrics.sources.book import AS_OF, BASE_TABLES
 
@@ -145,6 +145,15 @@ def _(b):
     return rule_results(b, wanted).select("rule_id", F.get("error_sample", F.lit(0)).alias("first_id"), F.element_at("error_sample", -1).alias("last_id"))
 
 
+@plan("dq_error_ids", "Q15 L6", roles=ALL_ROLES, sql="""
+WITH x AS (SELECT 'R12' AS rule_id, CAST(policy_id AS VARCHAR) AS failing_id FROM policies WHERE policy_type = '5-LOW' UNION ALL SELECT 'R21', claim_id FROM claims WHERE friction_reason IS NULL
+UNION ALL SELECT 'R16', claim_id FROM claims GROUP BY claim_id HAVING COUNT(*) > 1)
+SELECT rule_id, failing_id, ROW_NUMBER() OVER (PARTITION BY rule_id ORDER BY MD5(failing_id), failing_id) AS rank FROM x QUALIFY rank <= 25""")
+def _(b):
+    wanted = [r for r in RULES if r.rule_id in ("R12", "R16", "R21")]
+    return error_ids(wanted, {"policies": b.policies, "claims": b.claims}, {"policies": "policy_id", "claims": "claim_id"}, AS_OF, 25)
+
+
 @plan("dq_referential", "Q10 J14", roles="claims policies agents customers alerts", sql="""
 SELECT 'claims.adjuster_id' AS link, COUNT(*) AS orphans FROM claims c WHERE NOT EXISTS (SELECT 1 FROM agents a WHERE a.agent_id = c.adjuster_id AND a.status = 'Active')
 UNION ALL SELECT 'alerts.customer_id', COUNT(*) FROM alerts c WHERE NOT EXISTS (SELECT 1 FROM customers a WHERE a.customer_id = c.customer_id)""")

@@ -61,6 +61,29 @@ def _(b):
     return doc.document_stats(b.filings, doc.chunk_fixed(b.filings), "document_type")
 
 
+MODELS = "CASE WHEN language = 'en' THEN 'english-768' ELSE 'multilingual-1024' END"
+
+
+@plan("chunk_previews", "R7 R2", roles="filings", sql=f"""
+WITH {FIXED} SELECT 'CHK-' || document_id || '-' || LPAD(CAST(chunk_index AS VARCHAR), 4, '0') AS chunk_id, document_id, CAST(chunk_index AS INT) AS chunk_index, LEFT(chunk_text, 150) AS chunk_preview,
+CAST(CEIL(LENGTH(chunk_text) / 4.0) AS INT) AS token_count, {MODELS} AS embedding_model FROM fixed JOIN filings USING (document_id)""")
+def _(b):
+    return doc.chunk_catalogue(doc.chunk_fixed(b.filings), b.filings, F.expr(MODELS))
+
+
+@plan("embedding_stats", "R7", roles="filings", sql=f"""
+WITH {FIXED} SELECT {MODELS} AS embedding_model, COUNT(*) AS chunks, COUNT(DISTINCT document_id) AS documents, {sql_mean('CAST(CEIL(LENGTH(chunk_text) / 4.0) AS INT)', 0)} AS avg_tokens
+FROM fixed JOIN filings USING (document_id) GROUP BY 1""")
+def _(b):
+    return doc.embedding_stats(doc.chunk_catalogue(doc.chunk_fixed(b.filings), b.filings, F.expr(MODELS)))
+
+
+@plan("document_previews", "R7 L7", roles="filings", sql="""
+SELECT document_id, language, document_type, chars, LEFT(content, 200) AS content_preview FROM filings ORDER BY document_id LIMIT 10""")
+def _(b):
+    return doc.document_previews(b.filings)
+
+
 @plan("bm25_topk", "R5", roles="filings questions", sql=f"""
 WITH {DOC_WORDS}, q AS (SELECT DISTINCT question_id, UNNEST(REGEXP_EXTRACT_ALL(LOWER(question), '{WORD}')) AS term FROM questions),
 dl AS (SELECT document_id, COUNT(*) AS dl FROM doc_words GROUP BY 1), st AS (SELECT CAST((SELECT COUNT(*) FROM filings) AS DOUBLE) AS n, CAST(SUM(dl) AS DOUBLE) AS total FROM dl),

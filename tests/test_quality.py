@@ -191,3 +191,28 @@ def test_ten_faults_count_each_fault(spark):
     got = {r.issue: r.rows for r in detect.ten_faults(customers, claims, agents, policies, snapshots, "2024-02-28", ["household_id"], ["Hail", "Hurricane"], busy_from=1).collect()}
     assert got == {"null_emails": 2, "null_phones": 1, "extreme_resolution": 1, "high_fraud_score": 2, "storm_claims": 2, "busy_low_rated_agents": 1,
                    "stale_snapshots": 1, "premium_outliers": 1, "duplicate_customers": 1, "duplicate_claims": 1}
+
+
+def test_error_ids_sample_each_rule(spark):
+    from covermetrics.operators.quality.rules import error_ids
+    df = spark.createDataFrame([(i, None if i < 30 else "x", 1 if i % 2 else i) for i in range(100)], "id int, a string, b int")
+    parents = spark.createDataFrame([(i,) for i in range(0, 90)], "k int")
+    rules = [Rule("N", "n", "t", "a", "Completeness", "not_null"), Rule("U", "u", "t", "b", "Uniqueness", "unique"),
+             Rule("F", "f", "t", "b", "Consistency", "references", args={"parent": "p", "parent_key": "k"})]
+    got = {}
+    for r in error_ids(rules, {"t": df, "p": parents}, {"t": "id"}, AS_OF, 5).collect():
+        got.setdefault(r.rule_id, []).append((r["rank"], int(r.failing_id)))
+    assert len(got["N"]) == 5 and all(i < 30 for _, i in got["N"])
+    assert got["U"] == [(1, 1)] and sorted(i for _, i in got["F"]) == [90, 92, 94, 96, 98]
+    whole = error_ids(rules[:1], {"t": df}, {"t": "id"}, AS_OF, 1000)
+    assert sorted(int(r.failing_id) for r in whole.collect()) == list(range(30))
+
+
+def test_work_table_is_dropped_also_after_an_error(spark):
+    from covermetrics.sources.tables import work_table
+    with work_table(spark.range(5), "t_work") as work:
+        assert work.count() == 5 and spark.catalog.tableExists("t_work")
+    assert not spark.catalog.tableExists("t_work")
+    with pytest.raises(RuntimeError), work_table(spark.range(5), "t_work"):
+        raise RuntimeError("stop")
+    assert not spark.catalog.tableExists("t_work")
