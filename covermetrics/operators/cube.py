@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from covermetrics.functions.numbers import ratio, rounded
-from covermetrics.session import scratch_path
+from covermetrics.session import staged
 
 
 @dataclass(frozen=True)
@@ -144,9 +144,7 @@ class SemanticModel:
         """Every perspective of a domain with every measure, in long form, from one scan of the base table."""
         d = self.domains[domain]
         grouped, ids, final, counted = self.grouped_once(tables, domain)
-        path = scratch_path(grouped.sparkSession, f"cube-{domain}".replace(" ", "-"))
-        grouped.write.partitionBy("_set").parquet(path)
-        stored = grouped.sparkSession.read.parquet(path)
+        stored = staged(grouped, "cube-groups")
         cols, out = [_name(m) for m in d.measures], None
         width = len([c for c in stored.columns if c in counted])
         for name, p in d.perspectives.items():
