@@ -42,14 +42,13 @@ def op4_line_chunks(spark: SparkSession, folder: str) -> DataFrame:
 LINE_CHUNKS_SQL = """
 WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i
            FROM documents WHERE text IS NOT NULL),
-h AS (SELECT *, md5(line) AS own, coalesce(lag(md5(line)) OVER (PARTITION BY doc_id ORDER BY i), '') AS before FROM l),
-e AS (SELECT *, CASE WHEN substr(md5(before || own), 1, 1) IN ('0', '4', '8', 'c') THEN 1 ELSE 0 END AS ends FROM h),
-n AS (SELECT *, coalesce(sum(ends) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS no FROM e),
-g AS (SELECT doc_id, no, count(*) AS k, string_agg(line, chr(10) ORDER BY i) AS chunk FROM n GROUP BY doc_id, no),
-r AS (SELECT *, k > 1 AND row_number() OVER (PARTITION BY chunk ORDER BY doc_id, no) > 1 AS gone FROM g)
-SELECT doc_id, coalesce(string_agg(chunk, chr(10) ORDER BY no) FILTER (WHERE NOT gone), '') AS text,
-       CAST(sum(k) AS BIGINT) AS n_lines, CAST(coalesce(sum(k) FILTER (WHERE gone), 0) AS BIGINT) AS n_removed
-FROM r GROUP BY doc_id
+w AS (SELECT doc_id, i, line, lead(i) OVER (PARTITION BY doc_id ORDER BY i) AS next_i, lead(line) OVER (PARTITION BY doc_id ORDER BY i) AS next_line
+      FROM l WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
+r AS (SELECT *, row_number() OVER (PARTITION BY line, next_line ORDER BY doc_id, i) > 1 AS again FROM w WHERE next_i IS NOT NULL),
+g AS (SELECT DISTINCT doc_id, unnest(range(i, next_i + 1)) AS i, true AS gone FROM r WHERE again)
+SELECT doc_id, coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE gone IS NULL), '') AS text,
+       count(*) AS n_lines, count(gone) AS n_removed
+FROM l LEFT JOIN g USING (doc_id, i) GROUP BY doc_id
 UNION ALL SELECT doc_id, NULL, 0, 0 FROM documents WHERE text IS NULL
 """
 

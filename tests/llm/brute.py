@@ -119,23 +119,14 @@ def unigram(rows):
 
 
 def dedup_lines(rows):
-    """Text of each row without repeated chunks, by the rolling boundary rule."""
-    def md5(x):
-        return hashlib.md5(x.encode()).hexdigest()
+    """Text of each row without the lines of two neighbouring lines with words that occur before, blank lines between them too."""
     seen, out = set(), {}
     for k, text in sorted(rows):
-        lines = text.split("\n")
-        chunks, now = [], []
-        for i, line in enumerate(lines):
-            now.append(line)
-            if md5((md5(lines[i - 1]) if i else "") + md5(line))[0] in "048c" or i == len(lines) - 1:
-                chunks.append(now)
-                now = []
-        kept = []
-        for c in chunks:
-            if len(c) > 1 and "\n".join(c) in seen:
-                continue
-            seen.add("\n".join(c))
-            kept += c
-        out[k] = "\n".join(kept)
+        lines, gone = text.split("\n"), set()
+        worded = [i for i, line in enumerate(lines) if WORDS.search(line)]
+        for i, j in zip(worded, worded[1:]):
+            if (lines[i], lines[j]) in seen:
+                gone.update(range(i, j + 1))
+            seen.add((lines[i], lines[j]))
+        out[k] = "\n".join(line for i, line in enumerate(lines) if i not in gone)
     return out

@@ -180,6 +180,34 @@ def test_line_chunks(docs, rows, nothing, odd):
     assert sorted(str(r.text) for r in line_chunks.dedup_lines(odd).collect()) == sorted(str(r.text) for r in odd.collect())
 
 
+def test_line_chunks_find_repeated_passages_between_other_lines(spark):
+    rng = random.Random(8)
+
+    def lines(n):
+        return [" ".join(rng.choice("abcdefgh") + str(rng.randint(0, 99999)) for _ in range(12)) for _ in range(n)]
+    passages = [lines(n) for n in (1, 2, 3, 4, 5, 9)]
+    texts = [lines(rng.randint(1, 4)) + p + lines(rng.randint(1, 4)) for p in passages for _ in range(6)]
+    texts += [["x"] * 5, ["x"] * 4, ["a", "b"] * 4, ["p", "", " ", "q", "r"], ["o", "p", "q", "\x0b", "r"], ["", "", ""], ["only"], ["only"]]
+    rows = [(i, "\n".join(t)) for i, t in enumerate(texts)]
+    got = {r.doc_id: r for r in line_chunks.dedup_lines(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert {k: r.text for k, r in got.items()} == brute.dedup_lines(rows)
+    for n, p in enumerate(passages):
+        assert [got[6 * n + i].n_removed for i in range(6)] == [0] + [len(p) if len(p) > 1 else 0] * 5
+    left = {line for r in got.values() for line in r.text.split("\n")}
+    assert {line for t in texts for line in t if line.strip()} <= left
+
+
+def test_line_chunks_split_hot_windows_and_replace_clashing_columns(spark, monkeypatch):
+    rows = [(i, f"start {i}\nsame one\nsame two\nend {i}" if i % 3 else f"only {i}\nand {i % 6}\nsame two", "kept") for i in range(60)]
+    want = brute.dedup_lines([r[:2] for r in rows])
+    for share in (2, 1000, 10**9):
+        monkeypatch.setattr(line_chunks, "HOT_SHARE", share)
+        got = line_chunks.dedup_lines(spark.createDataFrame(rows, "doc_id bigint, text string, n_lines string"))
+        assert got.columns == ["doc_id", "text", "n_lines", "n_removed"] and {r.doc_id: r.text for r in got.collect()} == want
+    got = line_chunks.dedup_lines(spark.createDataFrame(rows, "doc_id bigint, text string, n_lines string"), n_lines="__n")
+    assert {r.n_lines for r in got.collect()} == {"kept"}
+
+
 def test_line_chunks_are_native(docs):
     plan = line_chunks.dedup_lines(docs.select("doc_id", "text"))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
