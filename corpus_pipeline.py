@@ -25,8 +25,8 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated chunks of lines are cut out of all but their first document; every document stays."""
-    return _resized(line_chunks.dedup_lines(docs).drop("n_lines", "n_removed"))
+    """Repeated chunks of lines are cut out wherever they are not the first; every document stays."""
+    return _resized(line_chunks.dedup_lines(docs, n_lines="__n_lines", n_removed="__n_removed").drop("__n_lines", "__n_removed"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
