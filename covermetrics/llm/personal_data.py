@@ -6,7 +6,7 @@ and the word after). Each round scores every pattern on the graph of patterns an
 instances support it, their share, and that share against the seeds' share of the corpus: it must be `lift` times as high,
 or the unknown share `lift` times as low, which can be reached however many instances are seeds. Patterns over all three
 limits turn their unknown instances into found ones, which support patterns of the next round. The limits stay and support
-only grows, so a pattern of one round is one of all later rounds.
+only grows, so a pattern of one round is one of all later rounds; rounds go on until one adds no pattern.
 
 Offsets count code points, ends are exclusive. A null or empty text has no spans. Rows equal in id and text share their spans.
 """
@@ -29,7 +29,6 @@ TOKEN = r"(?<![^\s])[^\s0-9@]*+[0-9@][^\s]*+"
 KINDS = ("email", "ip", "card", "phone")
 PART = "^0*(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])$"
 SPANS = "array<struct<start:int,stop:int,value:string,before:string,after:string>>"
-ROUNDS = 2
 LEAST_SUPPORT = 5
 LEAST_SHARE = 0.8
 LEAST_LIFT = 1.5
@@ -88,23 +87,26 @@ def patterns(span: Column) -> Column:
     return F.filter(F.array(two, around), lambda p: p.isNotNull())
 
 
-def found_spans(instances: DataFrame, rounds: int, support: int, share: float, lift: float) -> DataFrame:
+def found_spans(instances: DataFrame, support: int, share: float, lift: float) -> DataFrame:
     """(id, key, start, stop) of the unknown instances in patterns over the limits."""
     edges = written(instances.select("id", "key", "start", "stop", "value", "known", F.explode(C("patterns")).alias("pattern")), "pattern-graph")
     pairs = written(edges.groupBy("pattern", "value").agg(F.max("known").alias("known"), F.count("*").alias("n")), "pattern-pairs")
     total = pairs.agg(F.avg(C("known").cast("double"))).first()[0] or 0.0  # of the seeds, before anything is found
     least = max(share, min(lift * total, 1 - (1 - total) / lift))
-    accepted = None
-    for _ in range(rounds):
+    n_accepted = -1
+    while True:
         scored = pairs.groupBy("pattern").agg(F.count_if("known").alias("support"), F.count("*").alias("size"))
         accepted = scored.where((C("support") >= support) & (C("support") >= least * C("size"))).select("pattern")
         accepted = written(accepted, "patterns")
+        before, n_accepted = n_accepted, accepted.count()
+        if n_accepted in (0, before):
+            break
         fresh = pairs.where("NOT known").join(accepted, "pattern", "left_semi").select("value").distinct().withColumn("fresh", F.lit(True))
         pairs = written(pairs.join(fresh, "value", "left").select("pattern", "value", (C("known") | F.coalesce("fresh", F.lit(False))).alias("known"), "n"), "pattern-pairs")
     return edges.where("NOT known").join(accepted, "pattern", "left_semi").select("id", "key", "start", "stop")
 
 
-def personal_spans(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", rounds: int = ROUNDS, support: int = LEAST_SUPPORT,
+def personal_spans(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", support: int = LEAST_SUPPORT,
                    share: float = LEAST_SHARE, lift: float = LEAST_LIFT) -> DataFrame:
     """doc_id and an array of (start, stop) for each base kind and for `found`, each in text order."""
     rows = docs.select(C(doc_id).alias("doc_id"), F.coalesce(C(doc_id).cast("string"), F.lit("")).alias("id"), F.xxhash64(doc_id, text).alias("key"), C(text).alias("text"))
@@ -123,7 +125,7 @@ def personal_spans(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
     instances = base.withColumn("seeds", seeds).withColumn("other", other) \
         .select("id", "key", F.explode_outer(F.concat(F.transform("seeds", instance(True)), F.transform("other", instance(False)))).alias("s")) \
         .where("s IS NOT NULL").select("id", "key", "s.*")  # an outer explode: the plain form computes the array twice
-    found = found_spans(instances, rounds, support, share, lift).groupBy("id", "key") \
+    found = found_spans(instances, support, share, lift).groupBy("id", "key") \
         .agg(F.sort_array(F.collect_set(F.struct("start", "stop"))).alias("found"))
     bare = [F.transform(k, lambda s: F.struct(s["start"].alias("start"), s["stop"].alias("stop"))).alias(k) for k in KINDS]
     return base.join(found, ["id", "key"], "left").select(
