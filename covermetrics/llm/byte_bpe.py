@@ -20,12 +20,11 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from covermetrics.llm.rows import for_worker
+from covermetrics.llm.rows import Remembered, for_worker
 
 LEAF_CHARS = 8192
 LEAF_BYTES = 64
 LOOKAHEAD = 3
-CACHED = 300_000
 NO_RANK = 1 << 40
 
 
@@ -69,36 +68,31 @@ def join_matches(left: list[str], right: list[str], findall) -> list[str]:
 
 
 class Encoder:
-    """Token ids by the ranks, packed as 32-bit integers; those of single matches are kept, a bounded number of them."""
+    """Token ids by the ranks, packed as 32-bit integers; those of single matches are kept up to a number of bytes."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str, leaf_chars: int = LEAF_CHARS, leaf_bytes: int = LEAF_BYTES):
         self.ranks, self.leaf_chars, self.leaf_bytes = ranks, leaf_chars, leaf_bytes
         self.findall = regex.compile(pattern).findall
-        self.kept: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        self.matches = Remembered()
         self.pairs = PairTable(ranks)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         split = [split_text(t, self.findall, self.leaf_chars) for t in texts]
-        if len(self.kept) > CACHED:  # matches seen since the last time come back from the older half
-            self.older, self.kept = self.kept, {}
-        kept, older = self.kept, self.older
-        unseen = set().union(*split).difference(kept)
-        kept.update({m: older[m] for m in unseen.intersection(older)})
-        leaves = []
-        for match in unseen.difference(kept):
+        results, leaves = {}, []
+        for match in self.matches.unseen(set().union(*split)):
             raw = match.encode()
             if (whole := self.ranks.get(raw)) is not None:
-                kept[match] = np.uint32(whole).tobytes()
+                results[match] = np.uint32(whole).tobytes()
             elif len(raw) <= self.leaf_bytes:
                 leaves.append((match, raw))
             else:
-                kept[match] = np.array([self.ranks[t] for t in self.tokens(raw)], "<u4").tobytes()
+                results[match] = np.array([self.ranks[t] for t in self.tokens(raw)], "<u4").tobytes()
         leaves.sort(key=lambda x: len(x[1]))
         for at in range(0, len(leaves), 4096):
             part = leaves[at:at + 4096]
-            kept.update(zip([m for m, _ in part], self.pairs.merge([raw for _, raw in part])))
-        return [b"".join(map(kept.__getitem__, matches)) for matches in split]
+            results.update(zip([m for m, _ in part], self.pairs.merge([raw for _, raw in part])))
+        self.matches.learn(results)
+        return [b"".join(map(self.matches.now.__getitem__, matches)) for matches in split]
 
     def tokens(self, raw: bytes) -> list[bytes]:
         if len(raw) <= self.leaf_bytes:
@@ -217,6 +211,7 @@ def encode(docs: DataFrame, path: str, pattern: str, *, text: str = "text", out:
                 packed += encoder.encode([t or "" for t in column.slice(at, 256).to_pylist()])
             ends = np.cumsum([0, *map(len, packed)]) // 4
             yield pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(packed), np.int32), pa.int32()))
+        encoder.matches.rest()
     return docs.withColumn(out, F.arrow_udf(ids_of, "array<int>")(F.col(text)))
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import sys
+from sys import getsizeof
 from types import ModuleType
 
 from pyspark.sql import Column, DataFrame
@@ -25,10 +26,39 @@ def written(df: DataFrame, purpose: str) -> DataFrame:
 
 
 def for_worker(kind: str, key: str, make):
-    """An object that a Python worker keeps for its later tasks, such as a vocabulary with its cache; one of each kind."""
+    """An object that a Python worker keeps for its later tasks, such as a vocabulary with its cache. It keeps one: the
+    next stage's object takes its place."""
     holder = sys.modules.setdefault("_kept_for_tasks", ModuleType("_kept_for_tasks"))
-    found = getattr(holder, kind, None)
-    if found is None or found[0] != key:
-        found = (key, make())
-        setattr(holder, kind, found)
+    found = getattr(holder, "found", None)
+    if found is None or found[0] != (kind, key):
+        holder.found = None  # frees the old one before the new one is made
+        found = holder.found = ((kind, key), make())
     return found[1]
+
+
+class Remembered:
+    """Results of the strings seen last: two generations, each bounded by bytes up to the strings of one call.
+
+    After `unseen` and `learn`, `now` holds all strings of the call.
+    """
+
+    def __init__(self, most: int = 32 << 20):
+        self.most, self.size = most, 0
+        self.now: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+
+    def unseen(self, strings: set[str]) -> set[str]:
+        """The strings without a result; those of the older generation come back first."""
+        if self.size > self.most:
+            self.older, self.now, self.size = self.now, {}, 0
+        new = strings.difference(self.now)
+        self.learn({s: self.older[s] for s in new.intersection(self.older)})
+        return new.difference(self.now)
+
+    def learn(self, results: dict[str, bytes]) -> None:
+        self.now.update(results)
+        self.size += sum(map(getsizeof, results)) + sum(map(getsizeof, results.values())) + 100 * len(results)
+
+    def rest(self) -> None:
+        """For the end of a task: a worker that waits keeps one generation."""
+        self.older = {}

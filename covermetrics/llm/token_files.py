@@ -1,8 +1,8 @@
 """Token ids in files of grammar-compressed blocks.
 
 Documents are sorted by id (nulls first, ties by text) and dealt to shards by range. A shard's ids are cut into blocks of
-whole documents. In each block the most frequent pairs of ids are replaced by new symbols, round after round; a block's row
-holds the rules, how many ids each rule expands to, and the symbols of each document, so that a document or a range of its
+whole documents. In each block frequent pairs of ids are replaced by new symbols until no pair can be replaced four times;
+a block's row holds the rules, how many ids each rule expands to, and the symbols of each document, so that a document or a range of its
 ids is decoded without the rest. The rows are a Parquet table, so any store that Spark writes to will do.
 
 A null or empty text is its end id alone; an empty table gives a table without blocks; repeated rows are stored each.
@@ -22,13 +22,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from covermetrics.llm.rows import for_worker
+from covermetrics.llm.rows import Remembered, for_worker
 
 BLOCK_IDS = 1 << 18
-ROUNDS = 6
-PAIRS_A_ROUND = 1024
-LEAST_COUNT = 24
-CACHED = 400_000
+LEAST_COUNT = 4  # a rule takes three numbers, so fewer uses would not pay
 CONTROL = re.compile(r"[\x1c-\x1f]")  # white space to str.split, not to the tokenizer
 PIECE = re.compile(r"[^ \t\n\x0b\x0c\r]+")
 RUN = re.compile(r"[^\W\d_]+|[\W\d_]+")
@@ -50,29 +47,21 @@ class PieceEncoder:
 
         self.tokenizer = Tokenizer.from_str(model)
         self.vocabulary = self.tokenizer.get_vocab_size()
-        self.kept: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
-        self.runs: dict[str, bytes] = {}
+        self.words, self.runs = Remembered(), Remembered()
 
     def encode(self, texts: list[str], end: int) -> list[bytes]:
         split = [PIECE.findall(t) if CONTROL.search(t) else t.split() for t in texts]
-        if len(self.kept) > CACHED:  # words seen since the last time come back from the older half
-            self.older, self.kept = self.kept, {}
-        if len(self.runs) > CACHED:
-            self.runs.clear()
-        kept, runs, older = self.kept, self.runs, self.older
-        unseen = set().union(*split).difference(kept)
-        kept.update({w: older[w] for w in unseen.intersection(older)})
-        new = {w: RUN.findall(w) if is_normalized("NFC", w) and not JOINED.search(w) else [w] for w in unseen.difference(kept)}
-        self._encode_runs(list(set().union(*new.values()).difference(runs)))
-        for word, parts in new.items():
-            kept[word] = b"".join([runs[p] for p in parts])
+        new = {w: RUN.findall(w) if is_normalized("NFC", w) and not JOINED.search(w) else [w] for w in self.words.unseen(set().union(*split))}
+        self.runs.learn(self._encoded(list(self.runs.unseen(set().union(*new.values())))))
+        runs = self.runs.now
+        self.words.learn({word: b"".join([runs[p] for p in parts]) for word, parts in new.items()})
         tail = np.array([end], "<u4").tobytes()
-        return [b"".join(map(kept.__getitem__, words)) + tail for words in split]
+        return [b"".join(map(self.words.now.__getitem__, words)) + tail for words in split]
 
-    def _encode_runs(self, new: list[str]) -> None:
+    def _encoded(self, new: list[str]) -> dict[str, bytes]:
         alone = [r for r in new if not r.isalpha()]
         letters = [r for r in new if r.isalpha()]
+        out = {}
         for at in range(0, len(letters), 1000):
             part = letters[at:at + 1000]
             got = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
@@ -80,16 +69,16 @@ class PieceEncoder:
             cut = np.flatnonzero(np.diff(number)) + 1
             if len(ids) and len(cut) + 1 == len(part):  # each run is one word to the tokenizer too
                 raw, ends = ids.tobytes(), [*(4 * cut).tolist(), 4 * len(ids)]
-                self.runs.update(zip(part, [raw[a:b] for a, b in zip([0, *ends], ends)]))
+                out.update(zip(part, [raw[a:b] for a, b in zip([0, *ends], ends)]))
             else:
                 alone += part
         for run, got in zip(alone, self.tokenizer.encode_batch_fast(alone, add_special_tokens=False) if alone else ()):
-            self.runs[run] = np.array(got.ids, "<u4").tobytes()
+            out[run] = np.array(got.ids, "<u4").tobytes()
+        return out
 
 
-def frequent_pairs(left: np.ndarray, right: np.ndarray, usable: np.ndarray, most: int, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The pairs (as left << 32 | right) that occur `least` times or more, the `most` most frequent ones; where they occur,
-    and which of them there.
+def frequent_pairs(left: np.ndarray, right: np.ndarray, usable: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The pairs (as left << 32 | right) that occur `least` times or more, where they occur, and which of them there.
 
     Counting goes by hash bucket first; only pairs in full buckets are counted exactly.
     """
@@ -97,33 +86,47 @@ def frequent_pairs(left: np.ndarray, right: np.ndarray, usable: np.ndarray, most
     full = np.bincount(bucket[usable], minlength=1 << 18) >= least
     at = np.flatnonzero(usable & full[bucket])
     keys = (left[at].astype(np.uint64) << np.uint64(32)) | right[at]
-    pairs, counts = np.unique(keys, return_counts=True)
-    pairs, counts = pairs[counts >= least], counts[counts >= least]
-    pairs = np.sort(pairs[np.argsort(-counts, kind="stable")[:most]])
-    if not len(pairs):
-        return pairs, at[:0], at[:0]
-    slot = np.minimum(np.searchsorted(pairs, keys), len(pairs) - 1)
-    found = pairs[slot] == keys
-    return pairs, at[found], slot[found]
-
-
-def compress(ids: np.ndarray, row_ends: np.ndarray, base: int, rounds: int = ROUNDS, most: int = PAIRS_A_ROUND,
-             least: int = LEAST_COUNT) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """symbols, row ends in symbols, left and right part of each rule, ids a rule expands to. No symbol crosses a row's end."""
+    pairs, slot, counts = np.unique(keys, return_inverse=True, return_counts=True)
+    frequent = counts >= least
+    found = frequent[slot]
+    return pairs[frequent], at[found], (np.cumsum(frequent) - 1)[slot[found]]
+
+
+def replaceable(at: np.ndarray, slot: np.ndarray, n: int, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places that do not overlap, which pair is at each, and which of the `n` pairs are used there `least` times."""
+    run = np.flatnonzero(np.diff(at, prepend=-2) > 1)  # of neighbouring places every other one is taken
+    offset = at - np.repeat(at[run], np.diff(np.append(run, len(at))))
+    taken = offset % 2 == 0
+    at, slot = at[taken], slot[taken]
+    used = np.bincount(slot, minlength=n) >= least
+    return at[used[slot]], slot[used[slot]], used
+
+
+def compress(ids: np.ndarray, row_ends: np.ndarray, base: int, least: int = LEAST_COUNT) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """symbols, row ends in symbols, left and right part of each rule, ids a rule expands to. No symbol crosses a row's end.
+
+    Frequent pairs go first: the count that a pair needs falls to an eighth when no pair is left over it. At the last level,
+    `least`, rounds go on until no pair can be replaced so often.
+    """
     x, ends = ids.astype(np.uint32), row_ends.astype(np.int64)
     lefts, rights, lengths = np.zeros(0, np.uint32), np.zeros(0, np.uint32), np.ones(base, np.int64)
-    for _ in range(rounds):
-        if len(x) < 2:
-            break
-        left, right = x[:-1], x[1:]
-        usable = np.ones(len(left), bool)
+    level = max(least, len(x) // 64)
+    while len(x) > 1:
+        usable = np.ones(len(x) - 1, bool)
         usable[ends[:-1] - 1] = False
-        pairs, at, slot = frequent_pairs(left, right, usable, most, least)
-        if not len(pairs):
-            break
-        run = np.flatnonzero(np.diff(at, prepend=-2) > 1)  # of neighbouring pairs every other one is taken
-        offset = at - np.repeat(at[run], np.diff(np.append(run, len(at))))
-        at, slot = at[offset % 2 == 0], slot[offset % 2 == 0]
+        pairs, places, slots = frequent_pairs(x[:-1], x[1:], usable, level)
+        at, slot, used = replaceable(places, slots, len(pairs), least)
+        if not len(at):  # pairs in each other's way: the most frequent one that can be replaced by itself
+            for k in np.argsort(-np.bincount(slots, minlength=len(pairs)), kind="stable"):
+                at, slot, used = replaceable(places[slots == k], slots[slots == k], len(pairs), least)
+                if len(at):
+                    break
+        if not len(at):
+            if level == least:
+                break
+            level = max(least, level // 8)
+            continue
+        pairs, slot = pairs[used], (np.cumsum(used) - 1)[slot]
         x = x.copy()
         x[at] = base + len(lefts) + slot
         keep = np.ones(len(x), bool)
@@ -198,6 +201,8 @@ def write_token_files(docs: DataFrame, path: str, model: str, *, end: int = 1, d
                         held, size, n = [], 0, n + 1
         if held:
             yield pack()
+        encoder.words.rest()
+        encoder.runs.rest()
 
     dealt.mapInArrow(block_rows, BLOCK.format(id=rows.schema["id"].dataType.simpleString())).write.parquet(path)
 

@@ -18,6 +18,7 @@ import brute  # noqa: E402
 
 from covermetrics.llm import (  # noqa: E402
     attention_lm, bag_minhash, byte_bpe, compression, decontamination, line_chunks, line_crf, personal_data, substring_dedup, token_files)
+from covermetrics.llm.rows import Remembered  # noqa: E402
 from covermetrics.llm.automaton import SuffixAutomaton  # noqa: E402
 from covermetrics.session import scratch_path  # noqa: E402
 
@@ -279,6 +280,15 @@ def test_byte_bpe(docs, rows, nothing):
     assert byte_bpe.encode(nothing, RANKS, public_tokenizers.PATTERN).count() == 0
 
 
+def test_remembered_results_are_bounded_by_bytes():
+    kept, rng = Remembered(most=20_000), random.Random(5)
+    for _ in range(300):
+        asked = {f"{rng.randint(0, 400)}" * rng.choice((1, 1, 500)) for _ in range(9)}
+        kept.learn({s: s.encode() for s in kept.unseen(asked)})
+        assert all(kept.now[s] == s.encode() for s in asked)
+        assert sum(map(len, kept.now)) < 20_000 + 9 * 1500 and sum(map(len, kept.older)) < 20_000 + 9 * 1500
+
+
 def test_tree_joins_equal_one_pass():
     theirs, rng = encoding(), random.Random(6)
     ours = byte_bpe.Encoder(byte_bpe.load_ranks(RANKS), public_tokenizers.PATTERN, leaf_chars=5, leaf_bytes=3)
@@ -322,6 +332,19 @@ def test_contexts_discover_where_most_instances_are_seeds(spark):
     assert {k: [(s.start, s.stop) for s in v] for k, v in got.items() if v} == {100: [(21, 33)]}
 
 
+def test_contexts_are_followed_until_nothing_is_new(spark):
+    """Seeds hold the first context; values found there hold the second, and those found there the third."""
+    rows = [(i, f"plain {i} mail goes to user{i}@mail.example.com daily") for i in range(160)]
+    contexts, sizes = ["mail goes to {} daily", "ring up old {} quickly", "badge of staff {} shown"], [36, 8, 2]
+    for n, size in enumerate(sizes):
+        rows += [(1000 * (n + 1) + i, f"words {' or words '.join(c.format(f'v{n}x{i}') for c in contexts[n:n + 2])}") for i in range(size)]
+    rows += [(9001, "nothing in verse 13 here")]
+    got = {r.doc_id: r.found for r in personal_data.personal_spans(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    texts = dict(rows)
+    values = {k: [texts[k][s.start:s.stop] for s in spans] for k, spans in got.items() if spans}
+    assert values == {1000 * (n + 1) + i: [f"v{n}x{i}"] * (2 if n < 2 else 1) for n, size in enumerate(sizes) for i in range(size)}
+
+
 def test_personal_data_is_native(docs):
     plan = personal_data.personal_spans(docs)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
@@ -361,6 +384,26 @@ def test_grammar_round_trip_and_random_access():
         assert (token_files.id_range(symbols[a:b], lefts, rights, lengths, 500, i, j) == d[i:j]).all()
 
 
+def test_grammar_is_repeated_to_its_end():
+    rng = np.random.default_rng(4)
+    for most in (2, 3, 40, 3000):
+        ids = rng.integers(0, most, 4000).astype("<u4")
+        ids[1000:3000:200] = 7 % most
+        ids[500:900] = ids[2000:2400] = ids[3100:3500] = ids[3600:4000]
+        row_ends = np.array([1, 700, 701, 2500, 4000])
+        symbols, ends, lefts, rights, lengths = token_files.compress(ids, row_ends, 3000, least=4)
+        assert (token_files.expand(symbols, lefts, rights, 3000) == ids).all()
+        left = {}
+        for a, b in zip([0, *ends], ends):
+            for i in range(a, b - 1):
+                pair = tuple(symbols[i:i + 2])
+                if left.get(pair, [-2])[-1] < i - 1 or pair[0] != pair[1]:
+                    left.setdefault(pair, []).append(i)
+        assert max(map(len, left.values()), default=0) < 4
+        rules = np.concatenate([symbols, lefts, rights])
+        assert all((rules == 3000 + k).sum() >= 1 for k in range(len(lefts)))
+
+
 def test_attention_lm(docs, rows, nothing):
     got = {r.doc_id: r for r in attention_lm.score_texts(docs, RANKS, head=50).collect()}
     for k, want in brute.unigram(rows).items():
