@@ -5,20 +5,26 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from covermetrics.functions.numbers import rounded
 from covermetrics.functions.strings import tokens
 from covermetrics.operators.documents import chunk_fixed
 from covermetrics.operators.relational import attach_group_facts, top_k_per_group
+from covermetrics.operators.topk import TopK
 from covermetrics.session import scratch_path
 
 # Standard ranking constants.
 BM25_K1, BM25_B = 1.2, 0.75
-# Postings of a word that a join task should hold; more frequent words are split.
+# Postings that a scoring task should hold, questions that it scores them for, and cells of its matrix of scores.
 WORD_SPLIT = 1_000_000
+QUESTIONS = 1024
+CELLS = 4_000_000
+LEAST = -1e300  # below any score; cells without a shared word hold less
 # Stands for the text itself among its words; words are never empty.
 UNIT = ""
 C = F.col
@@ -39,25 +45,85 @@ def asked_words(questions: DataFrame, qkey: str, qtext: str) -> DataFrame:
     return questions.select(qkey, F.explode(F.array_distinct(tokens(qtext))).alias("term"))
 
 
+def numbered(table: pa.Table, columns: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
+    """A row of each distinct key, in the order of the keys with NULL first, and the number of each row's key."""
+    code = np.zeros(table.num_rows, np.int64)
+    for c in columns:
+        place = pc.rank(table[c].combine_chunks(), sort_keys="ascending", null_placement="at_start", tiebreaker="dense")
+        code = np.unique(code * (table.num_rows + 1) + place.to_numpy(zero_copy_only=False).astype(np.int64), return_inverse=True)[1]
+    return np.unique(code, return_index=True)[1], code
+
+
+def summed(values: np.ndarray, *by: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The distinct tuples of ``by``, sorted, each followed by the sum of its values."""
+    order = np.lexsort(by[::-1])
+    by = [b[order] for b in by]
+    starts = np.flatnonzero(np.concatenate([[True], np.any([b[1:] != b[:-1] for b in by], axis=0)]))
+    return *[b[starts] for b in by], np.add.reduceat(values[order], starts)
+
+
+def best_of_slice(key: Sequence[str], qkey: str, k: int):
+    """Scores the texts of a slice for a block of questions: word by word, parts are added where the texts that hold the word
+    cross the questions that ask for it. k rows per question are returned."""
+    def score(left: pa.Table, right: pa.Table) -> pa.Table:
+        names = [right.schema.field(qkey), *[left.schema.field(c) for c in key], pa.field("score", pa.float64())]
+        words = pc.unique(right["term"])
+        left = left.filter(pc.is_in(left["term"], value_set=words))
+        if not left.num_rows or not right.num_rows:
+            return pa.schema(names).empty_table()
+        (text_row, text), (q_row, q) = numbered(left, key), numbered(right, [qkey])
+        place = lambda t: pc.index_in(t["term"], value_set=words).to_numpy().astype(np.int64)
+        qw, qs, times = summed(np.ones(len(q)), place(right), q)  # a question that comes twice counts twice
+        asks = np.searchsorted(qw, np.arange(len(words) + 1))
+        step = max(1, CELLS // len(q_row))
+        run, w, text, part = summed(left["part"].to_numpy(), text // step, place(left), text)
+        ends = np.flatnonzero(np.concatenate([(run[1:] != run[:-1]) | (w[1:] != w[:-1]), [True]])) + 1
+        best, score, seen, start = TopK(len(q_row), k, LEAST), None, None, 0
+        for end in ends:
+            at = run[start] * step
+            if score is None:
+                score = np.zeros((min(step, len(text_row) - at), len(q_row)))
+                seen = np.zeros(score.shape, bool)
+            asked = slice(asks[w[start]], asks[w[start] + 1])
+            cross = np.ix_(text[start:end] - at, qs[asked])
+            score[cross] += part[start:end, None] * times[asked]
+            seen[cross] = True
+            if end == len(run) or run[end] != run[start]:
+                # Half up at six digits, then at five, as `rounded` does.
+                steps = np.floor((np.floor(score * 1e6 + 0.5) + 5) / 10)
+                best.offer(np.where(seen, steps, -np.inf), np.arange(at, at + len(score)))
+                score = None
+            start = end
+        found = [(j, i, s) for j in range(len(q_row)) if best.keys[j] is not None for i, s in zip(best.keys[j], best.scores[j])]
+        qi, ti, steps = (np.array(x) for x in zip(*found))
+        columns = [right[qkey].take(q_row[qi]), *[left[c].take(text_row[ti]) for c in key], pa.array(steps / 1e5)]
+        return pa.table(columns, schema=pa.schema(names))
+    return score
+
+
 def rank(found: DataFrame, asked: DataFrame, n: Column, average: Column, key: Sequence[str], qkey: str, k: int,
          split: int = WORD_SPLIT) -> DataFrame:
     """BM25 top k per question from the stored postings of the asked words.
 
-    A word's weight is ln(1 + (n - df + 0.5) / (df + 0.5)): common words weigh little, never nothing. Postings of hot words
-    get their weight by broadcast and are spread over slices of about `split` rows, and a question meets every slice. k rows
-    per question and task survive the sum (window group limit).
+    A word's weight is ln(1 + (n - df + 0.5) / (df + 0.5)): common words weigh little, never nothing. Texts are dealt to
+    slices of about `split` postings and questions to blocks; each slice meets each block in one task, which adds up the
+    scores in a matrix of bounded size and hands back k rows per question. A text and question that share words are never a row.
     """
     df = C("df").cast("double")
     facts = found.groupBy("term").agg(F.count(F.lit(1)).alias("df")).select(
-        "term", "df", F.log(1 + (n - df + 0.5) / (df + 0.5)).alias("idf"), F.ceil(C("df") / split).cast("int").alias("slices"))
+        "term", "df", F.log(1 + (n - df + 0.5) / (df + 0.5)).alias("idf"))
     tf, length = C("tf").cast("double"), C("length")
     part = C("idf") * (tf * (BM25_K1 + 1)) / (tf + BM25_K1 * ((1 - BM25_B) + BM25_B * length / average))
-    weighed = attach_group_facts(found, facts, ["term"], rows="df").select(
-        "term", F.pmod(F.xxhash64(*key), C("slices")).cast("int").alias("slice"), *key, part.alias("part"))
-    sliced = asked.join(facts.select("term", "slices"), "term").select(
-        qkey, "term", F.explode(F.sequence(F.lit(0), C("slices") - 1)).alias("slice"))
-    scored = sliced.join(weighed, ["term", "slice"]).groupBy(qkey, *key).agg(rounded(F.sum("part"), 5).alias("score"))
-    return top_k_per_group(scored, [qkey], [F.desc("score"), *[C(c) for c in key]], k)
+    slices = F.greatest(F.ceil(found.agg(F.count(F.lit(1))).scalar() / split), F.lit(1)).cast("int")
+    blocks = F.greatest(F.ceil(asked.select(qkey).distinct().agg(F.count(F.lit(1))).scalar() / QUESTIONS), F.lit(1)).cast("int")
+    spread = lambda m: F.explode(F.sequence(F.lit(0), m - 1))
+    texts = attach_group_facts(found, facts, ["term"], rows="df").select(
+        "term", *key, part.alias("part"), F.pmod(F.xxhash64(*key), slices).cast("int").alias("_slice"), spread(blocks).alias("_block"))
+    asks = asked.select(qkey, "term", F.pmod(F.xxhash64(qkey), blocks).cast("int").alias("_block"), spread(slices).alias("_slice"))
+    kinds = ", ".join([f"`{qkey}` {asked.schema[qkey].dataType.simpleString()}", *[f"`{c}` {found.schema[c].dataType.simpleString()}" for c in key], "score double"])
+    meet = ["_slice", "_block"]
+    best = texts.groupBy(*meet).cogroup(asks.groupBy(*meet)).applyInArrow(best_of_slice(key, qkey, k), kinds)
+    return top_k_per_group(best, [qkey], [F.desc("score"), *[C(c) for c in key]], k)
 
 
 def ranked_search(docs: DataFrame, questions: DataFrame, k: int = 5, key: str | Sequence[str] = "document_id", text: str = "content",

@@ -116,3 +116,15 @@ def test_index_stream_drains_batches(spark, index):
         jobs.drain(jobs.index_stream(jobs.file_stream(spark, folder, frame(spark, []).schema), index, checkpoint))
     assert index.table(spark, "totals").count() == 2
     assert hits(index.search(questions(spark))) == whole_ranking(spark, rows, index)
+
+
+def test_texts_and_questions_that_share_words_are_never_rows(spark):
+    found = search.postings(frame(spark, texts(7, range(60)) + [(None, "amber stone"), (None, "stone")]), ["document_id"], "content").filter("term <> ''")
+    asked = search.asked_words(spark.createDataFrame([*QUESTIONS, (1, "amber fox"), (None, "stone")], "question_id int, question string"), "question_id", "question")
+    best = search.rank(found, asked, F.lit(62.0), F.lit(40.0), ["document_id"], "question_id", 100, 20)
+    plan = best._jdf.queryExecution().executedPlan().toString()
+    assert not [x for x in plan.splitlines() if "Join" in x and "question_id" in x and "document_id" in x]
+    twice = {(r.question_id, r.document_id): r.score for r in best.collect()}
+    once = {r.document_id: r.score for r in search.rank(found, asked.distinct(), F.lit(62.0), F.lit(40.0), ["document_id"], "question_id", 100).collect() if r.question_id == 1}
+    assert once and all(abs(twice[1, d] - 2 * s) < 3e-5 for d, s in once.items())  # a question that comes twice counts twice
+    assert (None, None) in twice
