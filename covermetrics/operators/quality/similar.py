@@ -13,6 +13,10 @@ from covermetrics.session import staged
 
 # Distinct texts that a slice of a block's gram holds; a pair of slices is what one join key compares.
 SLICE = 512
+# Texts that may meet under one key before the key takes in a further gram, and the grams that a key may have.
+CROWD = 64
+LEVELS = 6
+END = "\x03"  # closes the key of a text that has no further grams to be met under
 C = F.col
 
 
@@ -29,22 +33,37 @@ def edits_allowed(text: Column, at_least: float) -> Column:
     return F.floor(longest * F.lit(1 - at_least) + F.lit(1e-9)).cast("int")
 
 
-def prefixes(values: DataFrame, block: Sequence[str], at_least: float, q: int) -> DataFrame:
-    """block, v, and the gram keys under which a text meets all texts similar to it.
+def prefixes(values: DataFrame, block: Sequence[str], at_least: float, q: int, crowd: int = CROWD) -> DataFrame:
+    """block, v, and the keys under which a text meets all texts similar to it, with the number of texts of the key.
 
     d edits touch q d grams at most, so two similar texts share one of their q d + 1 rarest grams, in any order that is the
-    same for both; rare grams make small groups. Two texts that both have no more than q d grams need not share any; such
-    texts also meet under the empty gram.
+    same for both; rare grams make small groups. Where more than ``crowd`` texts share a gram, they meet by it and the next gram
+    that they share, which is one of their q d + 2 rarest, and so on: groups stay small however many texts there are. Two texts
+    that both have too few grams need not share a further one; such texts also meet under the key as it is, closed by END.
     """
     least = at_least - 0.00005  # similarities are rounded to four digits
-    each = values.withColumn("_g", grams(C("v"), q)).withColumn("_need", edits_allowed(C("v"), least) * q + 1)
-    listed = each.select(*block, "v", "_need", F.size("_g").alias("_have"), F.explode("_g").alias("gram"))
+    each = values.withColumn("_g", grams(C("v"), q)).withColumn("_free", edits_allowed(C("v"), least) * q)
+    listed = each.select(*block, "v", "_free", F.size("_g").alias("_have"), F.explode("_g").alias("gram"))
     counts = listed.groupBy(*block, "gram").agg(F.count(F.lit(1)).alias("texts"))
     known = attach_group_facts(listed, counts, [*block, "gram"], "texts")
-    ordered = known.groupBy(*block, "v", "_need", "_have").agg(F.array_sort(F.collect_list(F.struct("texts", "gram"))).alias("_o"))
-    rare = F.transform(F.slice("_o", F.lit(1), C("_need")), lambda x: x["gram"])
-    keys = F.when(C("_have") < C("_need"), F.array_append(rare, F.lit(""))).otherwise(rare)
-    return ordered.select(*block, "v", F.explode(keys).alias("gram"))
+    ordered = known.groupBy(*block, "v", "_free", "_have").agg(F.array_sort(F.collect_list(F.struct("texts", "gram"))).alias("_o"))
+    rare = F.transform(F.slice("_o", F.lit(1), C("_free") + LEVELS), lambda x: x["gram"])
+    texts = [*block, "v", "_free", "_have"]
+    rows, met = staged(ordered.select(*texts, rare.alias("_p"), F.lit("").alias("gram"), F.lit(0).alias("_at")), "rare-grams"), None
+    for level in range(1, LEVELS + 1):
+        last = F.least(F.size("_p"), C("_free") + level)
+        ahead = F.when(C("_at") < last, F.sequence(C("_at") + 1, last)).otherwise(F.array().cast("array<int>"))
+        ends = F.when(C("_have") < C("_free") + level, F.array(F.lit(0))).otherwise(F.array().cast("array<int>"))
+        longer = rows.select(*texts, "_p", C("gram").alias("_key"), F.explode(F.concat(ahead, ends)).alias("_at")).select(
+            *texts, "_p", F.concat("_key", F.when(C("_at") == 0, END).otherwise(F.try_element_at("_p", C("_at")))).alias("gram"), "_at")
+        keyed = staged(longer, "gram-keys")
+        sizes = keyed.groupBy(*block, "gram").agg(F.count(F.lit(1)).alias("texts")).filter("texts > 1")
+        sized = staged(attach_group_facts(keyed, sizes, [*block, "gram"], "texts"), "sized-keys")
+        open_ = (C("texts") > crowd) & (C("_at") > 0) if level < LEVELS else F.lit(False)
+        here = sized.filter(~open_).select(*block, "v", "gram", "texts")
+        met, rows = here if met is None else met.unionByName(here), sized.filter(open_).drop("texts")
+        if level == LEVELS or rows.isEmpty():
+            return met
 
 
 def similar_pairs(values: DataFrame, block: Sequence[str], at_least: float, q: int, slice_size: int = SLICE) -> DataFrame:
@@ -53,9 +72,7 @@ def similar_pairs(values: DataFrame, block: Sequence[str], at_least: float, q: i
     Groups that share a gram are cut into slices and every pair of slices is a join key of its own, so no task has to hold
     or compare a whole group; only verified pairs leave the join.
     """
-    keyed = staged(prefixes(values, block, at_least, q), "gram-prefixes")
-    sizes = keyed.groupBy(*block, "gram").agg(F.count(F.lit(1)).alias("texts")).filter("texts > 1")
-    rows = attach_group_facts(keyed, sizes, [*block, "gram"], "texts").withColumn("_n", F.ceil(C("texts") / slice_size).cast("int"))
+    rows = prefixes(values, block, at_least, q).withColumn("_n", F.ceil(C("texts") / slice_size).cast("int"))
     own = F.pmod(F.xxhash64("v"), C("_n")).cast("int")
     every = F.sequence(F.lit(0), C("_n") - 1)
     left = rows.select(*block, "gram", own.alias("_i"), F.explode(every).alias("_j"), C("v").alias("a"))
@@ -67,7 +84,9 @@ def similar_pairs(values: DataFrame, block: Sequence[str], at_least: float, q: i
     for s in same:
         on = on & s
     near = (F.length("a") >= F.length("b") * F.lit(at_least - 0.001)) & (F.length("b") >= F.length("a") * F.lit(at_least - 0.001))
-    found = left.join(right, on).filter((C("a") < C("b")) & near).filter(edit_similarity(C("a"), C("b")) >= at_least)
+    edits = F.floor(F.greatest(F.length("a"), F.length("b")) * F.lit(1 - at_least + 0.00005) + F.lit(1e-9)).cast("int")
+    close = F.call_function("levenshtein", C("a"), C("b"), edits) >= 0  # stops counting at more edits than allowed
+    found = left.join(right, on).filter((C("a") < C("b")) & near).filter(close).filter(edit_similarity(C("a"), C("b")) >= at_least)
     return found.select(*[C(f"_a{i}").alias(k) for i, k in enumerate(block)], "a", "b").distinct()
 
 

@@ -93,3 +93,24 @@ def test_copies_make_no_pairs(spark):
     rows = [(i, "x", "the very same") for i in range(2000)] + [(2000, "x", "the very samE!")]
     got = found(spark, rows, 0.9)
     assert len(got) == 2001 and {r[1:] for r in got} == {(0, 2001, 1)}
+
+
+def test_crowded_keys_take_in_further_grams(spark):
+    rows = spark.createDataFrame([("x", f"customer.{i:06}@place.example.com") for i in range(0, 90000, 90)], "block string, v string")
+    def most(crowd):
+        met = similar.prefixes(rows, ["block"], 0.95, 2, crowd).groupBy("gram").agg({"v": "count"})
+        return max(r[1] for r in met.collect())
+    assert most(20) <= 20 < most(10 ** 6)
+    def pairs():
+        return {(r.a, r.b) for r in similar.similar_pairs(rows, ["block"], 0.95, 2).collect()}
+    fine = pairs()
+    assert fine and all(round(1 - distance(a, b) / len(a), 4) >= 0.95 for a, b in list(fine)[:50])
+
+
+@pytest.mark.parametrize("seed, at_least", [(5, 0.8), (6, 0.65), (7, 0.9)])
+def test_pairs_under_longer_keys_equal_all_pairs(spark, monkeypatch, seed, at_least):
+    plain = similar.prefixes
+    monkeypatch.setattr(similar, "prefixes", lambda *args: plain(*args, 2))
+    rows = rows_of(seed)
+    want = classes(rows, at_least)
+    assert want and found(spark, rows, at_least) == want
