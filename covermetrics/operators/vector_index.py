@@ -15,6 +15,7 @@ from covermetrics.operators.relational import top_k_per_group
 SAMPLE = 4096  # vectors that the centroids are fitted on
 MOST_CELLS = 1024  # centroids that travel to every task
 BLOCK = 4096  # rows, and queries, that are scored together
+VISITS = 65_536  # rows of queries and cells that a task makes at once; each carries a vector
 NO_DIRECTION = -1  # cell of zero vectors, which have a cosine of 0 with everything
 SLACK = 2e-6  # scores are rounded to six digits
 C = F.col
@@ -127,12 +128,18 @@ class VectorIndex:
             i, j = np.nonzero(mask)
             return pdf[[qkey, qvector]].iloc[i].assign(cell=cells[j].astype(np.int32), n=sizes[j].astype(np.int64))
 
-        def near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def few(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            """A query may visit every cell, so a batch is taken in parts."""
+            step = max(1, VISITS // len(cells))
             for pdf in batches:
+                yield from (pdf.iloc[i:i + step] for i in range(0, len(pdf), step))
+
+        def near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in few(batches):
                 yield emit(pdf, first_cells(matrix(pdf[qvector])))
 
         def rest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for pdf in batches:
+            for pdf in few(batches):
                 m = matrix(pdf[qvector])
                 reach = np.sqrt(np.maximum(2 - 2 * (pdf["kth"].to_numpy(np.float64) - SLACK), 0)) + 1e-9
                 yield emit(pdf, (distances(m, centres) - radii <= reach[:, None]) & ~first_cells(m))

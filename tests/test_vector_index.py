@@ -70,3 +70,19 @@ def test_nothing_to_search(spark, index):
     assert index.search(queries_of(spark, np.ones((2, 4))), 3).count() == 0
     few = VectorIndex(scratch_path(spark, "t-vectors")).build(corpus_of(spark, np.eye(4)[:2]))
     assert [r[:3] for r in found(few.search(queries_of(spark, np.ones((1, 4))), 3))] == [(0, 1, 0), (0, 2, 1)]
+
+
+def test_visits_are_made_in_small_parts(spark, index, monkeypatch):
+    sizes = []
+    monkeypatch.setattr(vector_index, "VISITS", 32)
+    x = np.random.default_rng(4).normal(size=(200, 4))
+    index.build(corpus_of(spark, x))
+    frames = type(spark.range(1)).mapInPandas
+    def watched(self, make, schema):
+        if "cell int, n bigint" in schema:
+            pdf = queries_of(spark, x).toPandas().assign(kth=-2.0)
+            sizes.extend(len(part) for part in make(iter([pdf])))
+        return frames(self, make, schema)
+    monkeypatch.setattr(type(spark.range(1)), "mapInPandas", watched)
+    assert found(index.search(queries_of(spark, x), 3)) == by_hand(x, x, 3)
+    assert sizes and max(sizes) <= 32
