@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from covermetrics.llm.buffers import SPACES, Rolling, block_arrays, byte_table, scramble, spans, text_bytes
-from covermetrics.llm.rows import written
+from covermetrics.llm.rows import give_back, lean, written
 
 C = F.col
 SHINGLE = 5
@@ -129,7 +129,7 @@ def signature(text: Column) -> Column:
             flat = np.concatenate(bands_all).ravel() if bands_all else np.zeros(0, np.int64)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, BANDS), pa.int32()), pa.array(flat))
             yield pa.StructArray.from_arrays([pa.array(np.concatenate(n_all) if n_all else [], pa.int64()), lists, pa.array(marks_all, pa.binary())], ["n", "bands", "marks"])
-    return F.arrow_udf(measure, SIGNATURE)(text)
+    return F.arrow_udf(lean(measure), SIGNATURE)(text)
 
 
 def _whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
@@ -191,6 +191,7 @@ def _likely_pairs(buckets: DataFrame, best_only: bool) -> DataFrame:
                 found = [(x, partner[x], share[x])]
             a, b, s = map(np.concatenate, zip(*found))
             yield pa.RecordBatch.from_arrays([text.take(pa.array(a)), text.take(pa.array(b)), pa.array(s, pa.float64())], ["a", "b", "share"])
+        give_back()
     dealt = buckets.repartition("bucket", "block").sortWithinPartitions("bucket", "block")
     return dealt.mapInArrow(compare, "a binary, b binary, share double")
 
@@ -215,6 +216,7 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
                 shared = np.bincount(rows[same], np.minimum(counts[same], counts[same + 1]), minlength=part.num_rows)
                 similarity = shared / np.maximum(total[0] + total[1] - shared, 1)
                 yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b"), pa.array(similarity)], ["a", "b", "similarity"])
+        give_back()
     return both.mapInArrow(overlap, "a binary, b binary, similarity double").where(C("similarity") >= SIMILARITY)
 
 

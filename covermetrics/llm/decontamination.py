@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from covermetrics.llm.automaton import SuffixAutomaton
 from covermetrics.llm.buffers import Rolling, block_arrays, row_of, spans, text_bytes
-from covermetrics.llm.rows import written
+from covermetrics.llm.rows import lean, written
 
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 HITS = "struct<n_words:bigint,words:array<struct<first:bigint,stop:bigint>>,bytes:array<struct<first:bigint,stop:bigint>>,items:array<string>>"
@@ -121,7 +121,8 @@ def _scanner(spark, items, window: int):
         rolling, automaton = Rolling(), pickle.loads(index.value)
         for column in batches:
             yield scan_texts(column, automaton, rolling, tables)
-    return F.arrow_udf(scan, HITS)
+    # Else a filter on the hits moves below them, and a second worker of each task scans the texts again.
+    return F.arrow_udf(lean(scan), HITS).asNondeterministic()
 
 
 def find_items(docs: DataFrame, items: DataFrame, *, text: str = "text", item_id: str = "item_id", item_text: str = "text",

@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from covermetrics.llm.buffers import SPACES, Rolling, block_arrays, byte_table, row_of, spans
+from covermetrics.llm.rows import lean
 
 CLASSES = (bytes(range(65, 91)), b"0123456789", b"#*$%&", b"!", b"|<>", SPACES, bytes(range(128, 256)), b".,;:?")
 N_OWN = len(CLASSES) + 5
@@ -201,7 +202,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str
                 table = np.column_stack([features, size]).astype(np.float32)
                 out += [table[a:b].tobytes() for a, b in zip(first[:-1], first[1:])]
             yield pa.array(out, pa.binary())
-    rows = texts.select("__label", F.arrow_udf(measure, "binary")(C(text)).alias("lines")).collect()
+    rows = texts.select("__label", F.arrow_udf(lean(measure), "binary")(C(text)).alias("lines")).collect()
     known = np.array([r[0] for r in rows], np.int64)
     if len(set(known.tolist())) < 2:
         return None
@@ -221,6 +222,6 @@ def score(docs: DataFrame, model: LineModel | None, *, text: str = "text", out:
         for column in batches:
             parts = [model.scores(*line_features(data, offsets, rolling)) for data, offsets in block_arrays(column)]
             yield pa.array(np.concatenate(parts) if parts else np.zeros(0), pa.float64())
-    return docs.withColumn(out, F.arrow_udf(measure, "double")(F.col(text)))
+    return docs.withColumn(out, F.arrow_udf(lean(measure), "double")(F.col(text)))
 
 

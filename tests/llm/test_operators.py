@@ -7,6 +7,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from pyspark import cloudpickle
@@ -18,7 +19,7 @@ import brute  # noqa: E402
 
 from covermetrics.llm import (  # noqa: E402
     attention_lm, bag_minhash, byte_bpe, compression, decontamination, line_chunks, line_crf, personal_data, substring_dedup, token_files)
-from covermetrics.llm.rows import Remembered  # noqa: E402
+from covermetrics.llm.rows import Remembered, lean  # noqa: E402
 from covermetrics.llm.automaton import SuffixAutomaton  # noqa: E402
 from covermetrics.session import scratch_path  # noqa: E402
 
@@ -490,3 +491,35 @@ def test_decontaminate_cuts_and_drops(spark):
     got = {r.doc_id: r.text for r in decontamination.decontaminate(docs, items).collect()}
     assert got == {1: f"{long} . end", 3: None, 4: long}
     assert hashlib.sha256(got[4].encode()).hexdigest() == brute.sha(long)
+
+
+def _python_steps(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython")
+
+
+def test_each_text_is_scanned_by_one_worker(spark):
+    items = spark.createDataFrame([("a", " ".join(f"w{i}" for i in range(20)))], "item_id string, text string")
+    docs = spark.createDataFrame([(1, "plain words"), (2, None)], "doc_id bigint, text string")
+    assert _python_steps(decontamination.decontaminate(docs, items)) == 1
+    both = byte_bpe.encode_and_decode(docs, RANKS, public_tokenizers.PATTERN).select("doc_id", F.size("ids").alias("n"), "decoded")
+    assert _python_steps(both) == 1
+
+
+def test_encode_and_decode_equal_the_two_steps(spark):
+    texts = [None, "", "Straße 12\n\n  naïve 日本語 🙂", "x" * 20000, "some plain words, some plain words"]
+    docs = spark.createDataFrame([*enumerate(texts), (0, None)], "doc_id bigint, text string")
+    two = byte_bpe.decode(byte_bpe.encode(docs, RANKS, public_tokenizers.PATTERN), RANKS)
+    one = byte_bpe.encode_and_decode(docs, RANKS, public_tokenizers.PATTERN)
+    assert one.schema == two.schema
+    assert sorted(map(str, one.collect())) == sorted(map(str, two.collect()))
+
+
+def test_worker_functions_see_small_slices():
+    sizes = []
+
+    def work(batches):
+        for column in batches:
+            sizes.append(len(column))
+            yield column
+    got = [x for c in lean(work, most=4)(iter([pa.array(range(10)), pa.array([], pa.int64()), pa.array([7])])) for x in c.to_pylist()]
+    assert got == [*range(10), 7] and sizes == [4, 4, 2, 1]
