@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from covermetrics.functions.numbers import percent, rounded
+from covermetrics.operators.relational import distinct_count
 
 # Ours: status by health score.
 HEALTHY_FROM, WARNING_FROM = 90.0, 75.0
@@ -16,14 +18,19 @@ STATUS_RANK = {"Healthy": 0, "Warning": 1, "Critical": 2}
 
 
 def profile_columns(df: DataFrame, table: str, columns: Sequence[str] | None = None, exact: bool = True) -> DataFrame:
-    """Rows, nulls and distinct values per column, from one aggregate over one scan.
+    """Rows, nulls and distinct values per column.
 
-    Exact counts reduce every column to its distinct values in each task before the shuffle; ``exact=False`` takes
-    HyperLogLog counts, which shuffle a sketch per column and task however many values there are.
+    Exact counts read each column on its own and group its values, so that a row of the shuffle holds one value and no row
+    is copied for every column; ``exact=False`` takes HyperLogLog counts from one scan, which shuffle a sketch per column
+    and task however many values there are.
     """
-    distinct = F.count_distinct if exact else F.approx_count_distinct
+    if exact:
+        each = [distinct_count(df, c).select(
+            F.lit(table).alias("table_name"), F.lit(c).alias("column_name"), F.col("rows").alias("total"),
+            (F.col("rows") - F.col("non_null")).alias("nulls"), F.col("distinct").alias("distinct_count")) for c in columns or df.columns]
+        return reduce(DataFrame.unionByName, each)
     cells = [F.struct(F.lit(c).alias("column_name"), F.count(F.lit(1)).alias("total"),
-                      (F.count(F.lit(1)) - F.count(c)).alias("nulls"), distinct(F.col(c)).alias("distinct_count"))
+                      (F.count(F.lit(1)) - F.count(c)).alias("nulls"), F.approx_count_distinct(F.col(c)).alias("distinct_count"))
              for c in columns or df.columns]
     return df.agg(F.array(*cells).alias("_c")).select(F.explode("_c").alias("_c")).select(F.lit(table).alias("table_name"), "_c.*")
 

@@ -216,3 +216,11 @@ def test_work_table_is_dropped_also_after_an_error(spark):
     with pytest.raises(RuntimeError), work_table(spark.range(5), "t_work"):
         raise RuntimeError("stop")
     assert not spark.catalog.tableExists("t_work")
+
+
+def test_exact_profile_copies_no_row_for_each_column(spark):
+    df = spark.createDataFrame([(1, "a", None), (1, None, 2.5), (None, "b", float("nan")), (1, "a", None)], "a int, b string, c double")
+    found = profile.profile_columns(df, "t")
+    assert "Expand" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted((r.column_name, r.total, r.nulls, r.distinct_count) for r in found.collect()) == [("a", 4, 1, 1), ("b", 4, 1, 2), ("c", 4, 2, 2)]
+    assert sorted(tuple(r) for r in profile.profile_columns(df.limit(0), "t").collect()) == [("t", c, 0, 0, 0) for c in "abc"]
