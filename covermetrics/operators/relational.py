@@ -15,16 +15,17 @@ HOT_SHARE = 1000
 
 
 def attach_group_facts(df: DataFrame, facts: DataFrame, keys: Sequence[str], rows: str = "group_rows",
-                       share: int = HOT_SHARE) -> DataFrame:
+                       share: int = HOT_SHARE, total: Column | None = None) -> DataFrame:
     """Inner-join each row to the facts of its group without collecting a group anywhere.
 
     ``facts`` has one row per key and the group's row count in ``rows``. Rows of hot groups get their facts by broadcast
     (fewer than ``share`` fact rows) and are never shuffled; the others meet theirs in a shuffle, in groups small by
-    definition. NULL is a group like any other. The rows are read once for each of the two parts.
+    definition. NULL is a group like any other. The rows are read once for each of the two parts, and once more to be
+    counted unless ``total`` is given; the sum of ``rows`` over the facts keeps the bound on hot groups too.
     """
     keys = list(keys)
     names = [c for c in facts.columns if c not in keys]
-    total = df.agg(F.count(F.lit(1))).scalar()
+    total = df.agg(F.count(F.lit(1))).scalar() if total is None else total
     is_hot = F.col(rows) * F.lit(share) > total
     named = facts.withColumnsRenamed({k: f"_key_{k}" for k in keys})
     hot, cold = named.filter(is_hot), named.filter(~is_hot)

@@ -150,3 +150,37 @@ def test_compare_items_and_attributes(spark):
     x = spark.createDataFrame([(1, 1950, None, "x")], "k int, year int, roof string, zone string")
     y = spark.createDataFrame([(1, 1960, None, "x")], x.schema)
     assert [tuple(r) for r in matching.compare_attributes(x, y, ["k"], ["year", "roof", "zone"]).collect()] == [(1, "year", "1950", "1960")]
+
+
+def test_group_terms_count_documents_of_several_rows_once(spark):
+    rows = [(1, "x", "red red blue"), (1, "x", "red green"), (2, "x", "blue"), (2, "y", "blue"), (None, "y", "red"), (None, "y", "red"), (3, None, "green"), (4, "y", None)]
+    got = feedback.group_terms(spark.createDataFrame(rows, "id int, g string, t string"), "g", "id", "t", k=9)
+    want = {("x", "red"): (3, 2), ("y", "red"): (2, 2), ("x", "blue"): (2, 3), ("y", "blue"): (1, 3), ("x", "green"): (1, 2), (None, "green"): (1, 2)}
+    assert {(r.g, r.term): (r.tf, r.weight) for r in got.collect()} == {
+        k: (tf, round(tf * math.log(8 / df), 4)) for k, (tf, df) in want.items()}
+
+
+def test_group_terms_shuffle_the_vocabulary_and_not_the_words_of_each_text(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(feedback, "staged", lambda df, purpose: written.append((purpose, df._jdf.queryExecution().executedPlan().toString())) or df)
+    texts = spark.createDataFrame([(i, "x", "red blue red") for i in range(20)], "id int, g string, t string")
+    feedback.group_terms(texts, "g", "id", "t").collect()
+    plan = dict(written)["group-words"]
+    assert "hashpartitioning(g" in plan and "hashpartitioning(id" not in plan
+
+
+def test_classify_filters_words_before_they_are_counted(spark, monkeypatch):
+    monkeypatch.setattr(feedback, "staged", lambda df, purpose: df)
+    texts = spark.createDataFrame([(1, "invoice invoice and renewal"), (1, "fee"), (2, "nothing"), (None, "renewal")], "id int, t string")
+    found = feedback.classify(texts, feedback.theme_keywords(spark), ["id"], "t")
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftSemi" in plan
+    assert {(r.id, r.theme, r.strength) for r in found.collect()} == {(1, "Billing Issues", 3.0), (2, None, None), (None, None, None)}
+
+
+def test_best_sentence_alone_carries_its_text(spark, monkeypatch):
+    staged = []
+    monkeypatch.setattr(feedback, "staged", lambda df, purpose: staged.append(purpose) or df)
+    texts = spark.createDataFrame([(1, "x", "Red sky. Red sea and sky"), (2, "x", "Red sky"), (2, "x", "Red sky"), (3, "y", None)], "id int, g string, t string")
+    got = feedback.central_sentences(texts, "g", "id", "t").collect()
+    assert [(r.g, r.id, r.pos, r.score, r.sentence) for r in got] == [("x", 1, 0, 3.0, "Red sky")] and "best-sentences" in staged
