@@ -41,6 +41,26 @@ def postings(texts: DataFrame, key: Sequence[str], text: str, terms: DataFrame |
     return words.groupBy("term", *key, "length").agg(F.count(F.lit(1)).alias("tf"))
 
 
+def counted_words(words: pa.Array) -> pa.Array:
+    """The distinct words of each list with their counts."""
+    coded = words.flatten().dictionary_encode()
+    row = np.repeat(np.arange(len(words)), pc.list_value_length(words).to_numpy(zero_copy_only=False).astype(np.int64))
+    code = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    size = max(len(coded.dictionary), 1)
+    found, times = np.unique(row * size + code, return_counts=True)
+    ends = np.searchsorted(found // size, np.arange(len(words) + 1))
+    pairs = pa.StructArray.from_arrays([coded.dictionary.take(pa.array(found % size)), pa.array(times, pa.int64())], ["term", "tf"])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pairs)
+
+
+def row_postings(texts: DataFrame, key: Sequence[str], text: str) -> DataFrame:
+    """`postings` of texts whose keys are unique: each row counts its own words, so nothing is shuffled."""
+    words = F.coalesce(tokens(text), F.array().cast("array<string>"))
+    count = F.arrow_udf(counted_words, "array<struct<term:string,tf:bigint>>")
+    return texts.select(*key, words.alias("_w")).select(*key, F.size("_w").alias("length"), F.explode(count(F.array_append("_w", F.lit(UNIT)))).alias("_p")).select(
+        "_p.term", *key, "length", "_p.tf")
+
+
 def asked_words(questions: DataFrame, qkey: str, qtext: str) -> DataFrame:
     return questions.select(qkey, F.explode(F.array_distinct(tokens(qtext))).alias("term"))
 
@@ -204,7 +224,7 @@ class SearchIndex:
         repeated = rows.groupBy(self.key).count().filter("count > 1").limit(1).count()
         single = rows.groupBy(self.key).agg(F.max(self.text).alias(self.text)) if repeated else rows
         chunks = self._write(chunk_fixed(single, self.size, self.overlap, self.key, self.text), "chunks", segment)
-        found = postings(chunks, [self.key, "chunk_index"], "chunk_text").withColumn("bucket", self._bucket("term"))
+        found = row_postings(chunks, [self.key, "chunk_index"], "chunk_text").withColumn("bucket", self._bucket("term"))
         # A word's postings lie together and in order, so that a reader can skip the rest of the bucket.
         dealt = found.repartition("bucket").sortWithinPartitions("bucket", "term").select("term", self.key, "chunk_index", "length", "tf", "bucket")
         stored = self._write(dealt, "postings", segment, "bucket")

@@ -128,3 +128,14 @@ def test_texts_and_questions_that_share_words_are_never_rows(spark):
     once = {r.document_id: r.score for r in search.rank(found, asked.distinct(), F.lit(62.0), F.lit(40.0), ["document_id"], "question_id", 100).collect() if r.question_id == 1}
     assert once and all(abs(twice[1, d] - 2 * s) < 3e-5 for d, s in once.items())  # a question that comes twice counts twice
     assert (None, None) in twice
+
+
+def test_words_of_a_chunk_are_counted_without_a_shuffle(spark):
+    rows = [(1, 1, "Red red blue"), (1, 2, "blue"), (2, 1, ""), (None, 1, None), (3, 1, "é é É x")]
+    texts = spark.createDataFrame(rows, "document_id bigint, chunk_index int, chunk_text string")
+    key = ["document_id", "chunk_index"]
+    found = search.row_postings(texts, key, "chunk_text")
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    want = search.postings(texts, key, "chunk_text")
+    assert found.schema.simpleString() == want.schema.simpleString()
+    assert sorted(map(str, found.collect())) == sorted(map(str, want.collect()))
