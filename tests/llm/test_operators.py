@@ -514,6 +514,26 @@ def test_encode_and_decode_equal_the_two_steps(spark):
     assert sorted(map(str, one.collect())) == sorted(map(str, two.collect()))
 
 
+def test_texts_are_decoded_many_at_a_time():
+    table = byte_bpe._by_rank(byte_bpe.load_ranks(RANKS))
+    rng, takes = random.Random(14), []
+
+    class Counted:
+        def take(self, ids):
+            takes.append(len(ids))
+            return table.take(ids)
+    lists = [[rng.randrange(len(table)) for _ in range(rng.choice((0, 0, 1, 5, 40)))] for _ in range(300)] + [None, [], None]
+    want = [b"".join(table[i].as_py() for i in x or ()) for x in lists]
+    column = pa.array(lists, pa.list_(pa.int32()))
+    for leaf in (1, 7, 1000):
+        assert byte_bpe.decode_lists(column, Counted(), leaf).to_pylist() == want
+    assert byte_bpe.decode_lists(column[3:290], table, 7).to_pylist() == want[3:290]
+    assert byte_bpe.decode_lists(column[:0], table).to_pylist() == []
+    takes.clear()
+    byte_bpe.decode_lists(column, Counted())
+    assert takes == [sum(len(x or ()) for x in lists)]
+
+
 def test_worker_functions_see_small_slices():
     sizes = []
 
