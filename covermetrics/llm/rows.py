@@ -68,9 +68,9 @@ class Remembered:
         self.now: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
-    def unseen(self, strings: set[str]) -> set[str]:
-        """The strings without a result; those of the older generation come back first."""
-        if self.size > self.most:
+    def unseen(self, strings: set[str], fresh: bool = True) -> set[str]:
+        """The strings without a result; those of the older generation come back first. `fresh` False: more strings of the same call."""
+        if fresh and self.size > self.most:
             self.older, self.now, self.size = self.now, {}, 0
         new = strings.difference(self.now)
         self.learn({s: self.older[s] for s in new.intersection(self.older)})
@@ -78,7 +78,7 @@ class Remembered:
 
     def learn(self, results: dict[str, bytes]) -> None:
         self.now.update(results)
-        self.size += sum(map(getsizeof, results)) + sum(map(getsizeof, results.values())) + 100 * len(results)
+        self.size += sum(map(getsizeof, results)) + sum(map(len, results.values())) + 133 * len(results)
 
     def rest(self) -> None:
         """For the end of a task: a worker that waits keeps one generation."""

@@ -11,6 +11,7 @@ A null or empty text is its end id alone; an empty table gives a table without b
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 import re
 from collections.abc import Iterator
@@ -18,27 +19,43 @@ from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from covermetrics.llm.rows import Remembered, for_worker
+from covermetrics.llm.rows import Remembered, for_worker, give_back
 
 BLOCK_IDS = 1 << 18
 LEAST_COUNT = 4  # a rule takes three numbers, so fewer uses would not pay
-CONTROL = re.compile(r"[\x1c-\x1f]")  # white space to str.split, not to the tokenizer
-PIECE = re.compile(r"[^ \t\n\x0b\x0c\r]+")
-RUN = re.compile(r"[^\W\d_]+|[\W\d_]+")
+RUN = re.compile(r"[^\W\d_]+|(?:(?! )[\W\d_])+| ")
+NO_ID = 0xFFFFFFFF
+GAP = np.array([NO_ID], "<u4").tobytes()
 JOINED = re.compile("'|<[|]|İ")  # İ lower-cases to a letter and a mark
+ROWS, BYTES = 2048, 8 << 20  # texts that are encoded at once
 BLOCK = ("shard int, block int, n_tokens bigint, base int, lefts array<int>, rights array<int>, rule_lengths array<int>, "
          "symbols binary, docs array<{id}>, doc_symbols array<int>, doc_tokens array<int>")
 
 
+class Letters(dict):
+    """What the tokenizer's own normalizer and splitting make of a letter inside a word, asked once for each letter."""
+
+    def __init__(self, tokenizer):
+        super().__init__({ord(" "): " "})
+        self.tokenizer = tokenizer
+
+    def __missing__(self, code: int) -> str:
+        pieces = self.tokenizer.pre_tokenizer.pre_tokenize_str(f"a{self.tokenizer.normalizer.normalize_str(chr(code))}a")
+        self[code] = found = pieces[0][0][1:-1] if len(pieces) == 1 else "a a"  # a word that is cut there comes out as too many
+        return found
+
+
 class PieceEncoder:
-    """Ids of a text as packed 32-bit integers. White space ends a token, so words are encoded once and kept.
+    """Ids of texts as 32-bit integers. White space ends a token, so words are encoded once and kept.
 
     A word in normal form without an apostrophe, a special token's mark or İ is encoded run by run (letters, other characters),
-    as the tokenizer's own split does; runs of letters go to the tokenizer many at a time, joined by spaces.
+    as the tokenizer's own split does. Runs of letters go to the tokenizer's model many at a time, normalized letter by letter
+    and joined by spaces; all else goes to the whole tokenizer.
     """
 
     def __init__(self, model: str):
@@ -47,108 +64,196 @@ class PieceEncoder:
 
         self.tokenizer = Tokenizer.from_str(model)
         self.vocabulary = self.tokenizer.get_vocab_size()
-        self.words, self.runs = Remembered(), Remembered()
-
-    def encode(self, texts: list[str], end: int) -> list[bytes]:
-        split = [PIECE.findall(t) if CONTROL.search(t) else t.split() for t in texts]
-        new = {w: RUN.findall(w) if is_normalized("NFC", w) and not JOINED.search(w) else [w] for w in self.words.unseen(set().union(*split))}
-        self.runs.learn(self._encoded(list(self.runs.unseen(set().union(*new.values())))))
-        runs = self.runs.now
-        self.words.learn({word: b"".join([runs[p] for p in parts]) for word, parts in new.items()})
-        tail = np.array([end], "<u4").tobytes()
-        return [b"".join(map(self.words.now.__getitem__, words)) + tail for words in split]
-
-    def _encoded(self, new: list[str]) -> dict[str, bytes]:
-        alone = [r for r in new if not r.isalpha()]
-        letters = [r for r in new if r.isalpha()]
+        bare = json.loads(model) | {"normalizer": None, "added_tokens": [],
+                                    "pre_tokenizer": {"type": "Split", "pattern": {"String": " "}, "behavior": "Removed", "invert": False}}
+        self.bare, self.letters = Tokenizer.from_str(json.dumps(bare)), Letters(self.tokenizer)
+        suffix = bare["model"]["end_of_word_suffix"]  # on the last token of each word, and on no other
+        self.last = np.zeros(self.vocabulary, bool)
+        self.last[[i for token, i in self.bare.get_vocab().items() if token.endswith(suffix)]] = True
+        self.words = Remembered()
+
+    def encode(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts one after another, each text's closed by `end`; how many each text has. Null counts as empty."""
+        split = pc.ascii_split_whitespace(texts.fill_null(""))
+        words = split.flatten().dictionary_encode()
+        distinct = words.dictionary.to_numpy(zero_copy_only=False).tolist()
+        self._learn(self.words.unseen(set(distinct)))
+        table = pa.array(list(map(self.words.now.__getitem__, distinct)), pa.large_binary())
+        packed = table.take(words.indices)
+        at = np.zeros(1, np.int64)
+        raw = np.zeros(0, "<u4")
+        if len(packed):
+            at = np.frombuffer(packed.buffers()[1], np.int64, len(packed) + 1, 8 * packed.offset) // 4
+            if at[-1] > at[0]:
+                raw = np.frombuffer(packed.buffers()[2], "<u4")[at[0]:at[-1]]
+        offsets = split.offsets.to_numpy()
+        bounds = at[offsets - offsets[0]] - at[0]
+        return np.insert(raw, bounds[1:], end), np.diff(bounds) + 1
+
+    def _learn(self, new: set[str]) -> None:
+        plain = [w for w in new if w.isascii() or (is_normalized("NFC", w) and "İ" not in w)]
+        whole = [*new.difference(plain)] if len(plain) < len(new) else []
+        letters = [w for w in plain if w.isalpha()]
+        others = [w for w in plain if not w.isalpha()]
+        mixed = [w for w in others if not JOINED.search(w)]
+        if len(mixed) < len(others):
+            whole += set(others).difference(mixed)
+        parts = RUN.findall(" ".join(mixed))  # one flat list: many small ones would wake the garbage collector, which looks at all kept words
+        runs = self.words.unseen({*parts}.difference(letters, " "), fresh=False)
+        self.words.learn(self._encoded(letters + [r for r in runs if r.isalpha()], whole + [r for r in runs if not r.isalpha()]))
+        if mixed:
+            now = self.words.now
+            ids = np.frombuffer(b"".join([now[r] if r != " " else GAP for r in parts]), "<u4")
+            gaps = np.flatnonzero(ids == NO_ID)
+            raw, ends = ids[ids != NO_ID].tobytes(), [*(4 * (gaps - np.arange(len(gaps)))).tolist(), 4 * (len(ids) - len(gaps))]
+            self.words.learn(dict(zip(mixed, [raw[a:b] for a, b in zip([0, *ends], ends)])))
+
+    def _encoded(self, letters: list[str], whole: list[str]) -> dict[str, bytes]:
         out = {}
         for at in range(0, len(letters), 1000):
             part = letters[at:at + 1000]
-            got = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
-            ids, number = np.array(got.ids, "<u4"), np.array(got.word_ids)
-            cut = np.flatnonzero(np.diff(number)) + 1
-            if len(ids) and len(cut) + 1 == len(part):  # each run is one word to the tokenizer too
-                raw, ends = ids.tobytes(), [*(4 * cut).tolist(), 4 * len(ids)]
+            got = self.bare.encode_batch_fast([" ".join(part).translate(self.letters)], add_special_tokens=False)[0]
+            ids = np.array(got.ids, "<u4")
+            ends = (4 * (np.flatnonzero(self.last[ids]) + 1)).tolist()
+            if len(ends) == len(part):
+                raw = ids.tobytes()
                 out.update(zip(part, [raw[a:b] for a, b in zip([0, *ends], ends)]))
             else:
-                alone += part
-        for run, got in zip(alone, self.tokenizer.encode_batch_fast(alone, add_special_tokens=False) if alone else ()):
-            out[run] = np.array(got.ids, "<u4").tobytes()
+                whole += part
+        for word, got in zip(whole, self.tokenizer.encode_batch_fast(whole, add_special_tokens=False) if whole else ()):
+            out[word] = np.array(got.ids, "<u4").tobytes()
         return out
 
 
-def frequent_pairs(left: np.ndarray, right: np.ndarray, usable: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The pairs (as left << 32 | right) that occur `least` times or more, where they occur, and which of them there.
+def sorted_pairs(left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs as one number each, ascending, and where each of them stood."""
+    bits, spare = int(max(left.max(), right.max())).bit_length(), len(left).bit_length()
+    if 2 * bits + spare <= 64:  # numbers of pair and place together sort faster than an order is found
+        keys = (left.astype(np.uint64) << np.uint64(bits) | right) << np.uint64(spare) | np.arange(len(left), dtype=np.uint64)
+        keys.sort()
+        return keys >> np.uint64(spare), (keys & np.uint64((1 << spare) - 1)).astype(np.int64)
+    keys = left.astype(np.uint64) << np.uint64(32) | right
+    order = np.argsort(keys, kind="stable")
+    return keys[order], order
 
-    Counting goes by hash bucket first; only pairs in full buckets are counted exactly.
+
+def frequent_pairs(left: np.ndarray, right: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """Where the pairs stand that occur `least` times or more, which of them is there (in the order of the pairs), and how many they are.
+
+    Many pairs are counted by hash bucket first; only those in full buckets are counted exactly.
     """
-    bucket = (left * np.uint32(0x9E3779B1) ^ right * np.uint32(0x85EBCA6B)) >> np.uint32(14)
-    full = np.bincount(bucket[usable], minlength=1 << 18) >= least
-    at = np.flatnonzero(usable & full[bucket])
-    keys = (left[at].astype(np.uint64) << np.uint64(32)) | right[at]
-    pairs, slot, counts = np.unique(keys, return_inverse=True, return_counts=True)
+    among = None
+    if len(left) > 1 << 14:
+        bucket = (left * np.uint32(0x9E3779B1) ^ right * np.uint32(0x85EBCA6B)) >> np.uint32(14)
+        among = np.flatnonzero((np.bincount(bucket, minlength=1 << 18) >= least)[bucket])
+        left, right = left[among], right[among]
+    if len(left) < least:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), 0
+    keys, order = sorted_pairs(left, right)
+    start = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+    counts = np.diff(start, append=len(keys))
     frequent = counts >= least
-    found = frequent[slot]
-    return pairs[frequent], at[found], (np.cumsum(frequent) - 1)[slot[found]]
+    slot = np.full(len(keys), -1, np.int64)
+    slot[order] = np.repeat(np.where(frequent, np.cumsum(frequent) - 1, -1), counts)
+    found = np.flatnonzero(slot >= 0)
+    return found if among is None else among[found], slot[found], int(np.count_nonzero(frequent))
+
+
+def every_other(at: np.ndarray, following: np.ndarray) -> np.ndarray:
+    """Indices of places that do not overlap: of places that follow each other every other one."""
+    run = np.flatnonzero(np.append(True, following[:-1] != at[1:])[:len(at)])
+    return np.flatnonzero((np.arange(len(at)) - np.repeat(run, np.diff(run, append=len(at)))) % 2 == 0)
 
 
-def replaceable(at: np.ndarray, slot: np.ndarray, n: int, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Places that do not overlap, which pair is at each, and which of the `n` pairs are used there `least` times."""
-    run = np.flatnonzero(np.diff(at, prepend=-2) > 1)  # of neighbouring places every other one is taken
-    offset = at - np.repeat(at[run], np.diff(np.append(run, len(at))))
-    taken = offset % 2 == 0
-    at, slot = at[taken], slot[taken]
-    used = np.bincount(slot, minlength=n) >= least
-    return at[used[slot]], slot[used[slot]], used
+def replaceable(at: np.ndarray, following: np.ndarray, slot: np.ndarray, n: int, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Indices of places that do not overlap and whose pair is used there `least` times; which of the `n` pairs these are.
+
+    Where pairs are in each other's way, those go first that are more frequent; the others keep the places that are left.
+    """
+    taken = every_other(at, following)
+    used = np.bincount(slot[taken], minlength=n) >= least
+    if not used.any() and len(at):
+        own = np.argsort(slot, kind="stable")
+        taken = own[every_other(at[own], np.where(np.diff(slot[own], append=n) == 0, following[own], -2))]
+        sizes = np.bincount(slot[taken], minlength=n)
+        ends, fits = np.cumsum(sizes), sizes >= least
+        best = np.argsort(-np.bincount(slot, minlength=n), kind="stable")
+        chosen, blocked = [], set()
+        for k in best[fits[best]].tolist():
+            mine = taken[ends[k] - sizes[k]:ends[k]]
+            free = [(i, a, b) for i, a, b in zip(mine.tolist(), at[mine].tolist(), following[mine].tolist()) if a not in blocked and b not in blocked]
+            if len(free) >= least:
+                used[k] = True
+                chosen += [i for i, _, _ in free]
+                blocked.update(x for _, a, b in free for x in (a, b))
+        return np.sort(np.array(chosen, np.int64)), used
+    return taken[used[slot[taken]]], used
 
 
 def compress(ids: np.ndarray, row_ends: np.ndarray, base: int, least: int = LEAST_COUNT) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """symbols, row ends in symbols, left and right part of each rule, ids a rule expands to. No symbol crosses a row's end.
 
     Frequent pairs go first: the count that a pair needs falls to an eighth when no pair is left over it. At the last level,
-    `least`, rounds go on until no pair can be replaced so often.
+    `least`, rounds go on until no pair can be replaced so often. A pair of older symbols never becomes more frequent, so a
+    round after a replacement counts only the pairs that hold a new symbol and the frequent ones left over.
     """
-    x, ends = ids.astype(np.uint32), row_ends.astype(np.int64)
-    lefts, rights, lengths = np.zeros(0, np.uint32), np.zeros(0, np.uint32), np.ones(base, np.int64)
-    level = max(least, len(x) // 64)
-    while len(x) > 1:
-        usable = np.ones(len(x) - 1, bool)
-        usable[ends[:-1] - 1] = False
-        pairs, places, slots = frequent_pairs(x[:-1], x[1:], usable, level)
-        at, slot, used = replaceable(places, slots, len(pairs), least)
-        if not len(at):  # pairs in each other's way: the most frequent one that can be replaced by itself
-            for k in np.argsort(-np.bincount(slots, minlength=len(pairs)), kind="stable"):
-                at, slot, used = replaceable(places[slots == k], slots[slots == k], len(pairs), least)
-                if len(at):
-                    break
-        if not len(at):
+    x, ends, n = ids.astype(np.uint32), row_ends.astype(np.int64), len(ids)
+    following, before, kept = np.arange(1, n + 1), np.arange(-1, n - 1), np.ones(n, bool)
+    last = ends[ends > 0] - 1
+    following[last] = -1
+    before[last[last + 1 < n] + 1] = -1
+    lefts, rights, lengths = [np.zeros(0, np.uint32)], [np.zeros(0, np.uint32)], np.ones(base, np.int64)
+    level = max(least, n // 64)
+    places = np.flatnonzero(following >= 0)
+    while True:
+        found, slot, pairs = frequent_pairs(x[places], x[following[places]], level)
+        at = places[found]
+        chosen, used = replaceable(at, following[at], slot, pairs, least)
+        if not len(chosen):
             if level == least:
                 break
             level = max(least, level // 8)
+            places = np.flatnonzero(kept & (following >= 0))
             continue
-        pairs, slot = pairs[used], (np.cumsum(used) - 1)[slot]
-        x = x.copy()
-        x[at] = base + len(lefts) + slot
-        keep = np.ones(len(x), bool)
-        keep[at + 1] = False
-        ends = np.concatenate([[0], np.cumsum(keep)])[ends]
-        x = x[keep]
-        new_left, new_right = (pairs >> np.uint64(32)).astype(np.uint32), pairs.astype(np.uint32)
-        lengths = np.concatenate([lengths, lengths[new_left] + lengths[new_right]])
-        lefts, rights = np.concatenate([lefts, new_left]), np.concatenate([rights, new_right])
-    return x, ends, lefts, rights, lengths[base:]
+        here, number = at[chosen], (np.cumsum(used) - 1)[slot[chosen]]
+        gone = following[here]
+        new_left, new_right = np.zeros((2, int(used.sum())), np.uint32)
+        new_left[number], new_right[number] = x[here], x[gone]
+        x[here] = len(lengths) + number
+        lefts.append(new_left)
+        rights.append(new_right)
+        lengths = np.append(lengths, lengths[new_left] + lengths[new_right])
+        behind = following[gone]
+        following[here], kept[gone] = behind, False
+        inside = behind >= 0
+        before[behind[inside]] = here[inside]
+        places = np.sort(np.concatenate([at, here, before[here]]))
+        places = places[np.append(True, places[1:] != places[:-1])]
+        places = places[(places >= 0) & kept[places] & (following[places] >= 0)]
+    return x[kept], np.append(0, np.cumsum(kept))[ends], np.concatenate(lefts), np.concatenate(rights), lengths[base:]
 
 
 def expand(symbols: np.ndarray, lefts: np.ndarray, rights: np.ndarray, base: int) -> np.ndarray:
-    """The ids that the symbols stand for."""
-    x = symbols.astype(np.uint32)
-    while (composed := x >= base).any():
-        width = 1 + composed.astype(np.int64)
+    """The ids that the symbols stand for. Each rule that they use is expanded once."""
+    x, composed = symbols.astype(np.uint32), symbols >= base
+    used = np.zeros(len(lefts), bool)
+    used[x[composed] - base] = True
+    if not used.any():
+        return x
+    flat = np.flatnonzero(used).astype(np.uint32) + np.uint32(base)
+    owner = np.arange(len(flat))
+    while (inner := flat >= base).any():
+        width = 1 + inner.astype(np.int64)
         start = np.cumsum(width) - width
-        rule, out = x[composed] - base, np.repeat(x, width)
-        out[start[composed]], out[start[composed] + 1] = lefts[rule], rights[rule]
-        x = out
-    return x
+        rule, flat, owner = flat[inner] - base, np.repeat(flat, width), np.repeat(owner, width)
+        flat[start[inner]], flat[start[inner] + 1] = lefts[rule], rights[rule]
+    width, first = np.ones(len(x), np.int64), np.zeros(len(x), np.int64)
+    sizes, number = np.bincount(owner), (np.cumsum(used) - 1)[x[composed] - base]
+    width[composed], first[composed] = sizes[number], (np.cumsum(sizes) - sizes)[number]
+    out, many = np.repeat(x, width), np.repeat(composed, width)
+    at = np.arange(len(out)) + np.repeat(first - (np.cumsum(width) - width), width)
+    out[many] = flat[at[many]]
+    return out
 
 
 def id_range(symbols: np.ndarray, lefts, rights, rule_lengths, base: int, start: int, stop: int) -> np.ndarray:
@@ -162,6 +267,21 @@ def id_range(symbols: np.ndarray, lefts, rights, rule_lengths, base: int, start:
     return expand(symbols[a:b], lefts, rights, base)[start - skipped:stop - skipped]
 
 
+def _one_list(values: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), pa.array(values.astype(np.int32)))
+
+
+def slices(batch: pa.RecordBatch, rows: int = ROWS, most: int = BYTES) -> Iterator[pa.RecordBatch]:
+    """The batch in parts of at most `rows` rows, and of `most` bytes of text unless a single text is longer."""
+    ends = np.cumsum(pc.binary_length(batch.column("text")).fill_null(0).to_numpy().astype(np.int64))
+    at = 0
+    while at < batch.num_rows:
+        before = ends[at - 1] if at else 0
+        stop = min(at + rows, max(at + 1, int(np.searchsorted(ends, before + most, "right"))))
+        yield batch.slice(at, stop - at)
+        at = stop
+
+
 def write_token_files(docs: DataFrame, path: str, model: str, *, end: int = 1, doc_id: str = "doc_id", text: str = "text",
                       block_ids: int = BLOCK_IDS) -> None:
     """Encode the texts, append the end id to each, and write the blocks in ascending id order. `model`: a tokenizer's JSON."""
@@ -173,36 +293,38 @@ def write_token_files(docs: DataFrame, path: str, model: str, *, end: int = 1, d
     def block_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = for_worker("pieces", digest, lambda: PieceEncoder(shared.value))
         shard, n = TaskContext.get().partitionId(), 0
-        held: list[tuple[object, bytes]] = []
-        size = 0
+        held: list[tuple[pa.Array, np.ndarray, np.ndarray]] = []  # keys, ids one after another, ids of each document
 
         def pack() -> pa.RecordBatch:
-            ids = np.frombuffer(b"".join(x for _, x in held), "<u4")
-            tokens = np.array([len(x) // 4 for _, x in held])
+            keys, ids, tokens = (join([part[k] for part in held]) for k, join in enumerate((pa.concat_arrays, np.concatenate, np.concatenate)))
             symbols, ends, lefts, rights, lengths = compress(ids, np.cumsum(tokens), encoder.vocabulary)
             narrow = encoder.vocabulary + len(lefts) <= 1 << 16
-            row = {"shard": shard, "block": n, "n_tokens": len(ids), "base": encoder.vocabulary, "lefts": lefts.tolist(), "rights": rights.tolist(),
-                   "rule_lengths": lengths.tolist(), "symbols": symbols.astype("<u2" if narrow else "<u4").tobytes(), "docs": [i for i, _ in held],
-                   "doc_symbols": np.diff(ends, prepend=0).tolist(), "doc_tokens": tokens.tolist()}
-            return pa.RecordBatch.from_pylist([row], schema=kind)
+            one = {"shard": pa.array([shard], pa.int32()), "block": pa.array([n], pa.int32()), "n_tokens": pa.array([len(ids)], pa.int64()),
+                   "base": pa.array([encoder.vocabulary], pa.int32()), "lefts": _one_list(lefts), "rights": _one_list(rights), "rule_lengths": _one_list(lengths),
+                   "symbols": pa.array([symbols.astype("<u2" if narrow else "<u4").tobytes()], pa.binary()),
+                   "docs": pa.ListArray.from_arrays(pa.array([0, len(keys)], pa.int32()), keys),
+                   "doc_symbols": _one_list(np.diff(ends, prepend=0)), "doc_tokens": _one_list(tokens)}
+            return pa.RecordBatch.from_arrays(list(one.values()), list(one))
 
+        size = 0
         for batch in batches:
-            ints = pa.list_(pa.int32())
-            kind = pa.schema([("shard", pa.int32()), ("block", pa.int32()), ("n_tokens", pa.int64()), ("base", pa.int32()), ("lefts", ints), ("rights", ints),
-                              ("rule_lengths", ints), ("symbols", pa.binary()), ("docs", pa.list_(batch.schema.field("id").type)), ("doc_symbols", ints), ("doc_tokens", ints)])
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                packed = encoder.encode([t or "" for t in part.column("text").to_pylist()], end)
-                for i, x in zip(part.column("id").to_pylist(), packed):
-                    held.append((i, x))
-                    size += len(x) // 4
+            for part in slices(batch):
+                keys = pa.array(part.column("id").to_pylist(), part.column("id").type)  # a slice would hold the texts of its batch
+                ids, tokens = encoder.encode(part.column("text"), end)
+                ends, done, cut = np.cumsum(tokens), 0, 0
+                while done < len(tokens):  # a block is full with the document that reaches its size
+                    stop = min(len(tokens), int(np.searchsorted(ends, cut + block_ids - size)) + 1)
+                    held.append((keys[done:stop], ids[cut:ends[stop - 1]], tokens[done:stop]))
+                    size += int(ends[stop - 1]) - cut
+                    done, cut = stop, int(ends[stop - 1])
                     if size >= block_ids:
                         yield pack()
                         held, size, n = [], 0, n + 1
         if held:
             yield pack()
+        held = []
         encoder.words.rest()
-        encoder.runs.rest()
+        give_back()
 
     dealt.mapInArrow(block_rows, BLOCK.format(id=rows.schema["id"].dataType.simpleString())).write.parquet(path)
 
@@ -219,20 +341,23 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
 
     def documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
-                width = 2 if row["base"] + len(row["lefts"]) <= 1 << 16 else 4
-                symbols = np.frombuffer(row["symbols"], f"<u{width}")
-                ids = expand(symbols, np.array(row["lefts"], np.uint32), np.array(row["rights"], np.uint32), row["base"])
-                tokens = np.array(row["doc_tokens"])
+            for k in range(batch.num_rows):
+                row = {name: batch.column(name)[k] for name in batch.schema.names}
+                lefts, rights, tokens = (row[name].values.to_numpy(zero_copy_only=False) for name in ("lefts", "rights", "doc_tokens"))
+                base, first, keys = row["base"].as_py(), row["start"].as_py(), row["docs"].values
+                width = 2 if base + len(lefts) <= 1 << 16 else 4
+                symbols = np.frombuffer(row["symbols"].as_buffer(), f"<u{width}")
+                ids = expand(symbols, lefts.astype(np.uint32), rights.astype(np.uint32), base)
+                tokens = tokens.astype(np.int64)
                 ends = np.cumsum(tokens)
                 raw = ids.astype("<u4").tobytes()
-                field = batch.schema.field("docs").type.value_type
                 for i in range(0, len(tokens), 512):
                     part = slice(i, i + 512)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(row["docs"][part], field), pa.array(row["start"] + (ends - tokens)[part], pa.int64()), pa.array(tokens[part], pa.int64()),
+                        [keys[part], pa.array(first + (ends - tokens)[part], pa.int64()), pa.array(tokens[part], pa.int64()),
                          pa.array([raw[4 * (e - n):4 * e] for e, n in zip(ends[part].tolist(), tokens[part].tolist())], pa.binary())],
                         ["id", "start", "n_tokens", "ids"])
+        give_back()
 
     used = blocks.select("shard", "block", "base", "lefts", "rights", "symbols", "docs", "doc_tokens")
     return used.join(starts, ["shard", "block"]).mapInArrow(documents, f"id {id_type}, start bigint, n_tokens bigint, ids binary")

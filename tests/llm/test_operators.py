@@ -405,6 +405,37 @@ def test_grammar_is_repeated_to_its_end():
         assert all((rules == 3000 + k).sum() >= 1 for k in range(len(lefts)))
 
 
+def test_grammar_rounds_look_at_what_changed(monkeypatch):
+    rng, seen, count = np.random.default_rng(8), [], token_files.frequent_pairs
+    words = [rng.integers(2, 900, rng.integers(1, 9)) for _ in range(3000)]
+    ids = np.concatenate([words[i] for i in np.minimum(rng.zipf(1.3, 15000), 3000) - 1]).astype("<u4")
+    monkeypatch.setattr(token_files, "frequent_pairs", lambda left, *more: seen.append(len(left)) or count(left, *more))
+    symbols, _, lefts, rights, _ = token_files.compress(ids, np.array([len(ids)]), 900)
+    assert (token_files.expand(symbols, lefts, rights, 900) == ids).all()
+    assert len(seen) > 12 and sum(seen) < 6 * len(ids)
+
+
+def test_words_of_any_script_are_encoded_as_by_the_library():
+    model = public_tokenizers.path("word_bpe_49k.json")
+    with open(model, encoding="utf-8") as f:
+        ours, theirs = token_files.PieceEncoder(f.read()), Tokenizer.from_file(model)
+    rng = random.Random(15)
+    parts = ["Straße", "ΣΟΦΟΣ", "İst", "e\u0301", "é", "ﬁ", "don't", "I'LL", "<|endoftext|>", "<|", "12", "½", "Ⅷ", "_", "a_b", ",", "...", "日本語", "ǅ", "ᾳ", "ᏣᎳᎩ", "\u0600",
+             "\u00a0", "\u2003", "\u2000", "\u3000", "\x1c", "\x85", " ", "  ", "\t", "\n", "\x0b", "\ufeff", "🙂", "ß", "x" * 50, "Ω", "\u212b", "\u0345", "ⓐ", "가", "\u1100\u1161", "\x00", "</w>"]
+    texts = [None, "", " ", *("".join(rng.choice(parts) for _ in range(rng.randint(0, 12))) for _ in range(1500))]
+    for at in range(0, len(texts), 400):
+        ids, sizes = ours.encode(pa.array(texts[at:at + 400], pa.string()), 1)
+        got = np.split(ids, np.cumsum(sizes)[:-1])
+        assert [g.tolist() for g in got] == [theirs.encode(t or "", add_special_tokens=False).ids + [1] for t in texts[at:at + 400]]
+
+
+def test_texts_are_encoded_in_bounded_parts():
+    texts = pa.array([None, "", "a" * 50, "b" * 5, None, *"cdefg", "h" * 30, "i" * 30])
+    parts = [p.column("text").to_pylist() for p in token_files.slices(pa.RecordBatch.from_arrays([texts], ["text"]), rows=4, most=40)]
+    assert sum(parts, []) == texts.to_pylist()
+    assert all(len(p) <= 4 and (len(p) == 1 or sum(len(t or "") for t in p) <= 40) for p in parts)
+
+
 def test_attention_lm(docs, rows, nothing):
     got = {r.doc_id: r for r in attention_lm.score_texts(docs, RANKS, head=50).collect()}
     for k, want in brute.unigram(rows).items():
