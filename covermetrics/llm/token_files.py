@@ -67,9 +67,10 @@ class PieceEncoder:
         bare = json.loads(model) | {"normalizer": None, "added_tokens": [],
                                     "pre_tokenizer": {"type": "Split", "pattern": {"String": " "}, "behavior": "Removed", "invert": False}}
         self.bare, self.letters = Tokenizer.from_str(json.dumps(bare)), Letters(self.tokenizer)
-        suffix = bare["model"]["end_of_word_suffix"]  # on the last token of each word, and on no other
+        suffix = bare["model"].get("end_of_word_suffix")  # on the last token of each word, and on no other
         self.last = np.zeros(self.vocabulary, bool)
-        self.last[[i for token, i in self.bare.get_vocab().items() if token.endswith(suffix)]] = True
+        if suffix and self.tokenizer.normalizer and self.tokenizer.pre_tokenizer:  # else the whole tokenizer encodes all words
+            self.last[[i for token, i in self.bare.get_vocab().items() if token.endswith(suffix)]] = True
         self.words = Remembered()
 
     def encode(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
@@ -110,6 +111,8 @@ class PieceEncoder:
 
     def _encoded(self, letters: list[str], whole: list[str]) -> dict[str, bytes]:
         out = {}
+        if not self.last.any():
+            letters, whole = [], whole + letters
         for at in range(0, len(letters), 1000):
             part = letters[at:at + 1000]
             got = self.bare.encode_batch_fast([" ".join(part).translate(self.letters)], add_special_tokens=False)[0]
