@@ -16,10 +16,10 @@ than a shingle is one shingle. A class is named by its least id (null if it has
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,7 +33,6 @@ BANDS, BAND_ROWS = 20, 4
 SIMILARITY = 0.8
 LIKELY = 0.72  # signature estimate from which a pair is verified
 BLOCK = 512
-TEXTS = 256  # texts signed together
 BEST = 3
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
@@ -62,9 +61,9 @@ def counted(rows: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 def signatures(rows: np.ndarray, hashes: np.ndarray, counts: np.ndarray, n: int, m: int = REGISTERS) -> np.ndarray:
     """m point hashes of each of the n texts; texts without shingles get zeros."""
-    registers = np.zeros((n, m), np.uint64)
+    registers = np.zeros(n * m, np.uint64)
     weight = np.bincount(rows, counts, minlength=n)
-    horizon = np.where(weight > 0, (np.log(m) + 6) / np.maximum(weight, 1), 0.0)
+    horizon = np.where(weight > 0, (np.log(m) + 4) / np.maximum(weight, 1), 0.0)  # a guess: texts with registers left look further
     row, seed, size, limit = [rows], [scramble(hashes)], [np.ones(len(rows))], [counts]
     level = 1
     while (at := np.flatnonzero(counts > 1 << (level - 1))).size:
@@ -74,30 +73,28 @@ def signatures(rows: np.ndarray, hashes: np.ndarray, counts: np.ndarray, n: int,
         limit.append(counts[at] - (1 << (level - 1)))
         level += 1
     row, seed, size, limit = map(np.concatenate, (row, seed, size, limit))
-    left = weight > 0
+    left, best = weight > 0, np.full(n * m, np.inf)
     while left.any():
-        best = np.full(n * m, np.inf)
         at = np.flatnonzero(left[row])
-        r, s, w, c, time = row[at], seed[at].copy(), size[at], limit[at], np.zeros(len(at))
-        points = []
+        r, s, w, c, time = row[at] * m, seed[at], size[at], limit[at], np.zeros(len(at))
+        last, rate = horizon[row[at]], m * w
         while len(r):
             s = scramble(s + GOLDEN)
-            time = time - np.log(((s >> np.uint64(11)).astype(np.float64) + 1) * 2.0**-53) / (m * w)
-            on = time <= horizon[r]
-            r, s, w, c, time = r[on], s[on], w[on], c[on], time[on]
+            time = time - np.log(((s >> np.uint64(11)).astype(np.float64) + 1) * 2.0**-53) / rate
+            on = time <= last
+            if not on.all():
+                r, s, w, c, time, last, rate = (x[on] for x in (r, s, w, c, time, last, rate))
             place = scramble(s ^ np.uint64(0xD6E8FEB86659FD93))
-            slot = r * m + (place % np.uint64(m)).astype(np.int64)
-            inside = (place >> np.uint64(16)) % w.astype(np.uint64) < c.astype(np.uint64)
-            np.minimum.at(best, slot[inside], time[inside])
-            points.append((slot[inside], time[inside], place[inside]))
-        flat = registers.reshape(-1)
-        for slot, time, place in points:
-            first = best[slot] == time
-            flat[slot[first]] = place[first]
-        full = np.isfinite(best.reshape(n, m)).all(1)
-        left &= ~full
-        horizon[left] *= 2
-    return registers
+            slot = r + (place % np.uint64(m)).astype(np.int64)
+            inside = (place >> np.uint64(16)) & (w.astype(np.uint64) - np.uint64(1)) < c.astype(np.uint64)  # sizes are powers of two
+            inside &= time <= best[slot]
+            slot, found, place = slot[inside], time[inside], place[inside]
+            np.minimum.at(best, slot, found)
+            first = best[slot] == found
+            registers[slot[first]] = place[first]
+        left &= ~np.isfinite(best.reshape(n, m)).all(1)
+        horizon[left] *= 1.5
+    return registers.reshape(n, m)
 
 
 def bands(registers: np.ndarray) -> np.ndarray:
@@ -111,24 +108,31 @@ def bands(registers: np.ndarray) -> np.ndarray:
 SIGNATURE = "struct<n:bigint,bands:array<bigint>,marks:binary>"
 
 
+def signed(column: pa.Array, rolling: Rolling) -> pa.StructArray:
+    """Number of shingles, band hashes and one byte of each register, of each text."""
+    n_all, bands_all, marks_all = [np.zeros(0, np.int64)], [np.zeros((0, BANDS), np.int64)], []
+    # A short text has as many points as a long one, but one after another: texts of a length go together.
+    order = np.argsort(pc.binary_length(column).fill_null(0).to_numpy(), kind="stable")
+    for data, offsets in block_arrays(column.take(pa.array(order)), 1 << 19):
+        n = len(offsets) - 1
+        rows, hashes, counts = counted(*shingles(data, offsets, rolling))
+        registers = signatures(rows, hashes, counts, n)
+        n_all.append(np.bincount(rows, counts, minlength=n).astype(np.int64))
+        bands_all.append(bands(registers))
+        marks = (registers >> np.uint64(40)).astype(np.uint8).tobytes()
+        marks_all += [marks[i * REGISTERS:(i + 1) * REGISTERS] for i in range(n)]
+    flat = np.concatenate(bands_all).ravel()
+    lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, BANDS), pa.int32()), pa.array(flat))
+    found = pa.StructArray.from_arrays([pa.array(np.concatenate(n_all)), lists, pa.array(marks_all, pa.binary())], ["n", "bands", "marks"])
+    return found.take(pa.array(np.argsort(order)))
+
+
 def signature(text: Column) -> Column:
-    """Number of shingles, band hashes and one byte of each register."""
+    """`signed` of the text."""
     def measure(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         rolling = Rolling()
         for column in batches:
-            n_all, bands_all, marks_all = [], [], []
-            # Points grow with the number of texts as well as with their length.
-            for data, offsets in chain.from_iterable(block_arrays(column.slice(at, TEXTS), 1 << 19) for at in range(0, len(column), TEXTS)):
-                n = len(offsets) - 1
-                rows, hashes, counts = counted(*shingles(data, offsets, rolling))
-                registers = signatures(rows, hashes, counts, n)
-                n_all.append(np.bincount(rows, counts, minlength=n).astype(np.int64))
-                bands_all.append(bands(registers))
-                marks = (registers >> np.uint64(40)).astype(np.uint8).tobytes()
-                marks_all += [marks[i * REGISTERS:(i + 1) * REGISTERS] for i in range(n)]
-            flat = np.concatenate(bands_all).ravel() if bands_all else np.zeros(0, np.int64)
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, BANDS), pa.int32()), pa.array(flat))
-            yield pa.StructArray.from_arrays([pa.array(np.concatenate(n_all) if n_all else [], pa.int64()), lists, pa.array(marks_all, pa.binary())], ["n", "bands", "marks"])
+            yield signed(column, rolling)
     return F.arrow_udf(lean(measure), SIGNATURE)(text)
 
 

@@ -20,6 +20,7 @@ import brute  # noqa: E402
 from covermetrics.llm import (  # noqa: E402
     attention_lm, bag_minhash, byte_bpe, compression, decontamination, line_chunks, line_crf, personal_data, substring_dedup, token_files)
 from covermetrics.llm.rows import Remembered, lean  # noqa: E402
+from covermetrics.llm.buffers import Rolling  # noqa: E402
 from covermetrics.llm.automaton import SuffixAutomaton  # noqa: E402
 from covermetrics.session import scratch_path  # noqa: E402
 
@@ -229,6 +230,16 @@ def test_near_duplicates_edges(nothing, odd):
     assert sorted(str(r.doc_id) for r in bag_minhash.keep_one(odd).collect()) == ["7", "8", "None"]
 
 
+def test_bag_signatures_take_texts_of_a_length_together(monkeypatch):
+    texts = [" ".join(f"w{i}x{k}" for k in range(2 if i % 50 == 0 else 200)) for i in range(1000)] + [None, ""]
+    alone = [bag_minhash.signed(pa.array([t], pa.string()), Rolling())[0].as_py() for t in texts[:4] + texts[50:52] + texts[-2:]]
+    steps, scramble = [], bag_minhash.scramble
+    monkeypatch.setattr(bag_minhash, "scramble", lambda x: steps.append(len(x)) or scramble(x))
+    got = bag_minhash.signed(pa.array(texts, pa.string()), Rolling()).to_pylist()
+    assert got[:4] + got[50:52] + got[-2:] == alone and got[-1]["n"] == 0 and got[0]["n"] == 1
+    assert len(steps) < 15_000  # short texts in each of four or more groups would take some 6,000 steps a group
+
+
 def test_bag_signatures_estimate_weighted_overlap():
     rng = np.random.default_rng(5)
     hashes = rng.integers(1, 1 << 62, 300).astype(np.uint64)
