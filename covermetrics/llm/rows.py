@@ -8,7 +8,9 @@ from collections.abc import Iterator
 from sys import getsizeof
 from types import ModuleType
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -83,3 +85,32 @@ class Remembered:
     def rest(self) -> None:
         """For the end of a task: a worker that waits keeps one generation."""
         self.older = {}
+
+
+class Known:
+    """Results of the strings seen last, in two Arrow arrays: a string takes its own bytes, not those of a Python object.
+
+    When they exceed `most` bytes, only the strings of that call stay, and what it learns.
+    """
+
+    def __init__(self, most: int = 16 << 20):
+        self.most = most
+        self.keys, self.results = pa.array([], pa.large_string()), pa.array([], pa.large_binary())
+
+    def look_up(self, keys: pa.Array, make) -> pa.Array:
+        """The results of distinct strings. `make` gives the unseen ones, in any order, with their results."""
+        keys = keys.cast(pa.large_string())
+        found = pc.index_in(keys, self.keys)
+        if not found.null_count:
+            return self.results.take(found)
+        unseen = pc.is_null(found)
+        new = keys.filter(unseen)
+        more, made = make(new)
+        at, unseen = found.fill_null(0).to_numpy().astype(np.int64), unseen.to_numpy(zero_copy_only=False)
+        if self.keys.nbytes + self.results.nbytes > self.most:
+            here = pa.array(at[~unseen])
+            self.keys, self.results = self.keys.take(here), self.results.take(here)
+            at[~unseen] = np.arange(len(here))
+        at[unseen] = len(self.keys) + pc.index_in(new, more).to_numpy()
+        self.keys, self.results = pa.concat_arrays([self.keys, more]), pa.concat_arrays([self.results, made])
+        return self.results.take(pa.array(at))

@@ -24,13 +24,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from covermetrics.llm.rows import Remembered, for_worker, give_back
+from covermetrics.llm.rows import Known, for_worker, give_back
 
 BLOCK_IDS = 1 << 18
 LEAST_COUNT = 4  # a rule takes three numbers, so fewer uses would not pay
+SPACE = pa.scalar(" ", pa.large_string())
 RUN = re.compile(r"[^\W\d_]+|(?:(?! )[\W\d_])+| ")
-NO_ID = 0xFFFFFFFF
-GAP = np.array([NO_ID], "<u4").tobytes()
 JOINED = re.compile("'|<[|]|İ")  # İ lower-cases to a letter and a mark
 ROWS, BYTES = 2048, 8 << 20  # texts that are encoded at once
 BLOCK = ("shard int, block int, n_tokens bigint, base int, lefts array<int>, rights array<int>, rule_lengths array<int>, "
@@ -71,61 +70,78 @@ class PieceEncoder:
         self.last = np.zeros(self.vocabulary, bool)
         if suffix and self.tokenizer.normalizer and self.tokenizer.pre_tokenizer:  # else the whole tokenizer encodes all words
             self.last[[i for token, i in self.bare.get_vocab().items() if token.endswith(suffix)]] = True
-        self.words = Remembered()
+        self.words, self.runs = Known(), Known()
 
     def encode(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts one after another, each text's closed by `end`; how many each text has. Null counts as empty."""
         split = pc.ascii_split_whitespace(texts.fill_null(""))
         words = split.flatten().dictionary_encode()
-        distinct = words.dictionary.to_numpy(zero_copy_only=False).tolist()
-        self._learn(self.words.unseen(set(distinct)))
-        table = pa.array(list(map(self.words.now.__getitem__, distinct)), pa.large_binary())
-        packed = table.take(words.indices)
-        at = np.zeros(1, np.int64)
-        raw = np.zeros(0, "<u4")
-        if len(packed):
-            at = np.frombuffer(packed.buffers()[1], np.int64, len(packed) + 1, 8 * packed.offset) // 4
-            if at[-1] > at[0]:
-                raw = np.frombuffer(packed.buffers()[2], "<u4")[at[0]:at[-1]]
+        packed = self.words.look_up(words.dictionary, self._spelled).take(words.indices)
+        raw, at = unpacked(packed)
         offsets = split.offsets.to_numpy()
-        bounds = at[offsets - offsets[0]] - at[0]
+        bounds = at[offsets - offsets[0]]
         return np.insert(raw, bounds[1:], end), np.diff(bounds) + 1
 
-    def _learn(self, new: set[str]) -> None:
-        plain = [w for w in new if w.isascii() or (is_normalized("NFC", w) and "İ" not in w)]
-        whole = [*new.difference(plain)] if len(plain) < len(new) else []
-        letters = [w for w in plain if w.isalpha()]
-        others = [w for w in plain if not w.isalpha()]
-        mixed = [w for w in others if not JOINED.search(w)]
-        if len(mixed) < len(others):
-            whole += set(others).difference(mixed)
-        parts = RUN.findall(" ".join(mixed))  # one flat list: many small ones would wake the garbage collector, which looks at all kept words
-        runs = self.words.unseen({*parts}.difference(letters, " "), fresh=False)
-        self.words.learn(self._encoded(letters + [r for r in runs if r.isalpha()], whole + [r for r in runs if not r.isalpha()]))
-        if mixed:
-            now = self.words.now
-            ids = np.frombuffer(b"".join([now[r] if r != " " else GAP for r in parts]), "<u4")
-            gaps = np.flatnonzero(ids == NO_ID)
-            raw, ends = ids[ids != NO_ID].tobytes(), [*(4 * (gaps - np.arange(len(gaps)))).tolist(), 4 * (len(ids) - len(gaps))]
-            self.words.learn(dict(zip(mixed, [raw[a:b] for a, b in zip([0, *ends], ends)])))
-
-    def _encoded(self, letters: list[str], whole: list[str]) -> dict[str, bytes]:
-        out = {}
+    def _spelled(self, new: pa.Array) -> tuple[pa.Array, pa.Array]:
+        """The words, and their ids."""
+        simple = pc.and_(pc.string_is_ascii(new), pc.ascii_is_alpha(new))
+        letters, mixed, whole = [], [], []
+        for w in new.filter(pc.invert(simple)).to_pylist():
+            if not (w.isascii() or (is_normalized("NFC", w) and "İ" not in w)):
+                whole.append(w)
+            elif w.isalpha():
+                letters.append(w)
+            else:
+                (whole if JOINED.search(w) else mixed).append(w)
+        letters = pa.concat_arrays([new.filter(simple), pa.array(letters, pa.large_string())])
+        parts = pa.concat_arrays([letters, pa.array(RUN.findall(" ".join(mixed)), pa.large_string())]).dictionary_encode()
+        ids = self.runs.look_up(parts.dictionary, self._encoded).take(parts.indices)
+        raw, at = unpacked(ids.slice(len(letters)))
+        gaps = np.flatnonzero(pc.equal(parts.dictionary, " ").take(parts.indices.slice(len(letters))).to_numpy(zero_copy_only=False))
+        ends = at[[0, *gaps.tolist(), len(at) - 1]] if mixed else at[:1]
+        words = pa.concat_arrays([letters, pa.array(mixed + whole, pa.large_string())])
+        return words, pa.concat_arrays([ids.slice(0, len(letters)), binaries(raw, ends), self._whole(whole)])
+
+    def _encoded(self, new: pa.Array) -> tuple[pa.Array, pa.Array]:
+        """The runs, and their ids. A space has none."""
+        simple = pc.and_(pc.string_is_ascii(new), pc.ascii_is_alpha(new))
+        letters, whole = [], []
+        for run in new.filter(pc.invert(simple)).to_pylist():
+            if run != " ":
+                (letters if run.isalpha() else whole).append(run)
+        letters = pa.concat_arrays([new.filter(simple), pa.array(letters, pa.large_string())])
+        keys, out = [pa.array([SPACE])], [binaries(np.zeros(0, "<u4"), np.zeros(2, np.int64))]
         if not self.last.any():
-            letters, whole = [], whole + letters
+            letters, whole = letters[:0], whole + letters.to_pylist()
         for at in range(0, len(letters), 1000):
-            part = letters[at:at + 1000]
-            got = self.bare.encode_batch_fast([" ".join(part).translate(self.letters)], add_special_tokens=False)[0]
-            ids = np.array(got.ids, "<u4")
-            ends = (4 * (np.flatnonzero(self.last[ids]) + 1)).tolist()
+            part = letters.slice(at, 1000)
+            line = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(part)], pa.int32()), part), SPACE)[0].as_py()
+            ids = np.array(self.bare.encode_batch_fast([line.translate(self.letters)], add_special_tokens=False)[0].ids, "<u4")
+            ends = np.flatnonzero(self.last[ids]) + 1
             if len(ends) == len(part):
-                raw = ids.tobytes()
-                out.update(zip(part, [raw[a:b] for a, b in zip([0, *ends], ends)]))
+                keys.append(part)
+                out.append(binaries(ids, np.append(0, ends)))
             else:
-                whole += part
-        for word, got in zip(whole, self.tokenizer.encode_batch_fast(whole, add_special_tokens=False) if whole else ()):
-            out[word] = np.array(got.ids, "<u4").tobytes()
-        return out
+                whole += part.to_pylist()
+        return pa.concat_arrays([*keys, pa.array(whole, pa.large_string())]), pa.concat_arrays([*out, self._whole(whole)])
+
+    def _whole(self, words: list[str]) -> pa.Array:
+        got = self.tokenizer.encode_batch_fast(words, add_special_tokens=False) if words else ()
+        return pa.array([np.array(g.ids, "<u4").tobytes() for g in got], pa.large_binary())
+
+
+def binaries(ids: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """The ids between each two ends, packed."""
+    return pa.Array.from_buffers(pa.large_binary(), len(ends) - 1, [None, pa.py_buffer((4 * ends).astype(np.int64)), pa.py_buffer(ids)])
+
+
+def unpacked(packed: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All ids one after another; where those of each row begin, and the end."""
+    if not len(packed):
+        return np.zeros(0, "<u4"), np.zeros(1, np.int64)
+    at = np.frombuffer(packed.buffers()[1], np.int64, len(packed) + 1, 8 * packed.offset) // 4
+    raw = np.frombuffer(packed.buffers()[2], "<u4")[at[0]:at[-1]] if at[-1] > at[0] else np.zeros(0, "<u4")
+    return raw, at - at[0]
 
 
 def sorted_pairs(left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -140,15 +156,21 @@ def sorted_pairs(left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.nd
     return keys[order], order
 
 
-def frequent_pairs(left: np.ndarray, right: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, int]:
+def bucket_sizes(left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The hash bucket of each pair, and how many pairs are in each bucket."""
+    bucket = (left * np.uint32(0x9E3779B1) ^ right * np.uint32(0x85EBCA6B)) >> np.uint32(14)
+    return bucket, np.bincount(bucket, minlength=1 << 18)
+
+
+def frequent_pairs(left: np.ndarray, right: np.ndarray, least: int, buckets: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray, int]:
     """Where the pairs stand that occur `least` times or more, which of them is there (in the order of the pairs), and how many they are.
 
     Many pairs are counted by hash bucket first; only those in full buckets are counted exactly.
     """
     among = None
     if len(left) > 1 << 14:
-        bucket = (left * np.uint32(0x9E3779B1) ^ right * np.uint32(0x85EBCA6B)) >> np.uint32(14)
-        among = np.flatnonzero((np.bincount(bucket, minlength=1 << 18) >= least)[bucket])
+        bucket, sizes = buckets or bucket_sizes(left, right)
+        among = np.flatnonzero((sizes >= least)[bucket])
         left, right = left[among], right[among]
     if len(left) < least:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), 0
@@ -193,6 +215,15 @@ def replaceable(at: np.ndarray, following: np.ndarray, slot: np.ndarray, n: int,
     return taken[used[slot[taken]]], used
 
 
+def linked(n: int, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The place after and before each of n places (-1 beyond a row), that all are kept, and where a pair stands."""
+    following, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+    last = ends[ends > 0] - 1
+    following[last] = -1
+    before[last[last + 1 < n] + 1] = -1
+    return following, before, np.ones(n, bool), following >= 0
+
+
 def compress(ids: np.ndarray, row_ends: np.ndarray, base: int, least: int = LEAST_COUNT) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """symbols, row ends in symbols, left and right part of each rule, ids a rule expands to. No symbol crosses a row's end.
 
@@ -200,23 +231,25 @@ def compress(ids: np.ndarray, row_ends: np.ndarray, base: int, least: int = LEAS
     `least`, rounds go on until no pair can be replaced so often. A pair of older symbols never becomes more frequent, so a
     round after a replacement counts only the pairs that hold a new symbol and the frequent ones left over.
     """
-    x, ends, n = ids.astype(np.uint32), row_ends.astype(np.int64), len(ids)
-    following, before, kept = np.arange(1, n + 1), np.arange(-1, n - 1), np.ones(n, bool)
-    last = ends[ends > 0] - 1
-    following[last] = -1
-    before[last[last + 1 < n] + 1] = -1
+    x, ends, level = ids.astype(np.uint32), row_ends.astype(np.int64), max(least, len(ids) // 64)
     lefts, rights, lengths = [np.zeros(0, np.uint32)], [np.zeros(0, np.uint32)], np.ones(base, np.int64)
-    level = max(least, n // 64)
-    places = np.flatnonzero(following >= 0)
+    following, before, kept, paired = linked(len(x), ends)
+    places, whole = np.flatnonzero(paired), True
     while True:
-        found, slot, pairs = frequent_pairs(x[places], x[following[places]], level)
+        left, right = x[places], x[following[places]]
+        buckets = bucket_sizes(left, right) if len(places) > 1 << 14 else None
+        while whole and buckets and level > least and buckets[1].max() < level:  # no pair of all is left over that level
+            level = max(least, level // 8)
+        found, slot, pairs = frequent_pairs(left, right, level, buckets)
         at = places[found]
         chosen, used = replaceable(at, following[at], slot, pairs, least)
         if not len(chosen):
             if level == least:
                 break
             level = max(least, level // 8)
-            places = np.flatnonzero(kept & (following >= 0))
+            x, ends = x[kept], np.append(0, np.cumsum(kept))[ends]
+            following, before, kept, paired = linked(len(x), ends)
+            places, whole = np.flatnonzero(paired), True
             continue
         here, number = at[chosen], (np.cumsum(used) - 1)[slot[chosen]]
         gone = following[here]
@@ -227,12 +260,12 @@ def compress(ids: np.ndarray, row_ends: np.ndarray, base: int, least: int = LEAS
         rights.append(new_right)
         lengths = np.append(lengths, lengths[new_left] + lengths[new_right])
         behind = following[gone]
-        following[here], kept[gone] = behind, False
+        following[here], kept[gone], paired[gone] = behind, False, False
         inside = behind >= 0
-        before[behind[inside]] = here[inside]
-        places = np.sort(np.concatenate([at, here, before[here]]))
-        places = places[np.append(True, places[1:] != places[:-1])]
-        places = places[(places >= 0) & kept[places] & (following[places] >= 0)]
+        paired[here], before[behind[inside]] = inside, here[inside]
+        again, whole = np.zeros(len(x), bool), False
+        again[at] = again[here] = again[before[here]] = True  # without a place before, the last one, where no pair stands
+        places = np.flatnonzero(again & paired)
     return x[kept], np.append(0, np.cumsum(kept))[ends], np.concatenate(lefts), np.concatenate(rights), lengths[base:]
 
 
@@ -326,7 +359,6 @@ def write_token_files(docs: DataFrame, path: str, model: str, *, end: int = 1, d
         if held:
             yield pack()
         held = []
-        encoder.words.rest()
         give_back()
 
     dealt.mapInArrow(block_rows, BLOCK.format(id=rows.schema["id"].dataType.simpleString())).write.parquet(path)

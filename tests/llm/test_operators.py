@@ -8,6 +8,7 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 import tiktoken
 from pyspark import cloudpickle
@@ -19,7 +20,7 @@ import brute  # noqa: E402
 
 from covermetrics.llm import (  # noqa: E402
     attention_lm, bag_minhash, byte_bpe, compression, decontamination, line_chunks, line_crf, personal_data, substring_dedup, token_files)
-from covermetrics.llm.rows import Remembered, lean  # noqa: E402
+from covermetrics.llm.rows import Known, Remembered, lean  # noqa: E402
 from covermetrics.llm.buffers import Rolling  # noqa: E402
 from covermetrics.llm.automaton import SuffixAutomaton  # noqa: E402
 from covermetrics.session import scratch_path  # noqa: E402
@@ -301,6 +302,22 @@ def test_remembered_results_are_bounded_by_bytes():
         assert sum(map(len, kept.now)) < 20_000 + 9 * 1500 and sum(map(len, kept.older)) < 20_000 + 9 * 1500
 
 
+def test_known_results_take_their_own_bytes():
+    kept, rng, asked = Known(most=20_000), random.Random(5), []
+
+    def make(new):
+        asked.append(len(new))
+        return new[::-1], pa.array([f"{w}-{w}".encode() for w in new[::-1].to_pylist()], pa.large_binary())
+    for n in [*range(300), 0]:
+        words = [str(k) * rng.choice((1, 1, 500)) for k in rng.sample(range(400), 9)] if n else []
+        assert kept.look_up(pa.array(words, pa.string()), make).to_pylist() == [f"{w}-{w}".encode() for w in words]
+        assert kept.keys.nbytes + kept.results.nbytes < 20_000 + 2 * 9 * 4500
+    assert sum(asked) < 300 * 9
+    many = Known()
+    many.look_up(pa.array([f"word{k}" for k in range(10_000)]), make)
+    assert sum(b.size for a in (many.keys, many.results) for b in a.buffers() if b) < 10_000 * 60  # two Python objects and their place took 200
+
+
 def test_tree_joins_equal_one_pass():
     theirs, rng = encoding(), random.Random(6)
     ours = byte_bpe.Encoder(byte_bpe.load_ranks(RANKS), public_tokenizers.PATTERN, leaf_chars=5, leaf_bytes=3)
