@@ -14,6 +14,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from covermetrics.llm.buffers import scramble, text_bytes
 from covermetrics.session import scratch_path
 
 
@@ -90,27 +91,49 @@ class Remembered:
 class Known:
     """Results of the strings seen last, in two Arrow arrays: a string takes its own bytes, not those of a Python object.
 
-    When they exceed `most` bytes, only the strings of that call stay, and what it learns.
+    A table of `SLOTS` places names the last string of each place, which is compared with the one looked up; one that has
+    lost its place is made again. When the arrays exceed `most` bytes, only the strings of that call stay, and what it learns.
     """
 
-    def __init__(self, most: int = 16 << 20):
+    SLOTS = 20  # bits
+
+    def __init__(self, most: int = 24 << 20):
         self.most = most
         self.keys, self.results = pa.array([], pa.large_string()), pa.array([], pa.large_binary())
+        self.places = np.full(1 << self.SLOTS, -1, np.int32)
 
     def look_up(self, keys: pa.Array, make) -> pa.Array:
         """The results of distinct strings. `make` gives the unseen ones, in any order, with their results."""
         keys = keys.cast(pa.large_string())
-        found = pc.index_in(keys, self.keys)
-        if not found.null_count:
-            return self.results.take(found)
-        unseen = pc.is_null(found)
-        new = keys.filter(unseen)
+        slot = slots(keys, self.SLOTS)
+        at = self.places[slot].astype(np.int64)
+        known = at >= 0
+        if known.any():
+            known &= pc.equal(keys, self.keys.take(pa.array(np.maximum(at, 0)))).to_numpy(zero_copy_only=False)
+        if known.all():
+            return self.results.take(pa.array(at))
+        new = keys.filter(pa.array(~known))
         more, made = make(new)
-        at, unseen = found.fill_null(0).to_numpy().astype(np.int64), unseen.to_numpy(zero_copy_only=False)
         if self.keys.nbytes + self.results.nbytes > self.most:
-            here = pa.array(at[~unseen])
+            here = pa.array(at[known])
             self.keys, self.results = self.keys.take(here), self.results.take(here)
-            at[~unseen] = np.arange(len(here))
-        at[unseen] = len(self.keys) + pc.index_in(new, more).to_numpy()
+            at[known] = np.arange(len(here))
+            self.places[:] = -1
+            self.places[slot[known]] = at[known]
+        at[~known] = len(self.keys) + pc.index_in(new, more).to_numpy()
+        self.places[slot[~known]] = at[~known]
         self.keys, self.results = pa.concat_arrays([self.keys, more]), pa.concat_arrays([self.results, made])
         return self.results.take(pa.array(at))
+
+
+LEADING = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+
+
+def slots(strings: pa.Array, bits: int) -> np.ndarray:
+    """A number of `bits` bits for each string, from its length and its first and last eight bytes."""
+    raw, at = text_bytes(strings)
+    eight = np.ndarray(len(raw) + 1, "<u8", np.append(raw, np.zeros(8, np.uint8)), 0, (1,))  # from each byte on
+    size = np.diff(at)
+    leading = LEADING[np.minimum(size, 8)]
+    first, last = eight[at[:-1]] & leading, eight[np.maximum(at[1:] - 8, at[:-1])] & leading
+    return (scramble(first * np.uint64(0x9E3779B97F4A7C15) ^ last + size.astype(np.uint64)) >> np.uint64(64 - bits)).astype(np.int64)

@@ -84,22 +84,24 @@ class PieceEncoder:
 
     def _spelled(self, new: pa.Array) -> tuple[pa.Array, pa.Array]:
         """The words, and their ids."""
-        simple = pc.and_(pc.string_is_ascii(new), pc.ascii_is_alpha(new))
+        ascii_only = pc.string_is_ascii(new)
+        simple = pc.and_(ascii_only, pc.ascii_is_alpha(new))
+        split = pc.and_not(ascii_only, pc.or_(simple, pc.or_(pc.match_substring(new, "'"), pc.match_substring(new, "<|"))))
         letters, mixed, whole = [], [], []
-        for w in new.filter(pc.invert(simple)).to_pylist():
+        for w in new.filter(pc.invert(pc.or_(simple, split))).to_pylist():
             if not (w.isascii() or (is_normalized("NFC", w) and "İ" not in w)):
                 whole.append(w)
             elif w.isalpha():
                 letters.append(w)
             else:
                 (whole if JOINED.search(w) else mixed).append(w)
-        letters = pa.concat_arrays([new.filter(simple), pa.array(letters, pa.large_string())])
-        parts = pa.concat_arrays([letters, pa.array(RUN.findall(" ".join(mixed)), pa.large_string())]).dictionary_encode()
+        letters, mixed = (pa.concat_arrays([new.filter(easy), pa.array(w, pa.large_string())]) for easy, w in ((simple, letters), (split, mixed)))
+        parts = pa.concat_arrays([letters, pa.array(RUN.findall(joined(mixed)), pa.large_string())]).dictionary_encode()
         ids = self.runs.look_up(parts.dictionary, self._encoded).take(parts.indices)
         raw, at = unpacked(ids.slice(len(letters)))
         gaps = np.flatnonzero(pc.equal(parts.dictionary, " ").take(parts.indices.slice(len(letters))).to_numpy(zero_copy_only=False))
-        ends = at[[0, *gaps.tolist(), len(at) - 1]] if mixed else at[:1]
-        words = pa.concat_arrays([letters, pa.array(mixed + whole, pa.large_string())])
+        ends = at[[0, *gaps.tolist(), len(at) - 1]] if len(mixed) else at[:1]
+        words = pa.concat_arrays([letters, mixed, pa.array(whole, pa.large_string())])
         return words, pa.concat_arrays([ids.slice(0, len(letters)), binaries(raw, ends), self._whole(whole)])
 
     def _encoded(self, new: pa.Array) -> tuple[pa.Array, pa.Array]:
@@ -115,8 +117,7 @@ class PieceEncoder:
             letters, whole = letters[:0], whole + letters.to_pylist()
         for at in range(0, len(letters), 1000):
             part = letters.slice(at, 1000)
-            line = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(part)], pa.int32()), part), SPACE)[0].as_py()
-            ids = np.array(self.bare.encode_batch_fast([line.translate(self.letters)], add_special_tokens=False)[0].ids, "<u4")
+            ids = np.array(self.bare.encode_batch_fast([joined(part).translate(self.letters)], add_special_tokens=False)[0].ids, "<u4")
             ends = np.flatnonzero(self.last[ids]) + 1
             if len(ends) == len(part):
                 keys.append(part)
@@ -130,6 +131,11 @@ class PieceEncoder:
         return pa.array([np.array(g.ids, "<u4").tobytes() for g in got], pa.large_binary())
 
 
+def joined(words: pa.Array) -> str:
+    """The words with a space between them."""
+    return pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words), SPACE)[0].as_py()
+
+
 def binaries(ids: np.ndarray, ends: np.ndarray) -> pa.Array:
     """The ids between each two ends, packed."""
     return pa.Array.from_buffers(pa.large_binary(), len(ends) - 1, [None, pa.py_buffer((4 * ends).astype(np.int64)), pa.py_buffer(ids)])

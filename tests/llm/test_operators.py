@@ -302,7 +302,9 @@ def test_remembered_results_are_bounded_by_bytes():
         assert sum(map(len, kept.now)) < 20_000 + 9 * 1500 and sum(map(len, kept.older)) < 20_000 + 9 * 1500
 
 
-def test_known_results_take_their_own_bytes():
+@pytest.mark.parametrize("bits", [3, 20])  # strings lose their places to others, or seldom do
+def test_known_results_take_their_own_bytes(monkeypatch, bits):
+    monkeypatch.setattr(Known, "SLOTS", bits)
     kept, rng, asked = Known(most=20_000), random.Random(5), []
 
     def make(new):
@@ -313,6 +315,9 @@ def test_known_results_take_their_own_bytes():
         assert kept.look_up(pa.array(words, pa.string()), make).to_pylist() == [f"{w}-{w}".encode() for w in words]
         assert kept.keys.nbytes + kept.results.nbytes < 20_000 + 2 * 9 * 4500
     assert sum(asked) < 300 * 9
+    alike = [f"{'a' * 8}{k}{'b' * 8}" for k in range(10, 60)]  # same length, first and last eight bytes
+    for _ in range(2):
+        assert kept.look_up(pa.array(alike), make).to_pylist() == [f"{w}-{w}".encode() for w in alike]
     many = Known()
     many.look_up(pa.array([f"word{k}" for k in range(10_000)]), make)
     assert sum(b.size for a in (many.keys, many.results) for b in a.buffers() if b) < 10_000 * 60  # two Python objects and their place took 200
