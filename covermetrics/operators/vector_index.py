@@ -11,11 +11,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from covermetrics.operators.relational import top_k_per_group
+from covermetrics.session import staged
 
 SAMPLE = 4096  # vectors that the centroids are fitted on
 MOST_CELLS = 1024  # centroids that travel to every task
-BLOCK = 4096  # rows, and queries, that are scored together
-VISITS = 65_536  # rows of queries and cells that a task makes at once; each carries a vector
+BLOCK = 4096  # rows, and queries, that meet in a group
+ASKED = 256  # queries of a group that are scored at once
+VISITS = 65_536  # pairs of queries and cells that a task looks at together
 NO_DIRECTION = -1  # cell of zero vectors, which have a cosine of 0 with everything
 SLACK = 2e-6  # scores are rounded to six digits
 C = F.col
@@ -44,14 +46,31 @@ def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum((a * a).sum(1)[:, None] + (b * b).sum(1) - 2 * (a @ b.T), 0))
 
 
+def districts(centres: np.ndarray, sizes: np.ndarray, most: int) -> np.ndarray:
+    """A district for each cell: cells are halved along their widest axis until a part holds ``most`` rows or is one cell."""
+    out, n, left = np.zeros(len(sizes), np.int64), 0, [np.arange(len(sizes))]
+    while left:
+        own = left.pop()
+        if len(own) == 1 or sizes[own].sum() <= most:
+            out[own] = n
+            n += 1
+            continue
+        own = own[np.argsort(centres[own, np.ptp(centres[own], axis=0).argmax()], kind="stable")]
+        upto = np.cumsum(sizes[own])
+        cut = min(max(int(np.searchsorted(upto, upto[-1] / 2)), 1), len(own) - 1)
+        left += [own[:cut], own[cut:]]
+    return out
+
+
 @dataclass(frozen=True)
 class VectorIndex:
     """Unit vectors dealt to the cells of their nearest centroid, stored by cell, with each cell's size and radius.
 
     Cosine order is distance order on unit vectors. A query first scores its nearest cells that hold k rows; the k-th score found
     bounds the distance of anything better, and the triangle inequality rules out every cell whose centroid is further
-    than that bound and the cell's radius. The other cells are scored too, so the result is exact. Centroids are
-    fitted on a bounded sample, which moves work and never results. NULL vectors take no part.
+    than that bound and the cell's radius. All other cells are scored, so the result is exact. Centroids are
+    fitted on a bounded sample, which moves work and never results. NULL vectors take no part. Queries travel to cells in
+    blocks of neighbours and cells to blocks in districts, so that a vector is copied once for each block, not for each cell.
     """
 
     root: str
@@ -110,13 +129,15 @@ class VectorIndex:
         cells, centres, sizes, radii = self._cells(spark)
         q = queries.select(qkey, qvector).filter(C(qvector).isNotNull())
         qtypes = f"{qkey} {q.schema[qkey].dataType.simpleString()}, {qvector} {q.schema[qvector].dataType.simpleString()}"
+        visited = f"{qkey} {q.schema[qkey].dataType.simpleString()}, cell int, n bigint"
         if not len(cells):
             qtype = q.schema[qkey].dataType.simpleString()
             return (spark.createDataFrame([], f"{qkey} {qtype}, {self.key} bigint, score double, rank int"),
-                    spark.createDataFrame([], f"{qkey} {qtype}, cell int, n bigint"))
+                    spark.createDataFrame([], visited))
         always = cells == NO_DIRECTION
+        home = districts(centres, sizes, BLOCK)
 
-        def first_cells(m: np.ndarray) -> np.ndarray:
+        def first_cells(m: np.ndarray, _: pd.DataFrame) -> np.ndarray:
             """For each query its nearest cells that hold k rows, as a mask."""
             order = np.argsort(np.where(always, np.inf, distances(m, centres)), axis=1, kind="stable")
             before = np.cumsum(np.where(always, 0, sizes)[order], axis=1) - np.where(always, 0, sizes)[order]
@@ -124,9 +145,10 @@ class VectorIndex:
             np.put_along_axis(mask, order, before < k, axis=1)
             return mask | always
 
-        def emit(pdf: pd.DataFrame, mask: np.ndarray) -> pd.DataFrame:
-            i, j = np.nonzero(mask)
-            return pdf[[qkey, qvector]].iloc[i].assign(cell=cells[j].astype(np.int32), n=sizes[j].astype(np.int64))
+        def within_reach(m: np.ndarray, pdf: pd.DataFrame) -> np.ndarray:
+            """The cells that may hold a row as near as the k-th found so far: those of the rows found are among them."""
+            reach = np.sqrt(np.maximum(2 - 2 * (pdf["kth"].to_numpy(np.float64) - SLACK), 0)) + 1e-9
+            return (distances(m, centres) - radii <= reach[:, None]) | always
 
         def few(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             """A query may visit every cell, so a batch is taken in parts."""
@@ -134,45 +156,98 @@ class VectorIndex:
             for pdf in batches:
                 yield from (pdf.iloc[i:i + step] for i in range(0, len(pdf), step))
 
+        def emit(pdf: pd.DataFrame, mask: np.ndarray) -> pd.DataFrame:
+            i, j = np.nonzero(mask)
+            return pdf[[qkey]].iloc[i].assign(cell=cells[j].astype(np.int32), n=sizes[j].astype(np.int64))
+
         def near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for pdf in few(batches):
-                yield emit(pdf, first_cells(matrix(pdf[qvector])))
+                yield emit(pdf, first_cells(matrix(pdf[qvector]), pdf))
 
         def rest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for pdf in few(batches):
                 m = matrix(pdf[qvector])
-                reach = np.sqrt(np.maximum(2 - 2 * (pdf["kth"].to_numpy(np.float64) - SLACK), 0)) + 1e-9
-                yield emit(pdf, (distances(m, centres) - radii <= reach[:, None]) & ~first_cells(m))
-        visits = q.mapInPandas(near, f"{qtypes}, cell int, n bigint")
-        found = self._scored(visits, k, qkey, qvector)
-        kth = found.groupBy(qkey).agg(F.when(F.count(F.lit(1)) >= k, F.min("score")).otherwise(F.lit(-2.0)).alias("kth"))
-        open_q = q.join(kth, qkey, "left").withColumn("kth", F.coalesce("kth", F.lit(-2.0)))
-        more = open_q.mapInPandas(rest, f"{qtypes}, cell int, n bigint")
-        both = found.drop("rank").unionByName(self._scored(more, k, qkey, qvector).drop("rank"))
-        return top_k_per_group(both, [qkey], [F.desc("score"), C(self.key)], k), visits.unionByName(more).select(qkey, "cell", "n")
+                yield emit(pdf, within_reach(m, pdf) & ~first_cells(m, pdf))
 
-    def _scored(self, visits: DataFrame, k: int, qkey: str, qvector: str) -> DataFrame:
-        """The k best rows of each query among its cells. Rows and queries of a cell meet in blocks of bounded size."""
+        def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in few(batches):
+                own = np.where(always, np.inf, distances(matrix(pdf[qvector]), centres)).argmin(1)
+                yield pdf.assign(home=home[own].astype(np.int32))
+        placed = q.mapInPandas(place, f"{qtypes}, home int").withColumn("turn", F.monotonically_increasing_id())
+        asked = self._blocks(staged(placed, "placed-queries"))
+        layout = cells, sizes, home
+        found = top_k_per_group(self._scored(asked.withColumn("kth", F.lit(-2.0)), first_cells, layout, k, qkey, qvector),
+                                [qkey], [F.desc("score"), C(self.key)], k)
+        kth = found.groupBy(qkey).agg(F.when(F.count(F.lit(1)) >= k, F.min("score")).otherwise(F.lit(-2.0)).alias("kth"))
+        open_q = staged(asked.join(kth, qkey, "left").withColumn("kth", F.coalesce("kth", F.lit(-2.0))), "bounded-queries")
+        hits = self._scored(open_q, within_reach, layout, k, qkey, qvector)
+        visits = q.mapInPandas(near, visited).unionByName(open_q.select(qkey, qvector, "kth").mapInPandas(rest, visited))
+        return top_k_per_group(hits, [qkey], [F.desc("score"), C(self.key)], k), visits
+
+    def _blocks(self, placed: DataFrame) -> DataFrame:
+        """Queries with a block number: those of a home are dealt in turn to blocks of bounded size."""
+        counts = placed.groupBy("home").agg(F.count(F.lit(1)).alias("n")).orderBy("home").collect()  # as many as districts
+        blocks = [-(-r.n // BLOCK) for r in counts]
+        first = np.cumsum([0, *blocks])[:-1].tolist()
+        listed = placed.sparkSession.createDataFrame([(r.home, f, b) for r, f, b in zip(counts, first, blocks)], "home int, first int, blocks int")
+        return placed.join(listed, "home").withColumn("block", (C("first") + F.pmod("turn", "blocks")).cast("int")).drop("home", "turn", "first", "blocks")
+
+    def _scored(self, asked: DataFrame, wanted, layout: tuple, k: int, qkey: str, qvector: str) -> DataFrame:
+        """The k best rows that each query finds in each part of the rows, not below the query's ``kth``.
+
+        Cells that lie together form districts, which are parts of bounded size; only parts with a cell that a query of the block
+        wants meet the block, and there each query is scored against the cells that it wants, by one matrix product.
+        """
         key, vector = self.key, self.vector
-        spark = visits.sparkSession
-        stored = spark.read.parquet(self._path("rows")).select(key, vector, "cell")
-        asked = visits.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("q_blocks"), F.ceil(F.max("n") / BLOCK).alias("r_blocks"))
-        spread = lambda n: F.explode(F.sequence(F.lit(0), (C(n) - 1).cast("int")))
-        own = lambda c, n: F.pmod(F.xxhash64(c), C(n)).cast("int")
-        rows = stored.join(asked, "cell").withColumn("r", own(key, "r_blocks")).withColumn("q", spread("q_blocks")).select("cell", "r", "q", key, vector)
-        wants = visits.join(asked, "cell").withColumn("q", own(qkey, "q_blocks")).withColumn("r", spread("r_blocks")).select("cell", "r", "q", qkey, qvector)
+        spark, (cells, sizes, home) = asked.sparkSession, layout
+        splits = -(-np.bincount(home, sizes).astype(np.int64) // BLOCK)  # above 1 where a cell exceeds a block
+        first = np.cumsum(splits) - splits
+        place = spark.createDataFrame([(int(c), int(first[h]), int(splits[h])) for c, h in zip(cells, home)], "cell int, first int, splits int")
+        stored = spark.read.parquet(self._path("rows")).select(key, vector, "cell").withColumn("turn", F.monotonically_increasing_id())
+        dealt = stored.join(place, "cell").withColumn("part", (C("first") + F.pmod("turn", "splits")).cast("int")).select("part", "cell", key, vector)
+        step = max(1, VISITS // len(cells))
+
+        def meetings(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                for at in range(0, len(pdf), step):
+                    part = pdf.iloc[at:at + step]
+                    mask, block = wanted(matrix(part[qvector]), part), part["block"].to_numpy()
+                    for b in np.unique(block):
+                        near = np.unique(home[mask[block == b].any(0)])
+                        yield pd.DataFrame({"block": np.full(len(near), b, np.int32), "first": first[near].astype(np.int32), "splits": splits[near].astype(np.int32)})
+        met = asked.mapInPandas(meetings, "block int, first int, splits int").distinct()
+        met = staged(met.select("block", F.explode(F.sequence("first", C("first") + C("splits") - 1)).alias("part")), "meetings")
+        rows, wants = dealt.join(met, "part"), asked.join(met, "block")
+        at_cell = {int(c): i for i, c in enumerate(cells)}
 
         def score(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+            out = pd.DataFrame({qkey: right[qkey][:0], key: left[key][:0], "score": np.zeros(0)})
             if not len(left) or not len(right):
-                return pd.DataFrame({qkey: right[qkey][:0], key: left[key][:0], "score": np.zeros(0)})
-            scores = np.round(matrix(right[qvector]) @ matrix(left[vector]).T, 6)
-            ids, out = left[key].to_numpy(), []
-            for i, name in enumerate(right[qkey].to_numpy()):
-                at = np.flatnonzero(scores[i] >= np.partition(scores[i], -min(k, len(ids)))[-min(k, len(ids))])
-                best = at[np.lexsort((ids[at], -scores[i][at]))[:k]]
-                out.append(pd.DataFrame({qkey: np.repeat(np.array([name]), len(best)), key: ids[best], "score": scores[i][best]}))
-            return pd.concat(out)
-        kinds = f"{qkey} {visits.schema[qkey].dataType.simpleString()}, {key} {stored.schema[key].dataType.simpleString()}, score double"
-        block = ["cell", "r", "q"]
-        hits = rows.groupBy(*block).cogroup(wants.groupBy(*block)).applyInPandas(score, kinds)
-        return top_k_per_group(hits, [qkey], [F.desc("score"), C(key)], k)
+                return out
+            left = left.sort_values("cell", kind="stable")
+            own = np.array([at_cell[c] for c in left["cell"]])
+            here, begins = np.unique(own, return_index=True)
+            ends = np.append(begins[1:], len(own))
+            ids, names, x, m = left[key].to_numpy(), right[qkey].to_numpy(), matrix(left[vector]).T, matrix(right[qvector])
+            floor = right["kth"].to_numpy(np.float64) - SLACK  # products of other shapes may round otherwise
+            found = [out]
+            for at in range(0, len(m), ASKED):
+                some = m[at:at + ASKED]
+                mask = wanted(some, right.iloc[at:at + ASKED])[:, here]
+                pieces = [(0, len(own), np.arange(len(some)))] if mask.all() else [
+                    (b, e, np.flatnonzero(mask[:, c])) for c, (b, e) in enumerate(zip(begins, ends)) if mask[:, c].any()]
+                hits = []
+                for begin, end, who in pieces:
+                    scores = some[who] @ x[:, begin:end]
+                    i, j = np.nonzero(scores >= floor[at + who][:, None])
+                    hits.append((who[i], j + begin, np.round(scores[i, j], 6)))
+                if not hits:
+                    continue
+                i, j, s = (np.concatenate(parts) for parts in zip(*hits))
+                order = np.lexsort((ids[j], -s, i))
+                i, j, s = i[order], j[order], s[order]
+                best = np.arange(len(i)) - np.searchsorted(i, i) < k
+                found.append(pd.DataFrame({qkey: names[at + i[best]], key: ids[j[best]], "score": s[best]}))
+            return pd.concat(found[1:]) if len(found) > 1 else out
+        kinds = f"{qkey} {asked.schema[qkey].dataType.simpleString()}, {key} {stored.schema[key].dataType.simpleString()}, score double"
+        return rows.groupBy("block", "part").cogroup(wants.groupBy("block", "part")).applyInPandas(score, kinds)

@@ -86,3 +86,33 @@ def test_visits_are_made_in_small_parts(spark, index, monkeypatch):
     monkeypatch.setattr(type(spark.range(1)), "mapInPandas", watched)
     assert found(index.search(queries_of(spark, x), 3)) == by_hand(x, x, 3)
     assert sizes and max(sizes) <= 32
+
+
+def test_vectors_travel_to_blocks_not_to_cells(spark, index, monkeypatch):
+    monkeypatch.setattr(vector_index, "BLOCK", 40)
+    monkeypatch.setattr(vector_index, "ASKED", 16)
+    x = np.random.default_rng(5).normal(size=(200, 5))
+    x[50:110] = x[7]  # a cell of more rows than a block
+    kinds, frames = [], type(spark.range(1)).mapInPandas
+
+    def watched(self, make, schema):
+        kinds.append(schema)
+        return frames(self, make, schema)
+    index.build(corpus_of(spark, x))
+    monkeypatch.setattr(type(spark.range(1)), "mapInPandas", watched)
+    assert found(index.search(queries_of(spark, x), 3)) == by_hand(x, x, 3)
+    assert kinds and not any("cell int" in k and "query_vector" in k for k in kinds)
+
+
+def test_repeated_and_missing_keys_are_one_group(spark, index):
+    rows = spark.createDataFrame([(1, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [1.0, 0.1]), (3, [0.0, 1.0])], "vector_id long, vector array<double>")
+    asked = spark.createDataFrame([(5, [1.0, 0.0]), (5, [0.0, 1.0]), (None, [1.0, 0.0])], "query_id long, query_vector array<double>")
+    got = index.build(rows).search(asked, 3).collect()
+    assert sorted((str(r.query_id), r["rank"], r.vector_id, r.score) for r in got) == [
+        ("5", 1, 1, 1.0), ("5", 2, 1, 1.0), ("5", 3, 3, 1.0), ("None", 1, 1, 1.0), ("None", 2, 1, 1.0), ("None", 3, 2, 0.995037)]
+
+
+def test_districts_hold_neighbouring_cells():
+    centres = np.array([[0.0, 0], [9, 0], [1, 0], [8, 0], [20, 0]])
+    home = vector_index.districts(centres, np.array([3, 5, 3, 5, 30]), 10)
+    assert home[0] == home[2] != home[1] == home[3] and len(set(home)) == 3
