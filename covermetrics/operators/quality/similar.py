@@ -16,6 +16,7 @@ SLICE = 512
 # Texts that may meet under one key before the key takes in a further gram, and the grams that a key may have.
 CROWD = 64
 LEVELS = 6
+CLOSE = 2  # edits up to which texts meet by what is left without the characters that they may differ in
 END = "\x03"  # closes the key of a text that has no further grams to be met under
 C = F.col
 
@@ -66,9 +67,71 @@ def prefixes(values: DataFrame, block: Sequence[str], at_least: float, q: int, c
             return met
 
 
+def branchings(texts: DataFrame, backwards: bool) -> DataFrame:
+    """_id, at: the places (from 0) of a text before which it agrees with another text of its block, from its start or, if
+    ``backwards``, from its end, and at which it does not agree with it."""
+    text = F.reverse("v") if backwards else C("v")
+    end = F.length("v")  # a place of its own: a text may end where another goes on
+    listed = texts.select("_id", "_b", text.alias("v")).select("_id", "_b", "v", F.explode(F.sequence(F.lit(0), end)).alias("at"))
+    listed = listed.select("_id", "at", F.xxhash64("_b", F.left("v", C("at"))).alias("_start"), F.substring("v", C("at") + 1, F.lit(1)).alias("_next"))
+    facts = listed.groupBy("_start").agg(F.min("_next").alias("_low"), F.max("_next").alias("_high"), F.count(F.lit(1)).alias("_n"))
+    facts = staged(facts.filter("_low <> _high").select("_start", "_n"), "branchings")
+    return attach_group_facts(listed, facts, ["_start"], "_n").select("_id", "at")
+
+
+def close_pairs(values: DataFrame, block: Sequence[str]) -> DataFrame:
+    """_x, _y: a superset of the pairs of texts of a block that are two edits apart or less, as rows of block and v.
+
+    What two texts share before their first edit ends at a place where the one branches off from the other, and what they share
+    behind their last edit begins at such a place seen from the end. So both lose at most one character at each of these
+    two places and are equal then; only if one of them lacks two neighbouring characters, these are the first place and the next.
+    Texts meet under what is left of them, hashed; a text branches off at few places however many texts there are.
+    """
+    texts = staged(values.select(F.monotonically_increasing_id().alias("_id"), F.struct(*block).alias("_b") if block else F.lit(0).alias("_b"), "v"), "numbered-texts")
+    places = [branchings(texts, backwards).withColumn("back", F.lit(backwards)) for backwards in (False, True)]
+    found = places[0].unionByName(places[1]).groupBy("_id").agg(*[
+        F.collect_list(F.when(C("back") == b, C("at"))).alias(name) for b, name in ((False, "_fore"), (True, "_aft"))])
+    n = F.length("v")
+    fore = F.filter("_fore", lambda p: p < n)
+    aft = F.transform(F.filter("_aft", lambda p: p < n), lambda p: n - 1 - p)
+    spots = texts.join(found, "_id").select("_id", "_b", "v", fore.alias("_f"), aft.alias("_a"))
+    without = lambda p: F.concat(F.left("v", p), F.substring("v", p + 2, n))
+    without_two = lambda p, r: F.concat(F.left("v", p), F.substring("v", p + 2, r - p - 1), F.substring("v", r + 2, n))
+    last = lambda p: F.filter(F.array_union("_a", F.array(p + 1)), lambda r: (r > p) & (r < n))
+    two = F.flatten(F.transform("_f", lambda p: F.transform(last(p), lambda r: without_two(p, r))))
+    left = F.concat(F.array("v"), F.transform(F.array_union("_f", "_a"), without), two)
+    hashes = F.array_distinct(F.transform(left, lambda t: F.xxhash64("_b", t)))
+    keyed = staged(spots.select("_id", F.explode(hashes).alias("_key")), "left-overs")
+    met = keyed.withColumnRenamed("_id", "_i").join(keyed.withColumnRenamed("_id", "_j"), "_key").filter("_i < _j").select("_i", "_j").distinct()
+    side = lambda i, name: texts.select(C("_id").alias(i), F.struct("_b", "v").alias(name))
+    pairs = met.join(side("_i", "_x"), "_i").join(side("_j", "_y"), "_j")
+    return pairs.filter(C("_x._b").eqNullSafe(C("_y._b"))).select("_x", "_y")
+
+
 def similar_pairs(values: DataFrame, block: Sequence[str], at_least: float, q: int, slice_size: int = SLICE) -> DataFrame:
     """block, a, b (a < b): the different texts v of a block that are similar enough, each pair once.
 
+    Pairs of which one text allows ``CLOSE`` edits at most are found by `close_pairs`: the other is longer by as many at most. All
+    other pairs are of texts that allow more, and meet by grams.
+    """
+    least = at_least - 0.00005  # similarities are rounded to four digits
+    allowed, of_shorter = (edits_allowed(text, least) for text in (C("v"), F.left("v", F.greatest(F.length("v") - CLOSE, F.lit(0)))))
+    wide = values.filter(allowed > CLOSE)
+    found = close_pairs(values.filter((allowed > 0) & (of_shorter <= CLOSE)), block)
+    a, b = C("_x.v"), C("_y.v")
+    near = F.call_function("levenshtein", a, b, _edits(a, b, at_least)) >= 0
+    found = found.filter(near).filter(edit_similarity(a, b) >= at_least).select(
+        *[C(f"_x._b.{k}").alias(k) for k in block], F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
+    return found if wide.isEmpty() else found.unionByName(gram_pairs(wide, block, at_least, q, slice_size)).distinct()
+
+
+def _edits(a: Column, b: Column, at_least: float) -> Column:
+    return F.floor(F.greatest(F.length(a), F.length(b)) * F.lit(1 - at_least + 0.00005) + F.lit(1e-9)).cast("int")
+
+
+def gram_pairs(values: DataFrame, block: Sequence[str], at_least: float, q: int, slice_size: int = SLICE) -> DataFrame:
+    """As `similar_pairs`, by grams alone.
+
     Groups that share a gram are cut into slices and every pair of slices is a join key of its own, so no task has to hold
     or compare a whole group; only verified pairs leave the join.
     """
@@ -84,8 +147,7 @@ def similar_pairs(values: DataFrame, block: Sequence[str], at_least: float, q: i
     for s in same:
         on = on & s
     near = (F.length("a") >= F.length("b") * F.lit(at_least - 0.001)) & (F.length("b") >= F.length("a") * F.lit(at_least - 0.001))
-    edits = F.floor(F.greatest(F.length("a"), F.length("b")) * F.lit(1 - at_least + 0.00005) + F.lit(1e-9)).cast("int")
-    close = F.call_function("levenshtein", C("a"), C("b"), edits) >= 0  # stops counting at more edits than allowed
+    close = F.call_function("levenshtein", C("a"), C("b"), _edits(C("a"), C("b"), at_least)) >= 0  # stops counting at more edits than allowed
     found = left.join(right, on).filter((C("a") < C("b")) & near).filter(close).filter(edit_similarity(C("a"), C("b")) >= at_least)
     return found.select(*[C(f"_a{i}").alias(k) for i, k in enumerate(block)], "a", "b").distinct()
 
@@ -123,8 +185,8 @@ def similarity_classes(df: DataFrame, same: Sequence[str], key: str, compare: st
     rows = df.select(C(key).alias("_key"), *[C(c).alias(b) for b, c in zip(block, same)], F.lower(C(compare)).alias("v")).filter("v IS NOT NULL")
     values = staged(rows.groupBy(*block, "v").agg(F.min("_key").alias("_least"), F.count(F.lit(1)).alias("_copies")), "entity-values")
     pairs = staged(similar_pairs(values.select(*block, "v"), block, at_least, q, slice_size), "similar-pairs")
-    # A node is a text of a block; its place in the order of a digest stands for it.
-    node = lambda v: F.sha2(F.to_json(F.struct(*block, C(v).alias("v"))), 256)
+    # A node is a text of a block; 16 bytes of a digest stand for it.
+    node = lambda v: F.substring(F.unhex(F.sha2(F.to_json(F.struct(*block, C(v).alias("v"))), 256)), 1, 16)
     links = pairs.select(node("a").alias("a"), node("b").alias("b"))
     named = values.withColumn("node", node("v")).join(components(links), "node", "left").withColumn("component", F.coalesce("component", "node"))
     degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("links"))

@@ -114,3 +114,20 @@ def test_pairs_under_longer_keys_equal_all_pairs(spark, monkeypatch, seed, at_le
     rows = rows_of(seed)
     want = classes(rows, at_least)
     assert want and found(spark, rows, at_least) == want
+
+
+@pytest.mark.parametrize("seed", [8, 9])
+def test_texts_two_edits_apart_meet(spark, seed):
+    rng = random.Random(seed)
+    texts = {"", "a", "b", "aa", "aaa", "ab", "abab", "ba"} | {"".join(rng.choice("ab") for _ in range(rng.randint(3, 9))) for _ in range(60)}
+    rows = spark.createDataFrame([(b, t) for t in texts for b in ("x", None)], "block string, v string")
+    met = {(r._x._b.block, *sorted((r._x.v, r._y.v))) for r in similar.close_pairs(rows, ["block"]).collect()}
+    near = {(b, x, y) for x in texts for y in texts for b in ("x", None) if x < y and distance(x, y) <= 2}
+    assert near and near <= met
+
+
+def test_dense_numbers_are_not_compared_in_crowds(spark):
+    rows = spark.createDataFrame([("x", f"customer.{i:09}@household.example.com") for i in range(0, 60000, 20)], "block string, v string")
+    met = similar.close_pairs(rows, ["block"])
+    near = met.filter("levenshtein(_x.v, _y.v) <= 2").count()
+    assert near <= met.count() <= 4 * near
